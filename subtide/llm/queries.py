@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from subtide.llm import decontaminate, sharding, url_filter
-from subtide.session import table
+from subtide.llm import bpe, decontaminate, langid, media_columns, sharding, token_files, url_filter
+from subtide.llm.vocabulary import word_bpe_path
+from subtide.session import table, written
 
 #: (host, path, verdict) of the rules; the longest that fits a url wins.
 URL_RULES = [
@@ -21,12 +22,29 @@ URL_RULES = [
 URL_LIST = [("spam-farm.example.org", "/"), ("cheap-pills.example.com", "/")]
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_index(table(spark, sf_dir, "documents"), word_bpe_path(), end_id=2)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(h, p, v, True) for h, p, v in URL_RULES] + [(h, p, "block", False) for h, p in URL_LIST]
     listed = spark.createDataFrame(rows, "host string, path string, verdict string, ranked boolean")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), listed)
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = written(media_columns.store_texts(table(spark, sf_dir, "documents")), "media")
+    return media_columns.media_features(stored).drop("phash")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe_path())
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
 
@@ -90,7 +108,11 @@ FROM dw LEFT JOIN covered USING (n) LEFT JOIN items USING (n)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_files": op2_token_files,
     "op3_url_filter": op3_url_filter,
+    "op5_media_columns": op5_media_columns,
+    "op6_bpe": op6_bpe,
+    "op7_language_id": op7_language_id,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
 }
