@@ -110,7 +110,8 @@ def cut_spans(docs: DataFrame, bench: DataFrame, n: int = 10) -> DataFrame:
     """``docs`` with the words of occurring windows, and the separators after them, cut out of ``text``; other columns as they were."""
     found = hit_windows(docs, bench, n)
     texts = F.coalesce("text", F.lit(""))
-    gaps, parts = F.split(texts, WORD), F.regexp_extract_all(texts, F.lit(WORD.replace("3A-\\x60", "3A-\\x40\\x5B-\\x60")), F.lit(0))
+    cased = WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")  # the same words before lower-casing
+    gaps, parts = F.split(texts, cased), F.regexp_extract_all(texts, F.lit(cased), F.lit(0))
     kept = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.when(F.array_contains("hit_pos", i), F.lit("")).otherwise(F.concat(F.get(parts, i - 1), F.get(gaps, i))))
     cut = F.when(F.size("hit_pos") > 0, F.concat(F.get(gaps, F.lit(0)), F.array_join(kept, ""))).otherwise(F.col("text"))
     return found.withColumn("text", cut).select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from subtide.llm import bpe, decontaminate, langid, media_columns, sharding, token_files, url_filter
+from subtide.llm import bpe, decontaminate, html_extract, langid, license_scan, media_columns, sharding, token_files, url_filter
 from subtide.llm.vocabulary import word_bpe_path
 from subtide.session import table, written
 
@@ -22,6 +22,10 @@ URL_RULES = [
 URL_LIST = [("spam-farm.example.org", "/"), ("cheap-pills.example.com", "/")]
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_index(table(spark, sf_dir, "documents"), word_bpe_path(), end_id=2)
 
@@ -45,6 +49,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
 
@@ -108,15 +116,17 @@ FROM dw LEFT JOIN covered USING (n) LEFT JOIN items USING (n)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_token_files": op2_token_files,
     "op3_url_filter": op3_url_filter,
     "op5_media_columns": op5_media_columns,
     "op6_bpe": op6_bpe,
     "op7_language_id": op7_language_id,
+    "op8_license_scan": op8_license_scan,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES = {"op3_url_filter": OP3_SQL, "op9_sharding": OP9_SQL, "op10_decontamination": OP10_SQL}
+ORACLES = {"op3_url_filter": OP3_SQL, "op8_license_scan": license_scan.oracle_sql(), "op9_sharding": OP9_SQL, "op10_decontamination": OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
