@@ -6,8 +6,10 @@ cut into words; each word's bytes end in an end-of-word mark and are merged by r
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -40,9 +42,20 @@ def pieces(text: str) -> list[str] | None:
     """
     if text.isascii():
         return WORDS.findall(text.lower())
-    if any(unicodedata.category(c) == "Cn" for c in text):
+    if _newer().search(text):
         return None
-    return WORDS.findall("".join([c.lower() for c in unicodedata.normalize("NFC", text)]))
+    text = unicodedata.normalize("NFC", text)
+    # str.lower() looks at a letter's neighbours for the capital sigma alone.
+    return WORDS.findall("".join([c.lower() for c in text]) if "Σ" in text else text.lower())
+
+
+@functools.cache
+def _newer() -> re.Pattern:
+    """Finds characters that Python's Unicode tables don't know."""
+    codes = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    cuts = [i for i in range(1, len(codes)) if codes[i] != codes[i - 1] + 1]
+    runs = [(codes[a], codes[b - 1]) for a, b in zip([0, *cuts], [*cuts, len(codes)])]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
 
 
 class Generations(dict):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from subtide.llm import bpe, decontaminate, html_extract, langid, license_scan, media_columns, sharding, token_files, url_filter
+from subtide.llm import bpe, decontaminate, html_extract, jaccard_join, langid, license_scan, media_columns, sharding, token_files, url_filter
 from subtide.llm.vocabulary import word_bpe_path
 from subtide.session import table, written
 
@@ -36,6 +36,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), listed)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = written(media_columns.store_texts(table(spark, sf_dir, "documents")), "media")
     return media_columns.media_features(stored).drop("phash")
@@ -119,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_token_files": op2_token_files,
     "op3_url_filter": op3_url_filter,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_media_columns": op5_media_columns,
     "op6_bpe": op6_bpe,
     "op7_language_id": op7_language_id,
