@@ -18,7 +18,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 #: The word pattern of this kind of vocabulary, fixed by its tokenizer file.
@@ -290,26 +290,33 @@ def encode_column(docs: DataFrame, path: str, text: str = "text", to: str = "ids
     return held.mapInArrow(batches, schema)
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row's whole text.
+def round_trip(docs: DataFrame, path: str, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, the ``keep`` columns, n_tokens, ids_sha256 and decoded_sha256 of every row's whole text; with ``ids`` (binary) if asked for.
 
     Encodes the text, hashes the ids, decodes the ids and hashes the decoded UTF-8. Null and empty
     texts give 0 tokens and the hash of nothing twice. One row per row, in no order; other columns
     of ``docs`` are not read.
     """
+    held = docs.select("doc_id", *(keep or []), F.col("text").alias("_text"))
+    names = held.columns[:-1]
+    made = {"n_tokens": pa.int64(), **({"ids": pa.binary()} if with_ids else {}), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for batch in rows:
-            n, coded, plain = [], [], []
-            for t in batch.column(1):
+            out: dict[str, list] = {name: [] for name in made}
+            for t in batch.column(len(names)):
                 ids = bpe.encode(t.as_py())
                 text = hashlib.sha256()
                 for part in decoded_parts(bpe, ids):
                     text.update(part)
-                n.append(len(ids) // 4)
-                coded.append(hashlib.sha256(ids).hexdigest())
-                plain.append(text.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded), pa.array(plain)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", "text").mapInArrow(batches, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+                out["n_tokens"].append(len(ids) // 4)
+                out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
+                out["decoded_sha256"].append(text.hexdigest())
+                if with_ids:
+                    out["ids"].append(ids)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(out[n], kind) for n, kind in made.items()]], names=[*names, *made])
+
+    types = {f.name: f.dataType.simpleString() for f in held.schema.fields}
+    schema = ", ".join([*[f"`{n}` {types[n]}" for n in names], "n_tokens bigint", *(["ids binary"] if with_ids else []), "ids_sha256 string", "decoded_sha256 string"])
+    return held.mapInArrow(batches, schema)

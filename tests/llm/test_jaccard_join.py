@@ -1,41 +1,14 @@
 import collections
 import random
-import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from tests_llm_helpers import brute, shingle_set
 
 from subtide.llm import jaccard_join as j, shingles
 from subtide.llm.components import connected_components
 
-LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def shingle_set(text, k=5):
-    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
-    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
-
-
-def brute(rows, percent=75):
-    """component by doc_id, from all pairs."""
-    sets = [(d, shingle_set(t)) for d, t in rows if d is not None]
-    up = {d: d for d, _ in sets}
-
-    def top(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for i, (a, s) in enumerate(sets):
-        for b, t in sets[:i]:
-            both = len(s & t)
-            if both and 100 * both >= percent * (len(s) + len(t) - both):
-                x, y = sorted((top(a), top(b)))
-                up[y] = x
-    return {d: top(d) for d in up}
-
-
 def corpus():
     r = random.Random(5)
     vocab = [f"w{i}" for i in range(400)]
