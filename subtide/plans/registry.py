@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from subtide.plans import cue_queries
+from subtide.operators import match
+from subtide.plans import cue_queries, match_queries
+from subtide.sources import adapters
 
-MODULES = [cue_queries]
+MODULES = [cue_queries, match_queries]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
@@ -22,4 +24,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Which candidate is right for each video, and how far off it is."""
+    return match.best_candidates(adapters.references(spark, sf_dir), adapters.candidate_cues(spark, sf_dir))
