@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from subtide.operators import match
-from subtide.plans import cue_queries, match_queries
+from subtide.plans import cue_queries, match_queries, text_queries
 from subtide.sources import adapters
 
-MODULES = [cue_queries, match_queries]
+MODULES = [cue_queries, match_queries, text_queries]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
