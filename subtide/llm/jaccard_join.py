@@ -251,7 +251,7 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], union: np.ndarray) -> np.
 
 
 class _Forest:
-    """Which of a few sets are connected already; keeps the links that connect them."""
+    """Which of a few sets are connected already."""
 
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -262,10 +262,8 @@ class _Forest:
             i = self.up[i]
         return i
 
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.top(i), self.top(j)
-        self.up[i] = j
-        return i != j
+    def join(self, i: int, j: int) -> None:
+        self.up[self.top(i)] = self.top(j)
 
 
 class _Group:
@@ -283,23 +281,30 @@ class _Group:
         return both >= GROUP_SIMILARITY * (len(first) + len(own) - both)
 
 
-def _links(docs_a, sets_a, docs_b, sets_b, union, percent: int, within: bool) -> list[tuple[int, int]]:
-    sizes_a, sizes_b = np.array([len(s) for s in sets_a]), np.array([len(s) for s in sets_b])
+def _linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray], union: np.ndarray, percent: int) -> list[list[int]]:
+    """Positions (i, j) of linked sets."""
     both = overlaps(sets_a, sets_b, union)
-    linked = 100 * both >= percent * (sizes_a[:, None] + sizes_b[None, :] - both)
-    if within:
-        linked &= np.tri(len(docs_a), k=-1, dtype=bool)
-    forest, shift, out = _Forest(len(docs_a) + len(docs_b)), 0 if within else len(docs_a), []
-    for i, j in np.argwhere(linked).tolist():
-        if forest.join(i, shift + j):
-            out.append((docs_a[i], docs_b[j]))
-    return out
+    sizes_a, sizes_b = np.array([len(s) for s in sets_a]), np.array([len(s) for s in sets_b])
+    return np.argwhere(100 * both >= percent * (sizes_a[:, None] + sizes_b[None, :] - both)).tolist()
+
+
+def _heads(docs: list[int], sets: list[np.ndarray], union: np.ndarray, percent: int) -> list[int]:
+    """For each document of a group the smallest one that it is connected with inside the group."""
+    forest = _Forest(len(docs))
+    if len(docs) > 1:
+        for i, j in _linked(sets, sets, union, percent):
+            forest.join(i, j)
+    least: dict[int, int] = {}
+    for i, doc in enumerate(docs):
+        top = forest.top(i)
+        least[top] = min(least.get(top, doc), doc)
+    return [least[forest.top(i)] for i in range(len(docs))]
 
 
 def _group_rows(hot, percent: int):
     schema = pa.schema([
         ("gid", pa.int64()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary()), ("least", pa.int64()), ("most", pa.int64()),
-        ("matrix", pa.list_(pa.int64())), ("links", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
+        ("matrix", pa.list_(pa.int64())), ("heads", pa.list_(pa.int64())),
     ])
 
     def row(group: _Group, gid: int) -> dict:
@@ -309,10 +314,9 @@ def _group_rows(hot, percent: int):
             order = np.lexsort((own, _frequency(own, hot.value)))
             rare.append(own[order[: len(own) - needed(len(own), percent) + 1]])
         sizes = [len(s) for s in group.sets]
-        links = _links(group.docs, group.sets, group.docs, group.sets, union, percent, True) if len(sizes) > 1 else []
         return {
             "gid": gid, "docs": group.docs, "sizes": sizes, "tokens": np.concatenate(group.sets).tobytes(), "least": min(sizes), "most": max(sizes),
-            "matrix": np.unique(np.concatenate(rare)).view(np.int64), "links": [{"a": a, "b": b} for a, b in links],
+            "matrix": np.unique(np.concatenate(rare)).view(np.int64), "heads": _heads(group.docs, group.sets, union, percent),
         }
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +355,7 @@ def _group_rows(hot, percent: int):
     return rows
 
 
-GROUPS = "gid bigint, docs array<bigint>, sizes array<int>, tokens binary, least bigint, most bigint, matrix array<bigint>, links array<struct<a:bigint,b:bigint>>"
+GROUPS = "gid bigint, docs array<bigint>, sizes array<int>, tokens binary, least bigint, most bigint, matrix array<bigint>, heads array<bigint>"
 
 
 # -- 4. opening groups -----------------------------------------------------------------------------
@@ -369,14 +373,15 @@ def _open(percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[int, int]] = []
-            sides = [[batch.column(batch.schema.get_field_index(f"{side}_{c}")) for c in ("docs", "sizes", "tokens")] for side in "gh"]
+            sides = [[batch.column(batch.schema.get_field_index(f"{side}_{c}")) for c in ("heads", "sizes", "tokens")] for side in "gh"]
             for i in range(batch.num_rows):
-                (docs_a, sets_a, union_a), (docs_b, sets_b, union_b) = [(d[i].as_py(), *_unpack(s[i].as_py(), t[i].as_py())) for d, s, t in sides]
+                (heads_a, sets_a, union_a), (heads_b, sets_b, union_b) = [(d[i].as_py(), *_unpack(s[i].as_py(), t[i].as_py())) for d, s, t in sides]
                 union = np.intersect1d(union_a, union_b, assume_unique=True)
                 least = max(min(map(len, sets_a)), min(map(len, sets_b)))
                 if len(union) < needed(least, percent):
                     continue  # no member of one can share enough with a member of the other
-                found += _links(docs_a, sets_a, docs_b, sets_b, union, percent, False)
+                # What is connected inside a group needs one link to the other at most.
+                found += sorted({(heads_a[i], heads_b[j]) for i, j in _linked(sets_a, sets_b, union, percent)})
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
     return rows
@@ -388,17 +393,22 @@ def _unpack(sizes: list[int], tokens: bytes) -> tuple[list[np.ndarray], np.ndarr
     return sets, flat if len(sets) == 1 else np.unique(flat)
 
 
-def similarity_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect all distinct sets (doc_id, tokens) of a Jaccard similarity of ``percent`` or more, and all that are connected by such."""
+def similarity_groups(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, head) of every distinct set (doc_id, tokens), and links (a, b) between heads.
+
+    Two sets are connected by links of a Jaccard similarity of ``percent`` or more if and only if their
+    heads are equal or connected.
+    """
     spark = sets.sparkSession
     hot = spark.sparkContext.broadcast(_hot_tokens(sets))
     keyed = sets.select("doc_id", "tokens").mapInArrow(_keyed(hot), "near bigint, n bigint, doc_id bigint, tokens array<bigint>")
     order = ["near", "n", "doc_id"]
     groups = written(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_group_rows(hot, percent), GROUPS), "groups")
     pairs = candidate_groups(groups, percent)
-    sides = [groups.select(F.col("gid").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("docs", "sizes", "tokens")]) for s in "gh"]
-    opened = pairs.join(sides[0], "g").join(sides[1], "h").mapInArrow(_open(percent), "a bigint, b bigint")
-    return groups.select(F.explode("links").alias("link")).select("link.a", "link.b").union(opened)
+    sides = [groups.select(F.col("gid").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("heads", "sizes", "tokens")]) for s in "gh"]
+    links = pairs.join(sides[0], "g").join(sides[1], "h").mapInArrow(_open(percent), "a bigint, b bigint")
+    heads = groups.select(F.explode(F.arrays_zip("docs", "heads")).alias("x")).select(F.col("x.docs").alias("doc_id"), F.col("x.heads").alias("head"))
+    return heads, links
 
 
 # -- 5. components ---------------------------------------------------------------------------------
@@ -422,11 +432,13 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     first = held(sets.groupBy("set_key").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("set_key", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row")))
     few = first.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     rows = first.select("row")
-    links = similarity_links(sets.join(F.broadcast(rows) if few else rows, "row", "left_semi"), percent)
-    of_doc = sets.select("doc_id", "set_key").join(first.select("set_key", "rep"), "set_key").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.collect_set("rep").alias("reps"))
-    several = of_doc.where(F.size("reps") > 1).select(F.explode("reps").alias("a"), F.col("rep").alias("b"))
+    heads, links = similarity_groups(sets.join(F.broadcast(rows) if few else rows, "row", "left_semi"), percent)
+    # Each document's first head; the heads of one document's several texts belong together.
+    of_set = first.select("set_key", "rep").join(heads.withColumnRenamed("doc_id", "rep"), "rep").select("set_key", "head")
+    of_doc = held(sets.select("doc_id", "set_key").join(of_set, "set_key").groupBy("doc_id").agg(F.min("head").alias("head"), F.collect_set("head").alias("heads")))
+    several = of_doc.where(F.size("heads") > 1).select(F.explode("heads").alias("a"), F.col("head").alias("b"))
     components = connected_components(links.union(several))
-    placed = of_doc.select("doc_id", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    placed = of_doc.select("doc_id", "head").join(components.withColumnRenamed("node", "head"), "head", "left").select("doc_id", F.coalesce("component", "head").alias("component"))
     return sizes.join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
