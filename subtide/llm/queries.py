@@ -86,17 +86,16 @@ SELECT page_id, host, path, CASE WHEN by_rule THEN rule0 END AS rule, coalesce(v
 FROM parts LEFT JOIN fits USING (n)
 """
 
-# CRC-32 byte by byte: the table from its polynomial, then a fold over the text's bytes.
-_CRC_TABLE = "(SELECT list(c ORDER BY i) FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i)))"
+# CRC-32 half a byte at a time. The checksum's table for four bits.
+_CRC_4 = [0, 0x1DB71064, 0x3B6E20C8, 0x26D930AC, 0x76DC4190, 0x6B6B51F4, 0x4DB26158, 0x5005713C, 0xEDB88320, 0xF00F9344, 0xD6D6A3E8, 0xCB61B38C, 0x9B64C2B0, 0x86D3D2D4, 0xA00AE278, 0xBDBDF21C]
+_CRC_STEP = "xor({c} >> 4, [" + ", ".join(f"{x}::BIGINT" for x in _CRC_4) + "][(xor({c}, {b}) & 15) + 1])"
+_CRC_BYTE = _CRC_STEP.format(c="(" + _CRC_STEP.format(c="c", b="b") + ")", b="(b >> 4)")
 OP9_SQL = f"""
-WITH crc_table AS MATERIALIZED (SELECT {_CRC_TABLE} AS tab),
-sized AS (
-  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS rn, doc_id, coalesce(strlen(text), 0)::BIGINT + 1 AS size, coalesce(text, '') AS txt FROM documents),
-coded AS (
-  SELECT rn, doc_id, size,
-         xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(size - 1), lambda j: (instr('0123456789ABCDEF', hx[2 * j + 1]) * 16 + instr('0123456789ABCDEF', hx[2 * j + 2]) - 17)::BIGINT)),
-             lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS text_crc32
-  FROM (SELECT *, hex(encode(txt)) AS hx FROM sized), crc_table),
+WITH sized AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS rn, doc_id, coalesce(strlen(text), 0)::BIGINT + 1 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: (instr('0123456789ABCDEF', h[1]) * 16 + instr('0123456789ABCDEF', h[2]) - 17)::BIGINT) AS bytes
+  FROM documents),
+coded AS (SELECT rn, doc_id, size, xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, b: {_CRC_BYTE}), 4294967295) AS text_crc32 FROM sized),
 run AS (SELECT *, sum(size) OVER (ORDER BY rn) AS e, sum(size) OVER () AS total FROM coded),
 cut AS (SELECT *, least(7, ((2 * e - size) * 8) // (2 * total))::INTEGER AS shard FROM run)
 SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard,
@@ -104,6 +103,19 @@ SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard,
 FROM cut
 """
 
+# All pairs of documents that share a shingle, and a walk over the links.
+OP4_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER_AZ.format('text')}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id),
+k AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
 OP10_SQL = f"""
 WITH dw AS (SELECT row_number() OVER () AS n, doc_id, coalesce(regexp_extract_all({_LOWER_AZ.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents),
 bw AS (SELECT item_id, regexp_extract_all({_LOWER_AZ.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
@@ -133,7 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op3_url_filter": OP3_SQL, "op8_license_scan": license_scan.oracle_sql(), "op9_sharding": OP9_SQL, "op10_decontamination": OP10_SQL}
+ORACLES = {"op3_url_filter": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op8_license_scan": license_scan.oracle_sql(), "op9_sharding": OP9_SQL, "op10_decontamination": OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
