@@ -35,11 +35,13 @@ CHUNK_DOCS = 1 << 16
 HOT_SETS = 16
 HOT_TOKENS = 2_000_000
 #: Bounds of a group, and how many are open at a time while groups are made.
-GROUP_DOCS = 128
-GROUP_TOKENS = 1 << 16
+GROUP_DOCS = 256
+GROUP_TOKENS = 1 << 17
 OPEN_GROUPS = 32
+#: Sets of one key that are grouped together; a key with more is dealt out in pieces.
+PIECE_SETS = 1024
 #: Sets this similar to a group's first one join it.
-GROUP_SIMILARITY = 0.5
+GROUP_SIMILARITY = 0.25
 #: Tables of document ids are broadcast up to so many rows, else shuffled.
 BROADCAST_IDS = 2_000_000
 BATCH_BYTES = 16 << 20
@@ -402,8 +404,11 @@ def similarity_groups(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFra
     spark = sets.sparkSession
     hot = spark.sparkContext.broadcast(_hot_tokens(sets))
     keyed = sets.select("doc_id", "tokens").mapInArrow(_keyed(hot), "near bigint, n bigint, doc_id bigint, tokens array<bigint>")
-    order = ["near", "n", "doc_id"]
-    groups = written(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_group_rows(hot, percent), GROUPS), "groups")
+    sizes = held(keyed.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / PIECE_SETS).alias("pieces")).where("pieces > 1"))
+    few = sizes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    piece = F.pmod(F.xxhash64("doc_id"), F.coalesce("pieces", F.lit(1).cast("long")))
+    dealt = keyed.join(F.broadcast(sizes) if few else sizes, "near", "left").select(F.xxhash64("near", piece).alias("near"), "n", "doc_id", "tokens")
+    groups = written(dealt.repartition("near").sortWithinPartitions("near", "n", "doc_id").mapInArrow(_group_rows(hot, percent), GROUPS), "groups")
     pairs = candidate_groups(groups, percent)
     sides = [groups.select(F.col("gid").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("heads", "sizes", "tokens")]) for s in "gh"]
     links = pairs.join(sides[0], "g").join(sides[1], "h").mapInArrow(_open(percent), "a bigint, b bigint")

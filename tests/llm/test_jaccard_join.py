@@ -33,7 +33,7 @@ def corpus():
 @pytest.mark.parametrize("small", [False, True])
 def test_components_equal_all_pairs(spark, monkeypatch, small):
     if small:
-        for name, value in (("CHUNK_TOKENS", 2000), ("GROUP_DOCS", 4), ("GROUP_TOKENS", 1500), ("OPEN_GROUPS", 2), ("HOT_SETS", 3), ("HOT_TOKENS", 40), ("BROADCAST_IDS", 1)):
+        for name, value in (("CHUNK_TOKENS", 2000), ("GROUP_DOCS", 4), ("GROUP_TOKENS", 1500), ("OPEN_GROUPS", 2), ("PIECE_SETS", 5), ("HOT_SETS", 3), ("HOT_TOKENS", 40), ("BROADCAST_IDS", 1)):
             monkeypatch.setattr(j, name, value)
         monkeypatch.setattr(shingles, "PIECE", 512)
     rows = corpus()
