@@ -138,7 +138,7 @@ SELECT p.p_partkey, array_to_string(list_sort(p.w), ' ') AS tokens, CASE WHEN le
     "p21_qa_issues": EN + f" SELECT track_id, cue_no, array_to_string({_issues('text', 'out')}, ' ') AS issues FROM (SELECT *, {_idioms('text')} AS out FROM en)",
     "p23_glossary": EN + f" SELECT track_id, cue_no, {GLOSS} AS pre, {_names('text')} AS post FROM en",
     "j3_phrase_lookup": EN + f", {BASE}, {DICT} SELECT track_id, cue_no, coalesce({FORMAT.format('answer')}, {_idioms('text')}) AS translation, answer IS NOT NULL AS answered FROM phr LEFT JOIN dict USING (base)",
-    "g12_preprocess_stats": EN + f", {BASE}, {DICT}, f AS (SELECT kind, kind IS NULL AND {_idioms('text')} <> text AS idiom FROM phr LEFT JOIN dict USING (base)) SELECT count_if(kind = 'single')::BIGINT AS single, count_if(kind = 'multi')::BIGINT AS multi, count_if(idiom)::BIGINT AS idioms, count(*) AS total, (count_if(kind = 'single') + count_if(kind = 'multi')) * 100.0::DOUBLE / count(*) AS hit_rate FROM f",
+    "g12_preprocess_stats": EN + f", {BASE}, {DICT}, f AS (SELECT kind, kind IS NULL AND {_idioms('text')} <> text AS idiom FROM phr LEFT JOIN dict USING (base)) SELECT count(*) FILTER (kind = 'single') AS single, count(*) FILTER (kind = 'multi') AS multi, count(*) FILTER (idiom) AS idioms, count(*) AS total, (count(*) FILTER (kind = 'single') + count(*) FILTER (kind = 'multi')) * 100.0::DOUBLE / count(*) AS hit_rate FROM f",
     "g11_proper_nouns": EN + rf""", v AS (SELECT track_id, unnest(regexp_extract_all(text, '\b(?:{'|'.join(u.HONORIFICS)})\s+([A-Z][a-z]+)', 1)) AS name, 5 AS v FROM en
   UNION ALL SELECT track_id, unnest(regexp_extract_all(text, '\b([A-Z][a-z]{{2,}})[,!?]', 1)), 2 FROM en
   UNION ALL SELECT track_id, unnest(regexp_extract_all(trim(regexp_replace({STRIP}, '[!?.]+$', '')), '^([A-Z][a-z]+)$', 1)), 3 FROM en
