@@ -19,8 +19,9 @@ URL_RULES = [
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 ]
-#: Listed sites: blocked where no rule fits.
-URL_LIST = [("spam-farm.example.org", "/"), ("cheap-pills.example.com", "/")]
+#: Listed sites, under every top-level domain of the pages: blocked where no rule fits.
+URL_SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+URL_LIST = [(f"{site}.example.{tld}", "/") for site in URL_SITES for tld in ("com", "net", "org")]
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 
-from subtide.llm import decontaminate, sharding, url_filter
+from subtide.llm import decontaminate, queries, sharding, url_filter
 
 
 def test_shards(spark):
@@ -67,6 +67,14 @@ def test_urls(spark, monkeypatch, few):
     assert {r["verdict"] for r in url_filter.judge_urls(pages, listed.limit(0)).collect()} == {"allow"}
 
 
+def test_listed_sites_under_every_domain(spark, tmp_path):
+    sites = [f"{h}{s}.example.{t}" for s in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for t in ("com", "net", "org") for h in ("", "m.")]
+    rows = [(i, f"http://{s}/x/{i}") for i, s in enumerate(sites)] + [(100, "http://not-spam-farm.example.org/x"), (101, "http://spam-farm.example.com/en/7")]
+    spark.createDataFrame(rows, "page_id bigint, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in queries.op3_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {i: (None, "block") for i in range(len(sites))} | {100: (None, "allow"), 101: ("example.com/en/7", "allow")}
+
+
 def words(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
