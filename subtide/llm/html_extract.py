@@ -171,10 +171,11 @@ def _mains(root: Node) -> list[Node]:
     return [root]
 
 
-def main_text(root: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text's blocks in page order, joined by a newline, without subtrees whose hash is in ``template``."""
+def _walk(root: Node, template: frozenset[int] | set[int] = frozenset()) -> tuple[list[str], dict[int, tuple[int, int]]]:
+    """The main text's blocks in page order, and by ``id`` of each container among them the range of its blocks."""
     hashes = subtree_hashes(root) if template else {}
     blocks: list[str] = []
+    spans: dict[int, tuple[int, int]] = {}
     line: list[str] = []
 
     def end_block() -> None:
@@ -185,14 +186,16 @@ def main_text(root: Node, template: frozenset[int] | set[int] = frozenset()) ->
 
     for top in _mains(root):
         whole = top.name in ("article", "main")
-        work: list[tuple[Node, int]] = [(top, 0)]
+        work: list[tuple[Node, int, int]] = [(top, 0, len(blocks))]
         while work:
-            node, at = work.pop()
+            node, at, first = work.pop()
             if at == len(node.children):
                 if node.name in BLOCK:
                     end_block()
+                if node.name in CONTAINERS:
+                    spans[id(node)] = (first, len(blocks))
                 continue
-            work.append((node, at + 1))
+            work.append((node, at + 1, first))
             child = node.children[at]
             if isinstance(child, str):
                 line.append(child)
@@ -207,9 +210,30 @@ def main_text(root: Node, template: frozenset[int] | set[int] = frozenset()) ->
             else:
                 if child.name in BLOCK:
                     end_block()
-                work.append((child, 0))
+                work.append((child, 0, len(blocks)))
         end_block()
-    return "\n".join(blocks)
+    return blocks, spans
+
+
+def main_text(root: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
+    """The main text's blocks in page order, joined by a newline, without subtrees whose hash is in ``template``."""
+    return "\n".join(_walk(root, template)[0])
+
+
+def outside_keys(root: Node) -> dict[int, int]:
+    """By hash of each subtree a 63-bit key of the main text's blocks outside it; subtree 0 is none, so its key is that of all blocks.
+
+    Scripts, menus and adverts are no main text, so copies of an article have one key whatever stands around it.
+    """
+    blocks, spans = _walk(root)
+    sums = [0]
+    for block in blocks:
+        sums.append(sums[-1] + int.from_bytes(hashlib.blake2b(block.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big"))
+    inside = {0: 0}
+    for node, subtree in subtree_hashes(root).items():
+        first, end = spans.get(node, (0, 0))
+        inside[subtree] = inside.get(subtree, 0) + sums[end] - sums[first]
+    return {subtree: (sums[-1] - own) & (2**63 - 1) for subtree, own in inside.items()}
 
 
 def host_of(url: Column) -> Column:
@@ -219,27 +243,24 @@ def host_of(url: Column) -> Column:
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, template array<bigint>): the hashes of subtrees that recur on the host.
 
-    Counts pages that differ (by a hash of the whole page), so copies of one page make no template.
+    Counts pages that differ in their main text outside the subtree, so copies of an article count once.
     A host has at most ``subtrees of a page / min_share`` hashes.
     """
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            hosts, pages_, subtrees = [], [], []
+            hosts, subtrees, keys = [], [], []
             for host, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                root = parse(text)
-                page = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1
-                own = sorted(set(subtree_hashes(root).values()))
-                hosts.append(host)
-                pages_.append(page)
-                subtrees.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages_, pa.int64()), pa.array(subtrees, pa.list_(pa.int64()))], names=["host", "page", "subtrees"])
+                own = outside_keys(parse(text.as_py()))
+                hosts.extend([host] * len(own))
+                subtrees.extend(own)
+                keys.extend(own.values())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(subtrees, pa.int64()), pa.array(keys, pa.int64())], names=["host", "subtree", "key"])
 
     rows = pages.where("html IS NOT NULL").select(host_of(F.col("url")).alias("host"), "html")
-    differing = rows.mapInArrow(batches, "host string, page bigint, subtrees array<bigint>").groupBy("host", "page").agg(F.first("subtrees").alias("subtrees"))
+    differing = rows.mapInArrow(batches, "host string, subtree bigint, key bigint").distinct()
     # Subtree 0 stands for the page itself, so one count gives both numbers.
-    counted = differing.select("host", F.explode(F.concat(F.array(F.lit(0).cast("bigint")), "subtrees")).alias("subtree")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
+    counted = differing.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
     often = counted.where(F.col("n") >= min_pages)
     per_host = often.where("subtree = 0").select("host", F.col("n").alias("pages"))
     return often.where("subtree != 0").join(per_host, "host").where(F.col("n") >= F.col("pages") * min_share).groupBy("host").agg(F.collect_list("subtree").alias("template"))

@@ -53,3 +53,15 @@ def test_shuffled_join_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(h, "BROADCAST_ROWS", 0)
     got = {r["page_id"]: r["text"] for r in h.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert got == {i: f"T{i}" for i in range(5)}
+
+
+def texts_of(spark, rows):
+    return {r["page_id"]: r["text"] for r in h.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+
+def test_copies_with_other_surroundings_make_no_template(spark):
+    own = "<section><p>Part of the copied article.</p></section><ul><li>its list</ul>"
+    around = "<script>track({0});</script><nav>menu {0}</nav><div class='ad'>advert {0}</div>"
+    rows = [(i, f"http://a.com/{i}", around.format(i) + f"<article><p>Lead.</p>{own}</article>") for i in range(4)]
+    rows += [(10 + i, f"http://a.com/{i}", around.format(i) + f"<article><div>Site box</div><p>Other {i}.</p></article>") for i in range(6)]
+    assert texts_of(spark, rows) == {i: "Lead.\nPart of the copied article.\nits list" for i in range(4)} | {10 + i: f"Other {i}." for i in range(6)}
