@@ -20,7 +20,9 @@ from subtide.session import held
 #: A subtree is template if it is on at least so many different pages of its host, and on at least this share of them.
 MIN_PAGES = 3
 MIN_SHARE = 0.3
-#: Hosts with templates are broadcast up to so many rows; beyond it the join is shuffled.
+#: On so many different pages it is template whatever its share, so that parts of a large site have their own templates.
+MANY_PAGES = 10
+#: Pages with templates are broadcast up to so many rows; beyond it the join is shuffled.
 BROADCAST_ROWS = 100_000
 
 # Element names by their role in HTML.
@@ -220,17 +222,33 @@ def main_text(root: Node, template: frozenset[int] | set[int] = frozenset()) ->
     return "\n".join(_walk(root, template)[0])
 
 
+def _kept(root: Node) -> set[int]:
+    """The ``id`` of each container that neither goes by its name or hints nor lies in one that does."""
+    kept, work = set(), [root]
+    while work:
+        node = work.pop()
+        if node.name in DROPPED or node.hinted and node.name != "body":
+            continue
+        if node.name in CONTAINERS:
+            kept.add(id(node))
+        work.extend(x for x in node.children if not isinstance(x, str))
+    return kept
+
+
 def outside_keys(root: Node) -> dict[int, int]:
     """By hash of each subtree a 63-bit key of the main text's blocks outside it; subtree 0 is none, so its key is that of all blocks.
 
-    Scripts, menus and adverts are no main text, so copies of an article have one key whatever stands around it.
+    Subtrees that are dropped by name are left out. Scripts, menus and adverts are no main text, so copies of an article have one key whatever stands around it.
     """
     blocks, spans = _walk(root)
     sums = [0]
     for block in blocks:
         sums.append(sums[-1] + int.from_bytes(hashlib.blake2b(block.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big"))
     inside = {0: 0}
+    kept = _kept(root)
     for node, subtree in subtree_hashes(root).items():
+        if node not in kept:
+            continue
         first, end = spans.get(node, (0, 0))
         inside[subtree] = inside.get(subtree, 0) + sums[end] - sums[first]
     return {subtree: (sums[-1] - own) & (2**63 - 1) for subtree, own in inside.items()}
@@ -240,43 +258,51 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?s:.*?)://([^/?#]*)", 1)), F.lit(""))
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, template array<bigint>): the hashes of subtrees that recur on the host.
+def page_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
+    """(page, template array<bigint>): the hashes of a page's subtrees that recur on its host, for pages that have any; page as in _with_page.
 
     Counts pages that differ in their main text outside the subtree, so copies of an article count once.
-    A host has at most ``subtrees of a page / min_share`` hashes.
+    A page gets none but its own hashes, however many its host has.
     """
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            hosts, subtrees, keys = [], [], []
-            for host, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            hosts, pages_, subtrees, keys = [], [], [], []
+            for host, page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 own = outside_keys(parse(text.as_py()))
                 hosts.extend([host] * len(own))
+                pages_.extend([page] * len(own))
                 subtrees.extend(own)
                 keys.extend(own.values())
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(subtrees, pa.int64()), pa.array(keys, pa.int64())], names=["host", "subtree", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (pages_, subtrees, keys))], names=["host", "page", "subtree", "key"])
 
-    rows = pages.where("html IS NOT NULL").select(host_of(F.col("url")).alias("host"), "html")
-    differing = rows.mapInArrow(batches, "host string, subtree bigint, key bigint").distinct()
+    rows = _with_page(pages.where("html IS NOT NULL")).select("_host", "_page", "html")
+    found = held(rows.mapInArrow(batches, "host string, page bigint, subtree bigint, key bigint"))
     # Subtree 0 stands for the page itself, so one count gives both numbers.
-    counted = differing.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
+    counted = found.select("host", "subtree", "key").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
     often = counted.where(F.col("n") >= min_pages)
     per_host = often.where("subtree = 0").select("host", F.col("n").alias("pages"))
-    return often.where("subtree != 0").join(per_host, "host").where(F.col("n") >= F.col("pages") * min_share).groupBy("host").agg(F.collect_list("subtree").alias("template"))
+    templates = often.where("subtree != 0").join(per_host, "host", "left").where((F.col("n") >= many_pages) | (F.col("n") >= F.col("pages") * min_share)).select("host", "subtree")
+    return found.where("subtree != 0").join(templates, ["host", "subtree"]).groupBy("page").agg(F.collect_set("subtree").alias("template"))
+
+
+def _with_page(pages: DataFrame) -> DataFrame:
+    """``pages`` with _host and _page, a hash of host and html (null if there is no html)."""
+    host = host_of(F.col("url"))
+    return pages.select("*", host.alias("_host"), F.when(F.col("html").isNotNull(), F.xxhash64(host, "html")).alias("_page"))
 
 
-def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
     Null or empty html, and pages without main text, give an empty text. Pages of a null url share the
     empty host. Repeated rows stay repeated; other columns are not read; an empty table gives an
     empty table. Whole pages are parsed whatever their length.
     """
-    templates = held(site_templates(pages, min_pages, min_share))  # narrow: a row per host
+    pages = pages.select("page_id", "url", "html")
+    templates = held(page_templates(pages, min_pages, min_share, many_pages))  # narrow: a page's hashes
     small = templates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("_host"))
-    joined = rows.join(F.broadcast(templates) if small else templates, F.col("_host") == F.col("host"), "left").select("page_id", "url", "html", "template")
+    joined = _with_page(pages).join(F.broadcast(templates) if small else templates, F.col("_page") == F.col("page"), "left").select("page_id", "url", "html", "template")
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:

@@ -65,3 +65,10 @@ def test_copies_with_other_surroundings_make_no_template(spark):
     rows = [(i, f"http://a.com/{i}", around.format(i) + f"<article><p>Lead.</p>{own}</article>") for i in range(4)]
     rows += [(10 + i, f"http://a.com/{i}", around.format(i) + f"<article><div>Site box</div><p>Other {i}.</p></article>") for i in range(6)]
     assert texts_of(spark, rows) == {i: "Lead.\nPart of the copied article.\nits list" for i in range(4)} | {10 + i: f"Other {i}." for i in range(6)}
+
+
+def test_template_of_a_part_of_a_large_site(spark):
+    page = "<body>{}<div><h2>Title {}</h2><p>Text {}</p></div>"
+    menus = {i: "<div>Menu of one section</div>" if i < 12 else "<figure>Shown on few pages</figure>" if i < 16 else "" for i in range(60)}
+    got = texts_of(spark, [(i, f"http://a.com/{i}", page.format(menus[i], i, i)) for i in menus])
+    assert got == {i: ("Shown on few pages\n" if 12 <= i < 16 else "") + f"Title {i}\nText {i}" for i in menus}
