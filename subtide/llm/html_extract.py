@@ -2,7 +2,8 @@
 
 A template is what a site repeats: every container element's subtree is hashed, hashes are counted per
 host over pages that differ, and subtrees that recur on many pages of their host are deleted. Elements
-that say by their name, class, id or role that they are no part of the article go as well.
+that say by their name, class, id or role that they are no part of the article go as well, unless they
+hold most of the page.
 """
 
 from __future__ import annotations
@@ -40,6 +41,15 @@ HINTS = frozenset(
     "share sharing social related recommended breadcrumb breadcrumbs pagination pager menu nav navbar navigation footer "
     "popup modal overlay widget masthead topbar toolbar login search skip hidden".split()
 )
+#: Readers' words and hidden elements are no article however much text they hold.
+READERS = frozenset("comment comments commentlist respond reply replies disqus".split())
+#: What a hint may be joined with by - or _ in a class or id; other words (has-sidebar, menu-open) make it another name.
+JOINED = frozenset(
+    "site page main post entry article content body inner outer top bottom left right upper lower first last primary secondary global mobile desktop "
+    "box bar area block section panel container wrapper wrap holder region zone unit slot module group list item items row col column columns "
+    "link links button buttons icon icons form field title heading label text image posts articles stories news story products by for to in "
+    "div gpt google dfp tag header bottombar dialog window menu input results media".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 #: Containers whose subtrees are hashed; text blocks of an article (paragraphs, headings, quotes) are not.
 CONTAINERS = frozenset("nav ul ol dl div section aside footer header table form menu details figure fieldset center".split())
@@ -61,25 +71,67 @@ class Node:
 
     __slots__ = ("name", "hinted", "children")
 
-    def __init__(self, name: str, hinted: bool):
+    def __init__(self, name: str, hinted: int):
         self.name, self.hinted, self.children = name, hinted, []
 
 
-def _hinted(attributes: str) -> bool:
+def _hinted(attributes: str) -> int:
+    """2 for readers' words and hidden elements, 1 for other hints that the element is no part of the article, else 0."""
+    hint = 0
     if not attributes.strip():
-        return False
+        return hint
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id") and not HINTS.isdisjoint(re.split(r"[\s_-]+", value)):
-            return True
-        if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-    return False
+        if key == "hidden" or key == "aria-hidden" and value == "true":
+            return 2
+        if key == "role" and value in ROLES:
+            hint = 1
+        if key in ("class", "id"):
+            for name in value.split():
+                parts = [x for x in re.split(r"[_-]+", name) if x and not x.isdigit()]
+                if not HINTS.isdisjoint(parts) and all(x in HINTS or x in JOINED for x in parts):
+                    if not READERS.isdisjoint(parts):
+                        return 2
+                    hint = 1
+    return hint
+
+
+def _unhint(root: Node) -> None:
+    """Takes the hint from elements that hold most of the page's text and of its paragraphs, unless its articles are elsewhere."""
+    nodes, up, within = [root], [0], [0]
+    text, paragraphs, articles = [0], [0], [0]
+    i, hints = 0, []
+    while i < len(nodes):
+        for child in nodes[i].children:
+            if isinstance(child, str):
+                n = len(child.strip())
+                text[i] += n
+                if within[i]:
+                    paragraphs[i] += n
+                    if within[i] == 2:
+                        articles[i] += n
+            elif child.name not in DROPPED and child.hinted != 2:
+                if child.hinted:
+                    hints.append(len(nodes))
+                nodes.append(child)
+                up.append(i)
+                within.append(2 if child.name in ("article", "main") else max(within[i], int(child.name == "p")))
+                for sums in (text, paragraphs, articles):
+                    sums.append(0)
+        i += 1
+    if not hints:
+        return
+    for i in range(len(nodes) - 1, 0, -1):
+        for sums in (text, paragraphs, articles):
+            sums[up[i]] += sums[i]
+    for i in hints:
+        if 2 * text[i] > text[0] and 2 * paragraphs[i] > paragraphs[0] and (articles[i] or not articles[0]):
+            nodes[i].hinted = 0
 
 
 def parse(text: str) -> Node:
     """The page as a tree, with the usual repairs: void and raw elements, implied ends, stray end tags left out."""
-    root = Node("#root", False)
+    root = Node("#root", 0)
     stack, at, n = [root], 0, len(text)
     while at < n:
         m = TOKEN.match(text, at)
@@ -114,6 +166,7 @@ def parse(text: str) -> Node:
                 at = text.find(">", close.end()) + 1 or n
             continue
         stack.append(node)
+    _unhint(root)
     return root
 
 
@@ -156,20 +209,30 @@ def subtree_hashes(root: Node) -> dict[int, int]:
     return out
 
 
-def _mains(root: Node) -> list[Node]:
-    """The outermost articles, or main elements, or the page itself; none inside dropped elements."""
-    for name in ("article", "main"):
-        found, work = [], [root]
-        while work:
-            node = work.pop()
-            if node.name == name and not node.hinted:
-                found.append(node)
-                continue
-            if node.name in DROPPED or node.hinted and node.name != "body":
-                continue
-            work.extend(x for x in reversed(node.children) if not isinstance(x, str))
-        if found:
-            return found
+def _mains(root: Node, hashes: dict[int, int], template: frozenset[int] | set[int]) -> list[Node]:
+    """The outermost articles, or main elements, if they hold most of the text that is left; or the page itself."""
+    found: dict[str, list[Node]] = {"article": [], "main": []}
+    held_by = {"article": 0, "main": 0}
+    total = 0
+    work: list[tuple[Node, bool, bool]] = [(root, False, False)]
+    while work:
+        node, article, main = work.pop()
+        if node.name in DROPPED or node.hinted and node.name != "body" or node.name == "header" and not article and not main or hashes.get(id(node)) in template:
+            continue
+        if node.name == "article" and not article:
+            found["article"].append(node)
+            article = True
+        if node.name == "main" and not main:
+            found["main"].append(node)
+            main = True
+        own = sum(len(x.strip()) for x in node.children if isinstance(x, str))
+        total += own
+        held_by["article"] += own * article
+        held_by["main"] += own * main
+        work.extend((x, article, main) for x in reversed(node.children) if not isinstance(x, str))
+    for name, nodes in found.items():
+        if 2 * held_by[name] > total:
+            return nodes
     return [root]
 
 
@@ -186,18 +249,17 @@ def _walk(root: Node, template: frozenset[int] | set[int] = frozenset()) -> tupl
             blocks.append(words)
         line.clear()
 
-    for top in _mains(root):
-        whole = top.name in ("article", "main")
-        work: list[tuple[Node, int, int]] = [(top, 0, len(blocks))]
+    for top in _mains(root, hashes, template):
+        work: list[tuple[Node, int, int, bool]] = [(top, 0, len(blocks), top.name in ("article", "main"))]
         while work:
-            node, at, first = work.pop()
+            node, at, first, whole = work.pop()
             if at == len(node.children):
                 if node.name in BLOCK:
                     end_block()
                 if node.name in CONTAINERS:
                     spans[id(node)] = (first, len(blocks))
                 continue
-            work.append((node, at + 1, first))
+            work.append((node, at + 1, first, whole))
             child = node.children[at]
             if isinstance(child, str):
                 line.append(child)
@@ -212,7 +274,7 @@ def _walk(root: Node, template: frozenset[int] | set[int] = frozenset()) -> tupl
             else:
                 if child.name in BLOCK:
                     end_block()
-                work.append((child, 0, len(blocks)))
+                work.append((child, 0, len(blocks), whole or child.name in ("article", "main")))
         end_block()
     return blocks, spans
 

@@ -72,3 +72,29 @@ def test_template_of_a_part_of_a_large_site(spark):
     menus = {i: "<div>Menu of one section</div>" if i < 12 else "<figure>Shown on few pages</figure>" if i < 16 else "" for i in range(60)}
     got = texts_of(spark, [(i, f"http://a.com/{i}", page.format(menus[i], i, i)) for i in menus])
     assert got == {i: ("Shown on few pages\n" if 12 <= i < 16 else "") + f"Title {i}\nText {i}" for i in menus}
+
+
+LONG = "<p>" + "A paragraph of the article. " * 5 + "</p>"
+KEPT = ("A paragraph of the article. " * 5).strip()
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "menu-open", "social-share-enabled", "widget", "sidebar", "share-price", "social_history"])
+def test_names_that_hold_the_article(name):
+    for inside in (LONG, f"<article>{LONG}</article>"):
+        page = f"<body><div class='{name}'>{inside}<div class='related'><p>no</p></div></div><div class='sidebar-left'>no</div><div class='cookie-banner'>no</div></body>"
+        assert h.main_text(h.parse(page)) == KEPT
+
+
+def test_names_that_do_not_hold_the_article():
+    for name in ("comments", "comment-list", "reply"):
+        assert h.main_text(h.parse(f"<div><p>short</p></div><div class='{name}'>{LONG}</div>")) == "short"
+    for name in ("sidebar", "related-posts", "site_footer"):
+        assert h.main_text(h.parse(f"<article><p>short</p></article><div class='{name}'>{LONG}</div>")) == "short"
+
+
+def test_article_that_is_a_teaser():
+    teaser = "<article><header>Read on</header></article>"
+    assert h.main_text(h.parse(f"<body><div>{LONG}</div>{teaser}</body>")) == KEPT + "\nRead on"
+    assert h.main_text(h.parse(f"<main><div>{LONG}</div>{teaser}</main><p>foot</p>")) == KEPT + "\nRead on"
+    box = f"<div>{LONG}</div>"
+    assert h.main_text(h.parse(f"{box}<article><p>short</p></article>"), set(h.subtree_hashes(h.parse(box)).values())) == "short"
