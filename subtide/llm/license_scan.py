@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -33,6 +34,28 @@ SENTENCES = {
     "cc-by-sa-licensed": "Licensed under CC BY-SA 4.0.",
     "cc-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "rights-reserved": "All rights reserved.",
+    "gpl-redistribute-part": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;",
+    "gpl2-redistribute": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+    "gpl2-only": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "gpl2-licensed": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-free": "This library is free software:",
+    "lgpl-redistribute-part": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;",
+    "lgpl21-redistribute": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-redistribute": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
+    "later-2": "either version 2 of the License, or (at your option) any later version.",
+    "later-2.1": "either version 2.1 of the License, or (at your option) any later version.",
+    "later-3": "either version 3 of the License, or (at your option) any later version.",
+    "mpl-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "mpl-copy-http": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-grant-and": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "unlicense-free": "This is free and unencumbered software released into the public domain.",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "cc0-dedicated": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "cc0-title": "CC0 1.0 Universal",
+    "cc0-licensed": "Licensed under CC0 1.0.",
 }
 
 #: (rule, licence, identifiers in order); tried in this order, so longer sequences come before their parts.
@@ -55,13 +78,40 @@ RULES = [
     ("cc-by-work", "CC-BY-4.0", ["cc-work"]),
     ("cc-by-nc-tag", "CC-BY-NC-4.0", ["cc-by-nc-licensed"]),
     ("cc-by-sa-tag", "CC-BY-SA-4.0", ["cc-by-sa-licensed"]),
+    ("gpl2-notice", "GPL-2.0-or-later", ["gpl-free", "gpl-redistribute-part", "later-2"]),
+    ("gpl2-notice-short", "GPL-2.0-or-later", ["gpl2-redistribute"]),
+    ("gpl2-notice-part", "GPL-2.0-or-later", ["gpl-redistribute-part", "later-2"]),
+    ("gpl3-notice-part", "GPL-3.0-or-later", ["gpl-redistribute-part", "later-3"]),
+    ("gpl2-only-notice", "GPL-2.0-only", ["gpl2-only"]),
+    ("gpl2-tag", "GPL-2.0-only", ["gpl2-licensed"]),
+    ("lgpl21-notice", "LGPL-2.1-or-later", ["lgpl-redistribute-part", "later-2.1"]),
+    ("lgpl21-notice-short", "LGPL-2.1-or-later", ["lgpl21-redistribute"]),
+    ("lgpl2-notice", "LGPL-2.0-or-later", ["lgpl-redistribute-part", "later-2"]),
+    ("lgpl3-notice", "LGPL-3.0-or-later", ["lgpl-redistribute-part", "later-3"]),
+    ("lgpl3-notice-short", "LGPL-3.0-or-later", ["lgpl3-redistribute"]),
+    ("mpl2-notice", "MPL-2.0", ["mpl-form"]),
+    ("isc-text", "ISC", ["isc-grant"]),
+    ("isc-text-and", "ISC", ["isc-grant-and"]),
+    ("unlicense-text", "Unlicense", ["unlicense-free", "unlicense-anyone"]),
+    ("unlicense-text-short", "Unlicense", ["unlicense-free"]),
+    ("cc0-notice", "CC0-1.0", ["cc0-dedicated"]),
+    ("cc0-tag-title", "CC0-1.0", ["cc0-title"]),
+    ("cc0-tag", "CC0-1.0", ["cc0-licensed"]),
     ("reserved", "all-rights-reserved", ["rights-reserved"]),
 ]
 
 #: Sentences of one sequence have at most so many other sentences between them.
 MAX_GAP = 2
 
-WRAP = r"([a-z,])\n([a-z(])"  # a line break inside a sentence
+#: Words with a capital inside the known sentences that begin none: a line that starts with one goes on with a sentence.
+_FIRST = {re.match("[A-Za-z]*", s)[0] for s in SENTENCES.values()}
+_INNER = sorted({w for s in SENTENCES.values() for w in re.findall("[A-Z][A-Za-z]*", s)} - _FIRST)
+#: A line break inside a sentence, with the blanks, carriage returns and comment marks about it. Links and blank lines are not joined, nor
+#: lines that begin as a known sentence does, so that a title or tag on a line of its own stays one. No quote signs: it stands in SQL, too.
+WRAP = (
+    r"([A-Za-z,)\"”]|either [Vv]ersion [0-9.]*[0-9])[ \t]*\r?\n[ \t]*(?:(?:#+|\*+|//+|;+|--+|%+|>+)[ \t]*)?"
+    rf"([a-gi-z(\"“]|h[a-su-z]|2\.[01]\b|[23] of the|THE WARRANTIES|(?:{'|'.join(_INNER)})\b)"
+)
 STOP = r"([.!?:;])\s+"
 NOISE = r"[^a-z0-9.+-]+"
 EDGES = r"^[ .+-]+|[ .+-]+$"
