@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,12 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Where it is unset (tests, a laptop) a local folder is set once for the session.
+    Where it is unset a local master (tests, a laptop) gets a local folder, once for the session; on a
+    cluster that is an error, since each machine would have its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        held = spark.sparkContext.getCheckpointDir()
-        folder = held or tempfile.mkdtemp(prefix="subtide-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="subtide-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -56,3 +60,15 @@ def held(df: DataFrame) -> DataFrame:
     """``df`` after a reliable checkpoint in the shared folder; for narrow tables."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextlib.contextmanager
+def batch_bytes(spark: SparkSession, size: int) -> Iterator[None]:
+    """Within it Arrow batches hold at most ``size`` bytes: for actions on rows that hold whole texts or sets. The setting is put back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
