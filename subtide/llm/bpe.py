@@ -6,25 +6,25 @@ cut into words; each word's bytes end in an end-of-word mark and are merged by r
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
-import re
-import unicodedata
 from array import array
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, functions as F
-from tokenizers import Tokenizer
 
-#: The word pattern of this kind of vocabulary, fixed by its tokenizer file.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+from subtide.llm.words import Cutter, WordIds, slices
+
 END_OF_WORD = "</w>"
 _END = " "  # stands for the end-of-word mark; no byte is written as a space
+#: Words whose ids are kept, in each of two generations, and pairs of tokens whose compatibility is.
+KEPT_WORDS = 1 << 16
+KEPT_SEAMS = 1 << 17
+#: Bytes of text encoded, and sent on, at a time.
+SLICE_BYTES = 2 << 20
 _BLOCK = 4096  # positions whose matches are looked up at a time
 
 
@@ -35,114 +35,29 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
-def pieces(text: str) -> list[str] | None:
-    """The words of ``text`` after NFC and lower-casing letter by letter.
+class WordBpe:
+    """An encoder and decoder for a tokenizer file whose token ids rise with merge rank."""
 
-    None if a character is newer than Python's Unicode tables, so that its class is the tokenizer library's to say.
-    """
-    if text.isascii():
-        return WORDS.findall(text.lower())
-    if _newer().search(text):
-        return None
-    text = unicodedata.normalize("NFC", text)
-    # str.lower() looks at a letter's neighbours for the capital sigma alone.
-    return WORDS.findall("".join([c.lower() for c in text]) if "Σ" in text else text.lower())
-
-
-@functools.cache
-def _newer() -> re.Pattern:
-    """Finds characters that Python's Unicode tables don't know."""
-    codes = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
-    cuts = [i for i in range(1, len(codes)) if codes[i] != codes[i - 1] + 1]
-    runs = [(codes[a], codes[b - 1]) for a, b in zip([0, *cuts], [*cuts, len(codes)])]
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
-
-
-class Generations(dict):
-    """A cache of ``make``'s results of bounded size: when full, all but the recently used half goes."""
-
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit, self.older = make, limit, {}
-
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        if len(key) <= 256:
-            self[key] = value
-        return value
-
-
-class WordPieces:
-    """Cuts texts into words as a ``word_bpe`` tokenizer file says and keeps the ids of words seen; subclasses encode a word."""
-
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            self.spec = spec = json.load(f)
-        self.special = special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+            spec = json.load(f)
+        self.cutter = Cutter(path)
+        self.special = self.cutter.special
         self.letters = byte_letters()
-        self.bytes = {letter: b for b, letter in enumerate(self.letters)}
-        self.library = Tokenizer.from_str(json.dumps(spec | {"added_tokens": []}))
-        self.normalizer, self.splitter = self.library.normalizer, self.library.pre_tokenizer
-        self.of_piece = Generations(self._encode_piece, cache)
-        self.of_chunk = Generations(self._encode_chunk, cache)
-
-    def _encode_piece(self, piece: str) -> bytes:
-        raise NotImplementedError
-
-    def in_letters(self, piece: str) -> str:
-        letters = self.letters
-        return "".join([letters[b] for b in piece.encode("utf-8")])
-
-    def pieces(self, text: str) -> list[str]:
-        """The words of a text without special tokens."""
-        found = pieces(text)
-        if found is None:
-            split = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
-            found = [bytes([self.bytes[c] for c in p]).decode("utf-8") for p, _ in split]
-        return found
-
-    def _encode_chunk(self, chunk: str) -> bytes:
-        of_piece = self.of_piece
-        if self.special_pattern is None or "<" not in chunk:
-            return b"".join([of_piece[p] for p in self.pieces(chunk)])
-        out = []
-        for part in self.special_pattern.split(chunk):
-            i = self.special.get(part)
-            out += [i.to_bytes(4, "little")] if i is not None else [of_piece[p] for p in self.pieces(part)]
-        return b"".join(out)
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; none for null.
-
-        Blanks and newlines end a word in any case, so what lies between them is encoded apart and kept.
-        """
-        return b"".join(map(self.of_chunk.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
-
-
-class WordBpe(WordPieces):
-    """An encoder and decoder for a tokenizer file whose token ids rise with merge rank."""
-
-    def __init__(self, path: str, cache: int = 300_000):
-        super().__init__(path, cache)
-        vocab = self.spec["model"]["vocab"]
+        vocab = spec["model"]["vocab"]
         size = 1 + max([*vocab.values(), *self.special.values()])
         strings = [""] * size
         for token, i in [*vocab.items(), *self.special.items()]:
             strings[i] = token
         # A token's halves in the merge that makes it; a token that no merge makes is its own halves.
         self.left, self.right = list(range(size)), list(range(size))
-        self.merged: dict[tuple[int, int], int] = {}
-        for merge in self.spec["model"]["merges"]:
+        self.size = size
+        self.merged: dict[int, int] = {}  # by seam
+        for merge in spec["model"]["merges"]:
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             made = vocab[a + b]
             self.left[made], self.right[made] = vocab[a], vocab[b]
-            self.merged[vocab[a], vocab[b]] = made
+            self.merged[vocab[a] * size + vocab[b]] = made
         self.length = [0] * size
         self.automaton = ahocorasick.Automaton()
         for token, i in vocab.items():
@@ -151,7 +66,7 @@ class WordBpe(WordPieces):
             self.automaton.add_word(symbols, i)
         self.automaton.make_automaton()
         self.longest = max(self.length)
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         # Decoding: all token strings in one buffer, cut at offsets; tokens are joined by one space.
         parts = [s.encode("utf-8") + b" " for s in strings]
         self.buffer = np.frombuffer(b"".join(parts), np.uint8)
@@ -165,12 +80,13 @@ class WordBpe(WordPieces):
         Walks the merges that made both tokens from the last to the first: at each step the halves
         that touch at the seam must not form a pair that would have been merged earlier.
         """
-        known = self.compatible.get((first, second))
+        seam = first * self.size + second
+        known = self.compatible.get(seam)
         if known is not None:
             return known
         a, b, before = first, second, 1 << 62
         while True:
-            made = self.merged.get((a, b))
+            made = self.merged.get(a * self.size + b)
             if made is not None and made < before:
                 good = False
                 break
@@ -194,9 +110,9 @@ class WordBpe(WordPieces):
                     good = True
                     break
                 a = half
-        if len(self.compatible) > 1_000_000:
+        if len(self.compatible) >= KEPT_SEAMS:
             self.compatible.clear()
-        self.compatible[first, second] = good
+        self.compatible[seam] = good
         return good
 
     def _matches(self, symbols: str, low: int, high: int) -> list[list[int]]:
@@ -234,8 +150,22 @@ class WordBpe(WordPieces):
                 pos -= below
         return out
 
-    def _encode_piece(self, piece: str) -> bytes:
-        return np.asarray(self.encode_symbols(self.in_letters(piece) + _END), "<u4").tobytes()
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        letters, special = self.letters, self.special
+        out = []
+        for word in words:
+            i = special.get(word)
+            found = [i] if i is not None else self.encode_symbols("".join([letters[b] for b in word.encode("utf-8")]) + _END)
+            out.append(np.asarray(found, "<u4").tobytes())
+        return out
+
+    def word_ids(self) -> WordIds:
+        """Encodes batches; what it keeps of words goes with it."""
+        return WordIds(self.cutter, self.encode_words, KEPT_WORDS, SLICE_BYTES)
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers; none for null."""
+        return next(self.word_ids().of_texts(pa.array([text], pa.string()))).tobytes()
 
     # -- decoding ---------------------------------------------------------------------------------
 
@@ -282,9 +212,9 @@ def encode_column(docs: DataFrame, path: str, text: str = "text", to: str = "ids
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields) + f", `{to}` binary"
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        encode = encoder(path).word_ids().of_texts
         for batch in rows:
-            ids = pa.array([bpe.encode(t.as_py()) for t in batch.column(names.index(text))], pa.binary())
+            ids = pa.array([x.tobytes() for x in encode(batch.column(names.index(text)))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*names, to])
 
     return held.mapInArrow(batches, schema)
@@ -303,19 +233,25 @@ def round_trip(docs: DataFrame, path: str, keep: list[str] | None = None, with_i
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
+        encode = bpe.word_ids().of_texts
         for batch in rows:
-            out: dict[str, list] = {name: [] for name in made}
-            for t in batch.column(len(names)):
-                ids = bpe.encode(t.as_py())
-                text = hashlib.sha256()
-                for part in decoded_parts(bpe, ids):
-                    text.update(part)
-                out["n_tokens"].append(len(ids) // 4)
-                out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                out["decoded_sha256"].append(text.hexdigest())
-                if with_ids:
-                    out["ids"].append(ids)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(out[n], kind) for n, kind in made.items()]], names=[*names, *made])
+            at = 0
+            for texts in slices(batch.column(len(names)), SLICE_BYTES):
+                out: dict[str, list] = {name: [] for name in made}
+                for found in encode(texts):
+                    ids = found.tobytes()
+                    text = hashlib.sha256()
+                    for part in decoded_parts(bpe, ids):
+                        text.update(part)
+                    out["n_tokens"].append(len(found))
+                    out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
+                    out["decoded_sha256"].append(text.hexdigest())
+                    if with_ids:
+                        out["ids"].append(ids)
+                kept = [c.slice(at, len(texts)) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*kept, *[pa.array(out[n], kind) for n, kind in made.items()]], names=[*names, *made])
+                at += len(texts)
+        pa.default_memory_pool().release_unused()  # the worker lives on, and other operators follow
 
     types = {f.name: f.dataType.simpleString() for f in held.schema.fields}
     schema = ", ".join([*[f"`{n}` {types[n]}" for n in names], "n_tokens bigint", *(["ids binary"] if with_ids else []), "ids_sha256 string", "decoded_sha256 string"])

@@ -12,31 +12,46 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from tokenizers import Tokenizer
 
-from subtide.llm.bpe import WordPieces
+from subtide.llm.words import Cutter, WordIds, slices
 from subtide.session import fresh_path, held
 
 #: Settings of the ORC writer: stripes of 64 MB, a row index entry every 1000 rows, Bloom filters on the id.
 ORC_OPTIONS = {"orc.stripe.size": str(64 << 20), "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
 
-class LibraryWords(WordPieces):
-    """Words encoded by the tokenizers library's own model; each distinct word once while it is remembered."""
+#: Words that one call to the library encodes, and those whose ids a worker keeps in each of two generations.
+CALL_WORDS = 2048
+KEPT_WORDS = 1 << 17
+SLICE_BYTES = 16 << 20
 
-    def __init__(self, path: str, cache: int = 300_000):
-        super().__init__(path, cache)
-        self.model = self.library.model
+_loaded: dict[str, WordIds] = {}
 
-    def _encode_piece(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(self.in_letters(piece))], "<u4").tobytes()
 
+def library_ids(path: str) -> WordIds:
+    """Ids by the tokenizers library, loaded once a worker.
 
-_loaded: dict[str, LibraryWords] = {}
-
-
-def library_encoder(path: str) -> LibraryWords:
+    The library encodes distinct words, many a call: joined by a special token, whose id then tells
+    where one word's ids end.
+    """
     if path not in _loaded:
-        _loaded[path] = LibraryWords(path)
+        library, cutter = Tokenizer.from_file(path), Cutter(path)
+        library.no_truncation()
+        library.no_padding()
+        seam, mark = min(cutter.special.items())
+
+        def encode(words: list[str]) -> list[bytes]:
+            plain = [w for w in words if w not in cutter.special]
+            out: dict[str, bytes] = {w: i.to_bytes(4, "little") for w, i in cutter.special.items()}
+            for at in range(0, len(plain), CALL_WORDS):
+                some = plain[at : at + CALL_WORDS]
+                ids = np.array(library.encode_batch_fast([seam.join(some)], add_special_tokens=False)[0].ids, "<u4")
+                cuts, data = np.flatnonzero(ids == mark).tolist(), ids.tobytes()
+                out |= {w: data[4 * a : 4 * b] for w, a, b in zip(some, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)])}
+            return [out[w] for w in words]
+
+        _loaded[path] = WordIds(cutter, encode, KEPT_WORDS, SLICE_BYTES)
     return _loaded[path]
 
 
@@ -44,23 +59,25 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int) -
     """Encodes every whole text and writes (doc_id, ids array<int>) as ORC files below ``path``.
 
     Each document's ids end in ``end_id``; a null or empty text has that id alone. Files, and rows in
-    them, are in ascending doc_id order, nulls first; rows of one doc_id are in the order of a hash of
-    their texts, and equal rows follow one another. What is shuffled for this is the text, which is
-    smaller than its ids. An empty table leaves no data file with rows. Only doc_id and text of
+    them, are in ascending doc_id order, nulls first; rows of one doc_id keep the order they are read in,
+    and many of them are spread over ranges too. What is shuffled for this is the text, which is smaller
+    than its ids. An empty table leaves no data file with rows. Only doc_id and text of
     ``docs`` are read.
     """
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = library_encoder(tokenizer).encode, end_id.to_bytes(4, "little")
+        library, end = library_ids(tokenizer), np.array([end_id], np.uint32)
         for batch in rows:
-            parts = [encode(t.as_py()) + end for t in batch.column(1)]
-            ends = np.cumsum([0] + [len(p) // 4 for p in parts])
-            values = pa.array(np.frombuffer(b"".join(parts), "<i4"))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
-
-    order = [F.col("doc_id").asc_nulls_first(), "_text_hash", "_row"]
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_text_hash"), F.monotonically_increasing_id().alias("_row"))
+            at = 0
+            for part in slices(batch.column(1), SLICE_BYTES):
+                found = [x for ids in library.of_texts(part) for x in (ids, end)]
+                ends = np.cumsum([0] + [len(ids) + 1 for ids in found[::2]])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), ids], names=["doc_id", "ids"])
+                at += len(part)
+
+    order = [F.col("doc_id").asc_nulls_first(), "_row"]
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged.select("doc_id", "text").mapInArrow(batches, "doc_id bigint, ids array<int>").write.options(**ORC_OPTIONS).orc(path)
 

@@ -2,10 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from subtide.llm import bpe, token_files
+from subtide.llm import bpe, token_files, words
 from subtide.llm.vocabulary import word_bpe_path
 
 ODD = ["a", "th", "in", "ing", "'s", "'LL", "é", "é", "İ", "Σ", "ς", " ", "\n", "\t", "\x1c", "\x85", "\xa0", "​", "1", "½", "中文", "한글", "👍", "!", "...", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "%%", "\0", "ﬁ", "Ᲊ", "ᲊ"]
@@ -24,23 +25,38 @@ def texts():
 
 
 def test_encodings_equal_the_librarys(library):
-    own, words = bpe.encoder(word_bpe_path()), token_files.library_encoder(word_bpe_path())
+    own = bpe.encoder(word_bpe_path())
     for t in texts():
         ids = library.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(own.encode(t), "<u4").tolist() == ids
-        assert np.frombuffer(words.encode(t), "<u4").tolist() == ids
         assert b"".join(bpe.decoded_parts(own, own.encode(t))).decode() == library.decode(ids, skip_special_tokens=False)
 
 
-def test_merging_by_rank_gives_the_same_ids():
+def test_a_batch_in_slices_equals_the_librarys(library, monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 300)
+    monkeypatch.setattr(words, "BLOCK_CHUNKS", 5)
+    monkeypatch.setattr(token_files, "KEPT_WORDS", 50)
+    monkeypatch.setattr(token_files, "SLICE_BYTES", 300)
+    monkeypatch.setattr(token_files, "CALL_WORDS", 7)
+    monkeypatch.setattr(token_files, "_loaded", {})
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 20)
+    made = [None, *texts(), None]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in made]
+    for ids in (token_files.library_ids(word_bpe_path()), bpe.encoder(word_bpe_path()).word_ids()):
+        assert [x.tolist() for x in ids.of_texts(pa.array(["x", *made]).slice(1))] == want
+        assert list(ids.of_texts(pa.array([], pa.string()))) == []
+    assert len(token_files.library_ids(word_bpe_path()).old) <= 50 + max(len(t or "") for t in made)
+
+
+def test_merging_by_rank_gives_the_same_ids(library):
     own = bpe.WordBpe(word_bpe_path())
     r = random.Random(11)
     for _ in range(300):
         symbols = [r.choice("aehinrst") for _ in range(r.randint(1, 40))]
-        vocab = own.spec["model"]["vocab"]
+        vocab = library.get_vocab()
         parts = [vocab[c] for c in symbols[:-1]] + [vocab[symbols[-1] + bpe.END_OF_WORD]]
         while True:
-            ranked = [(own.merged[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in own.merged]
+            ranked = [(own.merged[a * own.size + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a * own.size + b in own.merged]
             if not ranked:
                 break
             token, i = min(ranked)
@@ -55,13 +71,6 @@ def test_decoding_in_parts_equals_decoding_at_once(monkeypatch):
     assert b"".join(bpe.decoded_parts(own, ids)) == own.decode(ids)
 
 
-def test_cache_stays_bounded():
-    cache = bpe.Generations(lambda k: k.upper(), 10)
-    for i in range(1000):
-        assert cache[f"k{i}"] == f"K{i}"
-    assert len(cache) <= 10 and len(cache.older) <= 10
-
-
 def test_round_trip_rows(spark, library):
     rows = [(1, "The cat", "x"), (1, "The cat", "x"), (2, None, "x"), (3, "", None), (None, "a<|endoftext|>b", "y"), (4, "word " * 40_000, "z")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids_sha256 string")
