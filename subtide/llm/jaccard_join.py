@@ -8,7 +8,9 @@
    tokens and the links inside it.
 4. The token-group matrix holds, for every group, the tokens that a partner of a member must share one of
    (the rarest tokens of each set). Two groups that share one, and whose sizes allow a link, are compared by
-   the overlap of their unions; only groups that qualify are opened and their members compared.
+   the overlap of their unions; only groups that qualify are opened and their members compared. First each
+   token's groups are opened as a chain, which connects families of copies; then only groups with members
+   that share a token and aren't connected yet.
 5. Links connect components.
 """
 
@@ -21,35 +23,33 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from subtide.llm.components import connected_components
 from subtide.llm.shingles import mix, shingle_sets
-from subtide.session import held, written
+from subtide.session import batch_bytes, held, written
 
 #: Shingles that a task indexes at a time.
-CHUNK_TOKENS = 1 << 20
-CHUNK_DOCS = 1 << 16
+CHUNK_TOKENS = 1 << 19
+CHUNK_DOCS = (1 << 16) - 1
+#: Text whose shingles lie in one bucket of the index, on average.
+BUCKET_BYTES = 32 << 20
 #: A token in at least so many sets comes after all rarer ones in the order that picks the tokens to share.
 #: If more than HOT_TOKENS tokens are that frequent, the bar is doubled; the result does not depend on it.
 HOT_SETS = 16
-HOT_TOKENS = 2_000_000
+HOT_TOKENS = 500_000
 #: Bounds of a group, and how many are open at a time while groups are made.
 GROUP_DOCS = 256
 GROUP_TOKENS = 1 << 17
 OPEN_GROUPS = 32
 #: Sets of one key that are grouped together; a key with more is dealt out in pieces.
-PIECE_SETS = 1024
+PIECE_SETS = 256
 #: Sets this similar to a group's first one join it.
 GROUP_SIMILARITY = 0.25
 #: Tables of document ids are broadcast up to so many rows, else shuffled.
-BROADCAST_IDS = 2_000_000
-BATCH_BYTES = 16 << 20
-
-
-def _small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_BYTES, whatever the rows' size: rows here hold whole texts and sets."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+BROADCAST_IDS = 500_000
+#: Arrow batches of texts and sets.
+BATCH_BYTES = 8 << 20
 
 
 def needed(n, percent: int):
@@ -64,7 +64,8 @@ def _pack(ids: list, sets: list[np.ndarray], chunk: int, buckets: int) -> Iterat
     """A chunk's rows for the index: its tokens by bucket, and one row of what is known already.
 
     A token that several documents of the chunk have is known to be shared; it is shipped once, for the
-    other chunks' sake, with no owner.
+    other chunks' sake, with no owner. A bucket's tokens are those of a range, so sorted tokens fall into
+    buckets one after another.
     """
     m, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
     tokens, owner = np.concatenate(sets) if sets else np.empty(0, np.uint64), np.repeat(np.arange(m, dtype=np.int64), sizes)
@@ -81,15 +82,11 @@ def _pack(ids: list, sets: list[np.ndarray], chunk: int, buckets: int) -> Iterat
     owner = np.where(several, m, owner)[first]
     tokens = tokens[first]
     bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(bucket * (m + 1) + owner, kind="stable")
-    low = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
-    counts = np.bincount((bucket * (m + 1) + owner), minlength=buckets * (m + 1)).reshape(buckets, m + 1).astype(np.uint32)
-    at = 0
-    for b in range(buckets):
-        size = int(counts[b].sum())
-        if size:
-            yield b, chunk, np.array([m], np.uint32).tobytes() + counts[b].tobytes() + low[at : at + size].tobytes()
-        at += size
+    if len(tokens):
+        low, owner = tokens.astype("<u4"), owner.astype("<u2")
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(tokens)]):
+            yield int(bucket[a]), chunk, low[a:b].tobytes() + owner[a:b].tobytes()
 
 
 def _index_rows(k: int, buckets: int):
@@ -118,15 +115,11 @@ def _index_rows(k: int, buckets: int):
 
 
 def _count_shared(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each chunk of a bucket: how many of each document's tokens another chunk has too."""
+    """For each chunk of a bucket: the owners of the tokens that another chunk has too."""
     if rows["bucket"].iloc[0] < 0:
         return rows
-    heads, parts = [], []
-    for payload in rows["payload"]:
-        m = int(np.frombuffer(payload, np.uint32, 1)[0])
-        heads.append(np.frombuffer(payload, np.uint32, m + 1, 4))
-        parts.append(np.frombuffer(payload, np.uint32, -1, 8 + 4 * m))
-    tokens = np.concatenate(parts)
+    sizes = [len(x) // 6 for x in rows["payload"]]
+    tokens = np.concatenate([np.frombuffer(x, "<u4", n) for x, n in zip(rows["payload"], sizes)])
     order = np.argsort(tokens)
     ranked = tokens[order]
     same = np.zeros(len(tokens), bool)
@@ -135,11 +128,9 @@ def _count_shared(rows: pd.DataFrame) -> pd.DataFrame:
     shared = np.empty(len(tokens), bool)
     shared[order] = same
     out, at = [], 0
-    for head, part in zip(heads, parts):
-        sums = np.concatenate(([0], np.cumsum(shared[at : at + len(part)])))
-        ends = np.cumsum(head[:-1], dtype=np.int64)
-        out.append((sums[ends] - sums[ends - head[:-1]]).astype(np.uint32).tobytes())
-        at += len(part)
+    for payload, n in zip(rows["payload"], sizes):
+        out.append(np.frombuffer(payload, "<u2", n, 4 * n)[shared[at : at + n]].tobytes())
+        at += n
     return pd.DataFrame({"bucket": rows["bucket"], "chunk": rows["chunk"], "payload": out})
 
 
@@ -147,7 +138,7 @@ def _sum_shared(rows: pd.DataFrame) -> pd.DataFrame:
     known = np.frombuffer(rows.loc[rows["bucket"] < 0, "payload"].iloc[0], np.int64).reshape(4, -1)
     total = known[3].copy()
     for payload in rows.loc[rows["bucket"] >= 0, "payload"]:
-        total += np.frombuffer(payload, np.uint32)
+        total += np.bincount(np.frombuffer(payload, "<u2"), minlength=len(total) + 1)[: len(total)]
     ids = pd.Series(pd.array(known[0], "Int64")).mask(known[1] == 1)
     return pd.DataFrame({"doc_id": ids, "n_shingles": known[2], "n_shared": total})
 
@@ -156,10 +147,10 @@ def shared_shingles(docs: DataFrame, k: int = 5) -> DataFrame:
     """doc_id, n_shingles and n_shared (shingles that another row has too, or a few more) of every row of ``docs``.
 
     Tokens are cut to the bucket's number and 32 more bits, so n_shared may be a little high, never low.
+    The number of buckets follows the texts' size, so that one bucket fits a task whatever the table's size.
     """
-    spark = docs.sparkSession
-    _small_batches(spark)
-    buckets = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(16, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     schema = "bucket bigint, chunk bigint, payload binary"
     index = docs.select("doc_id", "text").mapInArrow(_index_rows(k, buckets), schema)
     counted = index.groupBy("bucket").applyInPandas(_count_shared, schema)
@@ -303,23 +294,33 @@ def _heads(docs: list[int], sets: list[np.ndarray], union: np.ndarray, percent:
     return [least[forest.top(i)] for i in range(len(docs))]
 
 
-def _group_rows(hot, percent: int):
-    schema = pa.schema([
-        ("gid", pa.int64()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary()), ("least", pa.int64()), ("most", pa.int64()),
-        ("matrix", pa.list_(pa.int64())), ("heads", pa.list_(pa.int64())),
-    ])
+def _lists(arrays: list[np.ndarray], values: pa.Array) -> pa.ListArray:
+    """``values`` as lists as long as ``arrays``."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), values)
+
 
-    def row(group: _Group, gid: int) -> dict:
-        union = np.unique(np.concatenate(group.sets))
+def _group_rows(hot, percent: int):
+    def matrix(group: _Group) -> np.ndarray:
+        """The tokens of which a partner of a member must have one."""
         rare = []
         for own in group.sets:
             order = np.lexsort((own, _frequency(own, hot.value)))
             rare.append(own[order[: len(own) - needed(len(own), percent) + 1]])
-        sizes = [len(s) for s in group.sets]
-        return {
-            "gid": gid, "docs": group.docs, "sizes": sizes, "tokens": np.concatenate(group.sets).tobytes(), "least": min(sizes), "most": max(sizes),
-            "matrix": np.unique(np.concatenate(rare)).view(np.int64), "heads": _heads(group.docs, group.sets, union, percent),
-        }
+        return np.unique(np.concatenate(rare)).view(np.int64)
+
+    def table(groups: list[_Group], first: int) -> pa.RecordBatch:
+        heads = [_heads(g.docs, g.sets, np.unique(np.concatenate(g.sets)), percent) for g in groups]
+        tokens = [matrix(g) for g in groups]
+        sizes = [np.array([len(s) for s in g.sets], np.int32) for g in groups]
+        ids = lambda lists: _lists(lists, pa.array(np.concatenate(lists).astype(np.int64)))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(range(first, first + len(groups)), pa.int64()), ids([g.docs for g in groups]), _lists(sizes, pa.array(np.concatenate(sizes))),
+                pa.array([np.concatenate(g.sets).tobytes() for g in groups], pa.binary()), pa.array([int(s.min()) for s in sizes], pa.int64()), pa.array([int(s.max()) for s in sizes], pa.int64()),
+                ids(tokens), ids(heads),
+            ],
+            names=["gid", "docs", "sizes", "tokens", "least", "most", "matrix", "heads"],
+        )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gid = TaskContext.get().partitionId() << 32
@@ -343,16 +344,14 @@ def _group_rows(hot, percent: int):
                     if len(open_groups) > OPEN_GROUPS:
                         closed.append(open_groups.pop(0))
                 for group in closed:
-                    made.append(row(group, gid))
-                    gid, size = gid + 1, size + group.size
+                    made.append(group)
+                    size += group.size
                     if size > 1 << 19 or len(made) >= 1000:
-                        yield pa.RecordBatch.from_pylist(made, schema)
-                        made, size = [], 0
-        for group in open_groups:
-            made.append(row(group, gid))
-            gid += 1
+                        yield table(made, gid)
+                        gid, made, size = gid + len(made), [], 0
+        made += open_groups
         if made:
-            yield pa.RecordBatch.from_pylist(made, schema)
+            yield table(made, gid)
 
     return rows
 
@@ -363,12 +362,37 @@ GROUPS = "gid bigint, docs array<bigint>, sizes array<int>, tokens binary, least
 # -- 4. opening groups -----------------------------------------------------------------------------
 
 
-def candidate_groups(groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (g, h), g < h, of groups that share a token of the matrix and whose sizes allow a link."""
-    cells = groups.select("gid", "least", "most", F.explode("matrix").alias("token"))
-    other = cells.select(F.col("gid").alias("h"), F.col("least").alias("h_least"), F.col("most").alias("h_most"), "token")
-    fits = (F.col("h") > F.col("gid")) & (100 * F.col("h_most") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("h_least"))
-    return cells.join(other, "token").where(fits).select(F.col("gid").alias("g"), "h").distinct()
+def _fits(percent: int) -> Column:
+    """The sizes of two groups' sets allow a link."""
+    return (100 * F.col("h_most") >= percent * F.col("g_least")) & (100 * F.col("g_most") >= percent * F.col("h_least"))
+
+
+def chained_groups(cells: DataFrame, percent: int) -> DataFrame:
+    """Pairs (g, h) of groups that follow one another among those of a matrix token; their number grows with the matrix alone."""
+    follows = Window.partitionBy("token").orderBy("gid")
+    nexts = [F.lead(a).over(follows).alias(b) for a, b in (("gid", "h"), ("least", "h_least"), ("most", "h_most"))]
+    chain = cells.select(F.col("gid").alias("g"), F.col("least").alias("g_least"), F.col("most").alias("g_most"), *nexts)
+    return chain.where(F.col("h").isNotNull() & _fits(percent)).select("g", "h").distinct()
+
+
+def candidate_groups(cells: DataFrame, members: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+    """Pairs (g, h), g < h, of groups that share a token of the matrix and aren't all of one component, if the sizes allow a link.
+
+    ``members``: (gid, head). A group whose heads are all of one component stands for it; any other for
+    itself alone. What groups stand for meets on the tokens first, then the groups, so those of one component don't meet.
+    """
+    placed = members.join(components.withColumnRenamed("node", "head"), "head", "left").withColumn("c", F.coalesce("component", "head"))
+    whole = placed.groupBy("gid").agg(F.min("c").alias("c"), F.max("c").alias("_m"))
+    stands = whole.select("gid", F.when(F.col("c") == F.col("_m"), F.concat(F.lit("c"), "c")).otherwise(F.concat(F.lit("g"), "gid")).alias("c"))
+    few = stands.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    named = cells.join(F.broadcast(stands) if few else stands, "gid")
+    several = named.groupBy("token").agg((F.min("c") != F.max("c")).alias("several")).where("several").select("token")
+    named = held(named.join(several, "token", "left_semi"))
+    of = named.select("token", "c").distinct()
+    met = of.join(of.withColumnRenamed("c", "d"), "token").where("c < d")
+    sides = [named.select("token", F.col("gid").alias(s), F.col("least").alias(f"{s}_least"), F.col("most").alias(f"{s}_most"), F.col("c").alias(c)) for s, c in (("g", "c"), ("h", "d"))]
+    pairs = met.join(sides[0], ["token", "c"]).join(sides[1], ["token", "d"]).where(_fits(percent))
+    return pairs.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct()
 
 
 def _open(percent: int):
@@ -409,9 +433,12 @@ def similarity_groups(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFra
     piece = F.pmod(F.xxhash64("doc_id"), F.coalesce("pieces", F.lit(1).cast("long")))
     dealt = keyed.join(F.broadcast(sizes) if few else sizes, "near", "left").select(F.xxhash64("near", piece).alias("near"), "n", "doc_id", "tokens")
     groups = written(dealt.repartition("near").sortWithinPartitions("near", "n", "doc_id").mapInArrow(_group_rows(hot, percent), GROUPS), "groups")
-    pairs = candidate_groups(groups, percent)
+    cells = groups.select("gid", "least", "most", F.explode("matrix").alias("token"))
+    members = groups.select("gid", F.explode(F.array_distinct("heads")).alias("head"))
     sides = [groups.select(F.col("gid").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("heads", "sizes", "tokens")]) for s in "gh"]
-    links = pairs.join(sides[0], "g").join(sides[1], "h").mapInArrow(_open(percent), "a bigint, b bigint")
+    opened = lambda pairs: pairs.join(sides[0], "g").join(sides[1], "h").mapInArrow(_open(percent), "a bigint, b bigint")
+    chained = held(opened(chained_groups(cells, percent)).distinct())
+    links = chained.union(opened(candidate_groups(cells, members, connected_components(chained), percent)))
     heads = groups.select(F.explode(F.arrays_zip("docs", "heads")).alias("x")).select(F.col("x.docs").alias("doc_id"), F.col("x.heads").alias("head"))
     return heads, links
 
@@ -423,13 +450,19 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included) of every row of ``docs``.
 
     Two documents link if their sets of ``k``-word shingles have a Jaccard similarity of ``percent`` or
-    more. Exact: no link between different texts is lost, whatever groups and frequencies come out.
+    more. No link between different texts is lost, whatever groups and frequencies come out; shingles are
+    compared by 64-bit hashes.
 
     A null or empty text, or one without words, has an empty set and links with nothing. A text of fewer
     than ``k`` words is one shingle. Rows that share a doc_id are one document with several texts: a link
     of any of them links it. Rows with a null doc_id have a size but no component and no links. An
     empty table gives an empty table. Other columns are not read.
     """
+    with batch_bytes(docs.sparkSession, BATCH_BYTES):  # every step in Python is part of an action in here
+        return _similar_documents(docs, k, percent)
+
+
+def _similar_documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sizes = held(shared_shingles(docs, k))
     partners = sizes.where((F.col("n_shingles") > 0) & (100 * F.col("n_shared") >= percent * F.col("n_shingles"))).select("doc_id").where("doc_id IS NOT NULL").distinct()
     kept = only(docs.select("doc_id", "text"), partners).mapInArrow(_set_rows(k), "doc_id bigint, set_key binary, tokens array<bigint>")

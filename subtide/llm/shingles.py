@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,28 +13,16 @@ BLANKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text hashed at a time.
 PIECE = 1 << 17
 
+#: Longer words are hashed one by one.
+LONG_WORD = 4096
+
 _rng = np.random.default_rng(20240229)
-_LETTERS = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-_LETTERS[65:91] = _LETTERS[97:123]  # A-Z count as a-z
-_BASE = int(_rng.integers(0, 2**63)) * 2 + 1
-_STEP = np.uint64(int(_rng.integers(0, 2**63)) * 2 + 1)
+_START, _STEP = (np.uint64(int(x) * 2 + 1) for x in _rng.integers(0, 2**63, 2))
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(BLANKS)] = False
-_up = _down = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least ``n`` of them."""
-    global _up, _down
-    if len(_up) < n:
-        size = 1 << (n - 1).bit_length()
-        tables = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            tables.append(np.cumprod(a, dtype=np.uint64))
-        _up, _down = tables
-    return _up, _down
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,11 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of every word in ``data``; a word also ends where a text begins (``breaks``).
-
-    A word's hash is a polynomial in its bytes' random numbers, taken from running sums.
-    """
-    up, down = _powers(len(data) + 1)
+    """(hash, start) of every word in ``data``; a word also ends where a text begins (``breaks``)."""
     inside = _IS_WORD[data]
     before = np.empty_like(inside)
     before[0] = False
@@ -63,9 +48,31 @@ def word_hashes(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     cut = breaks[(breaks > 0) & (breaks < len(data))]
     after[cut - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LETTERS[data] * up[: len(data)], out=sums[1:])
-    return (sums[ends] - sums[starts]) * down[starts], starts
+    return _hashes(data, starts, ends - starts), starts
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word in lower case (A-Z alone): its size, then eight bytes after eight go through ``mix``.
+
+    Mixing is one-to-one, so words of one size up to eight bytes never fall together; longer ones do
+    only by chance, whatever their pattern.
+    """
+    low = np.concatenate((_LOWER[data], np.zeros(8, np.uint8)))
+    eights = np.ndarray((len(data) + 1,), "<u8", low, strides=(1,))
+    out = mix(sizes.astype(np.uint64) * _STEP + _START)
+    short = sizes <= LONG_WORD
+    todo = slice(None) if short.all() else np.flatnonzero(short)
+    at = starts[todo]
+    left = sizes[todo]
+    while len(at):
+        out[todo] = mix(out[todo] ^ (eights[at] & _MASKS[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        todo = more if isinstance(todo, slice) else todo[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(~short).tolist():
+        own = low[starts[i] : starts[i] + sizes[i]]
+        out[i] = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little")
+    return out
 
 
 def _long_word_hashes(data: np.ndarray) -> np.ndarray:

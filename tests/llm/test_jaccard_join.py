@@ -33,7 +33,7 @@ def corpus():
 @pytest.mark.parametrize("small", [False, True])
 def test_components_equal_all_pairs(spark, monkeypatch, small):
     if small:
-        for name, value in (("CHUNK_TOKENS", 2000), ("GROUP_DOCS", 4), ("GROUP_TOKENS", 1500), ("OPEN_GROUPS", 2), ("PIECE_SETS", 5), ("HOT_SETS", 3), ("HOT_TOKENS", 40), ("BROADCAST_IDS", 1)):
+        for name, value in (("CHUNK_TOKENS", 2000), ("GROUP_DOCS", 4), ("GROUP_TOKENS", 1500), ("OPEN_GROUPS", 2), ("PIECE_SETS", 5), ("BUCKET_BYTES", 2000), ("HOT_SETS", 3), ("HOT_TOKENS", 40), ("BROADCAST_IDS", 1)):
             monkeypatch.setattr(j, name, value)
         monkeypatch.setattr(shingles, "PIECE", 512)
     rows = corpus()
@@ -62,6 +62,28 @@ def test_shingles_do_not_depend_on_the_batch():
     assert all(np.array_equal(a, b) for a, b in zip(whole, shingles.shingle_sets(part)))
 
 
+def test_patterned_words_do_not_fall_together():
+    for n in (64, 512, 1024, 2048, 4096, 8192):
+        word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        other = word.translate(str.maketrans("ab", "ba"))
+        a, b, c, d = shingles.shingle_sets(pa.array([word, other, word.upper(), word + "\0"]))
+        assert a != b and a == c and a != d
+    words = [f"{p}{i}{q}" for i in range(20_000) for p, q in (("", ""), ("w", ""), ("long", "word" * 3))]
+    found = shingles.word_hashes(np.frombuffer(" ".join(words).encode(), np.uint8), np.zeros(1, np.int64))[0]
+    assert len(set(found.tolist())) == len(set(words)) == len(found)
+
+
+def test_a_connected_family_opens_no_pairs_beyond_the_chain(spark):
+    cells = spark.createDataFrame([(t, g, 10, 10) for t in range(3) for g in range(50)], "token bigint, gid bigint, least bigint, most bigint")
+    chain = j.chained_groups(cells, 75)
+    assert sorted(map(tuple, chain.collect())) == [(g, g + 1) for g in range(49)]
+    members = spark.createDataFrame([(g, g) for g in range(50)] + [(0, 100)], "gid bigint, head bigint")
+    apart = lambda x: spark.createDataFrame([(g, g // x) for g in range(101)], "node bigint, component bigint")
+    assert j.candidate_groups(cells, members, apart(200), 75).count() == 0
+    assert j.candidate_groups(cells, members, apart(50), 75).count() == 49
+    assert j.candidate_groups(cells, members.where("head < 100"), apart(25), 75).count() == 25 * 25
+
+
 def test_group_overlaps():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 60_000, n).astype(np.uint64)) for n in (1, 500, 20_000, 20_000)]
