@@ -134,14 +134,14 @@ def train(docs: DataFrame, dims: int = DIMS) -> list[tuple[str, np.ndarray]]:
     def partial(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in rows:
-            by_lang: dict[str, list[str]] = {}
-            for t, lang in zip(batch.column(0), batch.column(1)):
-                by_lang.setdefault(lang.as_py(), []).append(t.as_py())
-            for lang, texts in by_lang.items():
-                total = sums.setdefault(lang, np.zeros(dims, np.int64))
-                for i in range(0, len(texts), TOGETHER):
+            for at in range(0, batch.num_rows, TOGETHER):
+                by_lang: dict[str, list[str]] = {}
+                for text, lang in zip(*(c.to_pylist() for c in batch.slice(at, TOGETHER).columns)):
+                    by_lang.setdefault(lang, []).append(text)
+                for lang, texts in by_lang.items():
+                    total = sums.setdefault(lang, np.zeros(dims, np.int64))
                     # As one text to the profile: which text an n-gram is from doesn't matter here.
-                    total += profiles(["\n".join(texts[i : i + TOGETHER])], dims)[0].astype(np.int64)
+                    total += profiles(["\n".join(texts)], dims)[0].astype(np.int64)
         for lang in sorted(sums):
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([sums[lang]], pa.list_(pa.int64()))], names=["lang", "profile"])
 
@@ -164,10 +164,9 @@ def predict(docs: DataFrame, prototypes: list[tuple[str, np.ndarray]], keep: lis
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()
         for batch in rows:
-            texts = [t.as_py() or "" for t in batch.column(len(keep))]
-            pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            for at in range(0, len(texts), TOGETHER):
-                own = texts[at : at + TOGETHER]
+            pred, score = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
+            for at in range(0, batch.num_rows, TOGETHER):
+                own = [t or "" for t in batch.column(text_at).slice(at, TOGETHER).to_pylist()]
                 sums = profiles(own, dims)
                 norms = np.linalg.norm(sums, axis=1)
                 cosines = (sums @ matrix.T) / np.where(norms > 0, norms, 1)[:, None]
@@ -175,11 +174,13 @@ def predict(docs: DataFrame, prototypes: list[tuple[str, np.ndarray]], keep: lis
                     if langs and norms[i] > 0 and _has_letter(t, letters):
                         best = int(cosines[i].argmax())
                         pred[at + i], score[at + i] = langs[best], float(min(1.0, max(0.0, cosines[i, best])))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(pred), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    held = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1])
-    return held.mapInArrow(batches, f"{schema}, lang_pred string, score double")
+    # The text crosses to Python once, also if it is among the columns to keep.
+    sent = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    text_at = sent.columns.index("text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema.fields[: len(keep)])
+    return sent.mapInArrow(batches, f"{schema}, lang_pred string, score double")
 
 
 def _has_letter(text: str, letters: np.ndarray) -> bool:
