@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from subtide.llm import bpe, decontaminate, html_extract, jaccard_join, langid, license_scan, media_columns, sharding, token_files, url_filter
+from subtide.llm import bpe, decontaminate, html_extract, jaccard_join, langid, license_scan, media_columns, pipeline, sharding, token_files, url_filter
 from subtide.llm.vocabulary import word_bpe_path
 from subtide.session import table, written
 
@@ -44,7 +43,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = written(media_columns.store_texts(table(spark, sf_dir, "documents")), "media")
-    return media_columns.media_features(stored).drop("phash")
+    return media_columns.media_features(stored)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLES = {"op3_url_filter": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op8_license_scan": license_scan.oracle_sql(), "op9_sharding": OP9_SQL, "op10_decontamination": OP10_SQL}
 
