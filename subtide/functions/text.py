@@ -121,30 +121,45 @@ def release_score(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
-def qa_issues(source: Column, out: Column, names: list[str] | None = None) -> Column:
-    """Labels of what looks wrong in a translation: plain-Latin words left over, known bad words, capitals inside the line."""
-    known = F.array(*[F.lit(n.lower()) for n in names or ["guts", "griffith", "casca"]])
-    left = F.array_except(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(out), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[a-z]{4,}$"))), known)
-    bad = F.lower(out).rlike("marzec|strajk|ładuj|dobra droga|weź to razem")
-    inside = out.rlike(r"[a-z] [A-Z][a-z]+")
-    labels = F.array(F.when(F.size(left) > 0, F.concat(F.lit("untranslated:"), F.array_join(F.array_sort(left), ","))), F.when(bad, F.lit("bad-word")), F.when(inside, F.lit("capitals")), F.when(source == out, F.lit("unchanged")))
-    return F.filter(labels, lambda x: x.isNotNull())
-
-
-# Whole-line answers of the glossary tried before translation.
-GLOSSARY = {"march!": "Naprzód!", "charge!": "Do ataku!", "way to go!": "Tak trzymaj!", "get it together!": "Weź się w garść!"}
-# Names written in one way after translation.
-NAME_FORMS = [("guts", "Guts"), ("griffith", "Griffith"), ("casca", "Casca"), ("midland", "Midland")]
+# Names and titles that may stay as they are in a translation, and what each label of a bad translation looks for.
+QA_NAMES = ("Guts", "Griffith", "Casca", "Judeau", "Pippin", "Rickert", "Corkus", "Charlotte", "Adon", "Coborlwitz", "Ganzansenpu", "Band of the Hawk", "Hawks", "Raiders", "Blue Whale Super Strong Heavy Assault Knights", "lord", "sir")
+SMALL, CAPITAL = "a-ząćęłńóśźż", "A-ZĄĆĘŁŃÓŚŹŻ"
+
+
+def qa_issues(out: Column, names: tuple[str, ...] = QA_NAMES) -> Column:
+    """Labels of what looks wrong in a translation: plain-Latin words left over, known bad words, capitals inside a sentence. Null for null."""
+    known = F.array(*[F.lit(n.lower()) for n in names])
+    tokens = lambda text: F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    left = F.array_except(F.array_distinct(F.filter(tokens(F.lower(out)), lambda w: w.rlike("^[a-z]{4,}$"))), known)
+    inside = F.regexp_extract_all(out, F.lit(rf"[{SMALL}]\s+[{CAPITAL}][{SMALL}]"), F.lit(0))
+    labels = [
+        (F.size(left) > 0, F.concat(F.lit("untranslated: "), F.array_join(F.array_sort(left), ","))),
+        (F.lower(out).rlike("wnętrzności|wnetrznosci"), F.lit("GUTS→Wnętrzności")),
+        (F.array_contains(tokens(out), "Kaska"), F.lit("Casca→Kaska")),
+        (F.array_contains(tokens(out), "Marzec"), F.lit("March→Marzec")),
+        (stripped(out).rlike("^Ładuj!?$"), F.lit("Charge→Ładuj")),
+        (F.size(inside) > 0, F.concat(F.lit("mid-sentence caps: "), F.array_join(F.slice(inside, 1, 2), ","))),
+        (F.contains(F.lower(out), F.lit("strajk")), F.lit("strike→strajk")),
+    ]
+    return F.when(out.isNotNull(), F.filter(F.array(*[F.when(test, label) for test, label in labels]), lambda x: x.isNotNull()))
+
+
+# Commands answered before translation, and corrections after it (pattern, replacement) in this order.
+GLOSSARY = {"march": "Naprzód!", "charge": "Do ataku!"}
+CORRECTIONS = [
+    (r"(?U)\bMarzec\b", "Naprzód"), (r"(?iU)\bDobra droga\b", "Tak trzymaj"), (r"(?iU)\bWnętrzności\b", "Guts"), (r"(?iU)\bKaska\b", "Casca"),
+    (r"(?iU)\bstrajk\b", "cios"), (r"^Ładuj!$", "Do ataku!"), (r"(?iU)Weź to razem", "Weź się w garść"),
+]
 
 
 def glossary_pre(text: Column) -> Column:
-    """The glossary's answer for the whole line, or null."""
-    low = F.lower(stripped(text))
-    return reduce(lambda w, kv: w.when(low == kv[0], kv[1]), list(GLOSSARY.items())[1:], F.when(low == next(iter(GLOSSARY)), next(iter(GLOSSARY.values()))))
+    """The glossary's answer for a line that is one of its commands, with any number of exclamation marks; else the line."""
+    low = F.regexp_replace(stripped(F.lower(text)), "!+$", "")
+    return reduce(lambda w, kv: w.when(low == kv[0], kv[1]), GLOSSARY.items(), F.when(F.lit(False), "")).otherwise(text)
 
 
 def glossary_post(text: Column) -> Column:
-    return reduce(lambda t, p: F.regexp_replace(t, rf"(?i)\b{p[0]}\b", p[1]), NAME_FORMS, text)
+    return reduce(lambda t, p: F.regexp_replace(t, p[0], p[1]), CORRECTIONS, text)
 
 
 def phrase_table(spark: SparkSession) -> DataFrame:

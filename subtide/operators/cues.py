@@ -151,9 +151,9 @@ def clock(ms: Column) -> Column:
 
 
 def srt_text(cues: DataFrame) -> DataFrame:
-    """(track_id, text): each track as numbered blocks in file order."""
+    """(track_id, text): each track as numbered blocks in file order; a null text is an empty block."""
     no = F.row_number().over(Window.partitionBy("track_id").orderBy("cue_no"))
-    block = F.concat(F.col("_n").cast("string"), F.lit("\n"), clock(F.col("start_ms")), F.lit(" --> "), clock(F.col("end_ms")), F.lit("\n"), "text", F.lit("\n"))
+    block = F.concat(F.col("_n").cast("string"), F.lit("\n"), clock(F.col("start_ms")), F.lit(" --> "), clock(F.col("end_ms")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
     blocks = cues.withColumn("_n", no).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("cue_no", block.alias("b")))).alias("_b"))
     return blocks.select("track_id", F.array_join(F.transform("_b", lambda x: x["b"]), "\n").alias("text"))
 

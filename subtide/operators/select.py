@@ -16,7 +16,9 @@ LANGUAGES = {"eng": "en", "en": "en", "und": "en", "pol": "pl", "pl": "pl"}
 IMAGE_CODECS = ("hdmv_pgs", "dvd_sub", "dvb_sub", "s_hdmv", "s_vobsub", "pgs", "vobsub")
 
 # Preferred font families, the first before the others.
-FONTS = ("Noto Sans", "DejaVu Sans", "Liberation Sans", "Arial", "Open Sans", "Roboto", "FreeSans")
+FONTS = ("DejaVu Sans", "Liberation Sans", "Noto Sans", "Arial", "Helvetica", "Verdana", "Times New Roman")
+# Words that mark an entry as no season of a series.
+SPECIALS = ("ova", "movie", "film", "special", "bonus", "recap")
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
@@ -97,10 +99,10 @@ def audit_tracks(actual: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def external_subs(media: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Manifest entries of the same episode as a media, and whether one title holds the other."""
-    m = manifest.select(F.col("media_id").alias("manifest_id"), F.col("parsed_title").alias("_t"), "episode")
+    """Manifest entries of the same folder and episode as a media, and whether one title holds the other. Rows without an episode or folder match nothing."""
+    m = manifest.select(F.col("media_id").alias("manifest_id"), F.col("parsed_title").alias("_t"), "folder", "episode")
     hold = F.lower("parsed_title").contains(F.lower(F.col("_t"))) | F.lower("_t").contains(F.lower(F.col("parsed_title")))
-    return media.where("episode IS NOT NULL").join(m, "episode").select("media_id", "manifest_id", "episode", hold.alias("title_match"))
+    return media.where("episode IS NOT NULL").join(m, ["folder", "episode"]).select("media_id", "manifest_id", "episode", hold.alias("title_match"))
 
 
 def english_source(media: DataFrame, fetched: DataFrame, reference: DataFrame, embedded: DataFrame) -> DataFrame:
@@ -171,37 +173,47 @@ def output_stem(title: Column, season: Column, episode: Column) -> Column:
     return F.when(season.isNotNull() & episode.isNotNull(), F.concat(t, F.format_string(" - S%02dE%02d", season, episode))).when(episode.isNotNull(), F.concat(t, F.format_string(" - E%02d", episode))).otherwise(t)
 
 
-def entry_matches(title: Column, base: Column, season: Column, episode: Column) -> Column:
-    """An entry's title is that of an episode: it begins with the base title, its episode numbers (``epN`` or a range) hold the episode, and its season fits.
+def entry_season(title: Column, base: Column) -> Column:
+    """The season that an entry's title names after the base title: 1 if nothing or the episode follows, N for ``SN`` or a bare N, null for SPECIALS and all else."""
+    rest = F.when(F.lower(title).startswith(F.lower(base)), F.trim(F.substring(title, F.length(base) + 1, F.length(title)))).otherwise(title)
+    low = F.lower(rest)
+    number = F.regexp_extract(low, r"^s?(\d+)(?![\p{L}\p{N}_])", 1).try_cast("int")
+    return F.when((low == "") | low.startswith("ep"), 1).when(~low.rlike("|".join(SPECIALS)), number)
 
-    The season is 1 without a suffix, N for ``SN`` or a bare number after the base, none for OVAs, films and specials.
-    """
-    low = F.lower(F.trim(title))
-    rest = F.trim(F.substring(low, F.length(base) + 1, F.length(low)))
-    low_at, high_at = F.regexp_extract(rest, r"ep\s*(\d+)\s*-\s*(\d+)", 1), F.regexp_extract(rest, r"ep\s*(\d+)\s*-\s*(\d+)", 2)
-    in_range = (low_at != "") & episode.between(low_at.try_cast("int"), high_at.try_cast("int"))
-    any_ep = F.exists(F.regexp_extract_all(rest, F.lit(r"ep\s*(\d+)"), F.lit(1)), lambda e: e.try_cast("int") == episode)
-    suffix = F.trim(F.regexp_replace(rest, r"ep\s*\d+.*$", ""))
-    number = F.regexp_extract(suffix, r"^(?:s|season\s*)?(\d+)$", 1)
-    own = F.when(suffix == "", 1).when(number != "", number.try_cast("int"))
-    return low.startswith(F.lower(base)) & F.when(low_at != "", in_range).otherwise(any_ep) & F.coalesce(own == F.coalesce(season, F.lit(1)), F.lit(False))
+
+def entry_matches(title: Column, base: Column, season: Column, episode: Column) -> Column:
+    """An entry's title is that of an episode: one of its episode numbers or ranges holds it, and its season is the one asked for; a null season asks for none."""
+    low, number = F.lower(title), r"(?:ep|episode\s*|e)(\d+)"
+    ranges = F.arrays_zip(*[F.regexp_extract_all(low, F.lit(number + r"\s*-\s*(\d+)"), F.lit(k)).alias(n) for k, n in ((1, "a"), (2, "b"))])
+    in_range = F.exists(ranges, lambda r: episode.between(r["a"].try_cast("int"), r["b"].try_cast("int")))
+    single = F.exists(F.regexp_extract_all(low, F.lit(number), F.lit(1)), lambda e: e.try_cast("int") == episode)
+    return (in_range | single) & (season.isNull() | F.coalesce(entry_season(title, base) == season, F.lit(False)))
 
 
 def pick_font(styles: DataFrame, fonts: DataFrame, required: str) -> DataFrame:
-    """Per media and style font the file to use: its own family, else a preferred family, else any; all must have every letter of ``required``.
+    """Per media and style font the file to use: one whose stem begins with its name, else with that of a preferred family, else any; all must have every letter of ``required``.
 
-    styles: media_id, fontname; fonts: stem, family, letters (array of characters). Ties go to the stem that sorts first.
+    styles: media_id, fontname; fonts: stem, letters (array of characters). ``-`` and ``_`` count as blanks;
+    ties go to the stem that sorts first. A stem meets a name on the name's first word, so no name meets
+    all fonts. Media without any font are absent; null names get a preferred family.
     """
     need = F.array(*[F.lit(c) for c in required])
-    good = F.broadcast(fonts.where(F.size(F.array_except(need, "letters")) == 0).select("stem", "family"))
     plain = lambda c: F.lower(F.translate(c, "-_", "  "))
+    first = lambda c: F.substring(c, 1, 1)
+    good = fonts.where(F.size(F.array_except(need, "letters")) == 0).select("stem", plain(F.col("stem")).alias("_s"))
     wanted = styles.select("media_id", "fontname").distinct()
-    place = F.array_position(F.array(*[F.lit(f) for f in FONTS]), F.col("family"))
-    w = Window.partitionBy("media_id", "fontname").orderBy("_p", "stem")
-    own = wanted.join(good, plain(F.col("stem")).startswith(plain(F.col("fontname")))).withColumn("_p", F.lit(0))
-    spare = F.broadcast(good.withColumn("_p", F.when(place > 0, place).otherwise(len(FONTS) + 1)).orderBy("_p", "stem").limit(1))
-    either = own.select("media_id", "fontname", "stem", "_p").union(wanted.join(spare, F.lit(True)).select("media_id", "fontname", "stem", "_p"))
-    return either.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("media_id", "fontname", "stem")
+    names = wanted.select("fontname").distinct().withColumn("_n", plain(F.col("fontname"))).where("_n <> ''")
+    own = names.join(good, (first(F.col("_n")) == first(F.col("_s"))) & F.col("_s").startswith(F.col("_n"))).groupBy("fontname").agg(F.min("stem").alias("own"))
+    place = F.coalesce(*[F.when(F.col("_s").startswith(name.lower()), i) for i, name in enumerate(FONTS)], F.lit(len(FONTS)))
+    spare = good.agg(F.min(F.struct(place.alias("p"), "stem")).alias("spare")).select("spare.stem")  # one row
+    picked = wanted.join(own, "fontname", "left").join(F.broadcast(spare.select(F.col("stem").alias("spare"))), how="cross")
+    return picked.select("media_id", "fontname", F.coalesce("own", "spare").alias("stem")).where("stem IS NOT NULL")
+
+
+def embedded_font_covers(embedded: DataFrame, required: str) -> DataFrame:
+    """(media_id, covered): whether any font attached to a media has every letter of ``required``. embedded: media_id, letters."""
+    need = F.array(*[F.lit(c) for c in required])
+    return embedded.groupBy("media_id").agg(F.max(F.coalesce(F.size(F.array_except(need, "letters")) == 0, F.lit(False))).alias("covered"))
 
 
 def build_manifest(tracks: DataFrame) -> DataFrame:

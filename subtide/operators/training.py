@@ -37,9 +37,10 @@ def context_strings(shows: DataFrame, events: DataFrame, characters: DataFrame,
 
 
 def dialogue_window(pairs: DataFrame, n: int = 2) -> DataFrame:
-    """``pairs`` with dialogue_prev and dialogue_next: up to ``n`` English lines on either side within the episode."""
+    """``pairs`` with dialogue_prev and dialogue_next: up to ``n`` English lines on either side within the episode; null lines are empty ones."""
+    english = F.coalesce("english", F.lit(""))
     order = Window.partitionBy("show_id", "episode_id").orderBy("pair_no")
-    return pairs.withColumns({"dialogue_prev": F.collect_list("english").over(order.rowsBetween(-n, -1)), "dialogue_next": F.collect_list("english").over(order.rowsBetween(1, n))})
+    return pairs.withColumns({"dialogue_prev": F.collect_list(english).over(order.rowsBetween(-n, -1)), "dialogue_next": F.collect_list(english).over(order.rowsBetween(1, n))})
 
 
 def pair_issues(english: Column, polish: Column, names: list[str], least: float = 0.4, most: float = 2.5) -> Column:

@@ -112,13 +112,15 @@ def split_output(cues: DataFrame, units: DataFrame, outputs: DataFrame) -> DataF
 
 
 def context_window(cues: DataFrame, n: int = 2) -> DataFrame:
-    """(track_id, cue_no, context, own): lines within ``n`` of each, joined by `` ||| ``, and the line picked back out."""
+    """(track_id, cue_no, context, own): lines within ``n`` of each, joined by `` ||| ``, and the line picked back out.
+
+    A null line is an empty one in the context. The line is picked from the window, not from the joined
+    text, so a line that holds the separator is none the worse.
+    """
     order = Window.partitionBy("track_id").orderBy("cue_no")
-    near = F.collect_list("text").over(order.rowsBetween(-n, n))
+    near = F.collect_list(F.coalesce("text", F.lit(""))).over(order.rowsBetween(-n, n))
     at = F.least(F.row_number().over(order) - 1, F.lit(n))
-    return cues.select("track_id", "cue_no", F.array_join(near, " ||| ").alias("context"), at.alias("_at")).select(
-        "track_id", "cue_no", "context", F.get(F.split("context", r" \|\|\| "), F.col("_at")).alias("own")
-    )
+    return cues.select("track_id", "cue_no", near.alias("_near"), at.alias("_at")).select("track_id", "cue_no", F.array_join("_near", " ||| ").alias("context"), F.get("_near", F.col("_at")).alias("own"))
 
 
 def proper_nouns(cues: DataFrame, least: int = 3) -> DataFrame:

@@ -19,14 +19,37 @@ def _styles(s, d):
 
 
 def _lines(s, d):
-    return a.text_lines(s, d, "en").withColumn("text", F.when(F.col("cue_no") % 4 == 3, "").otherwise(F.col("text")))
+    return a.text_lines(s, d).withColumn("text", F.when(F.col("cue_no") % 4 == 3, "").otherwise(F.col("text")))
 
 
 def _protected(s, d):
-    p = a.text_lines(s, d, "en").withColumn("p", t.protect(["The", "And"])("text"))
+    p = a.text_lines(s, d).withColumn("p", t.protect(["The", "And"])("text"))
     return p.select("track_id", "cue_no", F.col("p.text").alias("protected"), (t.restore(F.col("p.text"), F.col("p.tags")) == F.col("text")).alias("same"))
 
 
+def _responses(s, d, item, first, last):
+    """Search responses of one customer each: its orders' items in order, between ``first`` and ``last``."""
+    o = table(s, d, "orders").withColumn("k", F.col("o_orderkey"))
+    items = F.array_sort(F.collect_list(F.struct("k", F.expr(item).alias("x"))))
+    return o.groupBy(F.col("o_custkey").alias("media_id")).agg(F.concat(F.lit(first), F.array_join(F.transform(items, lambda i: i["x"]), "," if first[0] == "{" else ""), F.lit(last)).alias("body"))
+
+
+JSON_ITEM = """'{"id":"' || k || '","attributes":{"language":"' || element_at(array('en', 'pl', 'de', 'pl'), CAST(k % 4 AS INT) + 1) || '","release":"' || o_orderpriority || '","moviehash_match":' || (k % 7 = 0)
+  || ',"files":[' || CASE WHEN k % 5 = 0 THEN '' ELSE '{"file_id":' || k || ',"file_name":"' || element_at(array('a.ASS', 'noext', 'a.b.srt'), CAST(k % 3 AS INT) + 1) || '"}' END || ']}}'"""
+XML_ITEM = """'<subtitle><id>' || k || '</id>' || CASE WHEN k % 3 = 0 THEN '' ELSE '<release>' || o_orderpriority || ' &amp; R</release>' END || '<language>' || element_at(array('en', 'pl', 'de', 'pol'), CAST(k % 4 AS INT) + 1) || '</language></subtitle>'"""
+HTML_ITEM = """'<TABLE class="Napisy"><tr><td width="45%"><b>' || o_orderpriority || '</b> &amp; x</td><td width=20%>' || element_at(array('SSA', 'MicroDVD', 'Advanced SSA', 'srt'), CAST(k % 4 AS INT) + 1)
+  || '</td></tr><tr><td><table><tr><td width="45%">no title</td></tr></table><input type="hidden" name="id" value="' || k || '">' || CASE WHEN k % 5 = 0 THEN '' ELSE '<input type=hidden name=sh value=s' || k || '>' END || '</td></tr></TABLE>'"""
+
+
+def _json(s, d):
+    return _responses(s, d, JSON_ITEM, '{"data":[', "]}").withColumn("raw_filename", F.when(F.col("media_id") % 3 > 0, "1-urgent.release"))
+
+
+def _xml(s, d):
+    r = _responses(s, d, XML_ITEM, "<results><page>1</page>", "</results>")
+    return r.select("media_id", (F.col("media_id") % 4 == 0).alias("hash_match"), F.when(F.col("media_id") % 11 == 0, F.concat(F.lit("<x>"), "body")).otherwise(F.col("body")).alias("body"))
+
+
 def _upper(texts):
     return [x.upper() for x in texts]
 
@@ -54,9 +77,11 @@ QUERIES = {
     "s4_srt_text_lines": lambda s, d: f.srt_text_lines(_lines(s, d)),
     "s5_normalize_encoding": lambda s, d: table(s, d, "documents").select("doc_id", f.normalize_encoding(F.col("text").cast("binary")).cast("string").alias("text")),
     "s6_fingerprints": lambda s, d: f.fingerprint_blobs(table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("content"))),
-    "s10_candidates_from_html": lambda s, d: f.candidates_from_html(table(s, d, "pages").select(F.col("page_id").alias("media_id"), F.col("html").alias("body"))),
+    "s8_candidates_from_json": lambda s, d: f.candidates_from_json(_json(s, d)),
+    "s9_candidates_from_xml": lambda s, d: f.candidates_from_xml(_xml(s, d)),
+    "s10_candidates_from_html": lambda s, d: f.candidates_from_html(_responses(s, d, HTML_ITEM, "<html><table><tr><td>menu</td></tr></table>", "</html>")),
     "p11_protect_placeholders": _protected,
-    "f3_translate_lines": lambda s, d: t.translate_lines(a.text_lines(s, d, "en"), _upper, ["The"]).select("track_id", "cue_no", "translation"),
+    "f3_translate_lines": lambda s, d: t.translate_lines(a.text_lines(s, d), _upper, ["The"]).select("track_id", "cue_no", "translation"),
     "x1_span_stream": _span_windows,
     "x2_video_reports": lambda s, d: x.run_available(x.video_reports(_messages(s, d)), ["video_id", "report_no"], "append"),
     "x3_progress_table": lambda s, d: x.run_available(x.progress_table(x.event_stream(s, d)), ["file_id"]),
@@ -68,9 +93,23 @@ ORACLES = {
     "s2_parse_srt": a.with_views("cues", f" SELECT track_id, {NUMBERED} AS cue_no, start_ms, end_ms, text FROM cues"),
     "s3_parse_ass": a.with_views("cues", """, pick AS (SELECT track_id, min_by(style, (length(style), style)) AS st FROM cues GROUP BY track_id)
 SELECT cues.track_id, row_number() OVER (PARTITION BY cues.track_id ORDER BY cue_no) AS cue_no, start_ms // 10 * 10 AS start_ms, end_ms // 10 * 10 AS end_ms, st AS style, text FROM cues JOIN pick USING (track_id)"""),
-    "s4_srt_text_lines": a.with_views("lines", r""", e AS (SELECT track_id, cue_no, CASE WHEN cue_no % 4 = 3 THEN '' ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS t FROM lines WHERE lang = 'en'),
+    "s4_srt_text_lines": a.with_views("lines", r""", e AS (SELECT track_id, cue_no, CASE WHEN cue_no % 4 = 3 THEN '' ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS t FROM lines),
 b AS (SELECT *, sum(CASE WHEN t = '' THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY cue_no)::BIGINT AS block FROM e) SELECT track_id, block, string_agg(t, ' ' ORDER BY cue_no) AS text FROM b WHERE t <> '' AND NOT contains(t, '-->') AND NOT regexp_matches(t, '^\d+$') GROUP BY track_id, block"""),
+    "s8_candidates_from_json": """SELECT o_custkey AS media_id, 'opensubtitles' AS source, o_orderkey::VARCHAR AS subtitle_id, CASE o_orderkey % 4 WHEN 0 THEN 'eng' ELSE 'pol' END AS language, o_orderpriority AS release_name,
+  ['ASS', 'srt', 'srt'][o_orderkey % 3 + 1] AS format, CASE WHEN o_orderkey % 7 = 0 THEN 1.0 WHEN o_custkey % 3 = 0 THEN 0.7 WHEN o_orderpriority = '1-URGENT' THEN 0.6::DOUBLE + 0.3::DOUBLE * (2.0::DOUBLE / 3) ELSE 0.6 END::DOUBLE AS score,
+  o_orderkey % 7 = 0 AS hash_match FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 4 <> 2""",
+    "s9_candidates_from_xml": """SELECT o_custkey AS media_id, 'podnapisi' AS source, o_orderkey::VARCHAR AS subtitle_id, CASE o_orderkey % 4 WHEN 0 THEN 'eng' ELSE 'pol' END AS language,
+  CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority || ' & R' END AS release_name, 'srt' AS format, CASE WHEN o_custkey % 4 = 0 THEN 0.9 ELSE 0.65 END::DOUBLE AS score, o_custkey % 4 = 0 AS hash_match
+  FROM orders WHERE o_orderkey % 4 <> 2 AND o_custkey % 11 <> 0""",
+    "s10_candidates_from_html": """SELECT o_custkey AS media_id, 'animesub' AS source, o_orderkey::VARCHAR AS subtitle_id, 's' || o_orderkey AS sh, o_orderpriority || ' & x' AS release_name,
+  CASE WHEN o_orderkey % 4 IN (0, 2) THEN 'ass' ELSE 'srt' END AS format FROM orders WHERE o_orderkey % 5 <> 0""",
     "s5_normalize_encoding": "SELECT doc_id, text FROM documents",
+    "s6_fingerprints": """WITH b AS (SELECT doc_id AS id, encode(text) AS content, octet_length(encode(text)) AS n FROM documents),
+w AS (SELECT id, h, unnest(range(0, len(h), 16)) AS p FROM (SELECT id, unnest([hex(content[1:65536]), hex(content[greatest(1, n - 65535):])]) AS h FROM b WHERE n > 0)),
+r AS (SELECT id, rpad(substr(h, p + 1, 16), 16, '0') AS c FROM w),
+v AS (SELECT id, list_sum(list_transform(range(1, 9), lambda i: ((instr('0123456789ABCDEF', c[2 * i - 1]) - 1) * 16 + instr('0123456789ABCDEF', c[2 * i]) - 1)::HUGEINT * (1::HUGEINT << (8 * (i - 1))::INT))) AS word FROM r),
+s AS (SELECT id, sum(word)::HUGEINT AS total FROM v GROUP BY id)
+SELECT b.id, CASE WHEN n > 0 THEN lower(lpad(to_hex(((total + n) % 18446744073709551616)::UBIGINT), 16, '0')) END AS oshash, md5(content[1:10485760]) AS md5 FROM b LEFT JOIN s USING (id)""",
     "x1_span_stream": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS name, count(*) AS n, sum(value * 10) AS total_ms FROM events GROUP BY ALL",
     "x3_progress_table": "SELECT user_id AS file_id, arg_max(event_type, (ts, event_id)) AS stage, count_if(event_type <> 'error')::BIGINT AS done, count(*) AS total, sum(value) AS units FROM events GROUP BY user_id",
     "x4_dedup_stream": a.with_views("cues", """, runs AS (SELECT *, sum(new) OVER (PARTITION BY track_id ORDER BY cue_no) AS run FROM (SELECT *, CASE WHEN lag(text) OVER (PARTITION BY track_id ORDER BY cue_no) = text THEN 0 ELSE 1 END AS new FROM cues))

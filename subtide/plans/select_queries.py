@@ -46,7 +46,25 @@ def _scores(s, d):
     return x.select("result_no", c.provider_score(names, F.col("hash_match"), sim).alias("provider_score"))
 
 
+#: What follows the base title in search results, by part modulo 10.
+SUFFIXES = [" ep01", " 2 ep3", " S2 Arc ep3", " OVA ep1", " episode 12", " ep01-10", " Movie", " 3: Bonus ep1", " 10th ep2", " e4 e05 - 9"]
+
+
+def _entries(s, d):
+    k = F.col("p_partkey")
+    suffix = F.element_at(F.array(*[F.lit(x) for x in SUFFIXES]), (k % 10 + 1).cast("int"))
+    return table(s, d, "part").select(k.alias("entry_no"), c.entry_matches(F.concat(F.upper("p_name"), suffix), F.col("p_name"), F.expr("nullif(p_partkey % 4, 0)"), k % 13).alias("matches"))
+
+
+def _fonts(s, d):
+    fonts = table(s, d, "supplier").select(F.col("s_name").alias("stem"), F.split("s_name", "").alias("letters"))
+    styles = table(s, d, "customer").select(F.col("c_custkey").alias("media_id"), F.concat(F.lit("supplier#0000000"), F.col("c_custkey") % 40).alias("fontname"))
+    return c.pick_font(styles, fonts, "1")
+
+
 QUERIES = {
+    "p16_entry_matches": _entries,
+    "j11_pick_font": _fonts,
     "s7_explode_streams": lambda s, d: c.explode_streams(_probes(s, d)),
     "p3_signs_track_name": lambda s, d: a.tracks(s, d).select("media_id", "stream_no", c.signs_track_name(F.col("track_name")).alias("signs"), c.signs_track_short(F.col("track_name")).alias("signs_short")),
     "p19_code_maps": lambda s, d: a.tracks(s, d).select("media_id", "stream_no", c.codec_extension(F.col("codec")).alias("ext"), c.language_code(F.col("language")).alias("lang"), c.codec_kind(F.col("codec")).alias("kind")),
@@ -76,7 +94,14 @@ LANG = "CASE language WHEN 'pol' THEN 'pl' ELSE 'en' END"
 RANK = "row_number() OVER (PARTITION BY {0} ORDER BY score DESC, hash_match DESC, source, subtitle_id, result_no)"
 T, C = "tracks", "candidates"
 
+SEASON = r"""CASE WHEN i IN (0, 5, 8) AND suffix[2:3] = 'ep' OR i = 4 THEN 1 WHEN i IN (3, 6, 7) THEN NULL ELSE try_cast(regexp_extract(lower(suffix[2:]), '^s?(\d+)([^\p{L}\p{N}_]|$)', 1) AS INT) END"""
 ORACLES = {
+    "p16_entry_matches": rf"""WITH x AS (SELECT p_partkey AS k, p_partkey % 10 AS i, {SUFFIXES!r}[p_partkey % 10 + 1] AS suffix, nullif(p_partkey % 4, 0) AS season, p_partkey % 13 AS e, lower(p_name) AS n FROM part),
+y AS (SELECT *, {SEASON} AS own, lower(n || suffix) AS low FROM x),
+z AS (SELECT *, list_transform(regexp_extract_all(low, '(?:ep|episode\s*|e)(\d+)', 1), lambda v: v::INT) AS one, regexp_extract_all(low, '(?:ep|episode\s*|e)(\d+)\s*-\s*(\d+)', 1) AS lo, regexp_extract_all(low, '(?:ep|episode\s*|e)(\d+)\s*-\s*(\d+)', 2) AS hi FROM y)
+SELECT k AS entry_no, (list_contains(one, e) OR len(lo) > 0 AND e BETWEEN lo[1]::INT AND hi[1]::INT) AND (season IS NULL OR coalesce(own = season, false)) AS matches FROM z""",
+    "j11_pick_font": """WITH good AS (SELECT s_name AS stem FROM supplier WHERE contains(s_name, '1'))
+SELECT c_custkey AS media_id, 'supplier#0000000' || (c_custkey % 40) AS fontname, coalesce((SELECT min(stem) FROM good WHERE starts_with(lower(stem), 'supplier#0000000' || (c_custkey % 40))), (SELECT min(stem) FROM good)) AS stem FROM customer""",
     "s7_explode_streams": a.with_views(T, " SELECT media_id, stream_no, (row_number() OVER (PARTITION BY media_id ORDER BY stream_no) - 1)::INT AS subtitle_index, codec, language, track_name FROM tracks"),
     "p3_signs_track_name": a.with_views(T, f" SELECT media_id, stream_no, {SIGNS} AS signs, regexp_matches(lower(track_name), 'sign|song|op|ed') AS signs_short FROM tracks"),
     "p19_code_maps": a.with_views(T, f" SELECT media_id, stream_no, {EXT} AS ext, {LANG} AS lang, {KIND} AS kind FROM tracks"),
@@ -86,7 +111,7 @@ ORACLES = {
     "j10_audit_tracks": a.with_views(T, """, x AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY stream_no) AS pos, language FROM tracks), y AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY stream_no) AS pos, language FROM tracks WHERE NOT (media_id % 5 = 0 AND stream_no = 1)),
 z AS (SELECT media_id, count(x.language) AS n_actual, count(y.language) AS n_expected, bool_and(coalesce(x.language = y.language, false)) AS languages_equal FROM x FULL JOIN y USING (media_id, pos) GROUP BY media_id) SELECT *, n_actual = n_expected AND languages_equal AS ok FROM z"""),
     "s14_build_manifest": a.with_views(T, f""" SELECT media_id, '{{"subtitles":[' || string_agg('{{"stream_no":' || stream_no || ',"file":"' || stream_no || {EXT} || '","language":"' || {LANG} || '"}}', ',' ORDER BY stream_no) || ']}}' AS doc FROM tracks GROUP BY media_id"""),
-    "j4_external_subs": a.with_views("media manifest", " SELECT m.media_id, f.media_id AS manifest_id, m.episode, contains(lower(m.parsed_title), lower(f.parsed_title)) OR contains(lower(f.parsed_title), lower(m.parsed_title)) AS title_match FROM media m JOIN manifest f USING (episode)"),
+    "j4_external_subs": a.with_views("media manifest", " SELECT m.media_id, f.media_id AS manifest_id, m.episode, contains(lower(m.parsed_title), lower(f.parsed_title)) OR contains(lower(f.parsed_title), lower(m.parsed_title)) AS title_match FROM media m JOIN manifest f USING (folder, episode)"),
     "p18_output_stem": a.with_views("media", r" SELECT media_id, trim(regexp_replace(parsed_title, '[^\p{L}\p{N} _-]', '', 'g')) || CASE WHEN season IS NOT NULL THEN printf(' - S%02dE%02d', season, episode) ELSE printf(' - E%02d', episode) END AS stem FROM media"),
     "j6_english_source": a.with_views(C, f""", best AS (SELECT media_id, 'f' || result_no AS p FROM (SELECT *, {RANK.format('media_id, language')} AS r FROM candidates) WHERE r = 1 AND language = 'eng')
 SELECT media_id, coalesce(p, CASE WHEN media_id % 3 = 0 THEN 'r' WHEN media_id % 2 = 0 THEN 'e' END) AS path, CASE WHEN p IS NOT NULL THEN 'fetched' WHEN media_id % 3 = 0 THEN 'reference' WHEN media_id % 2 = 0 THEN 'embedded' ELSE 'error' END AS origin
@@ -100,7 +125,7 @@ FROM (SELECT DISTINCT media_id FROM candidates) LEFT JOIN best USING (media_id)"
     "u1_union_results": a.with_views(C, " SELECT * FROM candidates"),
     "u2_except_results": a.with_views(C, " SELECT media_id, source, subtitle_id FROM candidates EXCEPT ALL SELECT media_id, source, subtitle_id FROM candidates WHERE hash_match"),
     "w14_assemble_tracks": a.with_views("candidates media manifest", f""", u AS (SELECT media_id, 0 AS k, r AS o, 'Polish (' || source || ')' AS title FROM (SELECT *, {RANK.format('media_id, language')} AS r FROM candidates) WHERE language = 'pol' AND (r = 1 OR score >= 0.8)
-  UNION ALL SELECT DISTINCT media_id, 1, 0, 'Polish (AI)' FROM candidates UNION ALL SELECT m.media_id, 2, f.media_id, 'External' FROM media m JOIN manifest f USING (episode)),
+  UNION ALL SELECT DISTINCT media_id, 1, 0, 'Polish (AI)' FROM candidates UNION ALL SELECT m.media_id, 2, f.media_id, 'External' FROM media m JOIN manifest f USING (folder, episode)),
 n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY k, o)::INT AS track_no FROM u) SELECT media_id, track_no, title, track_no = 1 AND k < 2 AS is_default FROM n"""),
     "p15_provider_score": a.with_views(C, """ SELECT result_no, CASE result_no % 4 WHEN 0 THEN CASE WHEN hash_match THEN 1.0 WHEN result_no % 3 > 0 THEN 0.6::DOUBLE + 0.3::DOUBLE * score ELSE 0.7 END
   WHEN 1 THEN CASE WHEN hash_match THEN 0.9 ELSE 0.65 END WHEN 2 THEN 0.95 ELSE 0.6 END::DOUBLE AS provider_score FROM candidates"""),

@@ -12,8 +12,8 @@ from subtide.sources import adapters as a
 
 
 def _lines(columns):
-    """A query over the English lines: ``columns`` makes named columns from the text column."""
-    return lambda s, d: a.text_lines(s, d, "en").select("track_id", "cue_no", *[c.alias(n) for n, c in columns(F.col("text")).items()])
+    """A query over the lines: ``columns`` makes named columns from the text column."""
+    return lambda s, d: a.text_lines(s, d).select("track_id", "cue_no", *[c.alias(n) for n, c in columns(F.col("text")).items()])
 
 
 def _phrase(x):
@@ -22,22 +22,31 @@ def _phrase(x):
 
 
 def _units(s, d):
-    return u.group_units(a.text_lines(s, d, "en"))
+    return u.group_units(a.text_lines(s, d))
 
 
 def _split_back(s, d):
-    lines = a.text_lines(s, d, "en")
+    lines = a.text_lines(s, d)
     units = u.group_units(lines)
     return u.split_output(lines, units, u.build_input(lines, units).withColumnRenamed("input", "output"))
 
 
+#: Machine translations by cue number modulo 9; the other lines stand for their own translation.
+TRANSLATED = ["March!!", " charge ", "Ładuj!", "Marzec! Kaska widzi Wnętrzności i Strajk.", "to Jest dobra Droga, sir Griffith", "weź to razem, kaska"]
+
+
+def _translated(s, d):
+    text = F.coalesce(*[F.when(F.col("cue_no") % 9 == i, x) for i, x in enumerate(TRANSLATED)], F.col("text"))
+    return a.text_lines(s, d).withColumn("text", text)
+
+
 def _experiments(s, d):
-    lines = a.text_lines(s, d, "en")
+    lines = _translated(s, d)
     x = F.col("text")
-    runs = [("plain", x), ("idioms", t.rewrite_idioms(x)), ("glossary", F.coalesce(t.glossary_pre(x), t.glossary_post(x)))]
+    runs = [("plain", x), ("idioms", t.rewrite_idioms(x)), ("glossary", t.glossary_post(t.glossary_pre(x)))]
     out = None
     for name, col in runs:
-        one = lines.select(F.lit(name).alias("experiment"), F.size(t.qa_issues(x, col)).alias("issues"))
+        one = lines.select(F.lit(name).alias("experiment"), F.size(t.qa_issues(col)).alias("issues"))
         out = one if out is None else out.union(one)
     return out.groupBy("experiment").agg(F.sum("issues").alias("issues"), F.count(F.lit(1)).alias("lines"))
 
@@ -59,20 +68,20 @@ QUERIES = {
     "p12_placeholder_only": _lines(lambda x: dict(only_tag=t.placeholder_only(F.when(F.col("cue_no") % 5 == 0, F.lit(' "__PN3__!"')).otherwise(x)))),
     "p13_fallback_guard": _lines(lambda x: dict(text=t.fallback_guard(x, F.substring(x, 1, 1)))),
     "p14_release_tokens": _release,
-    "p21_qa_issues": _lines(lambda x: dict(issues=F.array_join(t.qa_issues(x, t.rewrite_idioms(x)), " "))),
-    "p23_glossary": _lines(lambda x: dict(pre=t.glossary_pre(x), post=t.glossary_post(x))),
-    "j3_phrase_lookup": lambda s, d: t.phrase_lookup(a.text_lines(s, d, "en")).select("track_id", "cue_no", "translation", "answered"),
-    "g12_preprocess_stats": lambda s, d: t.preprocess_stats(a.text_lines(s, d, "en")),
-    "g11_proper_nouns": lambda s, d: u.proper_nouns(a.text_lines(s, d, "en")),
+    "p21_qa_issues": lambda s, d: _translated(s, d).select("track_id", "cue_no", F.array_join(t.qa_issues(F.col("text")), "; ").alias("issues")),
+    "p23_glossary": lambda s, d: _translated(s, d).select("track_id", "cue_no", t.glossary_pre(F.col("text")).alias("pre"), t.glossary_post(F.col("text")).alias("post")),
+    "j3_phrase_lookup": lambda s, d: t.phrase_lookup(a.text_lines(s, d)).select("track_id", "cue_no", "translation", "answered"),
+    "g12_preprocess_stats": lambda s, d: t.preprocess_stats(a.text_lines(s, d)),
+    "g11_proper_nouns": lambda s, d: u.proper_nouns(a.text_lines(s, d)),
     "g19_experiment_scores": _experiments,
     "w7_group_units": lambda s, d: _units(s, d).select("track_id", "unit_no", F.array_join(F.transform("cue_nos", lambda x: x.cast("string")), ",").alias("cue_nos"), "is_fragment_merge"),
-    "w8_build_input": lambda s, d: u.build_input(a.text_lines(s, d, "en"), _units(s, d)),
+    "w8_build_input": lambda s, d: u.build_input(a.text_lines(s, d), _units(s, d)),
     "w9_split_output": _split_back,
-    "w10_context_window": lambda s, d: u.context_window(a.text_lines(s, d, "en"), 2),
+    "w10_context_window": lambda s, d: u.context_window(a.text_lines(s, d), 2),
 }
 
 STRIP = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
-EN = a.with_views("lines", ", en AS (SELECT * FROM lines WHERE lang = 'en')")
+EN = a.with_views("lines", ", en AS (SELECT * FROM lines)")
 BASE = rf"""phr AS (SELECT track_id, cue_no, text, lower(b) AS base, punct, CASE WHEN upper(b) = b AND lower(b) <> b THEN 'UPPER' WHEN upper(b[1]) = b[1] AND lower(b[1]) <> b[1] THEN 'Title' ELSE 'lower' END AS cap
   FROM (SELECT *, regexp_extract({STRIP}, '([.!?,;:…]+)$', 1) AS punct, trim(regexp_replace({STRIP}, '[.!?,;:…]+$', '')) AS b FROM en))"""
 FORMAT = "CASE cap WHEN 'UPPER' THEN upper({0}) WHEN 'Title' THEN upper({0}[1]) || substr({0}, 2) ELSE {0} END || punct"
@@ -85,9 +94,12 @@ def _idioms(x: str) -> str:
     return x
 
 
-def _names(x: str) -> str:
-    for pattern, form in t.NAME_FORMS:
-        x = rf"regexp_replace({x}, '\b{pattern}\b', {_q(form)}, 'gi')"
+def _corrected(x: str) -> str:
+    for pattern, new, flags in (
+        (r"\bMarzec\b", "Naprzód", "g"), (r"\bDobra droga\b", "Tak trzymaj", "gi"), (r"\bWnętrzności\b", "Guts", "gi"), (r"\bKaska\b", "Casca", "gi"),
+        (r"\bstrajk\b", "cios", "gi"), ("^Ładuj!$", "Do ataku!", "g"), ("Weź to razem", "Weź się w garść", "gi"),
+    ):
+        x = f"regexp_replace({x}, '{pattern}', '{new}', '{flags}')"
     return x
 
 
@@ -95,13 +107,21 @@ ENDS = rf"(regexp_matches({STRIP}, '[.!?][\"'')»\]]*\s*$') AND NOT regexp_match
 SPEAKS = rf"regexp_matches({STRIP}, '^[\-—–]\s*\S')"
 DOTS = rf"regexp_matches({STRIP}, '\.{{2,}}[\"'')»\]]*\s*$')"
 DICT = "dict(base, answer, kind) AS (VALUES " + ", ".join([f"({_q(k)}, {_q(v)}, 'single')" for k, v in t.WORDS.items()] + [f"({_q(k)}, {_q(v)}, 'multi')" for k, v in t.PHRASES.items() if k not in t.WORDS]) + ")"
-GLOSS = "CASE lower(" + STRIP + ") " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in t.GLOSSARY.items()) + " END"
+COMMAND = rf"regexp_replace({STRIP}, '!+$', '')"
+GLOSS = f"CASE lower({COMMAND}) WHEN 'march' THEN 'Naprzód!' WHEN 'charge' THEN 'Do ataku!' ELSE text END"
+TR = EN + ", tr AS (SELECT * REPLACE (CASE cue_no % 9 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(TRANSLATED)) + " ELSE text END AS text) FROM en)"
 
 
-def _issues(src: str, out: str) -> str:
-    left = rf"list_sort(list_filter(list_distinct(regexp_extract_all(lower({out}), '[\p{{L}}\p{{N}}_]+')), lambda w: regexp_matches(w, '^[a-z]{{4,}}$') AND w NOT IN ('guts', 'griffith', 'casca')))"
-    return rf"""list_filter([CASE WHEN len({left}) > 0 THEN 'untranslated:' || array_to_string({left}, ',') END, CASE WHEN regexp_matches(lower({out}), 'marzec|strajk|ładuj|dobra droga|weź to razem') THEN 'bad-word' END,
-  CASE WHEN regexp_matches({out}, '[a-z] [A-Z][a-z]+') THEN 'capitals' END, CASE WHEN {src} = {out} THEN 'unchanged' END], lambda x: x IS NOT NULL)"""
+def _issues(out: str) -> str:
+    words = lambda x: rf"regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+')"
+    left = rf"""list_sort(list_filter(list_distinct({words(f'lower({out})')}), lambda w: regexp_matches(w, '^[a-z]{{4,}}$') AND w NOT IN
+  ('guts', 'griffith', 'casca', 'judeau', 'pippin', 'rickert', 'corkus', 'charlotte', 'adon', 'coborlwitz', 'ganzansenpu', 'hawks', 'raiders', 'lord', 'sir')))"""
+    caps = rf"regexp_extract_all({out}, '[a-ząćęłńóśźż]\s+[A-ZĄĆĘŁŃÓŚŹŻ][a-ząćęłńóśźż]')"
+    return rf"""list_filter([CASE WHEN len({left}) > 0 THEN 'untranslated: ' || array_to_string({left}, ',') END,
+  CASE WHEN contains(lower({out}), 'wnętrzności') OR contains(lower({out}), 'wnetrznosci') THEN 'GUTS→Wnętrzności' END,
+  CASE WHEN list_contains({words(out)}, 'Kaska') THEN 'Casca→Kaska' END, CASE WHEN list_contains({words(out)}, 'Marzec') THEN 'March→Marzec' END,
+  CASE WHEN regexp_matches(regexp_replace({out}, '^\s+|\s+$', '', 'g'), '^Ładuj!?$') THEN 'Charge→Ładuj' END,
+  CASE WHEN len({caps}) > 0 THEN 'mid-sentence caps: ' || array_to_string({caps}[1:2], ',') END, CASE WHEN contains(lower({out}), 'strajk') THEN 'strike→strajk' END], lambda x: x IS NOT NULL)"""
 
 
 UNITS = rf"""fl AS (SELECT track_id, cue_no, {STRIP} AS t, {ENDS} AS e, {SPEAKS} AS s, {DOTS} AS dots, len(regexp_extract_all(text, '\S+'))::INT AS w FROM en),
@@ -135,8 +155,8 @@ ORACLES = {
     "p13_fallback_guard": EN + rf" SELECT track_id, cue_no, CASE WHEN regexp_replace(text[1], '\s', '') = '' THEN text WHEN length(regexp_replace(text[1], '\s', '')) < 2 AND length({STRIP}) > 5 THEN text ELSE text[1] END AS text FROM en",
     "p14_release_tokens": r"""WITH p AS (SELECT p_partkey, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[.\-_ \[\]()]+'), lambda x: x <> '')) AS w FROM part)
 SELECT p.p_partkey, array_to_string(list_sort(p.w), ' ') AS tokens, CASE WHEN len(p.w) = 0 OR len(q.w) = 0 THEN 0 ELSE len(list_intersect(p.w, q.w))::DOUBLE / len(list_distinct(list_concat(p.w, q.w))) END AS score FROM p JOIN p q ON q.p_partkey = p.p_partkey + 1""",
-    "p21_qa_issues": EN + f" SELECT track_id, cue_no, array_to_string({_issues('text', 'out')}, ' ') AS issues FROM (SELECT *, {_idioms('text')} AS out FROM en)",
-    "p23_glossary": EN + f" SELECT track_id, cue_no, {GLOSS} AS pre, {_names('text')} AS post FROM en",
+    "p21_qa_issues": TR + f" SELECT track_id, cue_no, array_to_string({_issues('text')}, '; ') AS issues FROM tr",
+    "p23_glossary": TR + f" SELECT track_id, cue_no, {GLOSS} AS pre, {_corrected('text')} AS post FROM tr",
     "j3_phrase_lookup": EN + f", {BASE}, {DICT} SELECT track_id, cue_no, coalesce({FORMAT.format('answer')}, {_idioms('text')}) AS translation, answer IS NOT NULL AS answered FROM phr LEFT JOIN dict USING (base)",
     "g12_preprocess_stats": EN + f", {BASE}, {DICT}, f AS (SELECT kind, kind IS NULL AND {_idioms('text')} <> text AS idiom FROM phr LEFT JOIN dict USING (base)) SELECT count(*) FILTER (kind = 'single') AS single, count(*) FILTER (kind = 'multi') AS multi, count(*) FILTER (idiom) AS idioms, count(*) AS total, (count(*) FILTER (kind = 'single') + count(*) FILTER (kind = 'multi')) * 100.0::DOUBLE / count(*) AS hit_rate FROM f",
     "g11_proper_nouns": EN + rf""", v AS (SELECT track_id, unnest(regexp_extract_all(text, '\b(?:{'|'.join(u.HONORIFICS)})\s+([A-Z][a-z]+)', 1)) AS name, 5 AS v FROM en
@@ -144,8 +164,8 @@ SELECT p.p_partkey, array_to_string(list_sort(p.w), ' ') AS tokens, CASE WHEN le
   UNION ALL SELECT track_id, unnest(regexp_extract_all(trim(regexp_replace({STRIP}, '[!?.]+$', '')), '^([A-Z][a-z]+)$', 1)), 3 FROM en
   UNION ALL SELECT track_id, w, 1 FROM (SELECT track_id, regexp_replace(unnest(regexp_split_to_array({STRIP}, '\s+')[2:]), '^[.,!?;:\"''-]+|[.,!?;:\"''-]+$', '', 'g') AS w FROM en) WHERE regexp_matches(w, '^[A-Z][a-z]{{2,}}$'))
 SELECT track_id, name, sum(v)::BIGINT AS votes FROM v GROUP BY ALL HAVING sum(v) >= 3 AND name NOT IN ({', '.join(_q(x) for x in [*u.NO_NAMES, *u.HONORIFICS])})""",
-    "g19_experiment_scores": EN + f""", l AS (SELECT * FROM en), x AS (SELECT 'plain' AS experiment, text, text AS out FROM l UNION ALL SELECT 'idioms', text, {_idioms('text')} FROM l UNION ALL SELECT 'glossary', text, coalesce({GLOSS}, {_names('text')}) FROM l)
-SELECT experiment, sum(len({_issues('text', 'out')}))::BIGINT AS issues, count(*) AS lines FROM x GROUP BY experiment""",
+    "g19_experiment_scores": TR + f""", x AS (SELECT 'plain' AS experiment, text AS out FROM tr UNION ALL SELECT 'idioms', {_idioms('text')} FROM tr UNION ALL SELECT 'glossary', {_corrected(GLOSS)} FROM tr)
+SELECT experiment, sum(len({_issues('out')}))::BIGINT AS issues, count(*) AS lines FROM x GROUP BY experiment""",
     "w7_group_units": EN + f", {UNITS} SELECT track_id, unit_no, cue_nos, is_fragment_merge FROM units",
     "w8_build_input": EN + f", {UNITS}, {INPUTS}" + r" SELECT track_id, unit_no, CASE WHEN is_fragment_merge THEN string_agg(regexp_replace(text, '^\s+|\s+$', '', 'g'), ' ' ORDER BY cue_no) ELSE string_agg(raw, ' || ' ORDER BY cue_no) END AS input FROM hd GROUP BY track_id, unit_no, is_fragment_merge",
     "w10_context_window": EN + """ SELECT track_id, cue_no, array_to_string(list(text) OVER (PARTITION BY track_id ORDER BY cue_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), ' ||| ') AS context, text AS own FROM en""",

@@ -1,4 +1,4 @@
-"""Queries over parallel pairs, made from the English lines, and their oracles."""
+"""Queries over parallel pairs, made from the lines, and their oracles."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from subtide.sources import adapters as a
 
 
 def _pairs(s, d):
-    x = a.text_lines(s, d, "en")
+    x = a.text_lines(s, d)
     return x.select((F.col("track_id") % 20).alias("show_id"), F.col("track_id").alias("episode_id"), F.col("cue_no").alias("pair_no"), F.col("text").alias("english"), F.upper(rewrite_idioms(F.col("text"))).alias("polish"))
 
 
@@ -46,5 +46,5 @@ ORACLES = {
     "d3_context_strings": a.with_views("media", f", {CTX} SELECT * FROM ctx"),
     "d4_vocabulary_errors": a.with_views("media", " SELECT media_id AS show_id, 'genre' AS field, 'grim' AS value FROM media WHERE media_id % 3 = 1"),
     "d6_dialogue_window": a.with_views("lines", """ SELECT track_id AS episode_id, cue_no AS pair_no, coalesce(array_to_string(list(text) OVER (PARTITION BY track_id ORDER BY cue_no ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ' / '), '') AS prev,
-  coalesce(array_to_string(list(text) OVER (PARTITION BY track_id ORDER BY cue_no ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), ' / '), '') AS "next" FROM lines WHERE lang = 'en'"""),
+  coalesce(array_to_string(list(text) OVER (PARTITION BY track_id ORDER BY cue_no ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), ' / '), '') AS "next" FROM lines"""),
 }

@@ -25,10 +25,9 @@ def cues(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def text_lines(spark: SparkSession, sf: str, lang: str | None = None) -> DataFrame:
-    """Lines of one track per document, cut after commas and full stops."""
+def text_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of one track per document of whatever language, cut after commas and full stops."""
     docs = table(spark, sf, "documents")
-    docs = docs.where(F.col("lang") == lang) if lang else docs
     pieces = F.split(F.regexp_replace("text", r"([,.])\s+", "$1\n"), "\n")
     return docs.select(F.col("doc_id").alias("track_id"), F.posexplode(pieces).alias("n", "text")).select(
         "track_id", F.col("n").cast("long").alias("cue_no"), (F.col("n").cast("long") * 2000).alias("start_ms"), (F.col("n").cast("long") * 2000 + 1800).alias("end_ms"), "text"
@@ -58,9 +57,9 @@ def references(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidate_cues(spark: SparkSession, sf: str) -> DataFrame:
-    """A candidate per reference: another track, or the same one moved as a whole or in two parts; a fifth of the cues is missing."""
-    all_cues = cues(spark, sf).where("cue_no % 5 != 0")
-    own = all_cues.withColumnRenamed("track_id", "pair_id")
+    """A candidate per reference: another track, or the same one moved as a whole or in two parts; every fifth cue is late besides."""
+    late = F.when(F.col("cue_no") % 5 == 0, 2500).otherwise(0)
+    own = cues(spark, sf).withColumns({"start_ms": F.col("start_ms") + late, "end_ms": F.col("end_ms") + late}).withColumnRenamed("track_id", "pair_id")
     other = own.withColumn("pair_id", F.col("pair_id") - 1).where("pair_id % 4 = 0 AND pair_id >= 0")
     shift = F.expr("CASE pair_id % 4 WHEN 1 THEN -1700 WHEN 2 THEN -3400 ELSE CASE WHEN start_ms >= 400000 THEN -90000 ELSE -500 END END")
     moved = own.where("pair_id % 4 != 0").withColumn("d", shift).withColumns({"start_ms": F.col("start_ms") + F.col("d"), "end_ms": F.col("end_ms") + F.col("d")}).drop("d")
@@ -78,18 +77,17 @@ def spans(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _parts(spark: SparkSession, sf: str, rest: int) -> DataFrame:
-    return table(spark, sf, "part").where(F.col("p_partkey") % 10 == rest).select(
-        F.col("p_partkey").alias("media_id"), F.col("p_name").alias("parsed_title"), F.expr("nullif(p_size % 4, 0)").alias("season"), F.col("p_size").alias("episode")
-    )
-
-
 def media(spark: SparkSession, sf: str) -> DataFrame:
-    return _parts(spark, sf, 1)
+    """A video per part, fifty to a folder."""
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("media_id"), F.expr("p_partkey DIV 50").alias("folder"), F.col("p_name").alias("parsed_title"), F.expr("nullif(p_size % 4, 0)").alias("season"), F.col("p_size").alias("episode")
+    )
 
 
 def manifest(spark: SparkSession, sf: str) -> DataFrame:
-    return _parts(spark, sf, 2)
+    """An entry of its folder's manifest per part: every third one with the first word of the title, the others with the whole in capitals."""
+    title = F.when(F.col("media_id") % 3 == 0, F.split_part("parsed_title", F.lit(" "), F.lit(1))).otherwise(F.upper("parsed_title"))
+    return media(spark, sf).withColumn("parsed_title", title)
 
 
 def tracks(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,17 +126,17 @@ SQL = {
   list_transform(embedding, lambda x: floor((x::DOUBLE + 0.6::DOUBLE) * 200)::INT) AS pixels, vec_id % 3 <> 0 AS has_subtitle,
   0.1::DOUBLE AS x, 0.7::DOUBLE + (vec_id % 5) / 50.0::DOUBLE AS y, 0.8::DOUBLE AS width, 0.1::DOUBLE AS height, vec_id FROM embeddings)""",
     "refs": "refs AS (SELECT track_id AS pair_id, * EXCLUDE (track_id) FROM cues)",
-    "cands": """cands AS (
-  SELECT track_id - 1 AS pair_id, * EXCLUDE (track_id) FROM cues WHERE cue_no % 5 <> 0 AND (track_id - 1) % 4 = 0 AND track_id >= 1
+    "cands": """late AS (SELECT *, CASE WHEN cue_no % 5 = 0 THEN 2500 ELSE 0 END AS late FROM cues), cands AS (
+  SELECT track_id - 1 AS pair_id, * EXCLUDE (track_id, late) REPLACE (start_ms + late AS start_ms, end_ms + late AS end_ms) FROM late WHERE (track_id - 1) % 4 = 0 AND track_id >= 1
   UNION ALL
   SELECT track_id, cue_no, start_ms + d, end_ms + d, style, raw_text, text FROM (
     SELECT *, CASE track_id % 4 WHEN 1 THEN -1700 WHEN 2 THEN -3400 ELSE CASE WHEN start_ms >= 400000 THEN -90000 ELSE -500 END END AS d
-    FROM cues WHERE cue_no % 5 <> 0 AND track_id % 4 <> 0))""",
+    FROM (SELECT * REPLACE (start_ms + late AS start_ms, end_ms + late AS end_ms) FROM late) WHERE track_id % 4 <> 0))""",
     "spans": """spans AS (SELECT * FROM (SELECT CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'before' ELSE 'after' END AS run, user_id AS video_id, event_id AS span_no,
   CASE WHEN event_type = 'error' THEN 'error.' || (event_id % 3) ELSE event_type END AS name, value * 10 AS duration_ms, event_type AS status, ts FROM events)
   WHERE NOT (name = 'view' AND run = 'before' AND video_id % 10 = 0))""",
-    "media": "media AS (SELECT p_partkey AS media_id, p_name AS parsed_title, nullif(p_size % 4, 0) AS season, p_size AS episode FROM part WHERE p_partkey % 10 = 1)",
-    "manifest": "manifest AS (SELECT p_partkey AS media_id, p_name AS parsed_title, nullif(p_size % 4, 0) AS season, p_size AS episode FROM part WHERE p_partkey % 10 = 2)",
+    "media": "media AS (SELECT p_partkey AS media_id, p_partkey // 50 AS folder, p_name AS parsed_title, nullif(p_size % 4, 0) AS season, p_size AS episode FROM part)",
+    "manifest": "manifest AS (SELECT * REPLACE (CASE WHEN media_id % 3 = 0 THEN split_part(parsed_title, ' ', 1) ELSE upper(parsed_title) END AS parsed_title) FROM media)",
     "tracks": """tracks AS (SELECT l_orderkey AS media_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INT AS stream_no,
   CASE l_returnflag WHEN 'A' THEN 'eng' WHEN 'N' THEN 'und' ELSE 'pol' END AS language,
   ['ass', 'subrip', 'hdmv_pgs_subtitle', 'webvtt'][l_quantity::BIGINT % 4 + 1] AS codec, ['', 'Full Dialogue', 'Signs & Songs'][l_suppkey % 3 + 1] AS track_name FROM lineitem)""",

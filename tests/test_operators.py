@@ -115,6 +115,7 @@ def test_contended_runs_are_matched_in_order(spark):
 
 def test_entries_and_stems(spark):
     rows = [("Show ep12", 1, 12, True), ("Show ep10-13", 1, 12, True), ("Show S2 ep12", 1, 12, False), ("Show S2 ep12", 2, 12, True), ("Show OVA ep12", 1, 12, False), ("Other ep12", 1, 12, False), ("Show ep1", 1, 12, False)]
+    rows += [("Show episode 12", 1, 12, True), ("Show S2 Arc ep3", 2, 3, True), ("Show S2 ep3", None, 3, True), ("Show OVA ep3", None, 3, True), ("Show Movie", 1, 1, False), ("Show ep01-10", 1, 11, False), ("Show 3: Bonus Stage ep1", 3, 1, False), ("SHOW 2 ep08", 2, 8, True), ("", 1, 1, False)]
     df = spark.createDataFrame(rows, "title string, season int, episode int, want boolean")
     assert all(x["want"] == x["got"] for x in df.withColumn("got", s.entry_matches(F.col("title"), F.lit("Show"), F.col("season"), F.col("episode"))).collect())
     assert spark.range(1).select(s.output_stem(F.lit("A: b!"), F.lit(1), F.lit(2)).alias("x")).first()["x"] == "A b - S01E02"
@@ -122,8 +123,11 @@ def test_entries_and_stems(spark):
 
 def test_fonts(spark):
     styles = spark.createDataFrame([(1, "My-Font"), (1, "Nowhere")], "media_id bigint, fontname string")
-    fonts = spark.createDataFrame([("My Font Bold", "My Font", list("ąć")), ("Lato", "Lato", list("ąć")), ("Arial", "Arial", list("ąć")), ("Noto", "Noto Sans", list("ą"))], "stem string, family string, letters array<string>")
+    fonts = spark.createDataFrame([("My Font Bold", list("ąć")), ("Aardvark", list("ąć")), ("Arial", list("ąć")), ("Noto-Sans", list("ą")), ("Times_New_Roman", list("ąć"))], "stem string, letters array<string>")
     assert {(x["fontname"], x["stem"]) for x in s.pick_font(styles, fonts, "ąć").collect()} == {("My-Font", "My Font Bold"), ("Nowhere", "Arial")}
+    assert [x["stem"] for x in s.pick_font(styles, fonts.where("stem < 'Aq'"), "ąć").collect()] == ["Aardvark", "Aardvark"]
+    assert s.pick_font(styles, fonts.limit(0), "ąć").count() == 0
+    assert {tuple(x) for x in s.embedded_font_covers(spark.createDataFrame([(1, list("ąć")), (1, ["ą"]), (2, ["ą"]), (3, None)], "media_id bigint, letters array<string>"), "ąć").collect()} == {(1, True), (2, False), (3, False)}
 
 
 def test_files(spark, tmp_path):
@@ -151,11 +155,18 @@ def test_responses(spark):
     got = f.candidates_from_html(spark.createDataFrame([(1, html)], "media_id bigint, body string")).collect()
     assert [tuple(x) for x in got] == [(1, "animesub", "7", "q", "Show ep1", "ass")]
     body = '{"data":[{"id":"1","attributes":{"language":"pl","release":"R","moviehash_match":true,"files":[{"file_id":5,"file_name":"x.SRT"}]}},{"id":"2","attributes":{"language":"xx","files":[{"file_id":6,"file_name":"y"}]}},{"id":"3","attributes":{"language":"en","files":[]}}]}'
-    got = f.candidates_from_json(spark.createDataFrame([(1, body)], "media_id bigint, body string")).collect()
-    assert [tuple(x) for x in got] == [(1, "opensubtitles", "5", "pol", "R", "srt", True)]
+    got = f.candidates_from_json(spark.createDataFrame([(1, "r", body), (2, None, None), (3, None, "{")], "media_id bigint, raw_filename string, body string")).collect()
+    assert [tuple(x) for x in got] == [(1, "opensubtitles", "5", "pol", "R", "SRT", 1.0, True)]
     xml = "<r><subtitle><id>a</id><language>pl</language><release>X</release></subtitle><subtitle><id>b</id><language>en</language><release>Y</release></subtitle></r>"
-    got = f.candidates_from_xml(spark.createDataFrame([(1, xml)], "media_id bigint, body string")).collect()
-    assert sorted((x["subtitle_id"], x["language"], x["release_name"]) for x in got) == [("a", "pl", "X"), ("b", "en", "Y")]
+    part = "<r><subtitle><id>c</id><language>pl</language></subtitle><subtitle><id>d</id><language>fr</language><release>Z</release></subtitle></r>"
+    got = f.candidates_from_xml(spark.createDataFrame([(1, True, xml), (2, None, part), (3, None, "<r><subtitle>"), (4, None, None)], "media_id bigint, hash_match boolean, body string")).collect()
+    assert sorted((x["subtitle_id"], x["language"], x["release_name"], x["score"]) for x in got) == [("a", "pol", "X", 0.9), ("b", "eng", "Y", 0.9), ("c", "pol", "", 0.65)]
+
+
+def test_null_lines_keep_their_place(spark):
+    cues = spark.createDataFrame([(1, 1, 0, 10, "a"), (1, 2, 20, 30, None), (1, 3, 40, 50, "b ||| c")], "track_id bigint, cue_no bigint, start_ms bigint, end_ms bigint, text string")
+    assert c.srt_text(cues).first()["text"].count(" --> ") == 3
+    assert [(x["context"], x["own"]) for x in u.context_window(cues, 1).orderBy("cue_no").collect()] == [("a ||| ", "a"), ("a |||  ||| b ||| c", ""), (" ||| b ||| c", "b ||| c")]
 
 
 def test_reports(spark, tmp_path):
