@@ -62,8 +62,16 @@ CLOSES = {
 #: Implied ends look no further up than these.
 SCOPES = frozenset("table ul ol dl select html body article section div aside nav main form td th".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+TEXT_OR_COMMENT = re.compile(r"[^<]+|<!--.*?(?:-->|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*>?|<(?![a-zA-Z/])", re.S)
+TAG_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+GAP = re.compile(r"[\s/]*")
+ATTRIBUTE_NAME = re.compile(r"=?[^\s/>=]*")
+EQUALS = re.compile(r"\s*=\s*")
+BARE_VALUE = re.compile(r"[^\s>]*")
+#: Headings are the article's own whatever they are called.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Hints that count inside an article too.
+STRONG = frozenset("ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription".split())
 
 
 class Node:
@@ -75,27 +83,30 @@ class Node:
         self.name, self.hinted, self.children = name, hinted, []
 
 
-def _hinted(attributes: str) -> int:
-    """2 for readers' words and hidden elements, 1 for other hints that the element is no part of the article, else 0."""
+def _hinted(name: str, attributes: list[tuple[str, str]]) -> int:
+    """3 for readers' words and hidden elements, 2 for STRONG hints, 1 for other hints that the element is no part of the article, else 0."""
     hint = 0
-    if not attributes.strip():
-        return hint
-    for key, value in ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'").lower()
+    for key, value in attributes:
+        value = value.lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return 2
+            return 3
         if key == "role" and value in ROLES:
-            hint = 1
-        if key in ("class", "id"):
-            for name in value.split():
-                parts = [x for x in re.split(r"[_-]+", name) if x and not x.isdigit()]
+            hint = max(hint, 1)
+        if key in ("class", "id") and name not in HEADINGS:
+            for word in value.split():
+                parts = [x for x in re.split(r"[_-]+", word) if x and not x.isdigit()]
                 if not HINTS.isdisjoint(parts) and all(x in HINTS or x in JOINED for x in parts):
                     if not READERS.isdisjoint(parts):
-                        return 2
-                    hint = 1
+                        return 3
+                    hint = max(hint, 1 if STRONG.isdisjoint(parts) else 2)
     return hint
 
 
+def _goes(node: Node, inside: bool) -> bool:
+    """The element is no main text by its name or hints; ``inside`` an article only STRONG hints count."""
+    return node.name in DROPPED or node.hinted > int(inside) and node.name != "body" or node.name == "header" and not inside
+
+
 def _unhint(root: Node) -> None:
     """Takes the hint from elements that hold most of the page's text and of its paragraphs, unless its articles are elsewhere."""
     nodes, up, within = [root], [0], [0]
@@ -110,7 +121,7 @@ def _unhint(root: Node) -> None:
                     paragraphs[i] += n
                     if within[i] == 2:
                         articles[i] += n
-            elif child.name not in DROPPED and child.hinted != 2:
+            elif child.name not in DROPPED and child.hinted != 3:
                 if child.hinted:
                     hints.append(len(nodes))
                 nodes.append(child)
@@ -129,58 +140,107 @@ def _unhint(root: Node) -> None:
             nodes[i].hinted = 0
 
 
+class _Open:
+    """The open elements, and where those of each name, and scopes, are among them; every question takes constant time."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.scopes = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.stack))
+        if node.name in SCOPES:
+            self.scopes.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            name = self.stack.pop().name
+            self.places[name].pop()
+            if name in SCOPES:
+                self.scopes.pop()
+
+    def close(self, name: str) -> None:
+        """An end tag: ends the innermost open element of the name, if there is one."""
+        if self.places.get(name):
+            self.cut(self.places[name][-1])
+
+    def end(self, names: tuple[str, ...]) -> None:
+        """Ends open elements of ``names`` from the innermost on, unless a scope lies between."""
+        while True:
+            depth = max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+            if not depth or self.scopes and self.scopes[-1] > depth:
+                return
+            self.cut(depth)
+
+
+def _attributes(text: str, at: int, last: dict[str, int]) -> tuple[int, list[tuple[str, str]], bool]:
+    """Where the tag whose name ends at ``at`` ends, its attributes, and whether it closes itself. ``last``: the last place of either quote.
+
+    A quote opens a value only after an equals sign, and only if the page has another one to close it. A
+    tag without an end reaches to the page's end.
+    """
+    out = []
+    while True:
+        at = GAP.match(text, at).end()
+        if at >= len(text):
+            return at, out, False
+        if text[at] == ">":
+            return at + 1, out, text[at - 1] == "/"
+        name = ATTRIBUTE_NAME.match(text, at)
+        at, value = name.end(), ""
+        equals = EQUALS.match(text, at)
+        if equals:
+            at = equals.end()
+            quote = text[at : at + 1]
+            if at < last.get(quote, -1):
+                end = text.find(quote, at + 1)
+                value, at = text[at + 1 : end], end + 1
+            else:
+                bare = BARE_VALUE.match(text, at)
+                value, at = bare[0], bare.end()
+        out.append((name[0].lower(), html.unescape(value)))
+
+
 def parse(text: str) -> Node:
-    """The page as a tree, with the usual repairs: void and raw elements, implied ends, stray end tags left out."""
+    """The page as a tree, with the usual repairs: void and raw elements, implied ends, stray end tags left out. Takes time in proportion to the page."""
     root = Node("#root", 0)
-    stack, at, n = [root], 0, len(text)
+    opened, at, n = _Open(root), 0, len(text)
+    last = {quote: text.rfind(quote) for quote in "\"'"}
     while at < n:
-        m = TOKEN.match(text, at)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            token = m[0]
-            if token[0] != "<" or token == "<":
-                stack[-1].children.append(token)
+        m = TEXT_OR_COMMENT.match(text, at)
+        if m:
+            at = m.end()
+            if text[m.start()] != "<" or m[0] == "<":
+                opened.stack[-1].children.append(m[0])
             continue
-        name = name.lower()
-        if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == name:
-                    del stack[depth:]
-                    break
+        m = TAG_NAME.match(text, at)
+        if m is None:  # "</" at the page's end
+            break
+        is_end, name = text[at + 1] == "/", m[1].lower()
+        at, attributes, closed = _attributes(text, m.end(), last)
+        if is_end:
+            opened.close(name)
             continue
-        ends = CLOSES.get(name, ())
-        if name in BLOCK and any(x.name == "p" for x in stack[-16:]):
-            _end(stack, ("p",))
-        if ends:
-            _end(stack, ends)
-        node = Node(name, _hinted(m[3]))
-        stack[-1].children.append(node)
-        if name in VOID or m[0].endswith("/>") and name not in BLOCK and name not in RAW:
+        if name in BLOCK:
+            opened.end(("p",))
+        if name in CLOSES:
+            opened.end(CLOSES[name])
+        node = Node(name, _hinted(name, attributes))
+        opened.stack[-1].children.append(node)
+        if name in VOID or closed and name not in BLOCK and name not in RAW:
             continue
         if name in RAW:
-            close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(text, at)
+            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(text, at)
             if close is None:
                 at = n
             else:
                 at = text.find(">", close.end()) + 1 or n
             continue
-        stack.append(node)
+        opened.push(node)
     _unhint(root)
     return root
 
 
-def _end(stack: list[Node], names: tuple[str, ...]) -> None:
-    """Ends the innermost open element of ``names``, unless a scope lies between."""
-    for depth in range(len(stack) - 1, 0, -1):
-        if stack[depth].name in names:
-            del stack[depth:]
-            _end(stack, names)
-            return
-        if stack[depth].name in SCOPES:
-            return
-
-
 def subtree_hashes(root: Node) -> dict[int, int]:
     """A 63-bit hash of the names and text below each container (by ``id`` of the node) that has text and no article in it."""
     out: dict[int, int] = {}
@@ -217,7 +277,7 @@ def _mains(root: Node, hashes: dict[int, int], template: frozenset[int] | set[in
     work: list[tuple[Node, bool, bool]] = [(root, False, False)]
     while work:
         node, article, main = work.pop()
-        if node.name in DROPPED or node.hinted and node.name != "body" or node.name == "header" and not article and not main or hashes.get(id(node)) in template:
+        if _goes(node, article or main) or hashes.get(id(node)) in template:
             continue
         if node.name == "article" and not article:
             found["article"].append(node)
@@ -263,7 +323,7 @@ def _walk(root: Node, template: frozenset[int] | set[int] = frozenset()) -> tupl
             child = node.children[at]
             if isinstance(child, str):
                 line.append(child)
-            elif child.name in DROPPED or child.hinted and child.name != "body" or child.name == "header" and not whole or hashes.get(id(child)) in template:
+            elif _goes(child, whole) or hashes.get(id(child)) in template:
                 if child.name in BLOCK:
                     end_block()
             elif child.name in VOID:
@@ -286,14 +346,15 @@ def main_text(root: Node, template: frozenset[int] | set[int] = frozenset()) ->
 
 def _kept(root: Node) -> set[int]:
     """The ``id`` of each container that neither goes by its name or hints nor lies in one that does."""
-    kept, work = set(), [root]
+    kept, work = set(), [(root, False)]
     while work:
-        node = work.pop()
-        if node.name in DROPPED or node.hinted and node.name != "body":
+        node, inside = work.pop()
+        if node.name != "header" and _goes(node, inside):
             continue
         if node.name in CONTAINERS:
             kept.add(id(node))
-        work.extend(x for x in node.children if not isinstance(x, str))
+        inside = inside or node.name in ("article", "main")
+        work.extend((x, inside) for x in node.children if not isinstance(x, str))
     return kept
 
 

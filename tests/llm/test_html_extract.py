@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from subtide.llm import html_extract as h
@@ -98,3 +101,39 @@ def test_article_that_is_a_teaser():
     assert h.main_text(h.parse(f"<main><div>{LONG}</div>{teaser}</main><p>foot</p>")) == KEPT + "\nRead on"
     box = f"<div>{LONG}</div>"
     assert h.main_text(h.parse(f"{box}<article><p>short</p></article>"), set(h.subtree_hashes(h.parse(box)).values())) == "short"
+
+
+def test_broken_tags_leave_no_markup_and_lose_no_text():
+    text = lambda page: h.main_text(h.parse(page))
+    assert text("<article><p>one</p><a title=it's>two</a></article>") == "one\ntwo"
+    assert text('<p>a</p><p title="x>b') == "a\nb"
+    assert text("<p>a</p><p title='x") == "a"
+    assert text("<p>1 < 2</p></ x><p>b</p></") == "1 < 2\nb"
+    for n in (3, 20, 2000):
+        assert text("<article><p class='ad'>" + "<i>" * n + "promo<div>real text</div></article>") == "real text"
+    assert text("<article><div class='widget search-results'>found</div><h2 id='comments'>on comments</h2><p>x</p><div class='ad-box'>buy</div></article>") == "found\non comments\nx"
+
+
+def test_hostile_pages_take_time_in_proportion():
+    for page in ("<a '" * 250_000, "<i>" * 200_000 + "<hr>" * 100_000, "<div>" * 100_000 + "</b>" * 100_000, "<p><table><td>" * 50_000, '<a b="' * 100_000):
+        began = time.process_time()
+        h.main_text(h.parse(page))
+        assert time.process_time() - began < 8
+
+
+def test_templates_decide_on_sites_of_plain_blocks(spark):
+    """Pages of unnamed blocks alone: what recurs on a host goes, counted by hand from the blocks the pages were made of."""
+    r = random.Random(4)
+    rows, blocks = [], {}
+    for page in range(120):
+        host = page % 4
+        made = [f"Site {host} menu {r.randrange(3)}", f"Site {host} legal", *[f"Story {page} part {k}" for k in range(r.randint(1, 4))], f"Aside {r.randrange(400)}"]
+        blocks[page] = made
+        rows.append((page, f"https://h{host}.example/{page}", "<html><body>" + "".join(f"<div><div>{b}</div></div>" for b in made) + "</body></html>"))
+    want = {}
+    for page, made in blocks.items():
+        same = [b for p, b in blocks.items() if p % 4 == page % 4]
+        on = lambda x: sum(x in b for b in same)
+        want[page] = "\n".join(b for b in made if not (on(b) >= h.MANY_PAGES or on(b) >= h.MIN_PAGES and on(b) >= h.MIN_SHARE * len(same)))
+    got = {x["page_id"]: x["text"] for x in h.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == want and all("legal" not in t for t in got.values())
