@@ -20,7 +20,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -110,16 +109,21 @@ def _index_rows(k: int, buckets: int):
                     ids, sets, size, seq = [], [], 0, seq + 1
         if ids:
             yield flush()
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return rows
 
 
-def _count_shared(rows: pd.DataFrame) -> pd.DataFrame:
+_INDEX = "bucket bigint, chunk bigint, payload binary"
+
+
+def _count_shared(rows: pa.Table) -> pa.Table:
     """For each chunk of a bucket: the owners of the tokens that another chunk has too."""
-    if rows["bucket"].iloc[0] < 0:
+    if rows["bucket"][0].as_py() < 0:
         return rows
-    sizes = [len(x) // 6 for x in rows["payload"]]
-    tokens = np.concatenate([np.frombuffer(x, "<u4", n) for x, n in zip(rows["payload"], sizes)])
+    payloads = [x.as_buffer() for x in rows["payload"]]
+    sizes = [x.size // 6 for x in payloads]
+    tokens = np.concatenate([np.frombuffer(x, "<u4", n) for x, n in zip(payloads, sizes)])
     order = np.argsort(tokens)
     ranked = tokens[order]
     same = np.zeros(len(tokens), bool)
@@ -128,19 +132,24 @@ def _count_shared(rows: pd.DataFrame) -> pd.DataFrame:
     shared = np.empty(len(tokens), bool)
     shared[order] = same
     out, at = [], 0
-    for payload, n in zip(rows["payload"], sizes):
+    for payload, n in zip(payloads, sizes):
         out.append(np.frombuffer(payload, "<u2", n, 4 * n)[shared[at : at + n]].tobytes())
         at += n
-    return pd.DataFrame({"bucket": rows["bucket"], "chunk": rows["chunk"], "payload": out})
+    return pa.table({"bucket": rows["bucket"], "chunk": rows["chunk"], "payload": pa.array(out, pa.binary())})
 
 
-def _sum_shared(rows: pd.DataFrame) -> pd.DataFrame:
-    known = np.frombuffer(rows.loc[rows["bucket"] < 0, "payload"].iloc[0], np.int64).reshape(4, -1)
+def _sum_shared(rows: pa.Table) -> pa.Table:
+    """A chunk's documents: id, size of the set, and how many of its tokens any other document has."""
+    known, counted = None, []
+    for bucket, payload in zip(rows["bucket"].to_pylist(), rows["payload"]):
+        if bucket < 0:
+            known = np.frombuffer(payload.as_buffer(), np.int64).reshape(4, -1)
+        else:
+            counted.append(np.frombuffer(payload.as_buffer(), "<u2"))
     total = known[3].copy()
-    for payload in rows.loc[rows["bucket"] >= 0, "payload"]:
-        total += np.bincount(np.frombuffer(payload, "<u2"), minlength=len(total) + 1)[: len(total)]
-    ids = pd.Series(pd.array(known[0], "Int64")).mask(known[1] == 1)
-    return pd.DataFrame({"doc_id": ids, "n_shingles": known[2], "n_shared": total})
+    for owners in counted:
+        total += np.bincount(owners, minlength=len(total) + 1)[: len(total)]
+    return pa.table({"doc_id": pa.array(known[0], pa.int64(), mask=known[1] == 1), "n_shingles": pa.array(known[2]), "n_shared": pa.array(total)})
 
 
 def shared_shingles(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -151,10 +160,9 @@ def shared_shingles(docs: DataFrame, k: int = 5) -> DataFrame:
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
-    schema = "bucket bigint, chunk bigint, payload binary"
-    index = docs.select("doc_id", "text").mapInArrow(_index_rows(k, buckets), schema)
-    counted = index.groupBy("bucket").applyInPandas(_count_shared, schema)
-    return counted.groupBy("chunk").applyInPandas(_sum_shared, "doc_id bigint, n_shingles bigint, n_shared bigint")
+    index = docs.select("doc_id", "text").mapInArrow(_index_rows(k, buckets), _INDEX)
+    counted = index.groupBy("bucket").applyInArrow(_count_shared, _INDEX)
+    return counted.groupBy("chunk").applyInArrow(_sum_shared, "doc_id bigint, n_shingles bigint, n_shared bigint")
 
 
 # -- 2. the sets of the rest -----------------------------------------------------------------------

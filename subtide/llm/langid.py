@@ -175,6 +175,7 @@ def predict(docs: DataFrame, prototypes: list[tuple[str, np.ndarray]], keep: lis
                         best = int(cosines[i].argmax())
                         pred[at + i], score[at + i] = langs[best], float(min(1.0, max(0.0, cosines[i, best])))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     # The text crosses to Python once, also if it is among the columns to keep.
     sent = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
