@@ -21,8 +21,8 @@ from subtide.llm.words import Cutter, WordIds, slices
 END_OF_WORD = "</w>"
 _END = " "  # stands for the end-of-word mark; no byte is written as a space
 #: Words whose ids are kept, in each of two generations, and pairs of tokens whose compatibility is.
-KEPT_WORDS = 1 << 16
-KEPT_SEAMS = 1 << 17
+KEPT_WORDS = 1 << 15
+KEPT_SEAMS = 1 << 16
 #: Bytes of text encoded, and sent on, at a time.
 SLICE_BYTES = 2 << 20
 _BLOCK = 4096  # positions whose matches are looked up at a time

@@ -23,7 +23,7 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 _WORDS_AND_BLANKS = regex.compile(" |" + WORD)
 
 #: Chunks cut into words at a time.
-BLOCK_CHUNKS = 1 << 15
+BLOCK_CHUNKS = 1 << 13
 
 
 def _newer(text: str) -> bool:
