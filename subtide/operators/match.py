@@ -5,9 +5,10 @@ References and candidates are cue tables keyed by pair_id: one reference and one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from subtide.operators.cues import activity_bins, op_gap
+from subtide.operators.cues import activity_bins, bin_range, op_gap
+from subtide.session import held
 
 #: Width, in bins, of the buckets in which runs of reference and candidate bins meet.
 BUCKET = 600
@@ -65,22 +66,22 @@ def bin_runs(bins: DataFrame) -> DataFrame:
     return bins.withColumn("_g", F.col("bin") - F.row_number().over(order)).groupBy("pair_id", "_g").agg(F.min("bin").alias("a"), (F.max("bin") + 1).alias("b")).select("pair_id", "a", "b")
 
 
-def overlap_slopes(ref_runs: DataFrame, cand_runs: DataFrame, limits: DataFrame) -> DataFrame:
-    """(pair_id, p, w): changes of slope of the overlap as a function of the shift.
+def overlap_slopes(ref_runs: DataFrame, cand_runs: DataFrame) -> DataFrame:
+    """(pair_id, p, w, max_shift): changes of slope of the overlap as a function of the shift.
 
     Two runs overlap as a trapezoid over the shift, which has four corners. So a pair of runs gives four
-    rows, however many bins it has. ``limits`` has each pair's ``max_shift``; runs that no shift within
+    rows, however many bins it has. Reference runs carry their pair's ``max_shift``; runs that no shift within
     it brings together don't meet: candidates are dealt to the buckets they cover, references to those
     they can reach, and the two meet in the first bucket common to both.
     """
     spread = lambda low, high: F.explode(F.sequence(F.floor(low / BUCKET), F.floor((high - 1) / BUCKET)))
-    r = ref_runs.join(limits, "pair_id").select("pair_id", "max_shift", "a", "b", (F.col("a") - F.col("max_shift")).alias("_lo"), (F.col("b") + F.col("max_shift")).alias("_hi"))
+    r = ref_runs.select("pair_id", "max_shift", "a", "b", (F.col("a") - F.col("max_shift")).alias("_lo"), (F.col("b") + F.col("max_shift")).alias("_hi"))
     r = r.withColumn("bucket", spread(F.col("_lo"), F.col("_hi"))).withColumn("_rb", F.floor(F.col("_lo") / BUCKET))
     c = cand_runs.select("pair_id", F.col("a").alias("c"), F.col("b").alias("d")).withColumn("bucket", spread(F.col("c"), F.col("d"))).withColumn("_cb", F.floor(F.col("c") / BUCKET))
     met = r.join(c, ["pair_id", "bucket"]).where((F.col("bucket") == F.greatest("_rb", "_cb")) & (F.col("d") > F.col("_lo")) & (F.col("c") < F.col("_hi")))
     corners = [("a - d", 1), ("least(a - c, b - d)", -1), ("greatest(a - c, b - d)", -1), ("b - c", 1)]
     rows = F.array(*[F.struct(F.expr(p).cast("long").alias("p"), F.lit(w).alias("w")) for p, w in corners])
-    return met.select("pair_id", F.explode(rows).alias("x")).groupBy("pair_id", "x.p").agg(F.sum("x.w").alias("w"))
+    return met.select("pair_id", "max_shift", F.explode(rows).alias("x")).groupBy("pair_id", "x.p").agg(F.sum("x.w").alias("w"), F.max("max_shift").alias("max_shift"))
 
 
 def overlaps_at(slopes: DataFrame, shifts: DataFrame) -> DataFrame:
@@ -94,45 +95,60 @@ def overlaps_at(slopes: DataFrame, shifts: DataFrame) -> DataFrame:
 def xcorr_pairs(ref_bins: DataFrame, cand_bins: DataFrame, max_shift: int) -> DataFrame:
     """(pair_id, shift, n) for every shift within ±max_shift at which bins of both sides overlap: n of them."""
     pairs = ref_bins.select("pair_id").intersect(cand_bins.select("pair_id")).withColumn("max_shift", F.lit(max_shift).cast("long"))
-    slopes = overlap_slopes(bin_runs(ref_bins), bin_runs(cand_bins), pairs)
+    slopes = overlap_slopes(bin_runs(ref_bins).join(pairs, "pair_id"), bin_runs(cand_bins))
     spine = pairs.select("pair_id", F.explode(F.sequence(-F.col("max_shift"), F.col("max_shift"))).alias("shift"))
     return overlaps_at(slopes, spine).where("n > 0")
 
 
-def best_shift(ref_bins: DataFrame, cand_bins: DataFrame, limits: DataFrame) -> DataFrame:
-    """pair_id, shift with the most overlap within ±max_shift (the lowest of equals), n, and both energies.
+def paired_runs(ref: DataFrame, cand: DataFrame, width: int, max_shift_ms: int | Column) -> DataFrame:
+    """(pair_id, side, a, b, max_shift): runs [a, b) of the bins that the cues of a side (0: reference) touch, of pairs with cues on both sides.
+
+    Cues are merged as intervals in their order, so no bin is ever a row. ``max_shift``: ``max_shift_ms`` (a number, or
+    an expression over pair_id) in bins, not beyond the timeline. One shuffle by pair_id serves all of it.
+    """
+    both = ref.select("pair_id", F.lit(0).alias("side"), "start_ms", "end_ms").union(cand.select("pair_id", F.lit(1), "start_ms", "end_ms"))
+    pair, place = Window.partitionBy("pair_id"), Window.partitionBy("pair_id", "side").orderBy("_f", "_l")
+    end = lambda side: F.max(F.when(F.col("side") == side, F.col("end_ms"))).over(pair)
+    bins = F.ceil(F.greatest("_r", "_c", F.lit(0)) / width)
+    ms = max_shift_ms if isinstance(max_shift_ms, Column) else F.lit(max_shift_ms)
+    first, last = bin_range(F.col("start_ms"), F.col("end_ms"), bins, width)
+    spans = both.withColumns({"_r": end(0), "_c": end(1)}).where("_r IS NOT NULL AND _c IS NOT NULL")
+    spans = spans.select("pair_id", "side", first.alias("_f"), last.alias("_l"), F.least(F.floor(ms / width), bins - 1).cast("long").alias("max_shift")).where("max_shift >= 0 AND _l >= _f")
+    reached = F.max("_l").over(place.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("_new", F.coalesce(F.col("_f") > reached + 1, F.lit(True)).cast("long"))
+    spans = spans.withColumn("_g", F.sum("_new").over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    return spans.groupBy("pair_id", "side", "_g").agg(F.min("_f").alias("a"), (F.max("_l") + 1).alias("b"), F.first("max_shift").alias("max_shift")).drop("_g")
+
+
+def best_shift(runs: DataFrame) -> DataFrame:
+    """pair_id, shift with the most overlap within ±max_shift (the lowest of equals), n, and both energies (bins of a side), of :func:`paired_runs`.
 
     The overlap is straight between corners, so its greatest value lies at a corner or at the range's ends.
     """
-    slopes = overlap_slopes(bin_runs(ref_bins), bin_runs(cand_bins), limits)
-    corners = slopes.join(limits, "pair_id").where("p BETWEEN -max_shift AND max_shift").select("pair_id", F.col("p").alias("shift"))
-    ends = limits.select("pair_id", F.explode(F.array(-F.col("max_shift"), F.col("max_shift"))).alias("shift"))
-    at = overlaps_at(slopes, corners.union(ends).distinct())
-    best = at.groupBy("pair_id").agg(F.max(F.struct("n", (-F.col("shift")).alias("_s"))).alias("_m")).select("pair_id", (-F.col("_m._s")).alias("shift"), F.col("_m.n").alias("n"))
-    energy = lambda bins, name: bins.groupBy("pair_id").agg(F.count(F.lit(1)).alias(name))
-    return best.join(energy(ref_bins, "ref_energy"), "pair_id").join(energy(cand_bins, "cand_energy"), "pair_id")
-
-
-def _limits(ref: DataFrame, cand: DataFrame, width: int, max_shift_ms) -> DataFrame:
-    """max_shift in bins per pair that has cues on both sides: not beyond the timeline. ``max_shift_ms``: a number, or a table (pair_id, ms)."""
-    ends = ref.groupBy("pair_id").agg(F.max("end_ms").alias("_r")).join(cand.groupBy("pair_id").agg(F.max("end_ms").alias("_c")), "pair_id")
-    ends = ends.join(max_shift_ms, "pair_id") if isinstance(max_shift_ms, DataFrame) else ends.withColumn("ms", F.lit(max_shift_ms))
-    bins = F.ceil(F.greatest("_r", "_c") / width)
-    return ends.select("pair_id", F.least(F.floor(F.col("ms") / width), bins - 1).alias("max_shift")).where("max_shift >= 0")
-
-
-def estimate_offset(ref: DataFrame, cand: DataFrame, width: int = 100, max_shift_ms=15_000, least: float = 0.4) -> DataFrame:
-    """(pair_id, offset_ms): how far the candidate is to be moved. Pairs whose best overlap is under ``least`` of the energies' mean are absent."""
-    ref_bins, cand_bins = paired_bins(ref, cand, width)
-    best = best_shift(ref_bins, cand_bins, _limits(ref, cand, width, max_shift_ms))
+    slopes = overlap_slopes(runs.where("side = 0"), runs.where("side = 1"))
+    energy = lambda side: F.sum(F.when(F.col("side") == side, F.col("b") - F.col("a")))
+    energies = runs.groupBy("pair_id").agg(energy(0).alias("ref_energy"), energy(1).alias("cand_energy"), F.max("max_shift").alias("max_shift")).where("ref_energy > 0 AND cand_energy > 0")
+    ends = energies.select("pair_id", F.explode(F.array(-F.col("max_shift"), F.col("max_shift"))).alias("p"), F.lit(0).cast("long").alias("w"), "max_shift")
+    upto = Window.partitionBy("pair_id").orderBy("p").rangeBetween(Window.unboundedPreceding, 0)
+    n = F.col("p") * F.sum("w").over(upto) - F.sum(F.col("w") * F.col("p")).over(upto)
+    at = slopes.unionByName(ends).withColumn("n", n).where("p BETWEEN -max_shift AND max_shift")
+    best = at.groupBy("pair_id").agg(F.max(F.struct("n", (-F.col("p")).alias("_s"))).alias("_m")).select("pair_id", (-F.col("_m._s")).alias("shift"), F.col("_m.n").alias("n"))
+    return best.join(energies.drop("max_shift"), "pair_id")
+
+
+def estimate_offset(ref: DataFrame, cand: DataFrame, width: int = 100, max_shift_ms: int | Column = 15_000, least: float | Column = 0.4) -> DataFrame:
+    """(pair_id, offset_ms): how far the candidate is to be moved. Pairs whose best overlap is under ``least`` of the energies' mean are absent.
+
+    ``max_shift_ms`` and ``least`` are numbers or expressions over pair_id, which may be a struct.
+    """
+    best = best_shift(paired_runs(ref, cand, width, max_shift_ms))
     good = best.where(F.col("n") / F.sqrt(F.col("ref_energy") * F.col("cand_energy")) >= least)
     return good.select("pair_id", (F.col("shift") * width).alias("offset_ms"))
 
 
 def similarity(ref: DataFrame, cand: DataFrame, width: int = 2000, max_shift: int = 15) -> DataFrame:
     """(pair_id, score): the greatest overlap within ±max_shift bins over the energies' geometric mean, 1 at most."""
-    ref_bins, cand_bins = paired_bins(ref, cand, width)
-    best = best_shift(ref_bins, cand_bins, _limits(ref, cand, width, max_shift * width))
+    best = best_shift(paired_runs(ref, cand, width, max_shift * width))
     return best.select("pair_id", F.least(F.lit(1.0), F.col("n") / F.sqrt(F.col("ref_energy") * F.col("cand_energy"))).alias("score"))
 
 
@@ -204,15 +220,24 @@ def align_plan(ref: DataFrame, cand: DataFrame, least_ms: int = 150) -> DataFram
     Without an opening gap in the reference: the global offset. With one, offsets of the parts before and
     after it; where one is missing the other serves. Offsets under ``least_ms`` are noise and become 0.
     """
-    gaps = op_gap(ref, "pair_id")
+    gaps = held(op_gap(ref, "pair_id"))  # a row a pair at most
     pairs = ref.select("pair_id").distinct().join(cand.select("pair_id").distinct(), "pair_id").join(gaps, "pair_id", "left")
-    plain, gapped = ref.join(gaps, "pair_id", "left_anti"), ref.join(gaps, "pair_id")
-    whole = estimate_offset(plain, cand.join(plain.select("pair_id").distinct(), "pair_id", "left_semi")).withColumnRenamed("offset_ms", "whole_ms")
-    inside = cand.join(gaps.select("pair_id"), "pair_id", "left_semi")
-    pre = estimate_offset(gapped.where("end_ms <= gap_start"), inside, least=0.2).withColumnRenamed("offset_ms", "_pre")
-    reach = gaps.select("pair_id", (F.col("gap_end") - F.col("gap_start") + 30_000).alias("ms"))
-    post = estimate_offset(gapped.where("start_ms >= gap_end"), inside, max_shift_ms=reach, least=0.2).withColumnRenamed("offset_ms", "_post")
-    found = pairs.join(whole, "pair_id", "left").join(pre, "pair_id", "left").join(post, "pair_id", "left")
+    # One estimate for all parts: a part is keyed by its pair, its name and how far it may be moved.
+    reach = F.when(F.col("part") == "post", F.col("gap_end") - F.col("gap_start") + 30_000).otherwise(15_000).cast("long")
+
+    def parts(side: DataFrame, names: Column) -> DataFrame:
+        dealt = side.select("pair_id", "start_ms", "end_ms").join(gaps, "pair_id", "left").withColumn("part", F.explode(names))
+        return dealt.select(F.struct("pair_id", "part", reach.alias("ms")).alias("pair_id"), "start_ms", "end_ms")
+
+    name = lambda test, x: F.when(test, F.lit(x))
+    gapped = F.col("gap_start").isNotNull()
+    in_ref = F.array_compact(F.array(name(~gapped, "whole"), name(F.col("end_ms") <= F.col("gap_start"), "pre"), name(F.col("start_ms") >= F.col("gap_end"), "post")))
+    in_cand = F.when(gapped, F.array(F.lit("pre"), F.lit("post"))).otherwise(F.array(F.lit("whole")))
+    least = F.when(F.col("pair_id.part") == "whole", 0.4).otherwise(0.2)
+    offsets = estimate_offset(parts(ref, in_ref), parts(cand, in_cand), max_shift_ms=F.col("pair_id.ms"), least=least)
+    of = lambda part: F.max(F.when(F.col("pair_id.part") == part, F.col("offset_ms")))
+    by_pair = offsets.groupBy(F.col("pair_id.pair_id").alias("pair_id")).agg(of("whole").alias("whole_ms"), of("pre").alias("_pre"), of("post").alias("_post"))
+    found = pairs.join(by_pair, "pair_id", "left")
     found = found.withColumns({"_a": F.coalesce("_pre", "_post"), "_b": F.coalesce("_post", "_pre")})
     solid = lambda x: F.when(F.abs(x) >= least_ms, x).otherwise(0)
     split = F.abs(F.col("_a") - F.col("_b")) >= least_ms
@@ -234,7 +259,7 @@ def apply_shift(cand: DataFrame, plan: DataFrame) -> DataFrame:
 
 def best_candidates(ref: DataFrame, cand: DataFrame) -> DataFrame:
     """Per pair the line-match score before and after alignment, and how far off the candidate is; best first."""
-    plan = align_plan(ref, cand)
+    plan = held(align_plan(ref, cand))  # a row a pair
     before = line_match_score(ref, cand).select("pair_id", F.col("score").alias("score_before"))
     after = line_match_score(ref, apply_shift(cand, plan)).select("pair_id", F.col("score").alias("score_after"))
     return plan.join(before, "pair_id").join(after, "pair_id").orderBy(F.desc("score_after"), "pair_id")

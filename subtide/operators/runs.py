@@ -20,8 +20,8 @@ def match_runs(before: DataFrame, after: DataFrame) -> DataFrame:
     used once, by the first that comes; a pair whose stages differ is excluded and uses nothing up. Rows
     without hash and without type or title match nothing.
 
-    Rows that no earlier row contends with are settled at once, all in one round; the others wait for the
-    round after those they wait for.
+    Settled in rounds: a row whose first open choice no earlier row can still take has it, and later rows
+    lose that choice at once. So a key that many rows share takes one round, not one for each of them.
     """
     last = lambda *keys: Window.partitionBy(*keys).orderBy(F.desc("no"))
     ident = ["media_type", "title", "season", "episode"]
@@ -34,30 +34,21 @@ def match_runs(before: DataFrame, after: DataFrame) -> DataFrame:
     for c in ident:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     b = b.join(by_id, same, "left")
-    rows = b.select(F.col("no").alias("b"), "h_no", "i_no", (F.col("stages") == F.col("h_stages")).alias("h_ok"), (F.col("stages") == F.col("i_stages")).alias("i_ok")).where("h_no IS NOT NULL OR i_no IS NOT NULL")
-    waiting, used, out = held(rows), None, None
-    while waiting.limit(1).count():
-        wants = waiting.select("b", F.explode(F.array_distinct(F.filter(F.array("h_no", "i_no"), lambda x: x.isNotNull()))).alias("n"))
-        first = wants.groupBy("n").agg(F.min("b").alias("first_b"))
-        ready = wants.join(first, "n").groupBy("b").agg(F.min(F.col("first_b") == F.col("b")).alias("ready")).where("ready").select("b")
-        now = waiting.join(ready, "b", "left_semi")
-        if used is not None:
-            taken = lambda c: used.select(F.col("u").alias(c), F.lit(True).alias(f"{c}_used"))
-            now = now.join(taken("h_no"), "h_no", "left").join(taken("i_no"), "i_no", "left")
-        else:
-            now = now.withColumns({"h_no_used": F.lit(None).cast("boolean"), "i_no_used": F.lit(None).cast("boolean")})
-        h_free, i_free = F.col("h_no").isNotNull() & F.col("h_no_used").isNull(), F.col("i_no").isNotNull() & F.col("i_no_used").isNull()
-        settled = held(now.select(
-            F.col("b").alias("before_no"), F.when(h_free, F.col("h_no")).when(i_free, F.col("i_no")).alias("after_no"),
-            F.when(h_free, "hash").when(i_free, "identity").alias("how"), F.coalesce(F.when(h_free, ~F.col("h_ok")).when(i_free, ~F.col("i_ok")), F.lit(False)).alias("excluded"),
-        ))
+    rows = b.select(F.col("no").alias("b"), "h_no", "i_no", F.coalesce(F.col("stages") == F.col("h_stages"), F.lit(True)).alias("h_ok"), F.coalesce(F.col("stages") == F.col("i_stages"), F.lit(True)).alias("i_ok")).where("h_no IS NOT NULL OR i_no IS NOT NULL")
+    waiting, out = held(rows), None
+    while out is None or not waiting.isEmpty():
+        choice = F.coalesce("h_no", "i_no")
+        takes = F.filter(F.array(F.when(F.col("h_ok"), F.col("h_no")), F.when(F.col("i_ok"), F.col("i_no"))), lambda x: x.isNotNull())
+        first = waiting.select("b", F.explode(takes).alias("n")).groupBy("n").agg(F.min("b").alias("first_b"))
+        how, ok = F.when(F.col("h_no").isNotNull(), "hash").otherwise("identity"), F.when(F.col("h_no").isNotNull(), F.col("h_ok")).otherwise(F.col("i_ok"))
+        step = held(waiting.withColumns({"n": choice, "how": how, "ok": ok}).join(first, "n", "left").withColumn("settled", F.coalesce(F.col("first_b") >= F.col("b"), F.lit(True))))
+        settled = step.where("settled").select(F.col("b").alias("before_no"), F.col("n").alias("after_no"), "how", (~F.col("ok")).alias("excluded"))
         out = settled if out is None else out.union(settled)
-        consumed = settled.where("after_no IS NOT NULL AND NOT excluded").select(F.col("after_no").alias("u"))
-        used = consumed if used is None else used.union(consumed)
-        waiting = held(waiting.join(ready, "b", "left_anti"))
-    if out is None:
-        out = rows.select(F.col("b").alias("before_no"), F.col("h_no").alias("after_no"), F.lit("").alias("how"), F.lit(False).alias("excluded"))
-    return out.where("after_no IS NOT NULL")
+        taken = lambda c: step.where("settled AND ok").select(F.col("n").alias(c), F.col("b").alias(f"{c}_by"))
+        rest = step.where("NOT settled").select("b", "h_no", "i_no", "h_ok", "i_ok").join(taken("h_no"), "h_no", "left").join(taken("i_no"), "i_no", "left")
+        open_still = lambda c: F.when(F.coalesce(F.col(f"{c}_by") > F.col("b"), F.lit(True)), F.col(c)).alias(c)
+        waiting = held(rest.select("b", open_still("h_no"), open_still("i_no"), "h_ok", "i_ok").where("h_no IS NOT NULL OR i_no IS NOT NULL"))
+    return out
 
 
 def compare_runs(before: DataFrame, after: DataFrame, pairs: DataFrame, total: bool = False) -> DataFrame:
