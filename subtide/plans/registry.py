@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from subtide.operators import match
-from subtide.plans import cue_queries, edge_queries, frame_queries, match_queries, run_queries, select_queries, text_queries, training_queries
+from subtide.plans import cue_queries, edge_queries, fetch_queries, frame_queries, match_queries, run_queries, select_queries, text_queries, training_queries
 from subtide.sources import adapters
 
-MODULES = [cue_queries, match_queries, text_queries, run_queries, frame_queries, select_queries, edge_queries, training_queries]
+MODULES = [cue_queries, match_queries, text_queries, run_queries, frame_queries, select_queries, edge_queries, fetch_queries, training_queries]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
