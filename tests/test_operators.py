@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from subtide.functions import text as t
-from subtide.operators import cues as c, match as m, runs as r, select as s, translate as tr, units as u
+from subtide.operators import cues as c, fetch, match as m, runs as r, select as s, translate as tr, units as u
 from subtide.sources import files as f
 
 CUES = "track_id bigint, cue_no bigint, start_ms bigint, end_ms bigint, style string, raw_text string, text string"
@@ -182,3 +182,23 @@ def test_pages_probe(spark):
     assert tuple(s.explode_streams(df).first())[1:] == (2, 0, "ass", "eng", "Full")
     facts = s.probe_facts(df).first()
     assert facts["title"] == "T" and abs(facts["fps"] - 23.976) < 0.001 and facts["fonts"] == ["a.ttf"]
+
+
+def test_fetch_keeps_the_best_and_good_others(spark):
+    kind = "media_id bigint, source string, subtitle_id string, language string, score double, hash_match boolean, pair_id string"
+    rows = [(1, "a", "1", "pol", 0.6, False, "p1"), (1, "a", "2", "pol", 0.7, False, "p2"), (1, "b", "3", "pol", 0.7, True, "p3"), (1, "b", "4", "eng", 0.7, True, "p4"), (2, "a", "5", "pol", 0.6, False, "p5"), (2, "a", "6", "pol", 0.9, False, "p6")]
+    found = spark.createDataFrame(rows, kind)
+    scores = spark.createDataFrame([("p1", 0.9), ("p2", 0.8), ("p3", 0.7), ("p4", 0.4)], "pair_id string, score double")
+    media = spark.createDataFrame([(1,)], "media_id bigint")
+    got = lambda f, s, m: sorted((r["pair_id"], r["place"], r["match_score"]) for r in fetch.keep_valid(f, s, m).collect())
+    assert got(found, scores, media) == [("p1", 1, 0.9), ("p2", 2, 0.8), ("p6", 1, None)]
+    assert got(found.limit(0), scores, media) == []
+    assert got(found, scores.limit(0), media.limit(0)) == [("p3", 1, None), ("p4", 1, None), ("p6", 1, None)]
+
+
+def test_match_runs_settles_chains_in_order(spark):
+    kind = "no bigint, hash string, media_type string, title string, season int, episode int, stages array<string>"
+    before = [(1, "h", "tv", "a", 1, 1, ["x"]), (2, "h", "tv", "b", 1, 2, ["x"]), (3, "h", "tv", "b", 1, 2, ["x"]), (4, None, "tv", "c", 1, 3, None), (5, "k", None, None, None, None, ["y"]), (6, "k", None, None, None, None, ["x"])]
+    after = [(10, "h", "tv", "a", 1, 1, ["x"]), (11, None, "tv", "b", 1, 2, ["x"]), (12, None, "tv", "c", 1, 3, ["x"]), (13, "k", None, None, None, None, ["x"])]
+    got = r.match_runs(spark.createDataFrame(before, kind), spark.createDataFrame(after, kind)).collect()
+    assert sorted(map(tuple, got)) == [(1, 10, "hash", False), (2, 11, "identity", False), (4, 12, "identity", False), (5, 13, "hash", True), (6, 13, "hash", False)]
