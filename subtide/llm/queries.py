@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from subtide.llm import bpe, decontaminate, html_extract, jaccard_join, langid, license_scan, media_columns, pipeline, sharding, token_files, url_filter
+from subtide.llm import bpe, byte_bpe, decontaminate, html_extract, jaccard_join, langid, license_scan, media_columns, pipeline, sharding, token_files, url_filter
 from subtide.llm.vocabulary import word_bpe_path
 from subtide.session import table, written
 
@@ -66,6 +66,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe_path("byte_bpe_50k.tiktoken"))
+
+
 _LOWER_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP3_SQL = f"""
@@ -143,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
+    "op12_byte_bpe": op12_byte_bpe,
     "pipeline": pipeline.run,
 }
 ORACLES = {"op3_url_filter": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op8_license_scan": license_scan.oracle_sql(), "op9_sharding": OP9_SQL, "op10_decontamination": OP10_SQL}
