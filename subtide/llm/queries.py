@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from subtide.llm import bpe, byte_bpe, decontaminate, html_extract, jaccard_join, langid, license_scan, media_columns, pipeline, sharding, token_files, url_filter
+from subtide.llm import bpe, byte_bpe, decontaminate, divergence, html_extract, jaccard_join, langid, license_scan, media_columns, merkle, pipeline, sharding, token_files, url_filter
 from subtide.llm.vocabulary import word_bpe_path
 from subtide.session import table, written
 
@@ -66,10 +66,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe_path("byte_bpe_50k.tiktoken"))
 
 
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 _LOWER_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP3_SQL = f"""
@@ -136,6 +144,67 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM dw LEFT JOIN covered USING (n) LEFT JOIN items USING (n)
 """
 
+def _op11_sql(depth: int = 8) -> str:
+    """Both trees level by level, ``depth`` of them (8^depth leaves): a level with more than one node is hashed in runs of eight."""
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda h: (instr('0123456789ABCDEF', h[1]) * 16 + instr('0123456789ABCDEF', h[2]) - 17)::BIGINT)), lambda c, b: {_CRC_BYTE}), 4294967295)"
+    field = lambda x: f"coalesce(strlen(({x})::VARCHAR)::VARCHAR || ':' || ({x})::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    parts = [
+        f"raw AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(_LOWER_AZ.format('text'))} END AS tampered FROM documents)",
+        "doc AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM raw)",
+        "a0 AS (SELECT g, i, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM doc)",
+    ]
+
+    def tree(t: str) -> None:
+        for k in range(depth):
+            side = lambda frame: f"coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN {frame}), '')"
+            parts.append(f"{t}s{k} AS (SELECT g, i, n, {side('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS l, {side('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS r FROM {t}{k})")
+            parts.append(
+                f"{t}{k + 1} AS (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM ("
+                f"SELECT g, i // 8 AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {t}{k} GROUP BY g, i // 8))"
+            )
+
+    def climb(t: str, source: str, key: str) -> str:
+        for k in range(depth):
+            at = f"{t}w{k}"
+            parts.append(
+                f"{at} AS (SELECT w.* REPLACE (CASE WHEN n = 1 THEN h ELSE sha256(l || h || r) END AS h, CASE WHEN n = 1 THEN proof ELSE proof || l || r END AS proof) "
+                f"FROM {source} w JOIN {t}s{k} s ON s.g = w.{key} AND s.i = w.{t}_i // {8**k})"
+            )
+            source = at
+        return source
+
+    tree("a")
+    parts.append(f"top AS (SELECT a.g AS of, '' AS g, row_number() OVER (ORDER BY a.g) - 1 AS b_i, h AS subroot FROM a{depth} a)")
+    parts.append("b0 AS (SELECT g, b_i AS i, subroot AS h, count(*) OVER () AS n FROM top)")
+    tree("b")
+    parts.append("start AS (SELECT doc_id, doc.g AS of, top.g AS one, doc.i AS a_i, b_i, leaf, subroot, coalesce(tampered, leaf) AS h, '' AS proof FROM doc JOIN top ON top.of = doc.g)")
+    last = climb("b", climb("a", "start", "of"), "one")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, b.h AS root, sha256(proof) AS proof_sha256, w.h AS folded_root, w.h = b.h AS verified FROM {last} w CROSS JOIN b{depth} b"
+
+
+# Every term of a language priced in every group of it.
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER_AZ.format('text')}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS ln FROM t GROUP BY ALL HAVING count(DISTINCT i) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(ln) AS lt FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, ln FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT lang, source, sum(n) AS total FROM x GROUP BY ALL),
+p AS (
+  SELECT x.lang, x.source, term, n, (1 + 1000000000::HUGEINT * (n + 5) // (total + 5 * v))::BIGINT AS p, (1 + 1000000000::HUGEINT * (ln + 5) // (lt + 5 * v))::BIGINT AS q
+  FROM x JOIN s USING (lang, source) JOIN v USING (lang)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_token_files": op2_token_files,
@@ -147,10 +216,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_divergence_audit": op13_divergence_audit,
     "pipeline": pipeline.run,
 }
-ORACLES = {"op3_url_filter": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op8_license_scan": license_scan.oracle_sql(), "op9_sharding": OP9_SQL, "op10_decontamination": OP10_SQL}
+ORACLES = {"op3_url_filter": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op8_license_scan": license_scan.oracle_sql(), "op9_sharding": OP9_SQL, "op10_decontamination": OP10_SQL, "op11_merkle_manifest": _op11_sql(), "op13_divergence_audit": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
