@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from subtide.session import held
@@ -12,16 +15,106 @@ def stage_set(spans: DataFrame, keys: list[str]) -> DataFrame:
     return spans.groupBy(*keys).agg(F.array_sort(F.collect_set(F.split_part("name", F.lit("."), F.lit(1)))).alias("stages"))
 
 
+#: Links that one task joins into components, and steps of a component that one task follows, at a time.
+LINKS_A_TASK = 1 << 19
+STEPS_A_TASK = 1 << 19
+
+
+def _forest(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The components of a task's links (u, v): every node but the smallest of each, with the smallest."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        root = x
+        while up.get(root, root) != root:
+            root = up[root]
+        while up.get(x, x) != root:
+            up[x], x = root, up.get(x, x)
+        return root
+
+    for pdf in rows:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
+            a, b = sorted((top(u), top(v)))
+            if a != b:
+                up[b] = a
+    nodes = list(up)
+    yield pd.DataFrame({"v": pd.Series(nodes, dtype="int64"), "m": pd.Series([top(x) for x in nodes], dtype="int64")})
+
+
+def link_components(links: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of ``links`` (u, v), component being a node of it; a component's own name has no row.
+
+    Each task joins LINKS_A_TASK links; a node then hangs on the least that any task found for it, and what else was found is
+    a link between these. So every level leaves only such heads, until one task sees all links that are left.
+    """
+    links, levels = held(links.where("u <> v").distinct()), []
+    while True:
+        tasks = -(-links.count() // LINKS_A_TASK)
+        found = held((links.coalesce(1) if tasks <= 1 else links.repartition(tasks)).mapInPandas(_forest, "v bigint, m bigint"))
+        hung = found.groupBy("v").agg(F.min("m").alias("m"))
+        levels.append(hung)
+        if tasks <= 1:
+            break
+        others = found.join(hung.withColumnRenamed("m", "least"), "v").where("m <> least").select(F.col("m").alias("u"), F.col("least").alias("v"))
+        heads = hung.join(found.select(F.col("m").alias("v")).distinct(), "v", "left_semi").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = held(others.union(heads).distinct())
+    named = levels.pop().select(F.col("v").alias("node"), F.col("m").alias("component"))
+    while levels:
+        hung = levels.pop()
+        above = named.select(F.col("node").alias("m"), F.col("component").alias("c"))
+        here = hung.join(above, "m", "left").select(F.col("v").alias("node"), F.coalesce("c", "m").alias("component"))
+        named = held(here.union(named.join(hung.select(F.col("v").alias("node")), "node", "left_anti")))
+    return named
+
+
+def _arrivals(sources: DataFrame, steps: DataFrame) -> DataFrame:
+    """(n, t): when each node is first reached. ``sources`` (n, t); ``steps`` (b, h, n): at time b from h to n, if h was reached before b.
+
+    What can be told from bounds is told by joins: a step from a node with an earlier source goes for certain, one that nothing
+    reaches in time never does. The rest form components, each followed in order of time by one task, STEPS_A_TASK steps
+    at a time: only the times of nodes go on to the next part, so a component of any size fits.
+    """
+    known = sources.groupBy("n").agg(F.min("t").alias("t"))
+    from_, to = known.select(F.col("n").alias("h"), F.col("t").alias("t_h")), known.select("n", F.col("t").alias("t_n"))
+    open_ = held(steps.where("h <> n").join(to, "n", "left").where("t_n IS NULL OR b < t_n").join(from_, "h", "left").select("b", "h", "n", "t_h"))
+    certain = open_.where("t_h < b").groupBy("n").agg(F.min("b").alias("t"))
+    times = held(known.union(certain).groupBy("n").agg(F.min("t").alias("t")))
+    earliest = open_.groupBy(F.col("n").alias("h")).agg(F.min("b").alias("_in"))
+    unsure = held(open_.where("t_h IS NULL OR t_h >= b").join(earliest, "h").where("_in < b").select("b", "h", "n"))
+    if unsure.isEmpty():
+        return times
+    names = link_components(unsure.select(F.col("h").alias("u"), F.col("n").alias("v"))).withColumnRenamed("node", "h")
+    named = unsure.join(names, "h", "left").withColumn("c", F.coalesce("component", "h"))
+    place = F.row_number().over(Window.partitionBy("c").orderBy("b", "h", "n")) - 1
+    parted = held(named.select("c", "b", "h", "n", F.floor(place / STEPS_A_TASK).alias("part")))
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        never = float("inf")
+        at = dict(zip(pdf["h"].tolist(), pdf["t_h"].fillna(never).tolist())) | dict(zip(pdf["n"].tolist(), pdf["t_n"].fillna(never).tolist()))
+        new = {}
+        for b, h, n in sorted(zip(pdf["b"].tolist(), pdf["h"].tolist(), pdf["n"].tolist())):
+            if at[h] < b < at[n]:
+                at[n] = new[n] = b
+        return pd.DataFrame({"n": pd.Series(list(new), dtype="int64"), "t": pd.Series(list(new.values()), dtype="int64")})
+
+    for part in range(parted.agg(F.max("part")).first()[0] + 1):
+        from_, to = times.select(F.col("n").alias("h"), F.col("t").alias("t_h")), times.select("n", F.col("t").alias("t_n"))
+        some = parted.where(F.col("part") == part).join(from_, "h", "left").join(to, "n", "left").select("c", "b", "h", "n", F.col("t_h").cast("double"), F.col("t_n").cast("double"))
+        times = held(times.union(some.groupBy("c").applyInPandas(follow, "n bigint, t bigint")).groupBy("n").agg(F.min("t").alias("t")))
+    return times
+
+
 def match_runs(before: DataFrame, after: DataFrame) -> DataFrame:
     """(before_no, after_no, how, excluded) for the videos of two runs.
 
-    Both sides: no (order), hash, media_type, title, season, episode, stages. A video is matched by hash,
+    Both sides: no (order, unique, below 2^53), hash, media_type, title, season, episode, stages. A video is matched by hash,
     else by identity (null-safe); of several after-videos with one key the last counts; an after-video is
     used once, by the first that comes; a pair whose stages differ is excluded and uses nothing up. Rows
     without hash and without type or title match nothing.
 
-    Settled in rounds: a row whose first open choice no earlier row can still take has it, and later rows
-    lose that choice at once. So a key that many rows share takes one round, not one for each of them.
+    All that a row needs to know is when its two choices are taken. A choice by hash is taken by its first row that fits; one by
+    identity by the first row that fits and whose hash was taken before: so takings arrive along rows in order of time, see
+    ``_arrivals``.
     """
     last = lambda *keys: Window.partitionBy(*keys).orderBy(F.desc("no"))
     ident = ["media_type", "title", "season", "episode"]
@@ -34,21 +127,18 @@ def match_runs(before: DataFrame, after: DataFrame) -> DataFrame:
     for c in ident:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     b = b.join(by_id, same, "left")
-    rows = b.select(F.col("no").alias("b"), "h_no", "i_no", F.coalesce(F.col("stages") == F.col("h_stages"), F.lit(True)).alias("h_ok"), F.coalesce(F.col("stages") == F.col("i_stages"), F.lit(True)).alias("i_ok")).where("h_no IS NOT NULL OR i_no IS NOT NULL")
-    waiting, out = held(rows), None
-    while out is None or not waiting.isEmpty():
-        choice = F.coalesce("h_no", "i_no")
-        takes = F.filter(F.array(F.when(F.col("h_ok"), F.col("h_no")), F.when(F.col("i_ok"), F.col("i_no"))), lambda x: x.isNotNull())
-        first = waiting.select("b", F.explode(takes).alias("n")).groupBy("n").agg(F.min("b").alias("first_b"))
-        how, ok = F.when(F.col("h_no").isNotNull(), "hash").otherwise("identity"), F.when(F.col("h_no").isNotNull(), F.col("h_ok")).otherwise(F.col("i_ok"))
-        step = held(waiting.withColumns({"n": choice, "how": how, "ok": ok}).join(first, "n", "left").withColumn("settled", F.coalesce(F.col("first_b") >= F.col("b"), F.lit(True))))
-        settled = step.where("settled").select(F.col("b").alias("before_no"), F.col("n").alias("after_no"), "how", (~F.col("ok")).alias("excluded"))
-        out = settled if out is None else out.union(settled)
-        taken = lambda c: step.where("settled AND ok").select(F.col("n").alias(c), F.col("b").alias(f"{c}_by"))
-        rest = step.where("NOT settled").select("b", "h_no", "i_no", "h_ok", "i_ok").join(taken("h_no"), "h_no", "left").join(taken("i_no"), "i_no", "left")
-        open_still = lambda c: F.when(F.coalesce(F.col(f"{c}_by") > F.col("b"), F.lit(True)), F.col(c)).alias(c)
-        waiting = held(rest.select("b", open_still("h_no"), open_still("i_no"), "h_ok", "i_ok").where("h_no IS NOT NULL OR i_no IS NOT NULL"))
-    return out
+    fits = lambda c: F.coalesce(F.col("stages") == F.col(c), F.lit(True))
+    rows = b.select(F.col("no").cast("long").alias("b"), F.col("h_no").cast("long"), F.col("i_no").cast("long"), fits("h_stages").alias("h_ok"), fits("i_stages").alias("i_ok"))
+    rows = held(rows.where("h_no IS NOT NULL OR i_no IS NOT NULL"))
+    sources = rows.where("h_no IS NOT NULL AND h_ok").select(F.col("h_no").alias("n"), F.col("b").alias("t")).union(rows.where("h_no IS NULL AND i_ok").select("i_no", "b"))
+    taken = _arrivals(sources, rows.where("h_no IS NOT NULL AND i_no IS NOT NULL AND i_ok").select("b", F.col("h_no").alias("h"), F.col("i_no").alias("n")))
+    for c in ("h_no", "i_no"):
+        rows = rows.join(taken.select(F.col("n").alias(c), F.col("t").alias(f"{c}_t")), c, "left")
+    is_open = lambda c: F.col(c).isNotNull() & F.coalesce(F.col("b") <= F.col(f"{c}_t"), F.lit(True))
+    how = F.when(is_open("h_no"), "hash").when(is_open("i_no"), "identity")
+    made = rows.withColumn("how", how).where("how IS NOT NULL")
+    by = lambda x, y: F.when(F.col("how") == "hash", x).otherwise(y)
+    return made.select(F.col("b").alias("before_no"), by(F.col("h_no"), F.col("i_no")).alias("after_no"), "how", (~by(F.col("h_ok"), F.col("i_ok"))).alias("excluded"))
 
 
 def compare_runs(before: DataFrame, after: DataFrame, pairs: DataFrame, total: bool = False) -> DataFrame:
