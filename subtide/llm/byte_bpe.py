@@ -10,6 +10,9 @@ after its last byte. States and transitions are made when a text first needs the
 from __future__ import annotations
 
 import base64
+import contextlib
+import functools
+import gc
 import hashlib
 import re
 import unicodedata
@@ -28,31 +31,27 @@ _WORDS = regex.compile(PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"
 #: The same for ASCII, where the standard library's matcher does.
 _ASCII_WORDS = re.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]"), re.ASCII)
 
-#: Bounds of what a worker keeps: transitions, seams, bytes of words in each of two generations, steps of the decoder.
-KEPT_STEPS = 1 << 18
-KEPT_SEAMS = 1 << 17
-KEPT_WORD_BYTES = 12 << 20
+#: Bounds of what a worker keeps: states, seams, bytes of words in each of two generations, steps of the decoder.
+KEPT_STATES = 1 << 18
+KEPT_SEAMS = 1 << 18
+KEPT_WORD_BYTES = 48 << 20
 KEPT_DECODER_STEPS = 1 << 17
 #: A word in memory costs about so much beside its letters. Longer words aren't kept.
-WORD_COST = 180
+WORD_COST = 270
 LONGEST_KEPT = 128
 #: Letters cut into words at a time, and bytes of text taken from Arrow at a time.
 PIECE = 1 << 17
 SLICE_BYTES = 4 << 20
 
 
-def _plain(text: str) -> str:
-    """``text`` with letters that Unicode's older tables don't know made a sign that is neither letter, number nor blank."""
-    return text.translate({ord(c): "￿" for c in set(text) if unicodedata.category(c) == "Cn"})
-
-
 def _cut(text: str) -> list[str]:
     if text.isascii():
         return _ASCII_WORDS.findall(text)
-    same = _plain(text)
-    if same == text:
-        return _WORDS.findall(text)
-    return [text[m.start() : m.end()] for m in _WORDS.finditer(same)]
+    # Letters newer than the library's Unicode tables are signs there: neither letter, number nor blank.
+    newer = {ord(c): "!" for c in set(text) if c > "\x7f" and unicodedata.category(c) == "Cn"}
+    if newer:
+        return [text[m.start() : m.end()] for m in _WORDS.finditer(text.translate(newer))]
+    return _WORDS.findall(text)
 
 
 def words(text: str) -> Iterator[list[str]]:
@@ -133,82 +132,94 @@ class Ranks:
 
 
 class Transducer:
-    """Bytes in, token ids out: states and steps are made as they are needed."""
+    """Bytes in, token ids out: states and steps are made as they are needed.
 
-    START = 0
+    A state is the dictionary of the steps known from it, by byte: (next state, tokens that go out). Under -1 it
+    has its configurations (node, last whole token, tokens held back), and under -2 what is left to say if the word ends.
+    """
 
     def __init__(self, ranks: Ranks):
         self.ranks = ranks
-        # The trie: the step from a node by a byte, the token that ends at a node, whether a node leads on.
-        self.down: dict[int, int] = {}
+        # The trie: the steps from a node by a byte, and the token that ends at a node.
+        leaf: dict[int, int] = {}
+        self.down: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
-        self.leads_on = bytearray(1)
         for token, rank in ranks.rank.items():
             node = 0
             for byte in token:
-                key = node << 8 | byte
-                after = self.down.get(key)
+                after = self.down[node].get(byte)
                 if after is None:
-                    after = self.down[key] = len(self.ends)
+                    if self.down[node] is leaf:
+                        self.down[node] = {}
+                    after = self.down[node][byte] = len(self.ends)
                     self.ends.append(-1)
-                    self.leads_on.append(0)
-                    self.leads_on[node] = 1
+                    self.down.append(leaf)
                 node = after
             self.ends[node] = rank
+        self.states: dict[tuple, dict] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[tuple, int] = {}
-        self.inside: list[tuple] = []
-        self.rest: list[tuple[int, ...]] = []
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._state(((0, -1, ()),))
-
-    def _state(self, inside: tuple) -> int:
-        """The number of a set of configurations (node, last whole token, tokens held back)."""
-        number = self.number.get(inside)
-        if number is None:
-            number = self.number[inside] = len(self.inside)
-            self.inside.append(inside)
-            self.rest.append(next((held for node, _, held in inside if node == 0), ()))
-        return number
-
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        for state in self.states.values():  # states lead to one another in circles
+            state.clear()
+        self.states.clear()
+        self.start = self._state(((0, -1, ()),))
+
+    def _state(self, inside: tuple) -> dict:
+        state = self.states.get(inside)
+        if state is None:
+            node, _, held = inside[-1]
+            state = self.states[inside] = {-1: inside, -2: held if node == 0 else ()}
+        return state
+
+    def _step(self, state: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
         """The state after ``byte`` and the tokens that go out on it."""
-        after = []
-        for node, last, held in self.inside[state]:
-            child = self.down.get(node << 8 | byte)
+        down, ends, fits = self.down, self.ends, self.ranks.fits
+        after, whole, agree = [], None, True
+        for node, last, held in state[-1]:  # the deepest node first, each of another depth
+            child = down[node].get(byte)
             if child is None:
                 continue
-            if self.leads_on[child]:
+            if down[child]:
                 after.append((child, last, held))
-            token = self.ends[child]
-            if token >= 0 and (last < 0 or self.ranks.fits(last, token)):
-                after.append((0, token, (*held, token)))
-        shortest, longest = min(held for *_, held in after), max(held for *_, held in after)
-        agreed = 0  # what the least and the greatest share, all share
-        while agreed < len(shortest) and agreed < len(longest) and shortest[agreed] == longest[agreed]:
-            agreed += 1
-        inside = tuple(sorted((node, last, held[agreed:]) for node, last, held in after))
-        if len(self.steps) >= KEPT_STEPS:
+                agree = agree and held != ()
+            token = ends[child]
+            if token >= 0 and (last < 0 or fits(last, token)):
+                whole = (0, token, (*held, token))  # the encoding so far; there is one
+        if whole:
+            after.append(whole)
+        agreed = ()
+        if agree:
+            agreed = functools.reduce(_shared, [held for *_, held in after])
+            if agreed:
+                after = [(node, last, held[len(agreed) :]) for node, last, held in after]
+        if len(self.states) >= KEPT_STATES:
             self._forget()
-            return self._state(inside), shortest[:agreed]
-        step = self.steps[state << 8 | byte] = (self._state(inside), shortest[:agreed])
+            return self._state(tuple(after)), agreed
+        step = state[byte] = (self._state(tuple(after)), agreed)
         return step
 
     def encode(self, word: bytes) -> list[int]:
         """The ids of one word."""
         out: list[int] = []
-        state = self.START
+        state = self.start
         for byte in word:
-            step = self.steps.get(state << 8 | byte)
+            step = state.get(byte)
             state, tokens = step if step is not None else self._step(state, byte)
             if tokens:
                 out += tokens
-        out += self.rest[state]
+        out += state[-2]
         return out
 
 
+def _shared(a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
+    """What both begin with."""
+    n = 0
+    while n < len(a) and n < len(b) and a[n] == b[n]:
+        n += 1
+    return a[:n]
+
+
 def _utf8_steps() -> dict[tuple[str, int], str]:
     """The well-formed sequences as a machine: what may follow, by (what is expected, byte). "" expects a character."""
     kinds = {"tail": (0x80, 0xBF), "E0": (0xA0, 0xBF), "ED": (0x80, 0x9F), "F0": (0x90, 0xBF), "F4": (0x80, 0x8F)}
@@ -255,6 +266,8 @@ class StreamDecoder:
             if not expected:
                 begun = at
         if self.kept >= KEPT_DECODER_STEPS:
+            for known in self.rows.values():
+                known.clear()
             self.rows.clear()
             self.kept = 0
             return data[:begun], self._row(data[begun:])
@@ -293,26 +306,26 @@ class ByteBpe:
         self.transducer = Transducer(self.ranks)
         self.decoder = StreamDecoder(self.ranks.token)
         self.decimal = [str(i) for i in range(len(self.ranks.token))]
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.young_bytes = 0
 
     def _ids(self, found: list[str]) -> list[int]:
         if self.young_bytes > KEPT_WORD_BYTES:
             self.old, self.young, self.young_bytes = self.young, {}, 0
-        young, passing = self.young, {}
-        for word in set(found):
-            if word not in young:
-                ids = self.old.get(word)
-                if ids is None:
-                    ids = self.transducer.encode(word.encode("utf-8"))
-                if len(word) > LONGEST_KEPT:
-                    passing[word] = ids
-                else:
-                    young[word] = ids
+        young = self.young
+        ids = list(map(young.get, found))
+        if None in ids:
+            for i in [i for i, known in enumerate(ids) if known is None]:
+                word = found[i]
+                known = young.get(word) or self.old.get(word)
+                if known is None:
+                    known = tuple(self.transducer.encode(word.encode("utf-8")))
+                if len(word) <= LONGEST_KEPT and word not in young:
+                    young[word] = known
                     self.young_bytes += 4 * len(word) + WORD_COST
-        look = young if not passing else young | passing
-        return list(chain.from_iterable(map(look.__getitem__, found)))
+                ids[i] = known
+        return list(chain.from_iterable(ids))
 
     def parts(self, text: str | None) -> Iterator[list[int]]:
         """The ids of a text, a piece of it at a time; none for null."""
@@ -326,6 +339,18 @@ class ByteBpe:
         return self.decoder.feed(ids) + self.decoder.end()
 
 
+@contextlib.contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without the collector of cycles, which would go through all that an encoder keeps again and again; what it throws away has none."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 _loaded: dict[str, ByteBpe] = {}
 
 
@@ -351,7 +376,8 @@ def encode_column(docs: DataFrame, path: str, text: str = "text", to: str = "ids
         for batch in rows:
             at = 0
             for texts in slices(batch.column(names.index(text)), SLICE_BYTES):
-                ids = pa.array([bpe.encode(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+                with _uncollected():
+                    ids = pa.array([bpe.encode(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in batch.columns), ids], names=[*names, to])
                 at += len(texts)
 
@@ -387,16 +413,17 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         for batch in rows:
             counts, coded, decoded = [], [], []
             for texts in slices(batch.column(1), SLICE_BYTES):
-                for text in texts.to_pylist():
-                    n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
-                    for ids in bpe.parts(text):
-                        of_ids.update(((" " if n else "") + " ".join(map(decimal, ids))).encode())
-                        of_bytes.update(bpe.decoder.feed(ids))
-                        n += len(ids)
-                    of_bytes.update(bpe.decoder.end())
-                    counts.append(n)
-                    coded.append(of_ids.hexdigest())
-                    decoded.append(of_bytes.hexdigest())
+                with _uncollected():
+                    for text in texts.to_pylist():
+                        n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
+                        for ids in bpe.parts(text):
+                            of_ids.update(((" " if n else "") + " ".join(map(decimal, ids))).encode())
+                            of_bytes.update(bpe.decoder.feed(ids))
+                            n += len(ids)
+                        of_bytes.update(bpe.decoder.end())
+                        counts.append(n)
+                        coded.append(of_ids.hexdigest())
+                        decoded.append(of_bytes.hexdigest())
             made = [batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -35,7 +35,7 @@ def test_ids_and_bytes_equal_the_librarys(library):
 
 
 def test_small_bounds_change_nothing(library, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "KEPT_STEPS", 40)
+    monkeypatch.setattr(byte_bpe, "KEPT_STATES", 40)
     monkeypatch.setattr(byte_bpe, "KEPT_SEAMS", 10)
     monkeypatch.setattr(byte_bpe, "KEPT_WORD_BYTES", 2000)
     monkeypatch.setattr(byte_bpe, "KEPT_DECODER_STEPS", 7)
@@ -45,7 +45,7 @@ def test_small_bounds_change_nothing(library, monkeypatch):
     for t in texts()[::3]:
         ids = own.encode(t)
         assert ids == library.encode_ordinary(t) and own.decode(ids) == t.encode()
-    assert len(own.transducer.steps) <= 40 and len(own.ranks._fits) <= 10 and own.decoder.kept <= 7
+    assert len(own.transducer.states) <= 41 and len(own.ranks._fits) <= 10 and own.decoder.kept <= 7
 
 
 def test_every_pair_of_short_words_and_every_token(library):
@@ -63,7 +63,7 @@ def test_tokens_go_out_after_a_bounded_lookahead():
     own = byte_bpe.ByteBpe(PATH)
     longest = max(map(len, own.ranks.token))
     for word in (b"abababab" * 400, b"the quick brown fox" * 90, b"=" * 4000):
-        state, read, out = 0, 0, 0
+        state, read, out = own.transducer.start, 0, 0
         for byte in word:
             state, tokens = own.transducer._step(state, byte)
             read += 1
