@@ -30,8 +30,12 @@ def plain_text(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"\{[^}]*\}", ""), r"\\[Nn]", "\n"), r"\\h", " ")
 
 
+#: What events of styled files have besides; kept where a cue table has it.
+EVENT_FIELDS = ("layer", "name", "effect", "is_comment", "margin_l", "margin_r", "margin_v")
+
+
 def event_features(cues: DataFrame, preview: int = 80) -> DataFrame:
-    """Per cue: duration and which override tags its raw text has."""
+    """Per cue: duration, which override tags its raw text has, and those of EVENT_FIELDS that ``cues`` has."""
     raw = F.col("raw_text")
     has = lambda *tags: F.coalesce(raw.rlike("|".join(tags)), F.lit(False))
     return cues.select(
@@ -39,7 +43,7 @@ def event_features(cues: DataFrame, preview: int = 80) -> DataFrame:
         (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"),
         has(r"\\pos\(").alias("has_pos"), has(r"\\move\(").alias("has_move"), has(r"\\i?clip\(").alias("has_clip"),
         has(r"\\[kK]").alias("has_karaoke"), has(r"\\an[1-9]").alias("has_an_override"), has(r"\\p[1-9]").alias("is_drawing"),
-        F.length(plain_text(raw)).alias("text_length"), F.substring(plain_text(raw), 1, preview).alias("preview"),
+        F.length(plain_text(raw)).alias("text_length"), F.substring(plain_text(raw), 1, preview).alias("preview"), *[c for c in EVENT_FIELDS if c in cues.columns],
     )
 
 
@@ -158,10 +162,30 @@ def srt_text(cues: DataFrame) -> DataFrame:
     return blocks.select("track_id", F.array_join(F.transform("_b", lambda x: x["b"]), "\n").alias("text"))
 
 
-def analyze_tracks(cues: DataFrame) -> DataFrame:
-    """A JSON document per track: its styles with counts and shares, in order of name."""
-    s = style_stats(cues).groupBy("track_id").agg(F.sum("n").alias("events"), F.array_sort(F.collect_list(F.struct("style", "n", "n_has_pos", "total_ms", "total_length"))).alias("styles"))
-    return s.select("track_id", "events", F.to_json(F.struct("events", "styles")).alias("doc"))
+def analyze_tracks(cues: DataFrame, styles: DataFrame | None = None, compact: bool = False) -> DataFrame:
+    """(track_id, event_count, style_count, doc): a JSON document per track of its events that aren't blank.
+
+    It has both counts, per style in order of name the counts, totals, means and shares of its events' features, the ``styles``' definitions
+    (track_id, style and any columns), and unless ``compact`` the features of every event in order.
+    """
+    f = event_features(cues.where(~is_blank(F.col("raw_text"))))
+    share = lambda x: (F.sum(x) / F.count(F.lit(1))).cast("decimal(18,3)")
+    counted = {"positioned": F.col("has_pos") | F.col("has_move"), "karaoke": F.col("has_karaoke"), "drawing": F.col("is_drawing"), "clip": F.col("has_clip")} | ({"comment": F.col("is_comment")} if "is_comment" in f.columns else {})
+    per_style = f.groupBy("track_id", "style").agg(
+        F.count(F.lit(1)).alias("count"), F.sum("duration_ms").alias("total_duration_ms"), F.sum("text_length").alias("total_text_length"),
+        *[F.count_if(x).alias(f"{name}_count") for name, x in counted.items()], share("duration_ms").alias("avg_duration_ms"), share("text_length").alias("avg_text_length"),
+        *[share(counted[name].cast("int")).alias(f"{name}_ratio") for name in ("positioned", "karaoke")],
+    )
+    listed = lambda df, first, name: df.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct(first, *[c for c in df.columns if c not in ("track_id", first)]))).alias(name))
+    made = listed(per_style, "style", "styles").join(f.groupBy("track_id").agg(F.count(F.lit(1)).alias("event_count")), "track_id").withColumn("style_count", F.size("styles"))
+    parts = ["event_count", "style_count", "styles"]
+    if styles is not None:
+        made = made.join(listed(styles, "style", "style_definitions"), "track_id", "left")
+        parts.append("style_definitions")
+    if not compact:
+        made = made.join(listed(f, "cue_no", "events"), "track_id")
+        parts.append("events")
+    return made.select("track_id", "event_count", "style_count", F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("doc"))
 
 
 def batches(cues: DataFrame, n: int = 16) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from subtide.operators import cues as c, translate as t
 from subtide.session import table
-from subtide.sources import adapters as a, files as f
+from subtide.plans.cue_queries import PLAIN
+from subtide.sources import adapters as a, ass, files as f
 from subtide.streaming import spans as x
 
 
@@ -14,8 +15,9 @@ def _shifted(s, d):
     return a.cues(s, d).select("track_id", "cue_no", "start_ms", "end_ms", "text")
 
 
-def _styles(s, d):
-    return a.cues(s, d).select("track_id", "style").distinct().withColumn("style_no", F.concat(F.format_string("%03d", F.length("style")), "style"))
+def _written(s, d):
+    lines = ass.ass_lines(a.ass_files(s, d))
+    return ass.write_ass(lines, ass.ass_events(lines).where("NOT is_comment"), F.upper)
 
 
 def _lines(s, d):
@@ -72,8 +74,10 @@ def _span_windows(s, d):
 
 QUERIES = {
     "s2_parse_srt": lambda s, d: f.parse_srt(c.srt_text(_shifted(s, d))),
-    "s3_parse_ass": lambda s, d: f.parse_ass(f.ass_text(_shifted(s, d), _styles(s, d))).select("track_id", "cue_no", "start_ms", "end_ms", "style", "text"),
-    "s13_write_ass": lambda s, d: f.ass_text(_shifted(s, d), _styles(s, d), transform=F.upper),
+    "s3_parse_ass": lambda s, d: a.ass_cues(s, d),
+    "s3_ass_styles": lambda s, d: ass.style_definitions(ass.ass_styles(ass.ass_lines(a.ass_files(s, d)))),
+    "s13_write_ass": _written,
+    "s13_ass_round_trip": lambda s, d: ass.ass_text_of(ass.ass_lines(a.ass_files(s, d))),
     "s4_srt_text_lines": lambda s, d: f.srt_text_lines(_lines(s, d)),
     "s5_normalize_encoding": lambda s, d: table(s, d, "documents").select("doc_id", f.normalize_encoding(F.col("text").cast("binary")).cast("string").alias("text")),
     "s6_fingerprints": lambda s, d: f.fingerprint_blobs(table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("content"))),
@@ -88,11 +92,19 @@ QUERIES = {
     "x4_dedup_stream": lambda s, d: x.run_available(x.dedup_stream(_cue_stream(s, d)), ["track_id", "cue_no"]),
 }
 
+ASS_CLOCK = "printf('%d:%02d:%02d.%02d', {0} // 3600000, ({0} // 60000) % 60, ({0} // 1000) % 60, ({0} // 10) % 100)"
+ASS_FILE = f""", st AS (SELECT track_id, string_agg('Style: ' || style || ',' || fontname || ',' || fontsize || ',&H00FFFFFF,' || CASE WHEN bold THEN -1 ELSE 0 END || ',0,' || alignment || ',' || margin_l || ',10,' || margin_v, chr(10) ORDER BY style) AS l FROM ass_st GROUP BY track_id),
+ev AS (SELECT track_id, string_agg(CASE WHEN is_comment THEN 'Comment: ' ELSE 'Dialogue: ' END || layer || ',' || {ASS_CLOCK.format('start_ms')} || ',' || {ASS_CLOCK.format('end_ms')} || ',' || style || ',' || name || ',' || margin_l || ',0,' || margin_v || ',' || effect || ',' || raw_text, chr(10) ORDER BY cue_no) AS l FROM ass_ev GROUP BY track_id),
+head AS (SELECT track_id, '[Script Info]' || chr(10) || 'Title: ' || track_id || chr(10) || 'ScriptType: v4.00+' || chr(10) || 'PlayResX: 1920' || chr(10) || chr(10) || '[V4+ Styles]' || chr(10) || '{a.STYLE_FORMAT}' || chr(10) || l || chr(10) || chr(10) || '[Events]' || chr(10) || '{ass.EVENT_FORMAT}' || chr(10) AS head FROM st)"""
 NUMBERED = "row_number() OVER (PARTITION BY track_id ORDER BY cue_no)"
 ORACLES = {
     "s2_parse_srt": a.with_views("cues", f" SELECT track_id, {NUMBERED} AS cue_no, start_ms, end_ms, text FROM cues"),
-    "s3_parse_ass": a.with_views("cues", """, pick AS (SELECT track_id, min_by(style, (length(style), style)) AS st FROM cues GROUP BY track_id)
-SELECT cues.track_id, row_number() OVER (PARTITION BY cues.track_id ORDER BY cue_no) AS cue_no, start_ms // 10 * 10 AS start_ms, end_ms // 10 * 10 AS end_ms, st AS style, text FROM cues JOIN pick USING (track_id)"""),
+    "s3_parse_ass": a.with_views("cues ass", f" SELECT *, {PLAIN} AS text FROM ass_ev"),
+    "s3_ass_styles": a.with_views("cues ass", " SELECT * REPLACE (fontsize::DOUBLE AS fontsize) FROM ass_st"),
+    "s13_write_ass": a.with_views("cues ass", ASS_FILE + f""", pick AS (SELECT track_id, min(style) AS st FROM ass_st GROUP BY track_id),
+out AS (SELECT track_id, string_agg('Dialogue: 0,' || {ASS_CLOCK.format('start_ms')} || ',' || {ASS_CLOCK.format('end_ms')} || ',' || st || ',,0,0,0,,' || replace(upper({PLAIN}), chr(10), '\\N'), chr(10) ORDER BY cue_no) AS l FROM ass_ev JOIN pick USING (track_id) WHERE NOT is_comment GROUP BY track_id)
+SELECT track_id, head || l || chr(10) AS text FROM head JOIN out USING (track_id)"""),
+    "s13_ass_round_trip": a.with_views("cues ass", ASS_FILE + " SELECT track_id, head || ev.l || chr(10) AS text FROM head JOIN ev USING (track_id)"),
     "s4_srt_text_lines": a.with_views("lines", r""", e AS (SELECT track_id, cue_no, CASE WHEN cue_no % 4 = 3 THEN '' ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS t FROM lines),
 b AS (SELECT *, sum(CASE WHEN t = '' THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY cue_no)::BIGINT AS block FROM e) SELECT track_id, block, string_agg(t, ' ' ORDER BY cue_no) AS text FROM b WHERE t <> '' AND NOT contains(t, '-->') AND NOT regexp_matches(t, '^\d+$') GROUP BY track_id, block"""),
     "s8_candidates_from_json": """SELECT o_custkey AS media_id, 'opensubtitles' AS source, o_orderkey::VARCHAR AS subtitle_id, CASE o_orderkey % 4 WHEN 0 THEN 'eng' ELSE 'pol' END AS language, o_orderpriority AS release_name,

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from subtide.session import table
+from subtide.sources.ass import EVENT_FORMAT, ass_clock, ass_events, ass_lines
+
+STYLE_FORMAT = "Format: Name, Fontname, Fontsize, PrimaryColour, Bold, Italic, Alignment, MarginL, MarginR, MarginV"
 
 
 def _seconds() -> Column:
@@ -25,6 +28,28 @@ def cues(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def ass_files(spark: SparkSession, sf: str) -> DataFrame:
+    """An ASS file per user: a style per kind of event with its own font, size and margins, and an event per event."""
+    e = cues(spark, sf)
+    of = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    font = F.element_at(F.array(*[F.lit(x) for x in ("Arial", "Open Sans", "My-Font")]), (F.col("track_id") % 3 + 1).cast("int"))
+    n = F.length("style")
+    styles = e.select("track_id", "style").distinct().select(
+        "track_id", "style", of("Style: ", F.col("style"), ",", font, ",", 20 + F.col("track_id") % 30, ",&H00FFFFFF,", F.when(n % 2 == 0, -1).otherwise(0), ",0,", F.col("track_id") % 9 + 1, ",", F.col("track_id") % 50, ",10,", n).alias("l")
+    )
+    k = F.col("cue_no")
+    line = of(F.when(k % 11 == 0, "Comment: ").otherwise("Dialogue: "), k % 3, ",", ass_clock(F.col("start_ms")), ",", ass_clock(F.col("end_ms")), ",", F.col("style"), ",N", k % 4, ",", F.col("track_id") % 20, ",0,", k % 50, ",", F.when(k % 13 == 0, "fade").otherwise(""), ",", F.col("raw_text"), F.col("style"), r", \N", F.col("style"))
+    joined = lambda df, by: df.groupBy("track_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "l"))), lambda x: x["l"]), "\n").alias(f"{by}s"))
+    both = joined(styles, "style").join(joined(e.select("track_id", "cue_no", line.alias("l")), "cue_no"), "track_id")
+    head = of("[Script Info]\nTitle: ", F.col("track_id"), f"\nScriptType: v4.00+\nPlayResX: 1920\n\n[V4+ Styles]\n{STYLE_FORMAT}\n")
+    return both.select("track_id", of(head, F.col("styles"), f"\n\n[Events]\n{EVENT_FORMAT}\n", F.col("cue_nos"), "\n").alias("text"))
+
+
+def ass_cues(spark: SparkSession, sf: str) -> DataFrame:
+    """The events of these files."""
+    return ass_events(ass_lines(ass_files(spark, sf)))
+
+
 def text_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of one track per document of whatever language, cut after commas and full stops."""
     docs = table(spark, sf, "documents")
@@ -116,6 +141,10 @@ SQL = {
     "cues": """cues AS (SELECT user_id AS track_id, event_id AS cue_no, date_diff('second', TIMESTAMP '2024-01-01', ts) AS start_ms,
   date_diff('second', TIMESTAMP '2024-01-01', ts) + 500 + event_id * 37 % 3000 AS end_ms, event_type AS style,
   CASE WHEN event_id % 7 = 0 THEN '{\\pos(960,100)}' ELSE '' END || props AS raw_text, event_type AS text FROM events)""",
+    "ass": """ass_ev AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY cue_no) AS cue_no, (cue_no % 3)::INT AS layer, start_ms // 10 * 10 AS start_ms, end_ms // 10 * 10 AS end_ms, style, 'N' || (cue_no % 4) AS name,
+  (track_id % 20)::INT AS margin_l, 0 AS margin_r, (cue_no % 50)::INT AS margin_v, CASE WHEN cue_no % 13 = 0 THEN 'fade' ELSE '' END AS effect, cue_no % 11 = 0 AS is_comment, raw_text || style || ', \\N' || style AS raw_text FROM cues),
+ass_st AS (SELECT DISTINCT track_id, style, ['Arial', 'Open Sans', 'My-Font'][track_id % 3 + 1] AS fontname, 20 + track_id % 30 AS fontsize, track_id % 9 + 1 AS alignment, length(style) % 2 = 0 AS bold, false AS italic,
+  track_id % 50 AS margin_l, 10 AS margin_r, length(style) AS margin_v FROM cues)""",
     "lines": """lines AS (SELECT track_id, lang, n - 1 AS cue_no, (n - 1) * 2000 AS start_ms, (n - 1) * 2000 + 1800 AS end_ms, text FROM (
   SELECT doc_id AS track_id, lang, unnest(string_split(regexp_replace(text, '([,.])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS text,
     generate_subscripts(string_split(regexp_replace(text, '([,.])\\s+', '\\1' || chr(10), 'g'), chr(10)), 1) AS n FROM documents))""",

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from subtide.functions import text as t
 from subtide.operators import cues as c, fetch, match as m, runs as r, select as s, translate as tr, units as u
-from subtide.sources import files as f
+from subtide.sources import ass, files as f
 
 CUES = "track_id bigint, cue_no bigint, start_ms bigint, end_ms bigint, style string, raw_text string, text string"
 
@@ -135,11 +135,11 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.srt").write_text(srt)
     got = [tuple(x)[1:] for x in f.parse_srt(f.read_whole(spark, str(tmp_path / "a.srt"))).orderBy("cue_no").collect()]
     assert got == [(1, 1000, 3500, "Hello\nthere"), (2, 64000, 66000, "Bye")]
-    ass = "[V4+ Styles]\nFormat: Name, Fontname, Fontsize, Bold, Italic, Alignment\nStyle: Default,Arial,40,0,0,2\n\n[Events]\nDialogue: 0,0:00:01.00,0:00:03.50,Default,,0,0,0,,{\\pos(1,2)}Hi, all\\Nhere\nComment: 0,0:00:05.00,0:00:06.00,Default,,0,0,0,,note\n"
-    df = spark.createDataFrame([(1, ass)], "track_id bigint, text string")
-    got = [(x["start_ms"], x["end_ms"], x["text"], x["is_comment"]) for x in f.parse_ass(df).orderBy("cue_no").collect()]
+    made = "[V4+ Styles]\nFormat: Name, Fontname, Fontsize, Bold, Italic, Alignment\nStyle: Default,Arial,40,0,0,2\n\n[Events]\nDialogue: 0,0:00:01.00,0:00:03.50,Default,,0,0,0,,{\\pos(1,2)}Hi, all\\Nhere\nComment: 0,0:00:05.00,0:00:06.00,Default,,0,0,0,,note\n"
+    df = spark.createDataFrame([(1, made)], "track_id bigint, text string")
+    got = [(x["start_ms"], x["end_ms"], x["text"], x["is_comment"]) for x in ass.ass_events(ass.ass_lines(df)).orderBy("cue_no").collect()]
     assert got == [(1000, 3500, "Hi, all\nhere", False), (5000, 6000, "note", True)]
-    assert f.parse_ass_styles(df).first()["fontname"] == "Arial"
+    assert ass.style_definitions(ass.ass_styles(ass.ass_lines(df))).first()["fontname"] == "Arial"
     for name in ("a.mkv", "b.MP4", "c.txt", ".d.mkv"):
         (tmp_path / "v").mkdir(exist_ok=True)
         (tmp_path / "v" / name).write_bytes(b"x" * 10)
