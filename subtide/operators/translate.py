@@ -6,9 +6,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from subtide.functions.text import fallback_guard, fix_translation, phrase_lookup, placeholder_only
+from subtide.operators.cues import is_blank
+from subtide.operators.units import build_input, group_units, split_output
+from subtide.session import held
 
 # What passes a translation untouched, in order: phone numbers, times and dates, addresses, names of several words.
 PROTECTED = [
@@ -54,25 +58,59 @@ def restore(text: Column, tags: Column) -> Column:
     return F.aggregate(F.map_entries(tags), text, lambda t, e: F.replace(t, e["key"], e["value"]))
 
 
+def _asked(rows: DataFrame, fn: Callable[[list[str]], list[str]], batch: int) -> DataFrame:
+    """``rows`` with _out: ``fn`` of _in where _ask, in lists of at most ``batch``; the other columns pass as they are.
+
+    Raises an error where ``fn`` returns another number of texts than it got.
+    """
+    names = rows.columns
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ask = [i for i, yes in enumerate(part.column(names.index("_ask")).to_pylist()) if yes]
+            texts = part.column(names.index("_in")).take(pa.array(ask, pa.int64())).to_pylist()
+            out: list[str | None] = [None] * part.num_rows
+            for at in range(0, len(texts), batch):
+                some = texts[at : at + batch]
+                got = list(fn(some))
+                if len(got) != len(some):
+                    raise ValueError(f"the translator returned {len(got)} texts for {len(some)}")
+                for i, text in zip(ask[at : at + batch], got):
+                    out[i] = text
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*names, "_out"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{schema}, _out string")
+
+
+def translate_units(cues: DataFrame, fn: Callable[[list[str]], list[str]], names: list[str] | None = None, batch: int = 16) -> DataFrame:
+    """(track_id, cue_no, translation): lines joined to units, protected, looked up, given to ``fn``, mended, restored, guarded and dealt back.
+
+    ``cues``: track_id, cue_no (unique in its track) and text, null being empty. A unit's tags stand for names and numbers of all its
+    lines. The dictionary is asked for the protected text; idioms are rewritten in what it doesn't answer. ``fn`` runs on the
+    executors on lists of at most ``batch`` texts and must return as many. Units that are one tag or blank don't reach it.
+    Tags are put back before the guard compares with the unit's text, so a unit that falls back has none left.
+    """
+    units = held(group_units(cues))
+    inputs = build_input(cues, units).withColumn("_p", protect(names or [])("input")).select("track_id", "unit_no", "input", F.col("_p.text").alias("text"), F.col("_p.tags").alias("_tags"))
+    looked = phrase_lookup(inputs)
+    tag_only = placeholder_only(F.col("text"))
+    asks = looked.select("track_id", "unit_no", "input", "text", "_tags", "answered", F.col("translation").alias("_in"), (~F.col("answered") & ~tag_only & ~is_blank(F.col("text"))).alias("_ask"))
+    told = _asked(asks, fn, batch)
+    back = lambda x: restore(x, F.col("_tags"))
+    made = F.when(tag_only, back(F.col("text"))).when(F.col("answered"), back(F.col("_in"))).otherwise(fallback_guard(F.col("input"), back(fix_translation(F.col("_out")))))
+    dealt = split_output(cues, units, told.select("track_id", "unit_no", made.alias("output")))
+    return dealt.select("track_id", "cue_no", F.col("text").alias("translation"))
+
+
 def translate_lines(lines: DataFrame, fn: Callable[[list[str]], list[str]], names: list[str] | None = None, batch: int = 16) -> DataFrame:
     """Adds translation to ``lines`` (track_id, cue_no, text): protect, dictionary, ``fn`` on the rest, fixes, restore, guard.
 
-    ``fn`` gets lists of at most ``batch`` texts, on the executors, and must return as many. Lines answered by the
+    ``fn`` gets lists of at most ``batch`` texts, on the executors, and must return as many, else there is an error. Repeated rows stay as they are. Lines answered by the
     dictionary, and lines that are one tag, don't reach it. Tags are put back before the guard compares
     with the original, so none is left in a line that falls back.
     """
-    looked = phrase_lookup(lines).withColumn("_p", protect(names or [])("text"))
-    asks = looked.where(~F.col("answered") & ~placeholder_only(F.col("_p.text")) & (F.trim("text") != ""))
-    schema = "track_id bigint, cue_no bigint, _out string"
-
-    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            texts, out = pdf["_in"].tolist(), []
-            for i in range(0, len(texts), batch):
-                out += fn(texts[i : i + batch])
-            yield pd.DataFrame({"track_id": pdf["track_id"], "cue_no": pdf["cue_no"], "_out": out})
-
-    answers = asks.select("track_id", "cue_no", F.col("_p.text").alias("_in")).mapInPandas(run, schema)
-    joined = looked.join(answers, ["track_id", "cue_no"], "left")
+    looked = phrase_lookup(lines).withColumn("_p", protect(names or [])("text")).withColumn("_in", F.col("_p.text"))
+    told = _asked(looked.withColumn("_ask", ~F.col("answered") & ~placeholder_only(F.col("_in")) & (F.trim("text") != "")), fn, batch)
     made = restore(fix_translation(F.col("_out")), F.col("_p.tags"))
-    return joined.select(*lines.columns, F.when(F.col("answered"), F.col("translation")).otherwise(fallback_guard(F.col("text"), made)).alias("translation"))
+    return told.select(*lines.columns, F.when(F.col("answered"), F.col("translation")).otherwise(fallback_guard(F.col("text"), made)).alias("translation"))

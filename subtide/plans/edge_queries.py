@@ -86,6 +86,7 @@ QUERIES = {
     "s10_candidates_from_html": lambda s, d: f.candidates_from_html(_responses(s, d, HTML_ITEM, "<html><table><tr><td>menu</td></tr></table>", "</html>")),
     "p11_protect_placeholders": _protected,
     "f3_translate_lines": lambda s, d: t.translate_lines(a.text_lines(s, d), _upper, ["The"]).select("track_id", "cue_no", "translation"),
+    "f3_translate_units": lambda s, d: t.translate_units(a.text_lines(s, d), _upper, ["The"]),
     "x1_span_stream": _span_windows,
     "x2_video_reports": lambda s, d: x.run_available(x.video_reports(_messages(s, d)), ["video_id", "report_no"], "append"),
     "x3_progress_table": lambda s, d: x.run_available(x.progress_table(x.event_stream(s, d)), ["file_id"]),

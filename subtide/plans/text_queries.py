@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from subtide.functions import text as t
 from subtide.operators import units as u
 from subtide.operators.cues import is_blank, stripped
-from subtide.session import table
+from subtide.session import held, table
 from subtide.sources import adapters as a
 
 
@@ -27,7 +27,7 @@ def _units(s, d):
 
 def _split_back(s, d):
     lines = a.text_lines(s, d)
-    units = u.group_units(lines)
+    units = held(u.group_units(lines))
     return u.split_output(lines, units, u.build_input(lines, units).withColumnRenamed("input", "output"))
 
 
@@ -144,6 +144,17 @@ ln AS (SELECT pl.*, text, lag({STRIP}) OVER o AS b, lead({STRIP}) OVER o AS a FR
 tl AS (SELECT * REPLACE (CASE WHEN starts_with(a, '.') THEN regexp_replace(text, '\s*\.{{2,}}$', '') ELSE text END AS text) FROM ln),
 hd AS (SELECT * REPLACE (CASE WHEN ends_with(b, '.') THEN regexp_replace(text, '^\.{{2,}}\s*', '') ELSE text END AS text), text AS raw FROM tl)"""
 
+JOINED = r"CASE WHEN is_fragment_merge THEN string_agg(regexp_replace(text, '^\s+|\s+$', '', 'g'), ' ' ORDER BY cue_no) ELSE string_agg(raw, ' || ' ORDER BY cue_no) END"
+_unpiped = lambda x: rf"regexp_replace(regexp_replace({x}, '\s*\|+\s*', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+SHARE = "(CASE WHEN a.togo = 1 THEN total - a.used ELSE least(greatest(round_even(x.w / s::DOUBLE * total, 0)::INT, least(1, total - a.used)), greatest(0, total - a.used - (a.togo - 1))) END)::INT"
+DEALT = rf"""ag AS (SELECT track_id, unit_no, is_fragment_merge, list(cue_no ORDER BY cue_no) AS nos, list(greatest(len(regexp_extract_all(raw, '\S+')), 1)::INT ORDER BY cue_no) AS w, {JOINED} AS o FROM hd GROUP BY track_id, unit_no, is_fragment_merge),
+wd AS (SELECT *, len(nos) AS n, list_sum(w)::INT AS s, list_transform(string_split(o, '||'), lambda p: {_unpiped('p')}) AS parts, list_filter(regexp_split_to_array({_unpiped('o')}, '\s+'), lambda z: z <> '') AS words FROM ag),
+tt AS (SELECT *, len(words)::INT AS total FROM wd),
+en2 AS (SELECT *, list_reduce(list_prepend({{'w': 0, 'used': 0, 'togo': n::INT, 'ends': []::INT[]}}, list_transform(w, lambda v: {{'w': v, 'used': 0, 'togo': 0, 'ends': []::INT[]}})),
+  lambda a, x: {{'w': x.w, 'used': (a.used + {SHARE})::INT, 'togo': (a.togo - 1)::INT, 'ends': list_append(a.ends, (a.used + {SHARE})::INT)}}).ends AS ends FROM tt),
+dl AS (SELECT track_id, nos, CASE WHEN n = 1 THEN [{_unpiped('o')}] WHEN NOT is_fragment_merge AND len(parts) = n THEN parts
+  ELSE list_transform(range(1, n + 1), lambda i: array_to_string(words[CASE WHEN i = 1 THEN 1 ELSE ends[i - 1] + 1 END : ends[i]], ' ')) END AS texts FROM en2)"""
+
 ORACLES = {
     "p1_strip": EN + f" SELECT track_id, cue_no, {STRIP} AS stripped, {STRIP} = '' AS blank FROM en",
     "p5_replace_polish": f"SELECT doc_id, translate(text, '{t.POLISH}', '{t.ASCII}') AS text FROM documents",
@@ -168,5 +179,6 @@ SELECT track_id, name, sum(v)::BIGINT AS votes FROM v GROUP BY ALL HAVING sum(v)
 SELECT experiment, sum(len({_issues('out')}))::BIGINT AS issues, count(*) AS lines FROM x GROUP BY experiment""",
     "w7_group_units": EN + f", {UNITS} SELECT track_id, unit_no, cue_nos, is_fragment_merge FROM units",
     "w8_build_input": EN + f", {UNITS}, {INPUTS}" + r" SELECT track_id, unit_no, CASE WHEN is_fragment_merge THEN string_agg(regexp_replace(text, '^\s+|\s+$', '', 'g'), ' ' ORDER BY cue_no) ELSE string_agg(raw, ' || ' ORDER BY cue_no) END AS input FROM hd GROUP BY track_id, unit_no, is_fragment_merge",
+    "w9_split_output": EN + f", {UNITS}, {INPUTS}, {DEALT} SELECT track_id, unnest(nos) AS cue_no, unnest(texts) AS text FROM dl",
     "w10_context_window": EN + """ SELECT track_id, cue_no, array_to_string(list(text) OVER (PARTITION BY track_id ORDER BY cue_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), ' ||| ') AS context, text AS own FROM en""",
 }
