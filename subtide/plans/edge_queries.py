@@ -58,13 +58,13 @@ def _upper(texts):
 
 def _messages(s, d):
     kind = F.create_map(*[F.lit(v) for v in ("signup", "start", "view", "span", "click", "span", "purchase", "update", "error", "end")])
-    return x.event_stream(s, d).select(F.col("user_id").alias("video_id"), F.col("event_id").alias("no"), F.element_at(kind, F.col("event_type")).alias("kind"), F.col("value"))
+    return x.event_stream(s, d).select(F.col("user_id").alias("video_id"), F.col("event_id").alias("no"), F.element_at(kind, F.col("event_type")).alias("kind"), F.col("value"), "ts")
 
 
 def _cue_stream(s, d):
     e = x.event_stream(s, d)
     start = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
-    return e.select(F.col("user_id").alias("track_id"), F.col("event_id").alias("cue_no"), start.alias("start_ms"), (start + 500 + F.col("event_id") * 37 % 3000).alias("end_ms"), F.col("event_type").alias("style"), F.col("event_type").alias("text"))
+    return e.select(F.col("user_id").alias("track_id"), F.col("event_id").alias("cue_no"), start.alias("start_ms"), (start + 500 + F.col("event_id") * 37 % 3000).alias("end_ms"), F.col("event_type").alias("style"), F.col("event_type").alias("text"), "ts")
 
 
 def _span_windows(s, d):
@@ -72,6 +72,11 @@ def _span_windows(s, d):
     return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "name", "n", "total_ms")
 
 
+def _status_windows(s, d):
+    got = x.run_available(x.status_counts(x.event_stream(s, d)), ["start"], "append")
+    return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "completed", "failed", "skipped", "running")
+
+
 QUERIES = {
     "s2_parse_srt": lambda s, d: f.parse_srt(c.srt_text(_shifted(s, d))),
     "s3_parse_ass": lambda s, d: a.ass_cues(s, d),
@@ -88,8 +93,9 @@ QUERIES = {
     "f3_translate_lines": lambda s, d: t.translate_lines(a.text_lines(s, d), _upper, ["The"]).select("track_id", "cue_no", "translation"),
     "f3_translate_units": lambda s, d: t.translate_units(a.text_lines(s, d), _upper, ["The"]),
     "x1_span_stream": _span_windows,
-    "x2_video_reports": lambda s, d: x.run_available(x.video_reports(_messages(s, d)), ["video_id", "report_no"], "append"),
+    "x2_video_reports": lambda s, d: x.run_available(x.video_reports(_messages(s, d)), ["video_id", "start_no"]),
     "x3_progress_table": lambda s, d: x.run_available(x.progress_table(x.event_stream(s, d)), ["file_id"]),
+    "x3_status_counts": _status_windows,
     "x4_dedup_stream": lambda s, d: x.run_available(x.dedup_stream(_cue_stream(s, d)), ["track_id", "cue_no"]),
 }
 
@@ -124,7 +130,15 @@ v AS (SELECT id, list_sum(list_transform(range(1, 9), lambda i: ((instr('0123456
 s AS (SELECT id, sum(word)::HUGEINT AS total FROM v GROUP BY id)
 SELECT b.id, CASE WHEN n > 0 THEN lower(lpad(to_hex(((total + n) % 18446744073709551616)::UBIGINT), 16, '0')) END AS oshash, md5(content[1:10485760]) AS md5 FROM b LEFT JOIN s USING (id)""",
     "x1_span_stream": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS name, count(*) AS n, sum(value * 10) AS total_ms FROM events GROUP BY ALL",
-    "x3_progress_table": "SELECT user_id AS file_id, arg_max(event_type, (ts, event_id)) AS stage, count_if(event_type <> 'error')::BIGINT AS done, count(*) AS total, sum(value) AS units FROM events GROUP BY user_id",
+    "x2_video_reports": """WITH m AS (SELECT user_id AS video_id, event_id AS no, CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'span' WHEN 'click' THEN 'span' WHEN 'purchase' THEN 'update' ELSE 'end' END AS kind, value FROM events),
+s AS (SELECT *, max(CASE WHEN kind = 'start' THEN no END) OVER (PARTITION BY video_id ORDER BY no) AS start_no FROM m),
+e AS (SELECT *, min(CASE WHEN kind = 'end' THEN no END) OVER (PARTITION BY video_id, start_no) AS end_no FROM s WHERE start_no IS NOT NULL)
+SELECT video_id, start_no, count_if(kind = 'span')::BIGINT AS n_spans, coalesce(sum(value) FILTER (kind = 'span'), 0) AS total_ms, count_if(kind = 'update')::BIGINT AS n_updates FROM e WHERE no < end_no GROUP BY video_id, start_no""",
+    "x3_progress_table": """SELECT user_id AS file_id, arg_max(event_type, (ts, event_id)) AS stage, CASE arg_max(event_type, (ts, event_id)) WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'skipped' ELSE 'running' END AS status,
+  count_if(event_type <> 'error')::BIGINT AS done, count(*) AS total, sum(value) AS units, CASE WHEN max(ts) > min(ts) THEN count_if(event_type <> 'error') * 1e6 / date_diff('microsecond', min(ts), max(ts)) ELSE 0 END::DOUBLE AS rate FROM events GROUP BY user_id""",
+    "x3_status_counts": """WITH f AS (SELECT date_trunc('day', ts) AS d, user_id, arg_max(event_type, (ts, event_id)) AS stage FROM events GROUP BY ALL)
+SELECT strftime(d, '%Y-%m-%d') AS day, count_if(stage = 'purchase')::BIGINT AS completed, count_if(stage = 'error')::BIGINT AS failed, count_if(stage = 'signup')::BIGINT AS skipped, count_if(stage NOT IN ('purchase', 'error', 'signup'))::BIGINT AS running
+FROM f WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY GROUP BY d""",
     "x4_dedup_stream": a.with_views("cues", """, runs AS (SELECT *, sum(new) OVER (PARTITION BY track_id ORDER BY cue_no) AS run FROM (SELECT *, CASE WHEN lag(text) OVER (PARTITION BY track_id ORDER BY cue_no) = text THEN 0 ELSE 1 END AS new FROM cues))
 SELECT track_id, min(cue_no) AS cue_no, arg_min(start_ms, cue_no) AS start_ms, max(end_ms) AS end_ms, arg_min(style, cue_no) AS style, text FROM runs GROUP BY track_id, run, text"""),
 }
