@@ -177,6 +177,16 @@ def throughput(spans: DataFrame) -> DataFrame:
     return spans.groupBy("name").pivot("run", ["before", "after"]).agg(rate)
 
 
+def memory_deltas(spans: DataFrame) -> DataFrame:
+    """Per run and span name, from the details (a variant) of its spans: how many say what memory they took, and the means of what loading and translating added.
+
+    ``rss_before_mb``, ``rss_after_load_mb`` and ``rss_after_translate_mb`` may be numbers or text; what isn't there, or is no number, is left out.
+    """
+    at = lambda name: F.try_variant_get("details", f"$.rss_{name}_mb", "double")
+    load, translate = at("after_load") - at("before"), at("after_translate") - at("after_load")
+    return spans.groupBy("run", "name").agg(F.count(F.coalesce(load, translate)).alias("n"), F.avg(load).alias("load_mb"), F.avg(translate).alias("translate_mb"))
+
+
 def span_tree(spans: DataFrame) -> DataFrame:
     """Per run, video and dotted name: total time, parent (the name without its last part) and self time (without direct children)."""
     own = spans.groupBy("run", "video_id", "name").agg(F.sum("duration_ms").alias("total_ms")).withColumn("parent", F.when(F.contains("name", F.lit(".")), F.regexp_replace("name", r"\.[^.]*$", "")))

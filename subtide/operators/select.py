@@ -158,13 +158,33 @@ def assemble_tracks(selected: DataFrame, machine: DataFrame, external: DataFrame
     return s.union(m).union(e).withColumn("track_no", no).select("media_id", "track_no", "title", ((F.col("track_no") == 1) & (F.col("_k") < 2)).alias("is_default"))
 
 
+def _either(first: Column, second: Column) -> Column:
+    """``first`` unless it is missing: null, 0 or ''."""
+    return F.when(first.isNotNull() & ~first.cast("string").isin("", "0"), first).otherwise(second)
+
+
 def merge_identity(media: DataFrame) -> DataFrame:
-    """Title (container before parsed before file name), season and episode (0 counts as missing) and media_type of rows with those parsed columns."""
-    season, episode = F.coalesce(F.expr("nullif(season, 0)"), F.expr("nullif(folder_season, 0)")), F.expr("nullif(episode, 0)")
-    return media.select(
-        "media_id", F.coalesce(F.expr("nullif(container_title, '')"), F.expr("nullif(parsed_title, '')"), "raw_filename").alias("title"), season.alias("season"), episode.alias("episode"),
-        F.when(season.isNotNull() | episode.isNotNull(), "episode").otherwise("movie").alias("media_type"),
+    """(media_id, title, parsed_title, year, season, episode, media_type, is_anime, release_group) from what two parsers, the folder and the container say.
+
+    media: media_id, file_name, folder_name, container_title; ani_title, ani_season, ani_episode, ani_year, release_group, is_anime of the parser for
+    anime; guess_title, guess_season, guess_episode, guess_year, guess_type of the general one; folder_title, folder_season of the folder's name.
+    The anime parser is asked first for anime with a title (season and episode: for anime), the general one otherwise; the year from the
+    anime parser first. Without a title the folder's is taken, or its name, and then its season where there is none. 0 and '' are missing where there is
+    another to ask. The title is the container's before the parsed one before the file's name.
+    """
+    c = F.col
+    anime = F.coalesce("is_anime", F.lit(False))
+    has = lambda x: x.isNotNull() & (x != "")
+    parsed = F.when(anime & has(c("ani_title")), c("ani_title")).otherwise(_either(c("guess_title"), c("ani_title")))
+    number = lambda n: F.when(anime, _either(c(f"ani_{n}"), c(f"guess_{n}"))).otherwise(_either(c(f"guess_{n}"), c(f"ani_{n}")))
+    by_folder = ~has(F.coalesce(parsed, F.lit(""))) & has(F.coalesce("folder_name", F.lit("")))
+    made = media.select(
+        "media_id", "container_title", "file_name", F.when(by_folder, F.coalesce("folder_title", "folder_name")).otherwise(parsed).alias("parsed_title"), _either(c("ani_year"), c("guess_year")).alias("year"),
+        F.when(by_folder, _either(number("season"), c("folder_season"))).otherwise(number("season")).alias("season"), number("episode").alias("episode"), "guess_type", anime.alias("is_anime"), "release_group",
     )
+    kind = F.when(c("season").isNotNull() | c("episode").isNotNull() | F.coalesce(c("guess_type") == "episode", F.lit(False)), "episode").otherwise("movie")
+    title = _either(c("container_title"), _either(c("parsed_title"), c("file_name")))
+    return made.select("media_id", title.alias("title"), "parsed_title", "year", "season", "episode", kind.alias("media_type"), "is_anime", "release_group")
 
 
 def output_stem(title: Column, season: Column, episode: Column) -> Column:
@@ -194,16 +214,17 @@ def pick_font(styles: DataFrame, fonts: DataFrame, required: str) -> DataFrame:
     """Per media and style font the file to use: one whose stem begins with its name, else with that of a preferred family, else any; all must have every letter of ``required``.
 
     styles: media_id, fontname; fonts: stem, letters (array of characters). ``-`` and ``_`` count as blanks;
-    ties go to the stem that sorts first. A stem meets a name on the name's first word, so no name meets
-    all fonts. Media without any font are absent; null names get a preferred family.
+    ties go to the stem that sorts first. A stem has one row for each length that a name has, and meets names of that length
+    that are its beginning, so no more rows meet than fit. Media without any font are absent; null names get a preferred family.
     """
     need = F.array(*[F.lit(c) for c in required])
     plain = lambda c: F.lower(F.translate(c, "-_", "  "))
-    first = lambda c: F.substring(c, 1, 1)
     good = fonts.where(F.size(F.array_except(need, "letters")) == 0).select("stem", plain(F.col("stem")).alias("_s"))
     wanted = styles.select("media_id", "fontname").distinct()
     names = wanted.select("fontname").distinct().withColumn("_n", plain(F.col("fontname"))).where("_n <> ''")
-    own = names.join(good, (first(F.col("_n")) == first(F.col("_s"))) & F.col("_s").startswith(F.col("_n"))).groupBy("fontname").agg(F.min("stem").alias("own"))
+    lengths = names.agg(F.collect_set(F.length("_n")).alias("_l"))  # one row, of as many numbers as the longest name has letters at most
+    heads = good.join(F.broadcast(lengths), how="cross").select("stem", F.explode(F.transform(F.filter("_l", lambda n: n <= F.length("_s")), lambda n: F.substring(F.col("_s"), F.lit(1), n))).alias("_n"))
+    own = names.join(heads, "_n").groupBy("fontname").agg(F.min("stem").alias("own"))
     place = F.coalesce(*[F.when(F.col("_s").startswith(name.lower()), i) for i, name in enumerate(FONTS)], F.lit(len(FONTS)))
     spare = good.agg(F.min(F.struct(place.alias("p"), "stem")).alias("spare")).select("spare.stem")  # one row
     picked = wanted.join(own, "fontname", "left").join(F.broadcast(spare.select(F.col("stem").alias("spare"))), how="cross")

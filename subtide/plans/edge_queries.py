@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from subtide.operators import cues as c, translate as t
-from subtide.session import table
+from subtide.session import fresh_path, table
 from subtide.plans.cue_queries import PLAIN
-from subtide.sources import adapters as a, ass, files as f
+from subtide.sources import adapters as a, ass, files as f, responses
 from subtide.streaming import spans as x
 
 
@@ -52,6 +52,17 @@ def _xml(s, d):
     return r.select("media_id", (F.col("media_id") % 4 == 0).alias("hash_match"), F.when(F.col("media_id") % 11 == 0, F.concat(F.lit("<x>"), "body")).otherwise(F.col("body")).alias("body"))
 
 
+def _responses_of(s, d):
+    """The saved responses of all three services, written and read through the data source."""
+    none = F.lit(None)
+    html = _responses(s, d, HTML_ITEM, "<html><table><tr><td>menu</td></tr></table>", "</html>")
+    of = lambda df, name, raw, hashed: df.select("media_id", F.lit(name).alias("source"), raw.cast("string").alias("raw_filename"), hashed.cast("boolean").alias("hash_match"), "body")
+    saved = of(_json(s, d), "opensubtitles", F.col("raw_filename"), none).union(of(_xml(s, d), "podnapisi", none, F.col("hash_match"))).union(of(html, "animesub", none, none))
+    path = fresh_path(s, "responses")
+    responses.save_responses(saved, path)
+    return responses.candidates_of(responses.read_responses(s, path))
+
+
 def _upper(texts):
     return [x.upper() for x in texts]
 
@@ -91,6 +102,7 @@ QUERIES = {
     "s10_candidates_from_html": lambda s, d: f.candidates_from_html(_responses(s, d, HTML_ITEM, "<html><table><tr><td>menu</td></tr></table>", "</html>")),
     "p11_protect_placeholders": _protected,
     "f3_translate_lines": lambda s, d: t.translate_lines(a.text_lines(s, d), _upper, ["The"]).select("track_id", "cue_no", "translation"),
+    "f1_saved_responses": _responses_of,
     "f3_translate_units": lambda s, d: t.translate_units(a.text_lines(s, d), _upper, ["The"]),
     "x1_span_stream": _span_windows,
     "x2_video_reports": lambda s, d: x.run_available(x.video_reports(_messages(s, d)), ["video_id", "start_no"]),
@@ -122,6 +134,8 @@ b AS (SELECT *, sum(CASE WHEN t = '' THEN 1 ELSE 0 END) OVER (PARTITION BY track
   FROM orders WHERE o_orderkey % 4 <> 2 AND o_custkey % 11 <> 0""",
     "s10_candidates_from_html": """SELECT o_custkey AS media_id, 'animesub' AS source, o_orderkey::VARCHAR AS subtitle_id, 's' || o_orderkey AS sh, o_orderpriority || ' & x' AS release_name,
   CASE WHEN o_orderkey % 4 IN (0, 2) THEN 'ass' ELSE 'srt' END AS format FROM orders WHERE o_orderkey % 5 <> 0""",
+    "f1_saved_responses": """FROM_JSON UNION ALL FROM_XML UNION ALL
+SELECT media_id, source, subtitle_id, 'pol' AS language, release_name, format, 0.6::DOUBLE AS score, false AS hash_match FROM (FROM_HTML)""",
     "s5_normalize_encoding": "SELECT doc_id, text FROM documents",
     "s6_fingerprints": """WITH b AS (SELECT doc_id AS id, encode(text) AS content, octet_length(encode(text)) AS n FROM documents),
 w AS (SELECT id, h, unnest(range(0, len(h), 16)) AS p FROM (SELECT id, unnest([hex(content[1:65536]), hex(content[greatest(1, n - 65535):])]) AS h FROM b WHERE n > 0)),
@@ -142,3 +156,4 @@ FROM f WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY
     "x4_dedup_stream": a.with_views("cues", """, runs AS (SELECT *, sum(new) OVER (PARTITION BY track_id ORDER BY cue_no) AS run FROM (SELECT *, CASE WHEN lag(text) OVER (PARTITION BY track_id ORDER BY cue_no) = text THEN 0 ELSE 1 END AS new FROM cues))
 SELECT track_id, min(cue_no) AS cue_no, arg_min(start_ms, cue_no) AS start_ms, max(end_ms) AS end_ms, arg_min(style, cue_no) AS style, text FROM runs GROUP BY track_id, run, text"""),
 }
+ORACLES["f1_saved_responses"] = ORACLES["f1_saved_responses"].replace("FROM_JSON", ORACLES["s8_candidates_from_json"]).replace("FROM_XML", ORACLES["s9_candidates_from_xml"]).replace("FROM_HTML", ORACLES["s10_candidates_from_html"])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from subtide.operators import select as c
-from subtide.session import table
-from subtide.sources import adapters as a
+from subtide.session import fresh_path, table
+from subtide.sources import adapters as a, documents
 
 
 def _probes(s, d):
@@ -62,6 +62,31 @@ def _fonts(s, d):
     return c.pick_font(styles, fonts, "1")
 
 
+#: What parsers, folder and container say of a part's file, missing in turn.
+PARSED = """SELECT p_partkey AS media_id, p_name || '.mkv' AS file_name, CASE WHEN p_partkey % 7 < 5 THEN p_brand END AS folder_name, CASE WHEN p_partkey % 11 = 0 THEN p_type WHEN p_partkey % 11 = 1 THEN '' END AS container_title,
+  CASE WHEN p_partkey % 3 > 0 THEN upper(p_name) END AS ani_title, CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 4 - 1 END AS ani_season, nullif(p_partkey % 5, 4) AS ani_episode, nullif(p_partkey % 6, 3) AS ani_year,
+  CASE WHEN p_partkey % 2 = 0 THEN p_type END AS release_group, p_partkey % 2 = 0 AS is_anime, CASE WHEN p_partkey % 9 > 3 THEN p_name END AS guess_title, nullif(p_partkey % 3, 2) AS guess_season, nullif(p_partkey % 8, 7) AS guess_episode,
+  2000 + p_partkey % 20 AS guess_year, CASE WHEN p_partkey % 10 < 2 THEN 'episode' ELSE 'movie' END AS guess_type, CASE WHEN p_partkey % 13 > 6 THEN p_type END AS folder_title, p_partkey % 4 AS folder_season FROM part"""
+
+
+def _parsed(s, d):
+    table(s, d, "part").createOrReplaceTempView("part_of_identities")
+    return s.sql(PARSED.replace("FROM part", "FROM part_of_identities"))
+
+
+def _manifest(s, d):
+    """The manifest of all media written as one document by many tasks, and read back."""
+    media = a.media(s, d).select(
+        "media_id", F.concat("parsed_title", F.lit(".mkv")).alias("source_file"), F.initcap("parsed_title").alias("title"), "parsed_title", "season", "episode", F.lit("episode").alias("media_type"), (F.col("media_id") % 2 == 0).alias("is_anime")
+    )
+    path = fresh_path(s, "manifest") + ".json"
+    documents.write_manifest(media, a.tracks(s, d), path, "/videos")
+    sub = "array<struct<stream_no:int,file:string,language:string>>"
+    read = s.read.schema(f"version int, source_dir string, entries array<struct<source_file:string,identity:struct<title:string,parsed_title:string,season:bigint,episode:bigint,media_type:string,is_anime:boolean>,subtitles:{sub}>>").json(path, multiLine=True)
+    e = read.select("version", "source_dir", F.posexplode("entries").alias("entry_no", "e")).select("version", "source_dir", "entry_no", "e.source_file", "e.identity.*", F.array_join("e.subtitles.file", ",").alias("files"), F.array_join("e.subtitles.language", ",").alias("languages"))
+    return e.drop("title")
+
+
 QUERIES = {
     "p16_entry_matches": _entries,
     "j11_pick_font": _fonts,
@@ -73,6 +98,8 @@ QUERIES = {
     "j9_new_only": lambda s, d: c.new_only(a.tracks(s, d).select("media_id").distinct(), table(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("media_id")), "media_id"),
     "j10_audit_tracks": lambda s, d: c.audit_tracks(a.tracks(s, d), _expected(s, d)),
     "s14_build_manifest": lambda s, d: c.build_manifest(a.tracks(s, d)),
+    "s14_write_manifest": _manifest,
+    "p17_merge_identity": lambda s, d: c.merge_identity(_parsed(s, d)),
     "j4_external_subs": lambda s, d: c.external_subs(a.media(s, d), a.manifest(s, d)),
     "p18_output_stem": lambda s, d: a.media(s, d).select("media_id", c.output_stem(F.col("parsed_title"), F.col("season"), F.col("episode")).alias("stem")),
     "j6_english_source": _source,
@@ -111,6 +138,16 @@ SELECT c_custkey AS media_id, 'supplier#0000000' || (c_custkey % 40) AS fontname
     "j10_audit_tracks": a.with_views(T, """, x AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY stream_no) AS pos, language FROM tracks), y AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY stream_no) AS pos, language FROM tracks WHERE NOT (media_id % 5 = 0 AND stream_no = 1)),
 z AS (SELECT media_id, count(x.language) AS n_actual, count(y.language) AS n_expected, bool_and(coalesce(x.language = y.language, false)) AS languages_equal FROM x FULL JOIN y USING (media_id, pos) GROUP BY media_id) SELECT *, n_actual = n_expected AND languages_equal AS ok FROM z"""),
     "s14_build_manifest": a.with_views(T, f""" SELECT media_id, '{{"subtitles":[' || string_agg('{{"stream_no":' || stream_no || ',"file":"' || stream_no || {EXT} || '","language":"' || {LANG} || '"}}', ',' ORDER BY stream_no) || ']}}' AS doc FROM tracks GROUP BY media_id"""),
+    "s14_write_manifest": a.with_views("media tracks", f""", x AS (SELECT media_id, string_agg(stream_no || {EXT}, ',' ORDER BY stream_no) AS files, string_agg({LANG}, ',' ORDER BY stream_no) AS languages FROM tracks GROUP BY media_id)
+SELECT 1 AS version, '/videos' AS source_dir, (row_number() OVER (ORDER BY parsed_title || '.mkv', media_id) - 1)::INT AS entry_no, parsed_title || '.mkv' AS source_file, parsed_title, season, episode, 'episode' AS media_type, media_id % 2 = 0 AS is_anime,
+  coalesce(files, '') AS files, coalesce(languages, '') AS languages FROM media LEFT JOIN x USING (media_id)"""),
+    "p17_merge_identity": f"""WITH p AS ({PARSED}),
+t AS (SELECT *, CASE WHEN is_anime AND ani_title IS NOT NULL THEN ani_title ELSE coalesce(guess_title, ani_title) END AS parsed,
+  CASE WHEN is_anime THEN CASE WHEN ani_season > 0 THEN ani_season ELSE guess_season END ELSE CASE WHEN guess_season > 0 THEN guess_season ELSE ani_season END END AS s,
+  CASE WHEN is_anime THEN CASE WHEN ani_episode > 0 THEN ani_episode ELSE guess_episode END ELSE CASE WHEN guess_episode > 0 THEN guess_episode ELSE ani_episode END END AS episode FROM p),
+u AS (SELECT *, coalesce(parsed, CASE WHEN folder_name IS NOT NULL THEN coalesce(folder_title, folder_name) END) AS parsed_title, CASE WHEN parsed IS NULL AND folder_name IS NOT NULL AND coalesce(s, 0) = 0 THEN folder_season ELSE s END AS season FROM t)
+SELECT media_id, coalesce(nullif(container_title, ''), parsed_title, file_name) AS title, parsed_title, CASE WHEN ani_year > 0 THEN ani_year ELSE guess_year END AS year, season, episode,
+  CASE WHEN season IS NOT NULL OR episode IS NOT NULL OR guess_type = 'episode' THEN 'episode' ELSE 'movie' END AS media_type, is_anime, release_group FROM u""",
     "j4_external_subs": a.with_views("media manifest", " SELECT m.media_id, f.media_id AS manifest_id, m.episode, contains(lower(m.parsed_title), lower(f.parsed_title)) OR contains(lower(f.parsed_title), lower(m.parsed_title)) AS title_match FROM media m JOIN manifest f USING (folder, episode)"),
     "p18_output_stem": a.with_views("media", r" SELECT media_id, trim(regexp_replace(parsed_title, '[^\p{L}\p{N} _-]', '', 'g')) || CASE WHEN season IS NOT NULL THEN printf(' - S%02dE%02d', season, episode) ELSE printf(' - E%02d', episode) END AS stem FROM media"),
     "j6_english_source": a.with_views(C, f""", best AS (SELECT media_id, 'f' || result_no AS p FROM (SELECT *, {RANK.format('media_id, language')} AS r FROM candidates) WHERE r = 1 AND language = 'eng')
