@@ -43,6 +43,12 @@ HINTS = frozenset(
 )
 #: Readers' words and hidden elements are no article however much text they hold.
 READERS = frozenset("comment comments commentlist respond reply replies disqus".split())
+#: One of these is enough in a class or id, whatever it is joined with, on an element that comes after paragraphs; before them it is weighed.
+READERS_ANYWHERE = READERS | frozenset("responses discussion".split())
+#: But not beside these, which say what an article has.
+ABOUT = frozenset("no has have with without open opened close closed enabled disabled on off count number total link".split())
+#: Names of elements that go unless they hold most of the page, as a form around all of it does.
+WRAPPERS = frozenset("form aside nav footer dialog menu".split())
 #: What a hint may be joined with by - or _ in a class or id; other words (has-sidebar, menu-open) make it another name.
 JOINED = frozenset(
     "site page main post entry article content body inner outer top bottom left right upper lower first last primary secondary global mobile desktop "
@@ -62,7 +68,7 @@ CLOSES = {
 #: Implied ends look no further up than these.
 SCOPES = frozenset("table ul ol dl select html body article section div aside nav main form td th".split())
 
-TEXT_OR_COMMENT = re.compile(r"[^<]+|<!--.*?(?:-->|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*>?|<(?![a-zA-Z/])", re.S)
+TEXT_OR_COMMENT = re.compile(r"[^<]+|<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*>?|<(?![a-zA-Z/])", re.S)
 TAG_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 GAP = re.compile(r"[\s/]*")
 ATTRIBUTE_NAME = re.compile(r"=?[^\s/>=]*")
@@ -70,7 +76,9 @@ EQUALS = re.compile(r"\s*=\s*")
 BARE_VALUE = re.compile(r"[^\s>]*")
 #: Headings are the article's own whatever they are called.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Hints that count inside an article too.
+#: Hints that count inside an article too, where the element holds a small part of the page's text.
+SMALL_INSIDE = frozenset("sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar topbar".split())
+#: Hints that count inside an article however much it is.
 STRONG = frozenset("ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription".split())
 
 
@@ -83,32 +91,39 @@ class Node:
         self.name, self.hinted, self.children = name, hinted, []
 
 
-def _hinted(name: str, attributes: list[tuple[str, str]]) -> int:
-    """3 for readers' words and hidden elements, 2 for STRONG hints, 1 for other hints that the element is no part of the article, else 0."""
+def _hinted(name: str, attributes: list[tuple[str, str]], after: bool) -> int:
+    """How much the element says that it is no part of the article: 4 for readers' words and hidden elements, 3 for STRONG hints, 2 for SMALL_INSIDE, 1 for others, else 0; ``after`` paragraphs readers' words needn't stand alone."""
     hint = 0
     for key, value in attributes:
         value = value.lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return 3
+            return 4
         if key == "role" and value in ROLES:
             hint = max(hint, 1)
         if key in ("class", "id") and name not in HEADINGS:
             for word in value.split():
                 parts = [x for x in re.split(r"[_-]+", word) if x and not x.isdigit()]
+                if not READERS_ANYWHERE.isdisjoint(parts) and ABOUT.isdisjoint(parts):
+                    if after:
+                        return 4
+                    hint = max(hint, 1)
                 if not HINTS.isdisjoint(parts) and all(x in HINTS or x in JOINED for x in parts):
                     if not READERS.isdisjoint(parts):
-                        return 3
-                    hint = max(hint, 1 if STRONG.isdisjoint(parts) else 2)
+                        return 4
+                    hint = max(hint, 3 if not STRONG.isdisjoint(parts) else 2 if not SMALL_INSIDE.isdisjoint(parts) else 1)
     return hint
 
 
 def _goes(node: Node, inside: bool) -> bool:
-    """The element is no main text by its name or hints; ``inside`` an article only STRONG hints count."""
+    """The element is no main text by its name or hints; ``inside`` an article weak hints don't count."""
     return node.name in DROPPED or node.hinted > int(inside) and node.name != "body" or node.name == "header" and not inside
 
 
 def _unhint(root: Node) -> None:
-    """Takes the hint from elements that hold most of the page's text and of its paragraphs, unless its articles are elsewhere."""
+    """Takes the hint, or the name of a wrapper, from elements that hold most of the page's text and of its paragraphs, unless its articles are elsewhere.
+
+    A SMALL_INSIDE hint is weak on an element with more than a quarter of the text.
+    """
     nodes, up, within = [root], [0], [0]
     text, paragraphs, articles = [0], [0], [0]
     i, hints = 0, []
@@ -121,8 +136,8 @@ def _unhint(root: Node) -> None:
                     paragraphs[i] += n
                     if within[i] == 2:
                         articles[i] += n
-            elif child.name not in DROPPED and child.hinted != 3:
-                if child.hinted:
+            elif (child.name not in DROPPED or child.name in WRAPPERS) and child.hinted != 4:
+                if child.hinted or child.name in WRAPPERS:
                     hints.append(len(nodes))
                 nodes.append(child)
                 up.append(i)
@@ -138,6 +153,10 @@ def _unhint(root: Node) -> None:
     for i in hints:
         if 2 * text[i] > text[0] and 2 * paragraphs[i] > paragraphs[0] and (articles[i] or not articles[0]):
             nodes[i].hinted = 0
+            if nodes[i].name in WRAPPERS:
+                nodes[i].name = "div"
+        elif nodes[i].hinted == 2 and 4 * text[i] > text[0]:
+            nodes[i].hinted = 1
 
 
 class _Open:
@@ -205,6 +224,7 @@ def parse(text: str) -> Node:
     """The page as a tree, with the usual repairs: void and raw elements, implied ends, stray end tags left out. Takes time in proportion to the page."""
     root = Node("#root", 0)
     opened, at, n = _Open(root), 0, len(text)
+    after = False  # paragraphs have been seen
     last = {quote: text.rfind(quote) for quote in "\"'"}
     while at < n:
         m = TEXT_OR_COMMENT.match(text, at)
@@ -212,6 +232,7 @@ def parse(text: str) -> Node:
             at = m.end()
             if text[m.start()] != "<" or m[0] == "<":
                 opened.stack[-1].children.append(m[0])
+                after = after or bool(opened.places.get("p")) and not m[0].isspace()
             continue
         m = TAG_NAME.match(text, at)
         if m is None:  # "</" at the page's end
@@ -225,7 +246,7 @@ def parse(text: str) -> Node:
             opened.end(("p",))
         if name in CLOSES:
             opened.end(CLOSES[name])
-        node = Node(name, _hinted(name, attributes))
+        node = Node(name, _hinted(name, attributes, after))
         opened.stack[-1].children.append(node)
         if name in VOID or closed and name not in BLOCK and name not in RAW:
             continue
@@ -304,7 +325,7 @@ def _walk(root: Node, template: frozenset[int] | set[int] = frozenset()) -> tupl
     line: list[str] = []
 
     def end_block() -> None:
-        words = " ".join(html.unescape("".join(line)).split())
+        words = " ".join("".join(line).split())
         if words:
             blocks.append(words)
         line.clear()
@@ -322,7 +343,7 @@ def _walk(root: Node, template: frozenset[int] | set[int] = frozenset()) -> tupl
             work.append((node, at + 1, first, whole))
             child = node.children[at]
             if isinstance(child, str):
-                line.append(child)
+                line.append(html.unescape(child))  # a reference ends where its text does
             elif _goes(child, whole) or hashes.get(id(child)) in template:
                 if child.name in BLOCK:
                     end_block()

@@ -137,3 +137,37 @@ def test_templates_decide_on_sites_of_plain_blocks(spark):
         want[page] = "\n".join(b for b in made if not (on(b) >= h.MANY_PAGES or on(b) >= h.MIN_PAGES and on(b) >= h.MIN_SHARE * len(same)))
     got = {x["page_id"]: x["text"] for x in h.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert got == want and all("legal" not in t for t in got.values())
+
+
+def text_of(page):
+    return h.main_text(h.parse(page))
+
+
+def test_comments_end_where_they_do():
+    assert text_of("<p>a</p><!--><p>b</p><!---><p>c</p>") == "a\nb\nc"
+    assert text_of("<p>a</p><!-- x --!><p>b</p><!-- <p>no</p> --><p>c</p><!-- open <p>no</p>") == "a\nb\nc"
+
+
+def test_a_form_around_the_page_is_no_form():
+    page = "<body><form id='aspnet'><div class='menu'><a>x</a></div><article><p>One long paragraph.</p><p>Another one.</p></article><button>Go</button></form><footer>f</footer></body>"
+    assert text_of(page) == "One long paragraph.\nAnother one."
+    assert text_of("<body><p>Body text that is long enough.</p><form><p>Your name</p><input></form></body>") == "Body text that is long enough."
+
+
+def test_references_end_with_their_text():
+    assert text_of("<p>a &no<b>t</b> &amp;lt; &am<i>p;</i> &eacute;</p>") == "a &not &lt; &amp; \u00e9"
+
+
+def test_readers_words_after_the_article():
+    for name in ("class='user-comments'", "class='blog-comments'", "class='reader-responses'", "id='disqus_thread'", "id='comments-42'", "class='x commentlist'"):
+        assert text_of(f"<body><article><p>Text.</p></article><div {name}><p>{'Said a reader. ' * 9}</p></div></body>") == "Text."
+        assert text_of(f"<body><article><p>Text.</p><div {name}><p>{'Said a reader. ' * 9}</p></div></article></body>") == "Text."
+    assert text_of("<body><div class='post has-comments'><p>Text.</p></div><div class='reader-comments-page'></div></body>") == "Text."
+    assert text_of("<body><div class='blog-comments-layout'><p>A text of its own.</p></div><p>x</p></body>") == "A text of its own.\nx"
+
+
+def test_small_menus_inside_articles():
+    for name in ("sidebar", "menu", "navbar", "breadcrumbs"):
+        page = f"<article><p>{'A long text of an article. ' * 4}</p><div class='{name}'><p>Other things</p></div><p>End.</p></article>"
+        assert text_of(page).endswith("article.\nEnd.")
+    assert "Soup" in text_of("<article><p>Our dishes</p><div class='menu'><p>Soup of the day with bread and butter</p></div></article>")
