@@ -183,20 +183,25 @@ def density_correlation(ref: DataFrame, cand: DataFrame, window: int, shift: int
 
 
 def calibration_scores(ref: DataFrame, cand: DataFrame, windows: list[int], others: int = 8, each: int = 2) -> DataFrame:
-    """(kind, window, ref_id, cand_id, score): every reference with its OWN candidate, and CROSS with those of the first ``others``.
+    """(kind, window, ref_id, cand_id, cand_no, score): every reference with all candidates of its OWN, and CROSS with the first ``each`` of each of the first ``others`` references.
 
-    A stated, small set of other candidates is held against all references.
+    cand: pair_id names the reference that a candidate was found for, cand_no which of its candidates it is (0 if there is no such
+    column). A stated, small set of other candidates is held against all references.
     """
-    ids = ref.select("pair_id").distinct()
-    first = cand.select("pair_id").distinct().orderBy("pair_id").limit(others)
-    met = ids.select(F.col("pair_id").alias("ref_id")).join(F.broadcast(first.select(F.col("pair_id").alias("cand_id"))), F.col("ref_id") != F.col("cand_id"))
-    own = ids.select(F.col("pair_id").alias("ref_id"), F.col("pair_id").alias("cand_id"))
-    pairs = met.withColumn("kind", F.lit("CROSS")).union(own.withColumn("kind", F.lit("OWN"))).withColumn("pair_id", F.concat_ws(":", "kind", "ref_id", "cand_id"))
+    cand = cand if "cand_no" in cand.columns else cand.withColumn("cand_no", F.lit(0))
+    ids = ref.select(F.col("pair_id").alias("ref_id")).distinct()
+    found = held(cand.select(F.col("pair_id").alias("cand_id"), "cand_no").distinct())
+    first = ids.orderBy("ref_id").limit(others).withColumnRenamed("ref_id", "cand_id")
+    place = F.row_number().over(Window.partitionBy("cand_id").orderBy("cand_no"))
+    few = found.join(F.broadcast(first), "cand_id").withColumn("_r", place).where(F.col("_r") <= each).drop("_r")  # others x each rows
+    met = ids.join(F.broadcast(few), F.col("ref_id") != F.col("cand_id"))
+    own = ids.join(found, F.col("ref_id") == F.col("cand_id"))
+    pairs = met.withColumn("kind", F.lit("CROSS")).union(own.withColumn("kind", F.lit("OWN"))).withColumn("pair_id", F.concat_ws(":", "kind", "ref_id", "cand_id", "cand_no"))
     r = pairs.select("pair_id", F.col("ref_id")).join(ref.withColumnRenamed("pair_id", "ref_id"), "ref_id").drop("ref_id")
-    c = pairs.select("pair_id", F.col("cand_id")).join(cand.withColumnRenamed("pair_id", "cand_id"), "cand_id").drop("cand_id")
+    c = pairs.select("pair_id", "cand_id", "cand_no").join(cand.withColumnRenamed("pair_id", "cand_id"), ["cand_id", "cand_no"]).drop("cand_id", "cand_no")
     out = None
     for w in windows:
-        scored = density_correlation(r, c, w).join(pairs, "pair_id").select("kind", F.lit(w).alias("window"), "ref_id", "cand_id", "score")
+        scored = density_correlation(r, c, w).join(pairs, "pair_id").select("kind", F.lit(w).alias("window"), "ref_id", "cand_id", "cand_no", "score")
         out = scored if out is None else out.union(scored)
     return out
 

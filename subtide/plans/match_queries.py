@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from subtide.operators import match as m
 from subtide.sources import adapters as a
 
@@ -12,6 +14,12 @@ def _both(f):
     return lambda s, d: f(a.references(s, d), a.candidate_cues(s, d))
 
 
+def _several(c):
+    """Up to three candidates for each reference: besides its own later ones, for two of three and for half of the references."""
+    later = lambda ms: c.withColumns({"start_ms": F.col("start_ms") + ms, "end_ms": F.col("end_ms") + ms})
+    return c.withColumn("cand_no", F.lit(0)).union(later(7000).where("pair_id % 3 <> 0").withColumn("cand_no", F.lit(1))).union(later(45_000).where("pair_id % 2 = 0").withColumn("cand_no", F.lit(2)))
+
+
 QUERIES = {
     "j1_nearest_match": _both(lambda r, c: m.nearest_match(r, c, 2000)),
     "g7_line_match_score": _both(m.line_match_score),
@@ -23,8 +31,8 @@ QUERIES = {
     "l2_align_plan": _both(m.align_plan),
     "l3_apply_shift": _both(lambda r, c: m.apply_shift(c, m.align_plan(r, c))),
     "g6_density_correlation": _both(lambda r, c: m.density_correlation(r, c, 30_000)),
-    "j12_calibration_scores": _both(lambda r, c: m.calibration_scores(r, c, WINDOWS)),
-    "g10_calibration_summary": _both(lambda r, c: m.calibration_summary(m.calibration_scores(r, c, WINDOWS))),
+    "j12_calibration_scores": _both(lambda r, c: m.calibration_scores(r, _several(c), WINDOWS)),
+    "g10_calibration_summary": _both(lambda r, c: m.calibration_summary(m.calibration_scores(r, _several(c), WINDOWS))),
     "l4_best_candidates": _both(m.best_candidates),
 }
 
@@ -76,13 +84,17 @@ def _density(p: str, refs: str, cands: str, window: int) -> str:
 {p}score AS (SELECT pair_id, greatest(0, coalesce(max(CASE WHEN n >= 3 AND sr > 0 AND sc > 0 THEN cr END), 0))::DOUBLE AS score FROM {p}k GROUP BY pair_id)"""
 
 
-CAL = f"""ids AS (SELECT DISTINCT pair_id FROM refs), firsts AS (SELECT DISTINCT pair_id FROM cands ORDER BY pair_id LIMIT 8),
-met AS (SELECT 'CROSS' AS kind, i.pair_id AS ref_id, f.pair_id AS cand_id FROM ids i JOIN firsts f ON i.pair_id <> f.pair_id UNION ALL SELECT 'OWN', pair_id, pair_id FROM ids),
-mr AS (SELECT kind || ':' || met.ref_id || ':' || met.cand_id AS pair_id, start_ms, end_ms FROM met JOIN refs ON refs.pair_id = met.ref_id),
-mc AS (SELECT kind || ':' || met.ref_id || ':' || met.cand_id AS pair_id, start_ms, end_ms FROM met JOIN cands ON cands.pair_id = met.cand_id),
+MET = "kind || ':' || met.ref_id || ':' || met.cand_id || ':' || met.cand_no"
+CAL = f"""several AS (SELECT *, 0 AS cand_no FROM cands UNION ALL SELECT * REPLACE (start_ms + 7000 AS start_ms, end_ms + 7000 AS end_ms), 1 FROM cands WHERE pair_id % 3 <> 0
+  UNION ALL SELECT * REPLACE (start_ms + 45000 AS start_ms, end_ms + 45000 AS end_ms), 2 FROM cands WHERE pair_id % 2 = 0),
+ids AS (SELECT DISTINCT pair_id FROM refs), found AS (SELECT DISTINCT pair_id, cand_no FROM several),
+firsts AS (SELECT * FROM found WHERE pair_id IN (SELECT pair_id FROM ids ORDER BY pair_id LIMIT 8) QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY cand_no) <= 2),
+met AS (SELECT 'CROSS' AS kind, i.pair_id AS ref_id, f.pair_id AS cand_id, cand_no FROM ids i JOIN firsts f ON i.pair_id <> f.pair_id UNION ALL SELECT 'OWN', pair_id, pair_id, cand_no FROM ids JOIN found USING (pair_id)),
+mr AS (SELECT {MET} AS pair_id, start_ms, end_ms FROM met JOIN refs ON refs.pair_id = met.ref_id),
+mc AS (SELECT {MET} AS pair_id, start_ms, end_ms FROM met JOIN several ON several.pair_id = met.cand_id AND several.cand_no = met.cand_no),
 {_density('x', 'mr', 'mc', WINDOWS[0])}, {_density('y', 'mr', 'mc', WINDOWS[1])},
-cal AS (SELECT kind, {WINDOWS[0]} AS "window", ref_id, cand_id, score FROM xscore JOIN met ON pair_id = kind || ':' || ref_id || ':' || cand_id
-  UNION ALL SELECT kind, {WINDOWS[1]}, ref_id, cand_id, score FROM yscore JOIN met ON pair_id = kind || ':' || ref_id || ':' || cand_id)"""
+cal AS (SELECT kind, {WINDOWS[0]} AS "window", ref_id, cand_id, cand_no, score FROM xscore JOIN met ON pair_id = {MET}
+  UNION ALL SELECT kind, {WINDOWS[1]}, ref_id, cand_id, cand_no, score FROM yscore JOIN met ON pair_id = {MET})"""
 V = "cues refs cands"
 
 ORACLES = {
