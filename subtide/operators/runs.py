@@ -171,6 +171,14 @@ def run_summary(spans: DataFrame, statuses: list[str]) -> DataFrame:
     return spans.groupBy("run").pivot("status", statuses).count().na.fill(0, statuses)
 
 
+def fetch_summary(found: DataFrame, files: DataFrame) -> DataFrame:
+    """(source, found, downloaded, failed): per service its candidates (media_id, source, subtitle_id), and those whose file is there or isn't; an id found twice counts twice."""
+    key = ["media_id", "source", "subtitle_id"]
+    there = files.select(*key).distinct().withColumn("_there", F.lit(True))
+    joined = found.select(*key).join(there, key, "left")
+    return joined.groupBy("source").agg(F.count(F.lit(1)).alias("found"), F.count("_there").alias("downloaded"), F.count_if(F.col("_there").isNull()).alias("failed"))
+
+
 def throughput(spans: DataFrame) -> DataFrame:
     """Spans per second by name, before and after side by side; 0 where no time was spent."""
     rate = F.when(F.sum("duration_ms") > 0, F.count(F.lit(1)) / (F.sum("duration_ms") / 1000)).otherwise(0.0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from subtide.operators import select as c
+from subtide.operators import runs, select as c
 from subtide.session import fresh_path, table
 from subtide.sources import adapters as a, documents
 
@@ -87,9 +87,21 @@ def _manifest(s, d):
     return e.drop("title")
 
 
+def _fetched(s, d):
+    x = a.candidates(s, d)
+    return runs.fetch_summary(x, x.where("result_no % 3 > 0"))
+
+
+def _embedded(s, d):
+    fonts = table(s, d, "supplier").select((F.col("s_suppkey") % 50).alias("media_id"), F.split("s_name", "").alias("letters"))
+    return c.embedded_font_covers(fonts, "19")
+
+
 QUERIES = {
     "p16_entry_matches": _entries,
     "j11_pick_font": _fonts,
+    "g17_fetch_summary": _fetched,
+    "j11_embedded_fonts": _embedded,
     "s7_explode_streams": lambda s, d: c.explode_streams(_probes(s, d)),
     "p3_signs_track_name": lambda s, d: a.tracks(s, d).select("media_id", "stream_no", c.signs_track_name(F.col("track_name")).alias("signs"), c.signs_track_short(F.col("track_name")).alias("signs_short")),
     "p19_code_maps": lambda s, d: a.tracks(s, d).select("media_id", "stream_no", c.codec_extension(F.col("codec")).alias("ext"), c.language_code(F.col("language")).alias("lang"), c.codec_kind(F.col("codec")).alias("kind")),
@@ -129,6 +141,9 @@ z AS (SELECT *, list_transform(regexp_extract_all(low, '(?:ep|episode\s*|e)(\d+)
 SELECT k AS entry_no, (list_contains(one, e) OR len(lo) > 0 AND e BETWEEN lo[1]::INT AND hi[1]::INT) AND (season IS NULL OR coalesce(own = season, false)) AS matches FROM z""",
     "j11_pick_font": """WITH good AS (SELECT s_name AS stem FROM supplier WHERE contains(s_name, '1'))
 SELECT c_custkey AS media_id, 'supplier#0000000' || (c_custkey % 40) AS fontname, coalesce((SELECT min(stem) FROM good WHERE starts_with(lower(stem), 'supplier#0000000' || (c_custkey % 40))), (SELECT min(stem) FROM good)) AS stem FROM customer""",
+    "g17_fetch_summary": a.with_views(C, """, x AS (SELECT source, EXISTS (SELECT 1 FROM candidates f WHERE f.result_no % 3 > 0 AND f.media_id = c.media_id AND f.source = c.source AND f.subtitle_id = c.subtitle_id) AS there FROM candidates c)
+SELECT source, count(*) AS found, count_if(there)::BIGINT AS downloaded, count_if(NOT there)::BIGINT AS failed FROM x GROUP BY source"""),
+    "j11_embedded_fonts": "SELECT s_suppkey % 50 AS media_id, bool_or(contains(s_name, '1') AND contains(s_name, '9')) AS covered FROM supplier GROUP BY 1",
     "s7_explode_streams": a.with_views(T, " SELECT media_id, stream_no, (row_number() OVER (PARTITION BY media_id ORDER BY stream_no) - 1)::INT AS subtitle_index, codec, language, track_name FROM tracks"),
     "p3_signs_track_name": a.with_views(T, f" SELECT media_id, stream_no, {SIGNS} AS signs, regexp_matches(lower(track_name), 'sign|song|op|ed') AS signs_short FROM tracks"),
     "p19_code_maps": a.with_views(T, f" SELECT media_id, stream_no, {EXT} AS ext, {LANG} AS lang, {KIND} AS kind FROM tracks"),
