@@ -13,8 +13,20 @@ from subtide.llm.vocabulary import word_bpe_path
 from subtide.session import table, written
 
 
+#: Bytes of rows that go to Python at a time: stages hold whole texts, and workers live on from one stage to the next.
+ARROW_BYTES = 8 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches for the stage's action, which its caller runs; the setting stays for the rest of the session."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).lower().removesuffix("b")) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts and texts without a letter. Whatever the language, the others stay."""
+    _small_batches(spark)
     names = docs.columns
     prototypes = langid.train(docs.where(~langid.held_out()))
     return langid.predict(docs, prototypes, names).where(F.col("lang_pred") != langid.UNKNOWN).select(*names)
@@ -22,6 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of documents linked by a Jaccard similarity of 0.75 over five-word shingles the one with the smallest doc_id."""
+    _small_batches(spark)
     return jaccard_join.first_of_each_group(docs, k=5, percent=75)
 
 
@@ -32,6 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit integers), ids_sha256, decoded_sha256."""
+    _small_batches(spark)
     return bpe.round_trip(docs, word_bpe_path(), keep=["lang", "source"], with_ids=True)
 
 
