@@ -56,7 +56,19 @@ SENTENCES = {
     "cc0-dedicated": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
     "cc0-title": "CC0 1.0 Universal",
     "cc0-licensed": "Licensed under CC0 1.0.",
+    "cc-by-nd-licensed": "Licensed under CC BY-ND 4.0.",
+    "agpl3-redistribute": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "bsl-title": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "bsl-grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+    "epl2-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "epl2-accompanies": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which accompanies this distribution, and is available at https://www.eclipse.org/legal/epl-2.0/",
+    "spdx": "SPDX-License-Identifier:",
 }
+#: Licences by the names that follow an SPDX tag.
+SPDX = ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "Zlib", "BSL-1.0", "EPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later"]
+SENTENCES |= {f"name-{name.lower()}": name for name in SPDX}
 
 #: (rule, licence, identifiers in order); tried in this order, so longer sequences come before their parts.
 RULES = [
@@ -97,15 +109,25 @@ RULES = [
     ("cc0-notice", "CC0-1.0", ["cc0-dedicated"]),
     ("cc0-tag-title", "CC0-1.0", ["cc0-title"]),
     ("cc0-tag", "CC0-1.0", ["cc0-licensed"]),
+    ("cc-by-nd-tag", "CC-BY-ND-4.0", ["cc-by-nd-licensed"]),
+    ("agpl3-notice", "AGPL-3.0-or-later", ["agpl3-redistribute"]),
+    ("zlib-text", "Zlib", ["zlib-as-is", "zlib-grant"]),
+    ("zlib-text-short", "Zlib", ["zlib-grant"]),
+    ("bsl-text", "BSL-1.0", ["bsl-title", "bsl-grant"]),
+    ("bsl-text-short", "BSL-1.0", ["bsl-grant"]),
+    ("epl2-notice", "EPL-2.0", ["epl2-terms"]),
+    ("epl2-notice-accompanies", "EPL-2.0", ["epl2-accompanies"]),
+    *[(f"spdx-{name.lower()}", name, ["spdx", f"name-{name.lower()}"]) for name in SPDX],
     ("reserved", "all-rights-reserved", ["rights-reserved"]),
 ]
 
-#: Sentences of one sequence have at most so many other sentences between them.
+#: Sentences of one sequence have at most so many other sentences between them, blank ones not counted.
 MAX_GAP = 2
 
 #: Words with a capital inside the known sentences that begin none: a line that starts with one goes on with a sentence.
-_FIRST = {re.match("[A-Za-z]*", s)[0] for s in SENTENCES.values()}
-_INNER = sorted({w for s in SENTENCES.values() for w in re.findall("[A-Z][A-Za-z]*", s)} - _FIRST)
+_INSIDE = {i: s for i, s in SENTENCES.items() if not i.startswith("name-")}
+_FIRST = {re.match("[A-Za-z]*", s)[0] for s in _INSIDE.values()}
+_INNER = sorted({w for s in _INSIDE.values() for w in re.findall("[A-Z][A-Za-z]*", s)} - _FIRST)
 #: A line break inside a sentence, with the blanks, carriage returns and comment marks about it. Links and blank lines are not joined, nor
 #: lines that begin as a known sentence does, so that a title or tag on a line of its own stays one. No quote signs: it stands in SQL, too.
 WRAP = (
@@ -136,7 +158,7 @@ def known_sentences(spark) -> dict[str, str]:
 def scan_licenses(docs: DataFrame, keep: list[str] | None = None, max_gap: int = MAX_GAP) -> DataFrame:
     """``keep`` columns, then n_sentences, sentence_ids, rules and licenses (sorted, distinct) of every row of ``docs``.
 
-    Each normalised sentence is looked up among SENTENCES; the identifiers found stand in text order,
+    Each normalised sentence that isn't blank is looked up among SENTENCES; the identifiers found stand in text order,
     parted by ``|`` where more than ``max_gap`` other sentences lie between. RULES are tried in their order
     on this sequence and use up what they match; a rule counts once however often it matches.
 
@@ -148,20 +170,22 @@ def scan_licenses(docs: DataFrame, keep: list[str] | None = None, max_gap: int =
     ids = known_sentences(docs.sparkSession)
     to_id = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
     split = docs.select(*keep, sentences(F.col("text")).alias("_lic_s"))
-    placed = F.transform("_lic_s", lambda s, i: F.struct(i.alias("pos"), normalised(s).alias("s")))
+    placed = F.transform(F.filter(F.transform("_lic_s", normalised), lambda s: s != ""), lambda s, i: F.struct(i.alias("pos"), s.alias("s")))
     hits = split.select(*keep, F.size("_lic_s").cast("long").alias("n_sentences"), F.filter(placed, lambda x: x["s"].isin(list(ids))).alias("_lic_h"))
     far = lambda h, i: (i > 0) & (h["pos"] - F.get("_lic_h", i - 1)["pos"] > max_gap + 1)
     tokens = F.transform("_lic_h", lambda h, i: F.concat(F.when(far(h, i), F.lit("| ")).otherwise(F.lit("")), F.element_at(to_id, h["s"])))
     found = hits.select(*keep, "n_sentences", F.array_join(tokens, " ").alias("sentence_ids"))
     # " a  b  c " so that neighbouring identifiers don't share a blank
     left = F.concat(F.lit(" "), F.replace(F.col("sentence_ids"), F.lit(" "), F.lit("  ")), F.lit(" "))
-    matched: list[Column] = []
-    for rule, _, sequence in RULES:
-        pattern = F.lit("".join(f" {x} " for x in sequence))
-        matched.append(F.when(F.contains(left, pattern), F.lit(rule)))
-        left = F.replace(left, pattern, F.lit(" # "))
+    patterns = F.array(*[F.struct(F.lit("".join(f" {x} " for x in sequence)).alias("p"), F.lit(rule).alias("r")) for rule, _, sequence in RULES])
+    begin = F.struct(left.alias("seq"), F.array().cast("array<string>").alias("rs"))
+
+    def step(done: Column, rule: Column) -> Column:
+        rs = F.when(F.contains(done["seq"], rule["p"]), F.array_append(done["rs"], rule["r"])).otherwise(done["rs"])
+        return F.struct(F.replace(done["seq"], rule["p"], F.lit(" # ")).alias("seq"), rs.alias("rs"))
+
     names = {rule: licence for rule, licence, _ in RULES}
-    rules = F.when(F.col("sentence_ids") == "", F.array().cast("array<string>")).otherwise(F.filter(F.array(*matched), lambda x: x.isNotNull()))
+    rules = F.when(F.col("sentence_ids") == "", F.array().cast("array<string>")).otherwise(F.aggregate(patterns, begin, step, lambda done: done["rs"]))
     to_licence = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     return found.withColumn("_lic_r", rules).select(
         *keep, "n_sentences", "sentence_ids",
@@ -180,8 +204,9 @@ def oracle_sql(max_gap: int = MAX_GAP) -> str:
     return f"""
 WITH known(id, s) AS (VALUES {known}),
 d AS (SELECT row_number() OVER () AS n, doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{WRAP}', '\\1 \\2', 'g'), '{STOP}', '\\1\n', 'g'), chr(10)) AS ss FROM documents),
-u AS (SELECT n, unnest(ss) AS s, unnest(range(len(ss))) AS pos FROM d),
-h AS (SELECT n, pos, id, pos - lag(pos) OVER (PARTITION BY n ORDER BY pos) AS gap FROM (SELECT n, pos, {norm.format('u.s')} AS ns FROM u) JOIN known ON ns = known.s),
+f AS (SELECT n, list_filter(list_transform(ss, lambda x: {norm.format('x')}), lambda x: x <> '') AS ns FROM d),
+u AS (SELECT n, unnest(ns) AS ns, unnest(range(len(ns))) AS pos FROM f),
+h AS (SELECT n, pos, id, pos - lag(pos) OVER (PARTITION BY n ORDER BY pos) AS gap FROM u JOIN known ON ns = known.s),
 seqs AS (SELECT n, string_agg(CASE WHEN gap > {max_gap + 1} THEN '| ' ELSE '' END || id, ' ' ORDER BY pos) AS ids FROM h GROUP BY n),
 m AS ({steps}),
 lic(rule, name) AS (VALUES {licences}),

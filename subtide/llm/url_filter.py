@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: A listed table of at most so many rows is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: The Bloom filter has a 64-bit word for so many entries (four bits each), and at most so many words (8 MB).
+KEYS_A_BLOCK = 4
+MAX_BLOCKS = 1 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,6 +35,13 @@ def blocked_bloom(keys: DataFrame, key: str, n_blocks: int) -> DataFrame:
     )
 
 
+def bloom_words(blocks: DataFrame, n_blocks: int) -> DataFrame:
+    """The filter as one row with an array of ``n_blocks`` words, 0 where there is no block."""
+    every = blocks.sparkSession.range(n_blocks).select(F.col("id").cast("int").alias("block")).join(blocks, "block", "left")
+    listed = every.agg(F.array_sort(F.collect_list(F.struct("block", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("all"))
+    return listed.select(F.col("all.bits").alias("bits"))
+
+
 def _block(key: Column, n_blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int")
 
@@ -44,7 +54,7 @@ def _mask(key: Column) -> Column:
     return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
 
 
-def judge_urls(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: str = "url", n_blocks: int = 1 << 16, default: str = "allow") -> DataFrame:
+def judge_urls(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: str = "url", n_blocks: int | None = None, default: str = "allow") -> DataFrame:
     """Judges each row of ``pages`` by the entries of ``listed`` that fit its url.
 
     ``listed`` has host, path, verdict and ranked (boolean): an entry fits its host and all
@@ -53,10 +63,10 @@ def judge_urls(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: s
     fits. A url that nothing fits gets ``default``.
 
     Every (host suffix, path prefix of a listed length) of a url is a canonical form to look up. It is
-    tested against a blocked Bloom filter of the listed forms (a broadcast of at most ``n_blocks``
-    rows); what passes meets the list in an exact hash join that removes the false positives. The list
-    is broadcast up to BROADCAST_ROWS rows and shuffled beyond; there the forms that didn't pass are
-    dealt over salted keys that no entry has.
+    tested, in the row, against a blocked Bloom filter of the listed forms: ``n_blocks`` 64-bit words that go out with
+    the scan, by default as many as give KEYS_A_BLOCK entries each, up to MAX_BLOCKS. A row that none of its forms passes
+    is judged there and never shuffled. Forms that pass meet the list in an exact hash join that removes the false
+    positives, and only their rows are put together again. The list is broadcast up to BROADCAST_ROWS rows and shuffled beyond.
 
     Returns one row per row of ``pages``: the key, host, path, rule, verdict. A null url or one
     without ``://`` has an empty host and path, no rule and the default verdict. Repeated rows stay
@@ -82,20 +92,20 @@ def judge_urls(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: s
     )
     # Distinct path lengths: no more than the longest url has characters.
     lengths = sorted(r[0] for r in entries.select("path_length").distinct().collect())
-    few = entries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    n_entries = entries.count()
+    n_blocks = n_blocks or min(MAX_BLOCKS, 1 << max(6, (n_entries // KEYS_A_BLOCK).bit_length()))
     urls = pages.select(F.col(key).alias(key), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"), F.monotonically_increasing_id().alias("_row"))
     labels = F.split("host", "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fitting = F.filter(F.array(*[F.lit(x) for x in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
     forms = F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda n: F.concat(s, F.substring(F.col("path"), F.lit(1), n)))))
-    tried = urls.withColumn("form", F.explode_outer(forms)).withColumns({"block": _block(F.col("form"), n_blocks), "mask": _mask(F.col("form"))})
-    passed = tried.join(F.broadcast(blocked_bloom(entries, "form", n_blocks)), "block", "left").withColumn(
-        "form", F.when(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.col("form"))
-    )
-    if few:
-        hits = passed.join(F.broadcast(entries.select("form", "entry")), "form", "left")
-    else:
-        nowhere = F.concat(F.lit("\0"), F.pmod(F.col("_row"), F.lit(4096)).cast("string"))
-        hits = passed.withColumn("form", F.coalesce("form", nowhere)).join(entries.select("form", "entry"), "form", "left")
+    bits = bloom_words(blocked_bloom(entries, "form", n_blocks), n_blocks).scalar()
+    passing = lambda f: F.element_at("_bits", _block(f, n_blocks) + 1).bitwiseAND(_mask(f)) == _mask(f)
+    tried = urls.withColumn("_bits", bits).withColumn("forms", F.filter(forms, passing)).drop("_bits")
+    shown = lambda rule, verdict: [key, "host", "path", rule.alias("rule"), verdict.alias("verdict")]
+    clear = tried.where(F.coalesce(F.size("forms"), F.lit(0)) <= 0).select(*shown(F.lit(None).cast("string"), F.lit(default)))
+    lookup = entries.select("form", "entry")
+    maybe = tried.where(F.size("forms") > 0).withColumn("form", F.explode("forms")).drop("forms")
+    hits = maybe.join(F.broadcast(lookup) if n_entries <= BROADCAST_ROWS else lookup, "form", "left")
     best = hits.groupBy("_row").agg(F.first(key).alias(key), F.first("host").alias("host"), F.first("path").alias("path"), F.max("entry").alias("entry"))
-    return best.select(key, "host", "path", F.col("entry.rule").alias("rule"), F.coalesce("entry.verdict", F.lit(default)).alias("verdict"))
+    return clear.unionByName(best.select(*shown(F.col("entry.rule"), F.coalesce("entry.verdict", F.lit(default)))))
