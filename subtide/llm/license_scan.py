@@ -63,6 +63,7 @@ SENTENCES = {
     "bsl-title": "Boost Software License - Version 1.0 - August 17th, 2003",
     "bsl-grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
     "epl2-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "epl2-terms-line": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
     "epl2-accompanies": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which accompanies this distribution, and is available at https://www.eclipse.org/legal/epl-2.0/",
     "spdx": "SPDX-License-Identifier:",
 }
@@ -116,6 +117,7 @@ RULES = [
     ("bsl-text", "BSL-1.0", ["bsl-title", "bsl-grant"]),
     ("bsl-text-short", "BSL-1.0", ["bsl-grant"]),
     ("epl2-notice", "EPL-2.0", ["epl2-terms"]),
+    ("epl2-notice-line", "EPL-2.0", ["epl2-terms-line"]),
     ("epl2-notice-accompanies", "EPL-2.0", ["epl2-accompanies"]),
     *[(f"spdx-{name.lower()}", name, ["spdx", f"name-{name.lower()}"]) for name in SPDX],
     ("reserved", "all-rights-reserved", ["rights-reserved"]),

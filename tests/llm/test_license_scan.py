@@ -86,11 +86,34 @@ and related and neighboring rights to this software to the public domain
 worldwide.
 """
 WRAPPED_MIT = "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + "\n\n".join(textwrap.fill(S[x], 78) for x in ("mit-grant", "mit-notice", "mit-as-is"))
-# The link between blank lines parts the Apache header by more than MAX_GAP.
+AGPL3 = GPL3.replace("GNU General", "GNU Affero General")
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+BSL1 = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:
+"""
+EPL2 = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/
+"""
 NOTICES = [
     (BSD2, "BSD-2-Clause", "bsd-2-text"), (BSD3, "BSD-3-Clause", "bsd-3-text"), (GPL3, "GPL-3.0-or-later", "gpl3-notice"), (GPL2, "GPL-2.0-or-later", "gpl2-notice"),
-    (LGPL, "LGPL-2.1-or-later", "lgpl21-notice"), (APACHE, "Apache-2.0", "apache-notice-short"), (MPL, "MPL-2.0", "mpl2-notice"), (ISC, "ISC", "isc-text"),
+    (LGPL, "LGPL-2.1-or-later", "lgpl21-notice"), (APACHE, "Apache-2.0", "apache-notice"), (MPL, "MPL-2.0", "mpl2-notice"), (ISC, "ISC", "isc-text"),
     (UNLICENSE, "Unlicense", "unlicense-text"), (CC0, "CC0-1.0", "cc0-notice"), (WRAPPED_MIT, "MIT", "mit-text mit-tag-title"),
+    (AGPL3, "AGPL-3.0-or-later", "agpl3-notice"), (ZLIB, "Zlib", "zlib-text"), (BSL1, "BSL-1.0", "bsl-text"), (EPL2, "EPL-2.0", "epl2-notice-line"),
+    ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0", "spdx-apache-2.0"), ("code\n\nSPDX-License-Identifier: MIT\n\nmore code", "MIT", "spdx-mit"),
 ]
 
 
@@ -107,3 +130,15 @@ def test_tags_on_lines_of_their_own_stay(spark):
     texts = ["no stop before\nReleased under the MIT License.\nNo stop after", "MIT License\nCopyright (c) 2020 Somebody", "Some list\n    All rights reserved\nMore", "Licensed under CC BY 4.0\nmore"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert [r["rules"] for r in ls.scan_licenses(docs).orderBy("doc_id").collect()] == ["mit-tag", "mit-tag-title", "reserved", "cc-by-tag"]
+
+
+def test_a_name_alone_is_no_tag(spark):
+    docs = spark.createDataFrame([(1, "MIT"), (2, "SPDX-License-Identifier: Unknown-1.0"), (3, "Licensed under CC BY-ND 4.0.")], "doc_id bigint, text string")
+    assert [r["licenses"] for r in ls.scan_licenses(docs).orderBy("doc_id").collect()] == ["", "", "CC-BY-ND-4.0"]
+
+
+def test_a_gap_of_real_sentences_parts_a_sequence(spark):
+    four = [S["apache-header"], S["apache-compliance"], S["apache-copy"]]
+    for between, rule in ((["One.", "", "", "Two."], "apache-notice"), (["One.", "Two.", "Three."], "apache-notice-short")):
+        docs = spark.createDataFrame([(1, "\n".join([*four, *between, S["apache-as-is"]]))], "doc_id bigint, text string")
+        assert ls.scan_licenses(docs).first()["rules"] == rule
