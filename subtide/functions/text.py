@@ -75,6 +75,7 @@ def rewrite_idioms(text: Column) -> Column:
 def fix_translation(text: Column) -> Column:
     """Strips, applies FIXES, and undoes doubled dialogue lines, ``X, X!``, repeated marks and spaces before marks."""
     t = reduce(lambda t, p: F.regexp_replace(t, p[0], p[1]), FIXES, stripped(text))
+    # Dialogue lines that say the same twice.
     bang, mark = r"(?iU)^-\s*([^-]+?)\s*!\s*-\s*\1\s*!$", r"(?iU)^-\s*([^-]+?)\s*[.?!]\s*-\s*\1\s*([.?!])$"
     t = F.when(t.rlike(bang), F.regexp_replace(t, bang, "$1!")).when(t.rlike(mark), F.regexp_replace(t, mark, "$1$2")).otherwise(t)
     t = F.regexp_replace(t, r"(?iU)^(\w+),\s*\1([.!?])$", "$1$2")

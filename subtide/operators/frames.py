@@ -80,7 +80,7 @@ def scene_cut(pixels: DataFrame, threshold: float = 0.4, bins: int = 64, top: fl
     return score.where("_p > 0 AND _q > 0").select("media_id", "frame_no", "similarity", (F.col("similarity") < threshold).alias("is_cut"))
 
 
-def burned_in_probe(ocr: DataFrame, n: int = 40, least_length: int = 8, share: float = 0.08) -> DataFrame:
+def burned_in_probe(ocr: DataFrame, n: int = 100, least_length: int = 8, share: float = 0.08) -> DataFrame:
     """Whether a media has burned-in text: ``n`` frames from its middle nine tenths, in the order of ``frame_hash``, of which enough show a text long enough."""
     at = Window.partitionBy("media_id").orderBy("ts_ms", "frame_no")
     total = Window.partitionBy("media_id")

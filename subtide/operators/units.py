@@ -129,6 +129,7 @@ def proper_nouns(cues: DataFrame, least: int = 3) -> DataFrame:
     Five after a title, two before ``,!?``, three for a line that is nothing else, one inside a line.
     """
     text = F.col("text")
+    # What is counted as a name, and for how much.
     votes = [
         (5, F.regexp_extract_all(text, F.lit(rf"\b(?:{'|'.join(HONORIFICS)})\s+([A-Z][a-z]+)"), F.lit(1))),
         (2, F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]{2,})[,!?]"), F.lit(1))),

@@ -25,7 +25,7 @@ QUERIES = {
     "j13_last_clean_frame": lambda s, d: f.last_clean_frame(a.frames(s, d)),
     "j14_subtitle_frames": lambda s, d: f.subtitle_frames(a.frames(s, d), 24.0).select("media_id", "frame", "from_no"),
     "g21_scene_cut": lambda s, d: f.scene_cut(a.frames(s, d)),
-    "g18_burned_in_probe": lambda s, d: f.burned_in_probe(a.ocr_frames(s, d).withColumn("frame_hash", F.col("frame_no") * 7919 % 10007), least_length=6),
+    "g18_burned_in_probe": lambda s, d: f.burned_in_probe(a.ocr_frames(s, d).withColumn("frame_hash", F.col("frame_no") * 7919 % 10007)),
     "p20_boxes": _boxes,
 }
 
@@ -48,8 +48,8 @@ SELECT media_id, frame_no, ts_ms, CASE WHEN has THEN 'appeared' ELSE 'disappeare
 s AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY media_id, frame_no) AS p FROM h), pairs AS (SELECT DISTINCT x.media_id, x.frame_no FROM s x JOIN s y ON x.media_id = y.media_id AND y.frame_no = x.frame_no - 1)
 SELECT media_id, frame_no, coalesce(sim, 0) AS similarity, coalesce(sim, 0) < 0.4 AS is_cut FROM pairs LEFT JOIN (SELECT x.media_id, x.frame_no, sum(least(x.p, y.p)) AS sim FROM s x JOIN s y ON x.media_id = y.media_id AND y.frame_no = x.frame_no - 1 AND x.bin = y.bin GROUP BY ALL) USING (media_id, frame_no)"""),
     "g18_burned_in_probe": a.with_views("ocr", """, m AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY ts_ms, frame_no) AS r, count(*) OVER (PARTITION BY media_id) AS n FROM ocr),
-s AS (SELECT * FROM m WHERE r > n * 0.05 AND r <= n * 0.95 QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY frame_no * 7919 % 10007, frame_no) <= 40)
-SELECT media_id, count_if(length(text) >= 6)::BIGINT AS hits, count(*) AS sampled, count_if(length(text) >= 6) >= greatest(1, floor(count(*) * 0.08)) AS burned_in FROM s GROUP BY media_id"""),
+s AS (SELECT * FROM m WHERE r > n * 0.05 AND r <= n * 0.95 QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY frame_no * 7919 % 10007, frame_no) <= 100)
+SELECT media_id, count_if(length(text) >= 8)::BIGINT AS hits, count(*) AS sampled, count_if(length(text) >= 8) >= greatest(1, floor(count(*) * 0.08)) AS burned_in FROM s GROUP BY media_id"""),
     "p20_boxes": a.with_views("frames", """, r AS (SELECT *, greatest(0, floor(y * 360)::BIGINT - 40) AS y1, least(360, floor((y + height) * 360)::BIGINT + 40) AS y2 FROM frames)
 SELECT media_id, frame_no, (1 - 0.4::DOUBLE) + y * 0.4::DOUBLE AS full_y, y1, y2, (y * 360 - y1) / (y2 - y1) AS local_y, greatest(0, floor(x * 640)::BIGINT - 20) AS mask_x1, greatest(0, floor(y * 360)::BIGINT - 20) AS mask_y1,
   least(640, floor((x + width) * 640)::BIGINT + 20) AS mask_x2, least(360, floor((y + height) * 360)::BIGINT + 20) AS mask_y2 FROM r"""),
