@@ -6,6 +6,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyarrow import fs
 from pyspark import TaskContext
@@ -99,9 +100,9 @@ def report_entries(videos: DataFrame) -> DataFrame:
     return videos.select("video_no", F.to_json(F.struct(*[c for c in videos.columns if c != "video_no"])).alias("doc"))
 
 
-def write_report(videos: DataFrame, path: str, commit: str, dirty: bool, config: dict, timestamp: str) -> None:
-    """A run's report: version 1, commit, dirty flag, UTC ``timestamp`` (``%Y-%m-%dT%H:%M:%SZ``), config and the videos (video_no, path, hash, identity, total_duration_ms, entries) in order of video_no."""
-    head = {"version": 1, "git_commit": commit, "dirty": dirty, "timestamp": timestamp, "config": config}
+def write_report(videos: DataFrame, path: str, commit: str, dirty: bool, config: dict, timestamp: str | None = None) -> None:
+    """A run's report: version 1, commit, dirty flag, UTC ``timestamp`` (now if None), config and the videos (video_no, path, hash, identity, total_duration_ms, entries) in order of video_no."""
+    head = {"version": 1, "git_commit": commit, "dirty": dirty, "timestamp": timestamp or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "config": config}
     write_document(report_entries(videos), ["video_no"], "doc", path, "videos", head)
 
 

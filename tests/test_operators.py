@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from subtide.functions import text as t
 from subtide.operators import cues as c, fetch, match as m, runs as r, select as s, translate as tr, units as u
-from subtide.sources import ass, files as f
+from subtide.sources import ass, documents, files as f
 
 CUES = "track_id bigint, cue_no bigint, start_ms bigint, end_ms bigint, style string, raw_text string, text string"
 
@@ -171,7 +171,7 @@ def test_null_lines_keep_their_place(spark):
 
 def test_reports(spark, tmp_path):
     videos = spark.createDataFrame([("p", "h", ("episode", "T", 1, 2), 5.0, [("a.b", 1.5, None)])], "path string, hash string, identity struct<media_type:string,title:string,season:int,episode:int>, total_duration_ms double, entries array<struct<name:string,duration_ms:double,details:string>>")
-    f.write_report(videos, str(tmp_path / "r"), "abc", True, {"k": "v"})
+    documents.write_report(videos.withColumn("video_no", F.lit(0)), str(tmp_path / "r"), "abc", True, {"k": "v"})
     back = f.read_reports(spark, str(tmp_path / "r")).first()
     assert (back["version"], back["git_commit"], back["dirty"], back["config"]) == (1, "abc", True, {"k": "v"}) and back["videos"][0]["entries"][0]["name"] == "a.b"
 
