@@ -1,5 +1,7 @@
 """Single operators on small inline cases."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from subtide.functions import text as t
@@ -202,3 +204,27 @@ def test_match_runs_settles_chains_in_order(spark):
     after = [(10, "h", "tv", "a", 1, 1, ["x"]), (11, None, "tv", "b", 1, 2, ["x"]), (12, None, "tv", "c", 1, 3, ["x"]), (13, "k", None, None, None, None, ["x"])]
     got = r.match_runs(spark.createDataFrame(before, kind), spark.createDataFrame(after, kind)).collect()
     assert sorted(map(tuple, got)) == [(1, 10, "hash", False), (2, 11, "identity", False), (4, 12, "identity", False), (5, 13, "hash", True), (6, 13, "hash", False)]
+
+
+def test_calibration_copies_no_cue(spark):
+    """Tracks meet as densities: rows that reach a join of pairs are as many as tracks, and a start past a pair's end counts in its last window."""
+    cues = lambda key, starts, length=500: spark.createDataFrame([(key, i, x, x + length) for i, x in enumerate(starts)], "pair_id long, cue_no long, start_ms long, end_ms long")
+    ref = cues(0, [0, 100, 1200, 3300]).union(cues(1, [900, 1000, 2200, 5000], -4000))  # ends lie before starts
+    cand = cues(0, [1000, 1100, 2200, 4300]).union(cues(1, [0, 10, 1200, 3300]))
+    got = {(r.kind, r.ref_id, r.cand_id): r.score for r in m.calibration_scores(ref, cand, [1000]).collect()}
+    assert got["OWN", 0, 0] == pytest.approx(1.0)  # the same, a window later
+
+    def plain(r, c, n):
+        best = 0.0
+        for k in (-1, 0, 1):
+            x, y = zip(*[(r[b], c[b - k]) for b in range(n) if 0 <= b - k < n])
+            if len(x) >= 3 and len(set(x)) > 1 and len(set(y)) > 1:
+                best = max(best, float(np.corrcoef(x, y)[0, 1]))
+        return best
+
+    assert got["OWN", 1, 1] == pytest.approx(plain([1, 1, 1, 1], [2, 1, 0, 1], 4)) == 0.0
+    assert got["CROSS", 1, 0] == pytest.approx(plain([1, 1, 1, 0, 1], [0, 2, 1, 0, 1], 5))
+    plan = m.calibration_scores(ref, cand, [1000])._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any("start_ms" in line for line in joins)
+    assert len(joins) <= 3
