@@ -228,3 +228,13 @@ def test_calibration_copies_no_cue(spark):
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert joins and not any("start_ms" in line for line in joins)
     assert len(joins) <= 3
+
+
+def test_alignment_shuffles_cues_once(spark):
+    """The plan and both scores are made where one shuffle by pair has put the cues."""
+    cues = lambda starts: spark.createDataFrame([(1, i, x, x + 900, "a") for i, x in enumerate(starts)], "pair_id long, cue_no long, start_ms long, end_ms long, text string")
+    best = m.best_candidates(cues(STARTS), cues([x + 3000 for x in STARTS]))
+    executed = [line for line in best._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in line]
+    assert executed and all("REPARTITION_BY_NUM" in line for line in executed)
+    row = best.first()
+    assert row.post_ms == -3000 and row.score_after == 1.0 > row.score_before
