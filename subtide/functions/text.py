@@ -54,13 +54,27 @@ def normalize_phrase(text: Column) -> dict[str, Column]:
     A line with a line break inside keeps its punctuation.
     """
     s = stripped(text)
-    whole = s.rlike(r"^[^\n]*$")
-    punct = F.when(whole, F.regexp_extract(s, r"([.!?,;:…]+)$", 1)).otherwise("")
-    base = F.when(whole, stripped(F.regexp_replace(s, r"[.!?,;:…]+$", ""))).otherwise(s)
+    base = _base(s)
+    return {"base": F.lower(base), "punct": _punct(s), "cap": _cap(base)}
+
+
+def _whole(s: Column) -> Column:
+    return s.rlike(r"^[^\n]*$")
+
+
+def _punct(s: Column) -> Column:
+    return F.when(_whole(s), F.regexp_extract(s, r"([.!?,;:…]+)$", 1)).otherwise("")
+
+
+def _base(s: Column) -> Column:
+    return F.when(_whole(s), stripped(F.regexp_replace(s, r"[.!?,;:…]+$", ""))).otherwise(s)
+
+
+def _cap(base: Column) -> Column:
     first = F.substring(base, 1, 1)
     upper = (F.upper(base) == base) & (F.lower(base) != base)
     title = (F.upper(first) == first) & (F.lower(first) != first)
-    return {"base": F.lower(base), "punct": punct, "cap": F.when(upper, "UPPER").when(title, "Title").otherwise("lower")}
+    return F.when(upper, "UPPER").when(title, "Title").otherwise("lower")
 
 
 def apply_formatting(text: Column, punct: Column, cap: Column) -> Column:
@@ -68,8 +82,14 @@ def apply_formatting(text: Column, punct: Column, cap: Column) -> Column:
     return F.concat(F.when(cap == "UPPER", F.upper(text)).when(cap == "Title", titled).otherwise(text), punct)
 
 
+def _replaced(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """``rules`` (pattern, replacement) applied in order; one look for any of them leaves out the others where there is none."""
+    return F.when(text.rlike("|".join(f"(?:{p})" for p, _ in rules)), reduce(lambda t, p: F.regexp_replace(t, p[0], p[1]), rules, text)).otherwise(text)
+
+
 def rewrite_idioms(text: Column) -> Column:
-    return reduce(lambda t, p: F.regexp_replace(t, rf"(?iU)\b{p[0]}\b", p[1]), IDIOMS, text)
+    any_of = rf"(?iU)\b(?:{'|'.join(p for p, _ in IDIOMS)})\b"
+    return F.when(text.rlike(any_of), reduce(lambda t, p: F.regexp_replace(t, rf"(?iU)\b{p[0]}\b", p[1]), IDIOMS, text)).otherwise(text)
 
 
 def fix_translation(text: Column) -> Column:
@@ -77,7 +97,7 @@ def fix_translation(text: Column) -> Column:
     t = reduce(lambda t, p: F.regexp_replace(t, p[0], p[1]), FIXES, stripped(text))
     # Dialogue lines that say the same twice.
     bang, mark = r"(?iU)^-\s*([^-]+?)\s*!\s*-\s*\1\s*!$", r"(?iU)^-\s*([^-]+?)\s*[.?!]\s*-\s*\1\s*([.?!])$"
-    t = F.when(t.rlike(bang), F.regexp_replace(t, bang, "$1!")).when(t.rlike(mark), F.regexp_replace(t, mark, "$1$2")).otherwise(t)
+    t = F.regexp_replace(F.regexp_replace(t, bang, "$1!"), mark, "$1$2")  # what the first makes begins with no dash, so the second passes it; t is written once, so it is made once
     t = F.regexp_replace(t, r"(?iU)^(\w+),\s*\1([.!?])$", "$1$2")
     return F.regexp_replace(F.regexp_replace(t, r"([.!?])\1+", "$1"), r"(?U)\s+([.!?])", "$1")
 
@@ -88,7 +108,11 @@ def ends_with_ellipsis(text: Column) -> Column:
 
 def is_sentence_end(text: Column) -> Column:
     """Ends in ``.!?`` and closing quotes, but not in an ellipsis."""
-    s = stripped(text)
+    return ends_sentence(stripped(text))
+
+
+def ends_sentence(s: Column) -> Column:
+    """The same of a text that is stripped already."""
     return s.rlike(TERMINAL) & ~s.rlike(ELLIPSIS)
 
 
@@ -130,19 +154,22 @@ SMALL, CAPITAL = "a-ząćęłńóśźż", "A-ZĄĆĘŁŃÓŚŹŻ"
 def qa_issues(out: Column, names: tuple[str, ...] = QA_NAMES) -> Column:
     """Labels of what looks wrong in a translation: plain-Latin words left over, known bad words, capitals inside a sentence. Null for null."""
     known = F.array(*[F.lit(n.lower()) for n in names])
-    tokens = lambda text: F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    left = F.array_except(F.array_distinct(F.filter(tokens(F.lower(out)), lambda w: w.rlike("^[a-z]{4,}$"))), known)
+    # A word: letters, digits and underscores with none beside them. No lambdas and no test that repeats its label, so each is looked for once.
+    word = lambda x: rf"(?<![\p{{L}}\p{{N}}_]){x}(?![\p{{L}}\p{{N}}_])"
+    left = F.array_except(F.regexp_extract_all(F.lower(out), F.lit(word("[a-z]{4,}")), F.lit(0)), known)
+    some = lambda what, found: F.concat(F.lit(f"{what}: "), F.nullif(F.array_join(found, ","), F.lit("")))
     inside = F.regexp_extract_all(out, F.lit(rf"[{SMALL}]\s+[{CAPITAL}][{SMALL}]"), F.lit(0))
     labels = [
-        (F.size(left) > 0, F.concat(F.lit("untranslated: "), F.array_join(F.array_sort(left), ","))),
-        (F.lower(out).rlike("wnętrzności|wnetrznosci"), F.lit("GUTS→Wnętrzności")),
-        (F.array_contains(tokens(out), "Kaska"), F.lit("Casca→Kaska")),
-        (F.array_contains(tokens(out), "Marzec"), F.lit("March→Marzec")),
-        (stripped(out).rlike("^Ładuj!?$"), F.lit("Charge→Ładuj")),
-        (F.size(inside) > 0, F.concat(F.lit("mid-sentence caps: "), F.array_join(F.slice(inside, 1, 2), ","))),
-        (F.contains(F.lower(out), F.lit("strajk")), F.lit("strike→strajk")),
+        some("untranslated", F.sort_array(left)),
+        F.when(F.lower(out).rlike("wnętrzności|wnetrznosci"), F.lit("GUTS→Wnętrzności")),
+        F.when(out.rlike(word("Kaska")), F.lit("Casca→Kaska")),
+        F.when(out.rlike(word("Marzec")), F.lit("March→Marzec")),
+        F.when(stripped(out).rlike("^Ładuj!?$"), F.lit("Charge→Ładuj")),
+        some("mid-sentence caps", F.slice(inside, 1, 2)),
+        F.when(F.contains(F.lower(out), F.lit("strajk")), F.lit("strike→strajk")),
     ]
-    return F.when(out.isNotNull(), F.filter(F.array(*[F.when(test, label) for test, label in labels]), lambda x: x.isNotNull()))
+    none = F.array().cast("array<string>")
+    return F.concat(F.array_except(F.array(*labels), F.array(F.lit(None).cast("string"))), F.when(out.isNotNull(), none))
 
 
 # Commands answered before translation, and corrections after it (pattern, replacement) in this order.
@@ -160,7 +187,7 @@ def glossary_pre(text: Column) -> Column:
 
 
 def glossary_post(text: Column) -> Column:
-    return reduce(lambda t, p: F.regexp_replace(t, p[0], p[1]), CORRECTIONS, text)
+    return _replaced(text, CORRECTIONS)
 
 
 def phrase_table(spark: SparkSession) -> DataFrame:
@@ -174,8 +201,9 @@ def phrase_lookup(cues: DataFrame) -> DataFrame:
 
     The dictionary is a constant table of fewer than a hundred rows, so it is broadcast.
     """
-    parts = normalize_phrase(F.col("text"))
-    found = cues.withColumns({"base": parts["base"], "_p": parts["punct"], "_c": parts["cap"]}).join(F.broadcast(phrase_table(cues.sparkSession)), "base", "left")
+    # Step by step, each from the column before, so that nothing is made twice.
+    based = cues.withColumn("_s", stripped(F.col("text"))).withColumn("_b", _base(F.col("_s")))
+    found = based.withColumns({"base": F.lower("_b"), "_p": _punct(F.col("_s")), "_c": _cap(F.col("_b"))}).drop("_s", "_b").join(F.broadcast(phrase_table(cues.sparkSession)), "base", "left")
     answer = apply_formatting(F.col("answer"), F.col("_p"), F.col("_c"))
     return found.withColumns({"translation": F.coalesce(answer, rewrite_idioms(F.col("text"))), "answered": F.col("answer").isNotNull()}).drop("base", "_p", "_c", "answer")
 

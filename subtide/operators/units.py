@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from subtide.functions.text import ELLIPSIS, is_sentence_end, is_speaker_line, strip_pipes
+from subtide.functions.text import ELLIPSIS, SPEAKER, ends_sentence, strip_pipes
 from subtide.operators.cues import stripped
 
 MAX_LINES = 3
@@ -32,8 +32,9 @@ def group_units(cues: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("track_id").orderBy("cue_no")
     text = F.coalesce("text", F.lit(""))
-    flags = cues.select(
-        "track_id", "cue_no", stripped(text).alias("_t"), F.coalesce(is_sentence_end(text), F.lit(False)).alias("_end"), is_speaker_line(text).alias("_speaker"), word_count(text).alias("_words")
+    s = F.col("_t")
+    flags = cues.select("track_id", "cue_no", stripped(text).alias("_t"), word_count(text).alias("_words")).select(
+        "track_id", "cue_no", "_t", F.coalesce(ends_sentence(s), F.lit(False)).alias("_end"), s.rlike(SPEAKER).alias("_speaker"), "_words"
     )
     before = lambda c: F.lag(c).over(order)
     first = F.substring("_t", 1, 1)

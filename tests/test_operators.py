@@ -238,3 +238,9 @@ def test_alignment_shuffles_cues_once(spark):
     assert executed and all("REPARTITION_BY_NUM" in line for line in executed)
     row = best.first()
     assert row.post_ms == -3000 and row.score_after == 1.0 > row.score_before
+
+
+def test_rules_are_written_once(spark):
+    """No rule's expression holds another's result twice: work would double with every step. Labels use no lambdas, which would keep Spark from sharing what they have in common."""
+    assert str(t.fix_translation(F.col("x"))).count("regexp_replace") <= 11
+    assert "lambda" not in str(t.qa_issues(F.col("x"))).lower()
