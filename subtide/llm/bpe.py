@@ -131,6 +131,9 @@ class WordBpe:
         The encoding of every prefix is unique, so a position from which no token leads on is marked
         dead and never entered again: each position is left at most once for each token there.
         """
+        whole = self.automaton.get(symbols, None)
+        if whole is not None:  # the longest match of all, with none before it that it must fit
+            return array("I", [whole])
         n, begins, first = len(symbols), [], 0
         length, fits = self.length, self._fits
         out, dead, pos, below = array("I"), bytearray(n + 1), 0, 1 << 30
