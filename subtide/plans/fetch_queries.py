@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from subtide.operators import cues as c, fetch, select
+from subtide.session import written
 from subtide.plans import edge_queries as e, match_queries as m, select_queries as q
 from subtide.sources import adapters as a, files as f
 
@@ -22,15 +23,16 @@ def _found(s, d):
 
 def _files(s, d, found):
     """A file for each candidate of a media that has a candidate track: that track, later by up to 1.8 seconds."""
-    late = F.col("subtitle_id").cast("long") % 4 * 600
-    x = found.join(a.candidate_cues(s, d).withColumnRenamed("pair_id", "media_id"), "media_id")
-    x = x.withColumns({"start_ms": F.greatest(F.lit(0), F.col("start_ms") + late), "end_ms": F.greatest(F.lit(0), F.col("end_ms") + late)})
-    x = x.select(F.struct(*fetch.KEY).alias("track_id"), "cue_no", "start_ms", "end_ms", "text")
-    return c.srt_text(x).select("track_id.*", F.col("text").cast("binary").alias("content"))
+    found = found.select(*fetch.KEY, (F.col("subtitle_id").cast("long") % 4 * 600).alias("late"))
+    variants = found.select("media_id", "late").distinct()  # a text is made once for all files that have it
+    x = variants.join(a.candidate_cues(s, d).withColumnRenamed("pair_id", "media_id"), "media_id")
+    x = x.withColumns({"start_ms": F.greatest(F.lit(0), F.col("start_ms") + F.col("late")), "end_ms": F.greatest(F.lit(0), F.col("end_ms") + F.col("late"))})
+    texts = c.srt_text(x.select(F.struct("media_id", "late").alias("track_id"), "cue_no", "start_ms", "end_ms", "text")).select("track_id.*", "text")
+    return found.join(texts, ["media_id", "late"]).select(*fetch.KEY, F.col("text").cast("binary").alias("content"))
 
 
 def _fetched(s, d):
-    found = _found(s, d)
+    found = written(_found(s, d), "found")
     refs = a.references(s, d).select(F.col("pair_id").alias("media_id"), "cue_no", "start_ms", "end_ms")
     english = select.english_track(a.tracks(s, d)).select("media_id")  # media without an English track have no reference
     return fetch.fetch_subtitles(found, _files(s, d, found), refs.join(english, "media_id", "left_semi"))

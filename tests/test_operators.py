@@ -244,3 +244,18 @@ def test_rules_are_written_once(spark):
     """No rule's expression holds another's result twice: work would double with every step. Labels use no lambdas, which would keep Spark from sharing what they have in common."""
     assert str(t.fix_translation(F.col("x"))).count("regexp_replace") <= 11
     assert "lambda" not in str(t.qa_issues(F.col("x"))).lower()
+
+
+def test_fetch_reads_equal_files_once(spark):
+    """Files of one content are read and aligned once; the English one of them stays where it is, a null content has no cues."""
+    srt = c.srt_text(cue_table(spark, [(x + 3000, x + 3900, "s", "a", "a") for x in STARTS])).first()["text"].encode()
+    kind = "media_id bigint, source string, subtitle_id string"
+    files = spark.createDataFrame([(1, "a", "1", srt), (1, "b", "1", srt), (1, "b", "2", srt), (2, "a", "3", srt), (2, "a", "4", None)], f"{kind}, content binary")
+    once = fetch.distinct_files(files).collect()
+    assert sorted((x["media_id"], x["content"] is None, sorted(map(tuple, x["names"]))) for x in once) == [(1, False, [("a", "1"), ("b", "1"), ("b", "2")]), (2, False, [("a", "3")]), (2, True, [("a", "4")])]
+    found = spark.createDataFrame([(1, "a", "1", "pol", 0.6, False), (1, "b", "1", "pol", 0.9, True), (1, "b", "2", "eng", 0.9, True), (2, "a", "4", "pol", 0.9, True)], f"{kind}, language string, score double, hash_match boolean")
+    refs = spark.createDataFrame([(1, i, x, x + 900) for i, x in enumerate(x - 1500 for x in STARTS)], "media_id bigint, cue_no bigint, start_ms bigint, end_ms bigint")
+    refs = refs.withColumns({x: F.col(x) + 3000 for x in ("start_ms", "end_ms")})  # the files are 1.5 s late
+    got = sorted((x["media_id"], x["source"], x["subtitle_id"], x["place"], x["post_ms"], x["n_cues"], x["first_ms"]) for x in fetch.fetch_subtitles(found, files, refs).collect())
+    n, first = len(STARTS), min(STARTS) + 3000
+    assert got == [(1, "a", "1", 2, -1500, n, first - 1500), (1, "b", "1", 1, -1500, n, first - 1500), (1, "b", "2", 1, None, n, first), (2, "a", "4", 1, None, None, None)]
