@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from subtide.streaming import spans as x
 
@@ -89,3 +89,23 @@ def test_status_counts_close_windows(spark, tmp_path):
     rows = [(1, 7, 10 * day, "view"), (2, 7, 10 * day + 5, "purchase"), (3, 8, 10 * day, "error"), (4, 9, 10 * day, "view"), (5, 7, 11 * day, "signup"), (6, 7, 12 * day, "view"), (7, 7, 20 * day, "view")]
     got = x.run_available(x.status_counts(written(spark, str(tmp_path / "in"), kind, [rows[:3], rows[3:6], rows[6:]]), late="1 day"), ["start"], "append")
     assert sorted(tuple(r)[1:] for r in got.collect()) == [(0, 0, 0, 1), (0, 0, 1, 0), (1, 1, 0, 1)]
+
+
+def test_a_new_key_asks_the_state_four_times():
+    """Each call goes to the state server and back, so what waits of a key is stored as one value, and a key that is new has no timers to look for."""
+    calls = []
+
+    class Fake:
+        def __getattr__(self, name):
+            return lambda *args: calls.append(name) or (Fake() if name.endswith("State") else None)
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 0  # noqa: E731, N815
+
+    taken = Row("at_ms", "no", "kind", "value")
+    processor = x._Ordered(x._fold_reports, "no bigint, kind string, value double", "start_no bigint", ["video_id", "start_no", "n_spans", "total_ms", "n_updates", "live"], 1000)
+    processor.init(Fake())
+    calls.clear()
+    rows = [taken(1000 + n, n, {0: "start", 49: "end"}.get(n, "span"), 1.0) for n in range(50)]
+    assert [tuple(r) for r in processor.handleInputRows((7,), iter(rows), Times())] == [(7, 0, 48, 48.0, 0, True)]
+    assert sorted(calls) == ["get", "get", "registerTimer", "update"]
