@@ -54,7 +54,7 @@ def _reported(s, d):
     videos = x.groupBy(F.col("video_id").alias("video_no")).agg(F.sum("duration_ms").alias("total_duration_ms"), F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(e["name"].alias("name"), e["duration_ms"].alias("duration_ms"), e["details"].alias("details"))).alias("entries"))
     path = fresh_path(s, "report") + ".json"
     documents.write_report(videos.withColumn("path", F.concat(F.lit("v"), "video_no")).withColumn("hash", F.lit(None).cast("string")), path, "abc", False, {"batch": "16"}, "2024-01-01T00:00:00Z")
-    spans = f.report_spans(f.read_reports(s, path))
+    spans = f.video_spans(documents.read_document(s, path, f"struct<{f.VIDEO}>").select("e.*"))
     return spans.select("path", "span_no", "name", "duration_ms", F.try_variant_get("details", "$.rss_after_load_mb", "double").alias("load_mb"))
 
 

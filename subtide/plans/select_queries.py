@@ -82,8 +82,9 @@ def _manifest(s, d):
     path = fresh_path(s, "manifest") + ".json"
     documents.write_manifest(media, a.tracks(s, d), path, "/videos")
     sub = "array<struct<stream_no:int,file:string,language:string>>"
-    read = s.read.schema(f"version int, source_dir string, entries array<struct<source_file:string,identity:struct<title:string,parsed_title:string,season:bigint,episode:bigint,media_type:string,is_anime:boolean>,subtitles:{sub}>>").json(path, multiLine=True)
-    e = read.select("version", "source_dir", F.posexplode("entries").alias("entry_no", "e")).select("version", "source_dir", "entry_no", "e.source_file", "e.identity.*", F.array_join("e.subtitles.file", ",").alias("files"), F.array_join("e.subtitles.language", ",").alias("languages"))
+    entry = f"struct<source_file:string,identity:struct<title:string,parsed_title:string,season:bigint,episode:bigint,media_type:string,is_anime:boolean>,subtitles:{sub}>"
+    read = documents.read_document(s, path, entry, "version int, source_dir string")
+    e = read.select("version", "source_dir", "entry_no", "e.source_file", "e.identity.*", F.array_join("e.subtitles.file", ",").alias("files"), F.array_join("e.subtitles.language", ",").alias("languages"))
     return e.drop("title")
 
 

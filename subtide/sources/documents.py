@@ -10,7 +10,7 @@ from datetime import UTC, datetime
 
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from subtide.operators.select import codec_extension, language_code
@@ -95,6 +95,25 @@ def write_document(entries: DataFrame, order: list[str], doc: str, path: str, na
     sorted_.write.format("json_document").mode("append").options(path=path, entries=name, head=json.dumps(head)).save()
 
 
+def read_document(spark: SparkSession, path: str, entry: str, head: str = "") -> DataFrame:
+    """(``head``'s fields, entry_no, e): the list's entries, as ``entry`` (a DDL struct) says, of a file that :func:`write_document` wrote, numbered from 0.
+
+    Such a file has its head on the first line and each entry on one of its own, so tasks read ranges of it; other layouts are for
+    ``spark.read.json(path, multiLine=True)``, which reads a file in one task. A range's entries are numbered from the numbers of entries in the
+    ranges before it, of which there is one row each.
+    """
+    lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    rows = lines.where(F.col("value").startswith("{") & ~F.col("value").endswith("["))
+    blocks = rows.groupBy("_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(F.broadcast(blocks.select("_block", (before - F.col("_first")).alias("_shift"))), "_block")
+    made = placed.select((F.col("_at") + F.col("_shift")).cast("int").alias("entry_no"), F.from_json(F.regexp_replace("value", ",$", ""), entry).alias("e"))
+    if not head:
+        return made
+    first = lines.where("_block = 0").where(F.col("value").endswith("[")).select(F.from_json(F.concat("value", F.lit("]}")), head).alias("h"))
+    return made.join(F.broadcast(first), how="cross").select("h.*", "entry_no", "e")  # one row
+
+
 def report_entries(videos: DataFrame) -> DataFrame:
     """(video_no, doc): each video of a run as a report has it."""
     return videos.select("video_no", F.to_json(F.struct(*[c for c in videos.columns if c != "video_no"])).alias("doc"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from subtide.operators import runs as r, select as s
+from subtide.plans import registry
 from subtide.sources import documents, files as f, responses
 
 
@@ -107,3 +108,26 @@ def test_identity_precedence(spark):
     ]
     got = sorted(map(tuple, s.merge_identity(spark.createDataFrame(rows, names)).select("media_id", "title", "year", "season", "episode", "media_type").collect()))
     assert got == [(1, "Ani", 1999, 2, 4, "episode"), (2, "Box", 1999, 3, 9, "episode"), (3, "d", None, 5, None, "episode"), (4, "f", None, None, None, "movie"), (5, "T", None, None, None, "movie")]
+
+
+def test_a_document_is_read_in_ranges(spark, tmp_path):
+    """No task reads the whole of what many tasks wrote; entries keep their numbers over ranges, and lines of other data are none."""
+    df = spark.range(3000).select("id", F.to_json(F.struct("id", F.lit("a\n{[ł").alias("t"))).alias("doc")).repartition(5)
+    path, size = str(tmp_path / "doc.json"), "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "10000")
+    try:
+        documents.write_document(df, ["id"], "doc", path, "rows", {"version": 1, "note": "ł"})
+        read = documents.read_document(spark, path, "struct<id:bigint,t:string>", "version int, note string")
+        assert read.rdd.getNumPartitions() > 5
+        assert sorted(tuple(x) for x in read.select("version", "note", "entry_no", "e.id", "e.t").collect()) == [(1, "ł", i, i, "a\n{[ł") for i in range(3000)]
+    finally:
+        spark.conf.set(size, before)
+    documents.write_document(df.limit(0), ["id"], "doc", path, "rows", {})
+    assert documents.read_document(spark, path, "struct<id:bigint>").count() == 0
+
+
+@pytest.mark.parametrize("name", ["s14_write_manifest", "s15_report_round_trip"])
+def test_no_query_reads_its_document_whole(spark, name):
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert " text" in plan and "json" not in [x.split()[-1] for x in plan.splitlines() if "Relation" in x]
