@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 from array import array
 from collections.abc import Iterator
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -25,6 +27,7 @@ KEPT_WORDS = 1 << 15
 KEPT_SEAMS = 1 << 16
 #: Bytes of text encoded, and sent on, at a time.
 SLICE_BYTES = 2 << 20
+LITTLE = sys.byteorder == "little"
 _BLOCK = 4096  # positions whose matches are looked up at a time
 
 
@@ -125,18 +128,36 @@ class WordBpe:
                 found[start - low].append(token)  # ends ascend, so lengths do
         return found
 
+    def _greedy(self, symbols: str) -> tuple[array, int]:
+        """The longest tokens from left to right while neighbours fit, and how many symbols they cover: what :meth:`encode_symbols` takes before it first has to try a shorter one."""
+        known, size, fits, length = self.compatible.get, self.size, self._fits, self.length
+        out, covered, before = array("I"), 0, -1
+        for end, token in self.automaton.iter_long(symbols):
+            if end + 1 != covered + length[token]:
+                break
+            if before >= 0:
+                good = known(before * size + token)
+                if not (fits(before, token) if good is None else good):
+                    break
+            covered = end + 1
+            out.append(token)
+            before = token
+        return out, covered
+
     def encode_symbols(self, symbols: str) -> array:
         """Token ids of one word, given as byte letters and an end mark: longest match first, shorter ones on backtracking.
 
         The encoding of every prefix is unique, so a position from which no token leads on is marked
         dead and never entered again: each position is left at most once for each token there.
         """
-        whole = self.automaton.get(symbols, None)
-        if whole is not None:  # the longest match of all, with none before it that it must fit
-            return array("I", [whole])
-        n, begins, first = len(symbols), [], 0
+        n = len(symbols)
+        out, pos = self._greedy(symbols)
+        if pos == n:
+            return out
         length, fits = self.length, self._fits
-        out, dead, pos, below = array("I"), bytearray(n + 1), 0, 1 << 30
+        dead, below = bytearray(n + 1), 1 << 30
+        first = pos - length[out[-1]] if out else 0  # most often the token before is the one to change
+        begins = self._matches(symbols, first, min(n, first + _BLOCK))
         while pos < n:
             if not first <= pos < first + len(begins):
                 first = pos - pos % _BLOCK
@@ -158,8 +179,14 @@ class WordBpe:
         out = []
         for word in words:
             i = special.get(word)
-            found = [i] if i is not None else self.encode_symbols("".join([letters[b] for b in word.encode("utf-8")]) + _END)
-            out.append(np.asarray(found, "<u4").tobytes())
+            if i is not None:
+                out.append(pack("<I", i))
+                continue
+            # Printable letters of ASCII stand for themselves; a space among them would be an end mark.
+            plain = word.isascii() and word.isprintable() and " " not in word
+            symbols = (word if plain else "".join([letters[b] for b in word.encode("utf-8")])) + _END
+            found = self.encode_symbols(symbols)
+            out.append(found.tobytes() if LITTLE else pack(f"<{len(found)}I", *found))
         return out
 
     def word_ids(self) -> WordIds:

@@ -1,5 +1,9 @@
 """Words that are one token are looked up, not walked through."""
 
+import random
+
+import numpy as np
+
 from subtide.llm import bpe
 from subtide.llm.vocabulary import word_bpe_path
 
@@ -14,3 +18,25 @@ def test_whole_words_need_no_matches(monkeypatch):
 
     monkeypatch.setattr(b, "_matches", none)
     assert b.encode_words([token]) == walked[:1] and len(walked[0]) == 4
+
+
+def test_the_longest_tokens_are_taken_in_one_pass(monkeypatch):
+    """A word of several tokens whose longest ones fit needs no list of all matches; what the pass takes is what the walk would, and the library's ids come out."""
+    b = bpe.WordBpe(word_bpe_path())
+    rnd = random.Random(5)
+    pieces = [s.removesuffix(bpe.END_OF_WORD) for s in b.cutter.library.get_vocab() if s.isascii() and s.removesuffix(bpe.END_OF_WORD).isalpha()]
+    words = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 6))).lower() for _ in range(3000)] + ["".join(rnd.choice("abcdeąéß") for _ in range(rnd.randint(1, 12))) for _ in range(500)]
+    want = [np.array(b.cutter.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    assert b.encode_words(words) == want
+    whole = []
+    for word in words[:3000]:
+        symbols = word + bpe._END
+        out, covered = b._greedy(symbols)
+        at = 0
+        for token in out:
+            assert token == b._matches(symbols, at, at + 1)[0][-1]
+            at += b.length[token]
+        if covered == len(symbols) and len(out) > 1:
+            whole.append(word)
+    monkeypatch.setattr(b, "_matches", None)
+    assert len(whole) > 100 and b.encode_words(whole) == [want[words.index(w)] for w in whole]
