@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from subtide.llm import bpe
+from subtide.llm import bpe, token_files
 from subtide.llm.vocabulary import word_bpe_path
 
 
@@ -40,3 +40,17 @@ def test_the_longest_tokens_are_taken_in_one_pass(monkeypatch):
             whole.append(word)
     monkeypatch.setattr(b, "_matches", None)
     assert len(whole) > 100 and b.encode_words(whole) == [want[words.index(w)] for w in whole]
+
+
+def test_words_go_to_the_library_with_blanks_between(monkeypatch):
+    """Word ends are told by the tokens; where those don't add up, by a special token between words. Both give the ids of each word by itself."""
+    words = ["the", "qzxqzx", "</", "w", ">", "'s", "7", "ą́b", "…", "́x", "naïve", "\x00\x01"]
+    library = bpe.WordBpe(word_bpe_path()).cutter.library
+    want = [np.array(library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    joined = []
+    for end in (token_files.END_OF_WORD, "no such end"):
+        monkeypatch.setattr(token_files, "END_OF_WORD", end)
+        monkeypatch.setattr(token_files, "_loaded", {})
+        ids = token_files.library_ids(word_bpe_path())
+        joined.append(ids.encode([*words, *ids.cutter.special]))
+    assert joined[0] == joined[1] and joined[0][: len(words)] == want
