@@ -16,6 +16,13 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def stripped_column(name: str) -> Column:
+    """The same of a column by name: only text with white space at an end meets the pattern that looks through all of it."""
+    text = F.col(name)
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(r"(?U)\s"), stripped(text)).otherwise(text)
+
+
 def is_blank(text: Column) -> Column:
     return F.coalesce(stripped(text), F.lit("")) == ""
 

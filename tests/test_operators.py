@@ -259,3 +259,26 @@ def test_fetch_reads_equal_files_once(spark):
     got = sorted((x["media_id"], x["source"], x["subtitle_id"], x["place"], x["post_ms"], x["n_cues"], x["first_ms"]) for x in fetch.fetch_subtitles(found, files, refs).collect())
     n, first = len(STARTS), min(STARTS) + 3000
     assert got == [(1, "a", "1", 2, -1500, n, first - 1500), (1, "b", "1", 1, -1500, n, first - 1500), (1, "b", "2", 1, None, n, first), (2, "a", "4", 1, None, None, None)]
+
+
+def test_units_shuffle_lines_once(spark):
+    lines = spark.range(40).selectExpr("id DIV 10 AS track_id", "id AS cue_no", "'some words to say.' AS text")
+    whole = u.inputs_of(u.whole_units(lines)).withColumnRenamed("input", "output")
+    for df in (u.group_units(lines), whole, u.dealt(whole)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_batches_of_long_lines_keep_to_both_caps(spark):
+    sizes = [(i * i * 7 + i) % 31 + 4 for i in range(200)] + [70, 5, 5, 5, 5, 61, 59, 4, 20, 20, 20, 21]
+    lines = spark.createDataFrame([(t, i, " ".join(["\twürd"] * n) + ".") for t, some in ((1, sizes), (2, [7] * 11)) for i, n in enumerate(some)], "track_id bigint, cue_no bigint, text string")
+    for track, some in ((1, sizes), (2, [7] * 11)):
+        want = []
+        for i, n in enumerate(some):
+            if want and len(want[-1]) < 3 and sum(some[k] for k in want[-1]) + n <= 60:
+                want[-1].append(i)
+            else:
+                want.append([i])
+        assert [x["cue_nos"] for x in u.group_units(lines).where(f"track_id = {track}").orderBy("unit_no").collect()] == want
+    back = u.dealt(u.inputs_of(u.whole_units(lines)).withColumnRenamed("input", "output"))
+    joined = u.split_output(lines, u.group_units(lines), u.build_input(lines, u.group_units(lines)).withColumnRenamed("input", "output"))
+    assert back.exceptAll(joined).isEmpty() and back.count() == joined.count() == len(sizes) + 11
