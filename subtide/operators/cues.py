@@ -178,19 +178,21 @@ def analyze_tracks(cues: DataFrame, styles: DataFrame | None = None, compact: bo
     f = event_features(cues.where(~is_blank(F.col("raw_text"))))
     share = lambda x: (F.sum(x) / F.count(F.lit(1))).cast("decimal(18,3)")
     counted = {"positioned": F.col("has_pos") | F.col("has_move"), "karaoke": F.col("has_karaoke"), "drawing": F.col("is_drawing"), "clip": F.col("has_clip")} | ({"comment": F.col("is_comment")} if "is_comment" in f.columns else {})
+    fields = [c for c in f.columns if c not in ("track_id", "cue_no")]
+    # The events are read once: they lie with their style's sums, and both are put together by track.
     per_style = f.groupBy("track_id", "style").agg(
         F.count(F.lit(1)).alias("count"), F.sum("duration_ms").alias("total_duration_ms"), F.sum("text_length").alias("total_text_length"),
         *[F.count_if(x).alias(f"{name}_count") for name, x in counted.items()], share("duration_ms").alias("avg_duration_ms"), share("text_length").alias("avg_text_length"),
-        *[share(counted[name].cast("int")).alias(f"{name}_ratio") for name in ("positioned", "karaoke")],
+        *[share(counted[name].cast("int")).alias(f"{name}_ratio") for name in ("positioned", "karaoke")], *([] if compact else [F.collect_list(F.struct("cue_no", *fields)).alias("_events")]),
     )
-    listed = lambda df, first, name: df.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct(first, *[c for c in df.columns if c not in ("track_id", first)]))).alias(name))
-    made = listed(per_style, "style", "styles").join(f.groupBy("track_id").agg(F.count(F.lit(1)).alias("event_count")), "track_id").withColumn("style_count", F.size("styles"))
+    rows = lambda df, first: F.sort_array(F.collect_list(F.struct(first, *[c for c in df.columns if c not in ("track_id", first, "_events")])))
+    events = [] if compact else [F.sort_array(F.flatten(F.collect_list("_events"))).alias("events")]
+    made = per_style.groupBy("track_id").agg(rows(per_style, "style").alias("styles"), F.sum("count").alias("event_count"), *events).withColumn("style_count", F.size("styles"))
     parts = ["event_count", "style_count", "styles"]
     if styles is not None:
-        made = made.join(listed(styles, "style", "style_definitions"), "track_id", "left")
+        made = made.join(styles.groupBy("track_id").agg(rows(styles, "style").alias("style_definitions")), "track_id", "left")
         parts.append("style_definitions")
     if not compact:
-        made = made.join(listed(f, "cue_no", "events"), "track_id")
         parts.append("events")
     return made.select("track_id", "event_count", "style_count", F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("doc"))
 

@@ -35,10 +35,9 @@ def ass_lines(files: DataFrame) -> DataFrame:
     parts = files.select("track_id", F.posexplode(F.split(text, r"(?m)^(?=\[[^\]\n]*\][ \t]*$)")).alias("section_no", "_part"))
     section = F.regexp_extract("_part", r"^\[([^\]\n]*)\]", 1)
     names = F.coalesce(F.nullif(F.regexp_extract("_part", r"(?m)^Format:[ \t]*(.*)$", 1), F.lit("")), F.when(section == "Events", EVENT_FORMAT.removeprefix("Format: ")))
-    named = parts.select(
-        "track_id", "section_no", section.alias("section"),
-        F.transform(F.split(names, ","), lambda n: F.trim(n)).alias("_names"), F.posexplode(F.split("_part", "\n")).alias("line_no", "_line"),
-    ).where(F.trim("_line") != "")
+    # What is a section's is made before its lines are rows, else each line would look through the whole section.
+    sections = parts.select("track_id", "section_no", section.alias("section"), F.transform(F.split(names, ","), lambda n: F.trim(n)).alias("_names"), F.split("_part", "\n").alias("_lines"))
+    named = sections.select("track_id", "section_no", "section", "_names", F.posexplode("_lines").alias("line_no", "_line")).where(F.trim("_line") != "")
     prefix = F.regexp_extract("_line", r"^(?!Format:)[A-Za-z]+:[ \t]*", 0)
     fielded = F.col("_names").isNotNull() & (prefix != "")
     values = F.call_function("split", F.substring(F.col("_line"), F.length("_prefix") + 1, F.length("_line")), F.lit(","), F.size("_names"))
@@ -87,7 +86,8 @@ def style_definitions(styles: DataFrame) -> DataFrame:
 
 
 def _ms(x: Column) -> Column:
-    p = [F.regexp_extract(x, r"(\d+):(\d{1,2}):(\d{1,2})\.(\d{2})", k).cast("long") for k in range(1, 5)]
+    found = F.split(F.coalesce(F.regexp_substr(x, F.lit(r"\d+:\d{1,2}:\d{1,2}\.\d{2}")), F.substring(x, 1, 0)), "[:.]")
+    p = [F.get(found, F.lit(k)).cast("long") for k in range(4)]
     return ((p[0] * 60 + p[1]) * 60 + p[2]) * 1000 + p[3] * 10
 
 

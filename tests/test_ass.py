@@ -80,3 +80,12 @@ def test_track_documents(spark, lines):
     assert doc["styles"][1]["positioned_ratio"] == 1.0 and doc["style_definitions"][1]["fontname"] == "Impact"
     assert [(e["cue_no"], e["has_pos"], e["preview"], e["effect"]) for e in doc["events"]] == [(1, True, "Hi, all\nhere", "fx"), (2, False, "note", "")]
     assert "events" not in json.loads(c.analyze_tracks(events, styles, compact=True).first()["doc"])
+
+
+def test_a_section_is_looked_through_once(spark):
+    """No line carries its section's text or looks for its Format again, and an analysis reads the events once."""
+    plan = ass.ass_lines(spark.createDataFrame([(1, FILE)], "track_id bigint, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("Generate posexplode(_lines")]
+    assert "_part" not in top and "Format:[" not in top
+    cues = spark.range(9).selectExpr("id DIV 5 AS track_id", "id AS cue_no", "id AS start_ms", "id + 5 AS end_ms", "CAST(id % 2 AS STRING) AS style", "'x' AS raw_text")
+    assert c.analyze_tracks(cues)._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
