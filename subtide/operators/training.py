@@ -5,6 +5,8 @@ Pairs: show_id, episode_id, pair_no, english, polish. Shows: show_id and tag col
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # The controlled vocabularies of show tags.
@@ -46,12 +48,14 @@ def dialogue_window(pairs: DataFrame, n: int = 2) -> DataFrame:
 def pair_issues(english: Column, polish: Column, names: list[str], least: float = 0.4, most: float = 2.5) -> Column:
     """Labels of a pair: length ratio out of bounds, an English word kept, a name lost."""
     ratio = F.length(polish) / F.nullif(F.length(english), F.lit(0))
-    word = lambda x: F.filter(F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[a-z]{4,}$"))
-    known = F.array(*[F.lit(n.lower()) for n in names]) if names else F.array().cast("array<string>")
-    kept = F.size(F.array_except(F.array_intersect(word(english), word(polish)), known)) > 0
-    lost = F.exists(known, lambda n: F.contains(F.lower(english), n) & ~F.contains(F.lower(polish), n))
+    # A word: letters, digits and underscores with none beside them. No lambdas, which would keep Spark from sharing what labels have in common.
+    word = lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"(?<![\p{L}\p{N}_])[a-z]{4,}(?![\p{L}\p{N}_])"), F.lit(0))
+    low, other = [n.lower() for n in names], F.lower(polish)
+    both = F.array_intersect(word(english), word(polish))
+    kept = F.size(F.array_except(both, F.array(*[F.lit(n) for n in low])) if low else both) > 0
+    lost = reduce(lambda a, n: a | (F.contains(F.lower(english), F.lit(n)) & ~F.contains(other, F.lit(n))), low, F.lit(False))
     labels = F.array(F.when((ratio < least) | (ratio > most), F.lit("length")), F.when(kept, F.lit("untranslated")), F.when(lost, F.lit("name")))
-    return F.filter(labels, lambda x: x.isNotNull())
+    return F.array_except(labels, F.array(F.lit(None).cast("string")))
 
 
 def is_validation(episode_id: Column, of: int = 10) -> Column:

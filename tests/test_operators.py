@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from subtide.functions import text as t
-from subtide.operators import cues as c, fetch, match as m, runs as r, select as s, translate as tr, units as u
+from subtide.operators import cues as c, fetch, match as m, runs as r, select as s, training as tg, translate as tr, units as u
 from subtide.sources import ass, documents, files as f
 
 CUES = "track_id bigint, cue_no bigint, start_ms bigint, end_ms bigint, style string, raw_text string, text string"
@@ -282,3 +282,11 @@ def test_batches_of_long_lines_keep_to_both_caps(spark):
     back = u.dealt(u.inputs_of(u.whole_units(lines)).withColumnRenamed("input", "output"))
     joined = u.split_output(lines, u.group_units(lines), u.build_input(lines, u.group_units(lines)).withColumnRenamed("input", "output"))
     assert back.exceptAll(joined).isEmpty() and back.count() == joined.count() == len(sizes) + 11
+
+
+def test_pair_issues_are_written_without_lambdas(spark):
+    made = tg.pair_issues(F.col("e"), F.col("p"), ["Guts", "there"])
+    assert "lambda" not in str(made).lower()
+    rows = [("Guts went home", "Guts went DOMU"), ("Is there any", "Czy TAM any"), ("abcd1 ąabcd there", "ABCD1 ĄABCD THERE"), ("x", "xxxx"), (None, "abcd"), ("abcd", None), ("", "")]
+    got = [x.i for x in spark.createDataFrame(rows, "e string, p string").select(made.alias("i")).collect()]
+    assert got == [["untranslated"], ["name"], [], ["length"], [], [], []]
