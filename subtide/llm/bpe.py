@@ -28,6 +28,8 @@ KEPT_SEAMS = 1 << 16
 #: Bytes of text encoded, and sent on, at a time.
 SLICE_BYTES = 2 << 20
 LITTLE = sys.byteorder == "little"
+#: The same of a query that does nothing else and has the memory.
+WIDE_SLICE_BYTES = 8 << 20
 _BLOCK = 4096  # positions whose matches are looked up at a time
 
 
@@ -189,9 +191,9 @@ class WordBpe:
             out.append(found.tobytes() if LITTLE else pack(f"<{len(found)}I", *found))
         return out
 
-    def word_ids(self) -> WordIds:
+    def word_ids(self, slice_bytes: int = SLICE_BYTES) -> WordIds:
         """Encodes batches; what it keeps of words goes with it."""
-        return WordIds(self.cutter, self.encode_words, KEPT_WORDS, SLICE_BYTES)
+        return WordIds(self.cutter, self.encode_words, KEPT_WORDS, slice_bytes)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; none for null."""
@@ -250,12 +252,12 @@ def encode_column(docs: DataFrame, path: str, text: str = "text", to: str = "ids
     return held.mapInArrow(batches, schema)
 
 
-def round_trip(docs: DataFrame, path: str, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, keep: list[str] | None = None, with_ids: bool = False, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, the ``keep`` columns, n_tokens, ids_sha256 and decoded_sha256 of every row's whole text; with ``ids`` (binary) if asked for.
 
     Encodes the text, hashes the ids, decodes the ids and hashes the decoded UTF-8. Null and empty
     texts give 0 tokens and the hash of nothing twice. One row per row, in no order; other columns
-    of ``docs`` are not read.
+    of ``docs`` are not read. Texts are taken ``slice_bytes`` at a time: more of them share words, and take memory.
     """
     held = docs.select("doc_id", *(keep or []), F.col("text").alias("_text"))
     names = held.columns[:-1]
@@ -263,10 +265,10 @@ def round_trip(docs: DataFrame, path: str, keep: list[str] | None = None, with_i
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        encode = bpe.word_ids().of_texts
+        encode = bpe.word_ids(slice_bytes).of_texts
         for batch in rows:
             at = 0
-            for texts in slices(batch.column(len(names)), SLICE_BYTES):
+            for texts in slices(batch.column(len(names)), slice_bytes):
                 out: dict[str, list] = {name: [] for name in made}
                 for found in encode(texts):
                     ids = found.tobytes()

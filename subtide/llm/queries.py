@@ -47,7 +47,7 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe_path())
+    return bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe_path(), slice_bytes=bpe.WIDE_SLICE_BYTES)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

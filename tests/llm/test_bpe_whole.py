@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from subtide.llm import bpe, token_files
 from subtide.llm.vocabulary import word_bpe_path
@@ -54,3 +55,14 @@ def test_words_go_to_the_library_with_blanks_between(monkeypatch):
         ids = token_files.library_ids(word_bpe_path())
         joined.append(ids.encode([*words, *ids.cutter.special]))
     assert joined[0] == joined[1] and joined[0][: len(words)] == want
+
+
+def test_wide_slices_cut_shared_chunks_once():
+    """Texts of one wide slice share their chunks; the ids are those of narrow slices."""
+    b = bpe.WordBpe(word_bpe_path())
+    texts, cut = pa.array(["alpha beta, gamma-delta " * 400] * 6), []
+    narrow = [x.tobytes() for x in b.word_ids(1 << 12).of_texts(texts)]
+    plain = b.cutter.cut
+    b.cutter.cut = lambda chunks: cut.extend(chunks) or plain(chunks)
+    assert [x.tobytes() for x in b.word_ids(bpe.WIDE_SLICE_BYTES).of_texts(texts)] == narrow
+    assert len(cut) == len(set(cut))
