@@ -29,11 +29,12 @@ def _protected(s, d):
     return p.select("track_id", "cue_no", F.col("p.text").alias("protected"), (t.restore(F.col("p.text"), F.col("p.tags")) == F.col("text")).alias("same"))
 
 
-def _responses(s, d, item, first, last):
-    """Search responses of one customer each: its orders' items in order, between ``first`` and ``last``."""
+def _bodies(s, d, **kinds):
+    """(media_id, a body of each kind): search responses of one customer each, its orders' items in order; a kind is (item, what is before the items, what is after them)."""
     o = table(s, d, "orders").withColumn("k", F.col("o_orderkey"))
-    items = F.array_sort(F.collect_list(F.struct("k", F.expr(item).alias("x"))))
-    return o.groupBy(F.col("o_custkey").alias("media_id")).agg(F.concat(F.lit(first), F.array_join(F.transform(items, lambda i: i["x"]), "," if first[0] == "{" else ""), F.lit(last)).alias("body"))
+    items = F.sort_array(F.collect_list(F.struct("k", *[F.expr(item).alias(name) for name, (item, _, _) in kinds.items()])))
+    joined = lambda name, first, last: F.concat(F.lit(first), F.array_join(f"items.{name}", "," if first[0] == "{" else ""), F.lit(last)).alias(name)
+    return o.groupBy(F.col("o_custkey").alias("media_id")).agg(items.alias("items")).select("media_id", *[joined(name, *rest) for name, (_, *rest) in kinds.items()])
 
 
 JSON_ITEM = """'{"id":"' || k || '","attributes":{"language":"' || element_at(array('en', 'pl', 'de', 'pl'), CAST(k % 4 AS INT) + 1) || '","release":"' || o_orderpriority || '","moviehash_match":' || (k % 7 = 0)
@@ -43,23 +44,30 @@ HTML_ITEM = """'<TABLE class="Napisy"><tr><td width="45%"><b>' || o_orderpriorit
   || '</td></tr><tr><td><table><tr><td width="45%">no title</td></tr></table><input type="hidden" name="id" value="' || k || '">' || CASE WHEN k % 5 = 0 THEN '' ELSE '<input type=hidden name=sh value=s' || k || '>' END || '</td></tr></TABLE>'"""
 
 
+JSON = (JSON_ITEM, '{"data":[', "]}")
+XML = (XML_ITEM, "<results><page>1</page>", "</results>")
+HTML = (HTML_ITEM, "<html><table><tr><td>menu</td></tr></table>", "</html>")
+RAW_FILENAME = "CASE WHEN media_id % 3 > 0 THEN '1-urgent.release' END"
+XML_BODY = "CASE WHEN media_id % 11 = 0 THEN '<x>' || {0} ELSE {0} END"
+
+
 def _json(s, d):
-    return _responses(s, d, JSON_ITEM, '{"data":[', "]}").withColumn("raw_filename", F.when(F.col("media_id") % 3 > 0, "1-urgent.release"))
+    return _bodies(s, d, body=JSON).withColumn("raw_filename", F.expr(RAW_FILENAME))
 
 
 def _xml(s, d):
-    r = _responses(s, d, XML_ITEM, "<results><page>1</page>", "</results>")
-    return r.select("media_id", (F.col("media_id") % 4 == 0).alias("hash_match"), F.when(F.col("media_id") % 11 == 0, F.concat(F.lit("<x>"), "body")).otherwise(F.col("body")).alias("body"))
+    return _bodies(s, d, body=XML).select("media_id", (F.col("media_id") % 4 == 0).alias("hash_match"), F.expr(XML_BODY.format("body")).alias("body"))
 
 
 def _responses_of(s, d):
-    """The saved responses of all three services, written and read through the data source."""
+    """The saved responses of all three services, made in one pass over the orders, written and read through the data source."""
     none = F.lit(None)
-    html = _responses(s, d, HTML_ITEM, "<html><table><tr><td>menu</td></tr></table>", "</html>")
-    of = lambda df, name, raw, hashed: df.select("media_id", F.lit(name).alias("source"), raw.cast("string").alias("raw_filename"), hashed.cast("boolean").alias("hash_match"), "body")
-    saved = of(_json(s, d), "opensubtitles", F.col("raw_filename"), none).union(of(_xml(s, d), "podnapisi", none, F.col("hash_match"))).union(of(html, "animesub", none, none))
+    of = lambda name, raw, hashed, body: F.struct(F.lit(name).alias("source"), raw.cast("string").alias("raw_filename"), hashed.cast("boolean").alias("hash_match"), F.expr(body).alias("body"))
+    three = F.array(
+        of("opensubtitles", F.expr(RAW_FILENAME), none, "json"), of("podnapisi", none, F.col("media_id") % 4 == 0, XML_BODY.format("xml")), of("animesub", none, none, "html"),
+    )
     path = fresh_path(s, "responses")
-    responses.save_responses(saved, path)
+    responses.save_responses(_bodies(s, d, json=JSON, xml=XML, html=HTML).select("media_id", F.inline(three)), path)
     return responses.candidates_of(responses.read_responses(s, path))
 
 
@@ -99,7 +107,7 @@ QUERIES = {
     "s6_fingerprints": lambda s, d: f.fingerprint_blobs(table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("content"))),
     "s8_candidates_from_json": lambda s, d: f.candidates_from_json(_json(s, d)),
     "s9_candidates_from_xml": lambda s, d: f.candidates_from_xml(_xml(s, d)),
-    "s10_candidates_from_html": lambda s, d: f.candidates_from_html(_responses(s, d, HTML_ITEM, "<html><table><tr><td>menu</td></tr></table>", "</html>")),
+    "s10_candidates_from_html": lambda s, d: f.candidates_from_html(_bodies(s, d, body=HTML)),
     "p11_protect_placeholders": _protected,
     "f3_translate_lines": lambda s, d: t.translate_lines(a.text_lines(s, d), _upper, ["The"]).select("track_id", "cue_no", "translation"),
     "f1_saved_responses": _responses_of,

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -17,6 +20,7 @@ from subtide.sources.files import candidates_from_html, candidates_from_json, ca
 CANDIDATE = "media_id bigint, source string, subtitle_id string, language string, release_name string, format string, score double, hash_match boolean"
 RESPONSE = "media_id bigint, source string, raw_filename string, hash_match boolean, body string"
 _FIELDS = [part.split()[0] for part in RESPONSE.split(", ")]
+_ARROW = pa.schema(list(zip(_FIELDS, [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string()])))
 
 
 class Provider(Protocol):
@@ -61,38 +65,64 @@ def download_candidates(candidates: DataFrame, provider: Callable[[], Provider])
     return candidates.mapInPandas(run, "media_id bigint, source string, subtitle_id string, content binary")
 
 
-class _File(InputPartition):
-    pass
+#: Bytes of a file that a task reads, and those it hands on at a time.
+RANGE_BYTES = 32 << 20
+BUFFER = 1 << 20
+
+
+@dataclass
+class _Range(InputPartition):
+    """The lines of a file that begin from byte ``start`` on and before ``end``."""
+
+    path: str
+    start: int
+    end: int
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, range_bytes: int):
+        self.path, self.range_bytes = path, range_bytes
+
+    def _opened(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
 
     def partitions(self) -> list[InputPartition]:
-        system, root = fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
+        system, root = self._opened()
         found = system.get_file_info(fs.FileSelector(root, recursive=True))
-        return [_File(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and f.base_name.endswith(".json")]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        system, _ = fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
-        with system.open_input_stream(partition.value) as stream:
-            rest = b""
-            while data := stream.read(1 << 20):
-                *lines, rest = (rest + data).split(b"\n")
-                for line in lines:
-                    yield self._row(line)
-            if rest:
-                yield self._row(rest)
+        files = [f for f in sorted(found, key=lambda f: f.path) if f.is_file and f.base_name.endswith(".json")]
+        return [_Range(f.path, at, min(f.size, at + self.range_bytes)) for f in files for at in range(0, max(f.size, 1), self.range_bytes)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        system, _ = self._opened()
+        at, some, size = partition.start, [], 0
+        with system.open_input_file(partition.path) as file:
+            file.seek(max(0, at - 1))
+            lines = io.BufferedReader(file, BUFFER)
+            if at:  # a line begins there if the byte before ends one
+                at += len(lines.readline()) - 1
+            while at < partition.end and (line := lines.readline()):
+                some.append(line)
+                at += len(line)
+                size += len(line)
+                if size >= BUFFER:
+                    yield self._batch(some)
+                    some, size = [], 0
+        if some:
+            yield self._batch(some)
 
     @staticmethod
-    def _row(line: bytes) -> tuple:
-        saved = json.loads(line)
-        return tuple(saved.get(name) for name in _FIELDS)
+    def _batch(lines: list[bytes]) -> pa.RecordBatch:
+        saved = [json.loads(line) for line in lines]
+        text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
+        columns = [[text(x.get(f.name)) if f.type == pa.string() else x.get(f.name) for x in saved] for f in _ARROW]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
 
 class SavedResponses(DataSource):
-    """``spark.read.format("saved_responses").load(path)``: responses of services saved as JSON lines, a file a partition, on any file system pyarrow opens."""
+    """``spark.read.format("saved_responses").load(path)``: responses of services saved as JSON lines, on any file system pyarrow opens.
+
+    A file is a partition, a large one is cut into several: option ``range_bytes`` (32 MB).
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -102,7 +132,7 @@ class SavedResponses(DataSource):
         return RESPONSE
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)))
 
 
 def save_responses(responses: DataFrame, path: str) -> None:

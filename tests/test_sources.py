@@ -131,3 +131,33 @@ def test_a_document_is_read_in_ranges(spark, tmp_path):
 def test_no_query_reads_its_document_whole(spark, name):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert " text" in plan and "json" not in [x.split()[-1] for x in plan.splitlines() if "Relation" in x]
+
+
+def test_a_large_file_of_responses_is_read_in_ranges(spark, tmp_path):
+    """Each line goes to one range, wherever the cuts fall, also with long lines and none at the end; a body that is no text is JSON again."""
+    rows = [(i, "other", None, i % 2 == 0, ("zażółć " * (i % 40)) + str(i)) for i in range(60)]
+    path = str(tmp_path / "saved")
+    os.mkdir(path)
+    lines = "\n".join(json.dumps(dict(zip(("media_id", "source", "raw_filename", "hash_match", "body"), x)), ensure_ascii=False) for x in rows)
+    (tmp_path / "saved" / "one.json").write_text(lines, encoding="utf-8")
+    (tmp_path / "saved" / "two.json").write_text('{"media_id": 60, "source": "other", "body": {"data": [1]}, "more": 1}\n')
+    (tmp_path / "saved" / "none.json").write_text("")
+    first = len(lines.encode().split(b"\n")[0])
+    for size in (1 << 20, 5000, 997, 64, 1, first, first + 1, first + 2):
+        reader = responses._Reader(path, size)
+        got = [x for p in reader.partitions() for batch in reader.read(p) for x in batch.to_pylist()]
+        assert [tuple(x.values()) for x in got] == [*rows, (60, "other", None, None, '{"data": [1]}')], size
+    spark.dataSource.register(responses.SavedResponses)
+    read = spark.read.format("saved_responses").option("range_bytes", 2000).load(path)
+    assert read.rdd.getNumPartitions() > 5 and read.count() == 61 and read.selectExpr("sum(media_id)").first()[0] == sum(range(61))
+
+
+def test_the_bodies_are_made_in_one_pass_over_the_orders(spark, monkeypatch):
+    """One shuffle for the bodies of the three services."""
+    from subtide.plans import edge_queries
+
+    seen = []
+    monkeypatch.setattr(responses, "save_responses", lambda df, path: seen.append(df._jdf.queryExecution().optimizedPlan().toString()))
+    monkeypatch.setattr(responses, "read_responses", lambda s, path: s.createDataFrame([], responses.RESPONSE))
+    edge_queries.QUERIES["f1_saved_responses"](spark, "/root/testdata/sf0.001")
+    assert seen[0].count("Aggregate") == 1 and seen[0].count("Relation") == 1
