@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
-from subtide.llm.bpe import END_OF_WORD
+from subtide.llm.bpe import END_OF_WORD, byte_letters
 from subtide.llm.words import Cutter, WordIds, slices
 from subtide.session import fresh_path, held
 
@@ -36,36 +37,47 @@ def library_ids(path: str) -> WordIds:
     The library encodes distinct words, many a call, with blanks between them, which have no ids: a word's last token is one
     that ends a word. Should these not be as many as the words, they are joined by a special token, whose id then tells
     where one word's ids end; that takes the library about twice the time.
+
+    Words of letters alone, which come in their normal form, need not be normalized and cut again: they go in as the letters
+    of their bytes, and the library splits at blanks and merges.
     """
     if path not in _loaded:
-        library, cutter = Tokenizer.from_file(path), Cutter(path)
-        library.no_truncation()
-        library.no_padding()
+        library, merging, cutter = Tokenizer.from_file(path), Tokenizer.from_file(path), Cutter(path)
+        merging.normalizer, merging.pre_tokenizer = None, WhitespaceSplit()
+        for x in (library, merging):
+            x.no_truncation()
+            x.no_padding()
+        letters = {i: letter for i, letter in enumerate(byte_letters()) if i != ord(" ")}
         seam, mark = min(cutter.special.items())
         vocab = library.get_vocab()
         last = np.zeros(1 + max(vocab.values()), bool)
         last[[i for token, i in vocab.items() if token.endswith(END_OF_WORD)]] = True
 
-        def encoded(text: str) -> np.ndarray:
-            return np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        def cut(words: list[str], by: Tokenizer) -> list[bytes]:
+            def encoded(between: str) -> np.ndarray:
+                text = " ".join(words)
+                if by is merging and not text.isascii():
+                    text = text.encode().decode("latin-1").translate(letters)
+                return np.array(by.encode_batch_fast([text.replace(" ", between)], add_special_tokens=False)[0].ids, "<u4")
 
-        def cut(words: list[str]) -> list[bytes]:
-            ids = encoded(" ".join(words))
+            ids = encoded(" ")
             cuts = (np.flatnonzero(last[ids]) + 1).tolist()
             if len(cuts) == len(words) and cuts[-1] == len(ids):
                 data = ids.tobytes()
                 return [data[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts)]
-            ids = encoded(seam.join(words))
+            ids = encoded(seam)
             cuts, data = np.flatnonzero(ids == mark).tolist(), ids.tobytes()
             return [data[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)])]
 
         def encode(words: list[str]) -> list[bytes]:
-            plain = [w for w in words if w not in cutter.special]
             out: dict[str, bytes] = {w: i.to_bytes(4, "little") for w, i in cutter.special.items()}
-            for at in range(0, len(plain), CALL_WORDS):
-                some = plain[at : at + CALL_WORDS]
-                out |= zip(some, cut(some))
-            return [out[w] for w in words]
+            of_letters = sorted(filter(str.isalpha, words), key=str.isascii)
+            others = [w for w in words if not w.isalpha() and w not in cutter.special]
+            for plain, by in ((of_letters, merging), (others, library)):
+                for at in range(0, len(plain), CALL_WORDS):
+                    some = plain[at : at + CALL_WORDS]
+                    out |= zip(some, cut(some, by))
+            return list(map(out.__getitem__, words))
 
         _loaded[path] = WordIds(cutter, encode, KEPT_WORDS, SLICE_BYTES)
     return _loaded[path]

@@ -91,12 +91,12 @@ class WordIds:
         if len(self.young) >= self.kept:
             self.old, self.young = self.young, {}
         young = self.young
-        missing = {w for w in words if w not in young}
+        missing = set(words).difference(young)
         young |= {w: self.old[w] for w in missing if w in self.old}
         unknown = [w for w in missing if w not in self.old and w != " "]
         young |= zip(unknown, self.encode(unknown))
         young[" "] = b""
-        return [young[w] for w in words]
+        return list(map(young.__getitem__, words))
 
     def of_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each chunk has."""
@@ -104,8 +104,8 @@ class WordIds:
         for at in range(0, len(chunks), BLOCK_CHUNKS):
             words = self.cutter.cut(chunks[at : at + BLOCK_CHUNKS])
             found = self._look_up(words)
-            ends = np.cumsum([len(x) // 4 for x in found])
-            blanks = np.array([w == " " for w in words])
+            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // 4
+            blanks = np.fromiter(map(" ".__eq__, words), bool, len(words))
             ids.append(np.frombuffer(b"".join(found), "<u4"))
             sizes.append(np.diff(ends[blanks], prepend=0))
         return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.empty(0, np.uint32), np.empty(0, np.int64))
@@ -115,7 +115,7 @@ class WordIds:
         for part in slices(texts, self.slice_bytes):
             chunks = pc.ascii_split_whitespace(pc.fill_null(part, ""))
             coded = chunks.values.dictionary_encode()
-            ids, sizes = self.of_chunks(coded.dictionary.to_pylist())
+            ids, sizes = self.of_chunks(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
             by_chunk = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids))
             taken = by_chunk.take(coded.indices)
             values, ends = np.asarray(taken.values), np.asarray(taken.offsets)[np.asarray(chunks.offsets)]

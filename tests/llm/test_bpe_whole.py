@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from tokenizers import Tokenizer
 
 from subtide.llm import bpe, token_files
 from subtide.llm.vocabulary import word_bpe_path
@@ -66,3 +67,34 @@ def test_wide_slices_cut_shared_chunks_once():
     b.cutter.cut = lambda chunks: cut.extend(chunks) or plain(chunks)
     assert [x.tobytes() for x in b.word_ids(bpe.WIDE_SLICE_BYTES).of_texts(texts)] == narrow
     assert len(cut) == len(set(cut))
+
+
+def test_words_of_letters_are_only_merged_by_the_library(monkeypatch):
+    """They come normal, lower-cased and cut, so the library's own normalizing and cutting sees none of them; other words do go there."""
+    seen = []
+
+    class Spy:
+        def __init__(self, inner):
+            object.__setattr__(self, "inner", inner)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.inner, name, value)
+
+        def encode_batch_fast(self, texts, **options):
+            seen.append((self.inner.normalizer is not None, texts[0].split(" ")))
+            return self.inner.encode_batch_fast(texts, **options)
+
+    class Loads:
+        from_file = staticmethod(lambda path: Spy(Tokenizer.from_file(path)))
+
+    monkeypatch.setattr(token_files, "Tokenizer", Loads)
+    monkeypatch.setattr(token_files, "_loaded", {})
+    texts = ["The naïve Łódź, 'tis ﬁne: ΣΑΣ x² İstanbul 中文字 ѣ<|endoftext|>ab_c 12", "áb ǆ ᾴ 가 ℌ Å"]
+    library = Tokenizer.from_file(word_bpe_path())
+    got = [x.tolist() for x in token_files.library_ids(word_bpe_path()).of_texts(pa.array(texts))]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    whole = [w for full, words in seen if full for w in words]
+    assert {"'t", ",", "1", "2"} <= set(whole) and not [w for w in whole if w.isalpha()]
