@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from subtide.operators.cues import stripped
+from subtide.operators.cues import SPACES, stripped, trimmed
 
 # Polish letters and their ASCII stand-ins.
 POLISH, ASCII = "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ", "acelnoszzACELNOSZZ"
@@ -38,6 +38,11 @@ FIXES = [
     (r"(?U)\bMarzec\b", "Naprzód"), (r"(?iU)\bDobra droga\b", "Tak trzymaj"), (r"^Ładuj!$", "Do ataku!"), (r"(?iU)\bstrajk\b", "cios"), (r"(?iU)Weź to razem", "Weź się w garść"),
 ]
 
+# What a text has if fix_translation changes it, a pattern of RE2 (pyarrow). A part of each of FIXES, in letters that no other letter is
+# a case of; dashes, marks and white space as the rules after them need them.
+MENDABLE = rf"\A[{SPACES}-]|[{SPACES}]\z|[{SPACES}][.!?]|\.\.|!!|\?\?|\A[^\s,]+,[^,]+[.!?]\z|Marzec|Ładuj!|(?i:dobra droga|trajk| to razem)"
+MARKS = ".!?,;:…"
+
 TERMINAL = r"[.!?][\"')»\]]*\s*$"
 ELLIPSIS = r"\.{2,}[\"')»\]]*\s*$"
 SPEAKER = r"^[\-—–]\s*\S"
@@ -59,15 +64,15 @@ def normalize_phrase(text: Column) -> dict[str, Column]:
 
 
 def _whole(s: Column) -> Column:
-    return s.rlike(r"^[^\n]*$")
+    return ~F.contains(s, F.lit("\n"))
 
 
 def _punct(s: Column) -> Column:
-    return F.when(_whole(s), F.regexp_extract(s, r"([.!?,;:…]+)$", 1)).otherwise("")
+    return F.when(_whole(s), F.regexp_extract(s, rf"([{MARKS}]+)$", 1)).otherwise("")
 
 
 def _base(s: Column) -> Column:
-    return F.when(_whole(s), stripped(F.regexp_replace(s, r"[.!?,;:…]+$", ""))).otherwise(s)
+    return F.when(_whole(s), trimmed(F.rtrim(s, F.lit(MARKS)))).otherwise(s)
 
 
 def _cap(base: Column) -> Column:
@@ -131,7 +136,7 @@ def placeholder_only(text: Column) -> Column:
 
 def fallback_guard(original: Column, out: Column) -> Column:
     """The original where the translation is blank, or under two characters for an original of over five."""
-    t, o = stripped(out), stripped(original)
+    t, o = trimmed(out), trimmed(original)
     return F.when(F.coalesce(t, F.lit("")) == "", original).when((F.length(t) < 2) & (F.length(o) > 5), original).otherwise(out)
 
 
@@ -196,16 +201,22 @@ def phrase_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "base string, answer string, phrase_kind string")
 
 
-def phrase_lookup(cues: DataFrame) -> DataFrame:
-    """Adds translation (the formatted dictionary answer, or the line with idioms rewritten), answered and phrase_kind.
+def phrase_answers(cues: DataFrame) -> DataFrame:
+    """Adds answer (the formatted dictionary answer, null where there is none) and phrase_kind.
 
     The dictionary is a constant table of fewer than a hundred rows, so it is broadcast.
     """
-    # Step by step, each from the column before, so that nothing is made twice.
-    based = cues.withColumn("_s", stripped(F.col("text"))).withColumn("_b", _base(F.col("_s")))
-    found = based.withColumns({"base": F.lower("_b"), "_p": _punct(F.col("_s")), "_c": _cap(F.col("_b"))}).drop("_s", "_b").join(F.broadcast(phrase_table(cues.sparkSession)), "base", "left")
-    answer = apply_formatting(F.col("answer"), F.col("_p"), F.col("_c"))
-    return found.withColumns({"translation": F.coalesce(answer, rewrite_idioms(F.col("text"))), "answered": F.col("answer").isNotNull()}).drop("base", "_p", "_c", "answer")
+    # Step by step, each from the column before, so that nothing is made twice; only lines with an answer need its form.
+    based = cues.withColumn("_s", trimmed(F.col("text"))).withColumn("_b", _base(F.col("_s"))).withColumn("base", F.lower("_b"))
+    found = based.join(F.broadcast(phrase_table(cues.sparkSession)), "base", "left")
+    answer = apply_formatting(F.col("answer"), _punct(F.col("_s")), _cap(F.col("_b")))
+    return found.withColumn("answer", F.when(F.col("answer").isNotNull(), answer)).drop("base", "_s", "_b")
+
+
+def phrase_lookup(cues: DataFrame) -> DataFrame:
+    """Adds translation (the formatted dictionary answer, or the line with idioms rewritten), answered and phrase_kind."""
+    answer = F.col("answer")
+    return phrase_answers(cues).withColumns({"translation": F.coalesce(answer, rewrite_idioms(F.col("text"))), "answered": answer.isNotNull()}).drop("answer")
 
 
 def preprocess_stats(cues: DataFrame) -> DataFrame:

@@ -10,12 +10,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # Words that mark a style as no dialogue wherever they occur in its name.
 NON_DIALOGUE = ("sign", "song", "title", "op", "ed", "insert", "inro", "inen")
 
+# The characters of (?U)\s.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def stripped(text: Column) -> Column:
     """Text without white space at its ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def trimmed(text: Column) -> Column:
+    """The same without a pattern, by the characters it means; for texts of a line, since it notes where each character lies."""
+    return F.btrim(text, F.lit(SPACES))
+
+
 def stripped_column(name: str) -> Column:
     """The same of a column by name: only text with white space at an end meets the pattern that looks through all of it."""
     text = F.col(name)
